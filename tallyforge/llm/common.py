@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +85,7 @@ class WordTable(dict):
 
     def __missing__(self, word: bytes) -> int:
         self[word] = row = len(self.hashes)
-        self.hashes.append(zlib.crc32(word) | (zlib.adler32(word) & 0xFFFF) << 32 | (len(word) & 0xFFFF) << 48)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
         self.added(word)
         return row
 
