@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules, url_filter
+from . import chat_format, classifier, mixing, quality_rules, spot_signatures, url_filter
 
 
 def queries() -> dict:
     """Each takes (spark, sf_dir) and covers its whole table."""
     return {
+        "op2_spot_signatures": spot_signatures.op2_spot_signatures,
+        "op3_quality_classifier": classifier.op3_quality_classifier,
         "op4_chat_format": chat_format.op4_chat_format,
         "op7_mixing": mixing.op7_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
