@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, classifier, mixing, quality_rules, spot_signatures, url_filter
+from . import byte_bpe, chat_format, classifier, mixing, quality_rules, spot_signatures, token_records, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_spot_signatures": spot_signatures.op2_spot_signatures,
         "op3_quality_classifier": classifier.op3_quality_classifier,
         "op4_chat_format": chat_format.op4_chat_format,
+        "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op6_token_records": token_records.op6_token_records,
         "op7_mixing": mixing.op7_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_url_filter": url_filter.op10_url_filter,
