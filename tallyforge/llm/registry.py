@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, classifier, mixing, quality_rules, spot_signatures, token_records, url_filter
+from . import byte_bpe, chat_format, classifier, mixing, quality_rules, spot_signatures, token_records, url_filter, warc
 
 
 def queries() -> dict:
     """Each takes (spark, sf_dir) and covers its whole table."""
     return {
+        "op1_warc": warc.op1_warc,
         "op2_spot_signatures": spot_signatures.op2_spot_signatures,
         "op3_quality_classifier": classifier.op3_quality_classifier,
         "op4_chat_format": chat_format.op4_chat_format,
@@ -22,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """Where SQL expresses the whole result."""
     return {
+        "op1_warc": warc.OP1_SQL,
         "op4_chat_format": chat_format.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
