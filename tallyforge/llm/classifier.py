@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, table
+from .common import Grown, WordTable, mix64, table
 
 BUCKETS, DIM = 1 << 16, 16
 MIN_N, MAX_N = 3, 5
@@ -39,9 +39,13 @@ SAME = zlib.crc32(b"<same>") & MASK
 
 def word_buckets(word: bytes) -> list[int]:
     """Buckets of a word and its character n-grams."""
-    marked = f"<{word.decode(errors='replace')}>"
-    grams = [marked[i : i + n].encode() for n in range(MIN_N, MAX_N + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(word) & MASK, *(zlib.crc32(g, 1) & MASK for g in grams)]
+    marked = b"<%b>" % word
+    if word.isascii():
+        grams = [marked[i : i + n] for n in range(MIN_N, MAX_N + 1) for i in range(len(marked) - n + 1)]
+    else:
+        text = marked.decode(errors="replace")
+        grams = [text[i : i + n].encode() for n in range(MIN_N, MAX_N + 1) for i in range(len(text) - n + 1)]
+    return [zlib.crc32(word) & MASK, *[zlib.crc32(g, 1) & MASK for g in grams]]
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -64,7 +68,7 @@ class LogitTable(WordTable):
     def __init__(self, logits: np.ndarray):
         super().__init__()
         self.logits = logits.tolist()
-        self._sums = np.empty((0, 2))
+        self._sums = Grown(np.float64, 2)
 
     def added(self, word: bytes) -> None:
         buckets = word_buckets(word)
@@ -73,13 +77,11 @@ class LogitTable(WordTable):
     def trim(self) -> None:
         super().trim()
         if not self:
-            self._sums = np.empty((0, 2))
+            self._sums.reset()
 
     def totals(self, rows: np.ndarray) -> np.ndarray:
         """(sum of logits, n) over rows."""
-        if len(self._sums) < len(self.extra):
-            self._sums = np.concatenate([self._sums, np.array(self.extra[len(self._sums) :], float).reshape(-1, 2)])
-        return self._sums[rows].sum(axis=0)
+        return self._sums.of(self.extra)[rows].sum(axis=0)
 
 
 def document_buckets(text: bytes | None, words: BucketTable) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * SAMPLE ids
     texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     counted = texts.select("doc_id", "y", F.pandas_udf(_bucket_batches, "bucket array<int>, times array<int>")("text").alias("b"))
-    rows = sorted(counted.select("doc_id", "y", "b.bucket", "b.times").toArrow().to_pylist(), key=lambda x: x["doc_id"])
-    return train([(np.array(x["bucket"], np.int64), np.array(x["times"], np.float64), int(x["y"])) for x in rows])
+    got = counted.select("doc_id", "y", "b.bucket", "b.times").toArrow().sort_by("doc_id").combine_chunks()
+    whole = lambda name: got.column(name).combine_chunks()
+    y, at = got.column("y").to_numpy(), whole("bucket").offsets.to_numpy() if len(got) else np.zeros(1, int)
+    buckets, times = (np.array(whole(x).values.to_numpy()) if len(got) else np.empty(0) for x in ("bucket", "times"))
+    del got
+    return train([(buckets[a:b], times[a:b], int(q)) for a, b, q in zip(at, at[1:], y)])
 
 
 def score_column(spark: SparkSession, logits: np.ndarray, text: Column) -> Column:

@@ -70,6 +70,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Grown:
+    """A numpy copy of a growing list; each item is copied about once."""
+
+    def __init__(self, dtype, width: int | None = None):
+        self.width, self.dtype = width, dtype
+        self.reset()
+
+    def reset(self) -> None:
+        self.n, self.data = 0, np.empty((1024, *([self.width] if self.width else [])), self.dtype)
+
+    def of(self, items: list) -> np.ndarray:
+        if len(items) > len(self.data):
+            data = np.empty((2 * len(items), *self.data.shape[1:]), self.dtype)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        if len(items) > self.n:
+            self.data[self.n : len(items)] = items[self.n :]
+            self.n = len(items)
+        return self.data
+
+
 class WordTable(dict):
     """Words to rows of growing arrays, filled on first sight; at most ``limit`` words, then it starts anew.
 
@@ -81,7 +102,7 @@ class WordTable(dict):
         self.limit = limit
         self.hashes: list[int] = []
         self.extra: list = []
-        self._array = np.empty(0, np.uint64)
+        self._array = Grown(np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = row = len(self.hashes)
@@ -98,14 +119,11 @@ class WordTable(dict):
             self.clear()
             self.hashes.clear()
             self.extra.clear()
-            self._array = np.empty(0, np.uint64)
+            self._array.reset()
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def word_hashes(self, rows: np.ndarray) -> np.ndarray:
         """Mixed 64-bit hashes of rows."""
-        if len(self._array) < len(self.hashes):
-            new = mix64(np.array(self.hashes[len(self._array) :], np.uint64))
-            self._array = np.concatenate([self._array, new])
-        return self._array[rows]
+        return mix64(self._array.of(self.hashes)[rows])

@@ -23,10 +23,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, partitions, staged, table
+from .common import Grown, WordTable, mix64, partitions, staged, table
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -49,30 +50,22 @@ class SpotTable(WordTable):
 
     def __init__(self):
         super().__init__()
-        self._kinds = np.empty(0, np.int8)
+        self._kinds = Grown(np.int8)
 
     def __missing__(self, word: bytes) -> int:
         plain = word.lower().strip(EDGES)
         row = super().__missing__(word)
-        self.hashes[row] = hash_of(plain)
+        self.hashes[row] = xxhash.xxh3_64_intdigest(plain)
         self.extra.append(2 if not plain else 1 if plain in ANCHORS else 0)
         return row
 
     def trim(self) -> None:
         super().trim()
         if not self:
-            self._kinds = np.empty(0, np.int8)
+            self._kinds.reset()
 
     def kinds(self, rows: np.ndarray) -> np.ndarray:
-        if len(self._kinds) < len(self.extra):
-            self._kinds = np.concatenate([self._kinds, np.array(self.extra[len(self._kinds) :], np.int8)])
-        return self._kinds[rows]
-
-
-def hash_of(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
+        return self._kinds.of(self.extra)[rows]
 
 
 def signatures(text: str, words: SpotTable) -> np.ndarray:
