@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import mixing, quality_rules
-from tallyforge.llm.common import staged
+from tallyforge.llm import byte_bpe, classifier, mixing, near_dedup, quality_rules
+from tallyforge.llm.common import staged, table
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +17,32 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier, trained on the labelled ones among docs, takes for good."""
+    return classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dedup.keep_one(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the shares of their sources' targets; repeats are repeated rows."""
     return mixing.mixed(docs)
 
 
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with digests of them and of their decoded text."""
+    return byte_bpe.round_trip(docs, *byte_bpe.default_vocabulary(), with_ids=True)
+
+
 STAGES = [
     ("quality rules", rules_stage),
+    ("quality classifier", classifier_stage),
+    ("MinHash near-dedup", near_dedup_stage),
     ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", bpe_stage),
 ]
 
 #: Trained models and edit similarity are beyond SQL; tests hold the stages against brute force.

@@ -199,8 +199,8 @@ def encoded(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+def round_trip(df: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to; on demand the ids as in ``encoded``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
@@ -214,9 +214,11 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
                     pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
                     pa.array([sha256(bpe.decode(x)).hexdigest() for x in each], pa.string()),
                 ]
-                yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    columns.append(pa.array([x.astype("<u4").tobytes() for x in each], pa.binary()))
+                yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, DIGESTS)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, DIGESTS + ", ids binary" * with_ids)
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, classifier, mixing, quality_rules, spot_signatures, token_records, url_filter, warc
+from . import byte_bpe, chat_format, classifier, mixing, near_dedup, quality_rules, spot_signatures, token_records, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_token_records": token_records.op6_token_records,
         "op7_mixing": mixing.op7_mixing,
+        "op8_order_minhash": near_dedup.op8_order_minhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_url_filter": url_filter.op10_url_filter,
     }
