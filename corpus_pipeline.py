@@ -18,8 +18,8 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier, trained on the labelled ones among docs, takes for good."""
-    return classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that a classifier takes for good; it learns from the labelled documents of the data folder, good and bad."""
+    return classifier.keep_good(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,9 +171,9 @@ def score_column(spark: SparkSession, logits: np.ndarray, text: Column) -> Colum
     return F.pandas_udf(score, "double")(text)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows whose score is at least KEEP_AT, with all their columns."""
-    score = score_column(docs.sparkSession, fit(docs, labels), F.col("text").cast("binary"))
+def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose score is at least KEEP_AT, with all their columns; learns from the texts of labelled."""
+    score = score_column(docs.sparkSession, fit(labelled, labels), F.col("text").cast("binary"))
     row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
     return docs.select(row, score.alias("score")).where(F.col("score") >= KEEP_AT).select("row.*")
 
