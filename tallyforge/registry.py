@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .queries import ORACLE, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """One entry per operator of the ledger library."""
-    return {}
+    """One entry or more for each operator of the ledger library."""
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL."""
-    return {}
+    return dict(ORACLE)
