@@ -140,33 +140,77 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & NULL_ID else doc_id, np.frombuffer(payload, "<u4" if flags & WIDE else "<u2", offset=HEAD.size)
 
 
+class Rows(dict):
+    """Numbers keys in the order they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = row = len(self)
+        self.new.append(key)
+        return row
+
+    def taken(self) -> list:
+        """Keys numbered since the last call."""
+        new, self.new = self.new, []
+        return new
+
+
 class ChunkEncoder:
-    """The tokenizers library over chunks between ASCII white space, which these vocabularies drop; frequent chunks are encoded once."""
+    """The tokenizers library over chunks between ASCII white space, which these vocabularies drop; frequent chunks are encoded once.
 
-    def __init__(self, path: str, limit: int = 500_000):
+    The vocabulary must lower-case and drop white space, and encode a bar between spaces as one id: new chunks without
+    a bar go to the library many at a time, with bars between them.
+    """
+
+    BAR, JOINED = "|", 256
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        (self.bar,) = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
         self._forget()
 
+    def _library(self, chunks: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many for each chunk)"""
+        if any(self.BAR in c for c in chunks):
+            made = self._library(chunks)
+            return np.array([i for x in made for i in x], np.uint32), np.array(list(map(len, made)), np.int64)
+        groups = [chunks[i : i + self.JOINED] for i in range(0, len(chunks), self.JOINED)]
+        ids = np.array([i for x in self._library([f" {self.BAR} ".join((*g, "")) for g in groups]) for i in x], np.uint32)
+        bars = np.flatnonzero(ids == self.bar)
+        return np.delete(ids, bars), np.diff(bars, prepend=-1) - 1
+
+    @staticmethod
+    def plain(text: str) -> str:
+        """Lower case where that cannot change ids: Latin-1 texts (all composed) without strings of special tokens."""
+        try:
+            text.encode("latin-1")
+        except UnicodeError:
+            return text
+        return text if "<|" in text else text.lower()
+
     def _forget(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.ends, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.rows, self.ends, self.flat = Rows(), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [t.encode().split() for t in texts]
         if len(self.rows) > self.limit:
             self._forget()
-        new = list(set().union(*cut).difference(self.rows))
-        if new:
-            made = [x.ids for x in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(list(map(len, made)))])
-            self.flat = np.concatenate([self.flat, np.array([i for x in made for i in x], np.uint32)])
+        cut = [self.plain(t).encode().split() for t in texts]
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         rows = np.fromiter((r for chunks in cut for r in map(self.rows.__getitem__, chunks)), np.int64, int(n.sum()))
+        if new := self.rows.taken():
+            made, sizes = self._encoded([c.decode() for c in new])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, made])
         start, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
