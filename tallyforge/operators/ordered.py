@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import percent_decoded
+
 
 def with_line_ordinals(df: DataFrame) -> DataFrame:
     """Adds line_ord, the place of a text line in its file, across splits. df is spark.read.text with its _metadata."""
-    told = df.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    told = df.select("value", percent_decoded(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
     order = Window.partitionBy("file_path").orderBy("__start", "__id")
     return told.withColumn("line_ord", F.row_number().over(order).cast("long")).drop("__start", "__id")
 
