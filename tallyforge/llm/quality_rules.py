@@ -87,7 +87,7 @@ _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 def _count_batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in COUNTS.split(", ")]
     for batch in texts:
-        yield pd.DataFrame(np.array([count_text(x) for x in batch], np.int64).reshape(-1, len(names)), columns=names)
+        yield pd.DataFrame(np.array([count_text(x) for x in batch], np.int64).reshape(len(batch), len(names)), columns=names)
 
 
 def _counts(text: Column) -> Column:
@@ -161,7 +161,8 @@ def judged(df: DataFrame, text_col: str = "text") -> DataFrame:
 def _posterior(counted: DataFrame) -> DataFrame:
     ballots = counted.select("*", F.array(*votes(F.col("c"))).alias("votes"))
     seen = ballots.groupBy("votes").count().collect()  # at most 3 ** rules rows
-    patterns, weights = np.array([x["votes"] for x in seen], np.int64).reshape(len(seen), -1), np.array([x["count"] for x in seen], float)
+    rules = len(votes(F.col("c")))
+    patterns, weights = np.array([x["votes"] for x in seen], np.int64).reshape(len(seen), rules), np.array([x["count"] for x in seen], float)
     order = np.lexsort(patterns.T) if len(seen) else []
     prior, fitted = expectation_maximisation(patterns[order], weights[order])
     ratio = np.log(fitted[1]) - np.log(fitted[0])

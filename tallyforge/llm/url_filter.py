@@ -93,7 +93,7 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     scores = asked.join(ratios, "window").groupBy("host", "path", "label").agg((F.sum("ratio") / F.count("*") / 1e6).alias("score"))
     scores = staged(scores, "url-scores")
     by = lambda f, x: f(F.when(F.col("label") == x, F.col("score")))
-    stats = scores.agg(by(F.avg, "allow"), by(F.avg, "block"), by(F.stddev_pop, "allow"), by(F.stddev_pop, "block")).first()
+    stats = tuple(scores.agg(by(F.avg, "allow"), by(F.avg, "block"), by(F.stddev_pop, "allow"), by(F.stddev_pop, "block")).first())
     seen = counts.agg(F.sum("a"), F.sum("r")).first()
     threshold = 0.0
     if None not in stats and stats[2] + stats[3] > 0:
