@@ -3,10 +3,12 @@
 Texts are cut by a pattern; each distinct piece that is no token itself becomes a row of token ids (at first its bytes) in
 the matrix of its length bucket. Each round looks at the rank that every adjacent pair would merge to, found by a hashed
 pair table, merges every row's leftmost pair of least rank and compacts the row by one column, until no pair has a rank.
-Pieces of a task are remembered in a table of bounded size, so frequent ones are encoded once.
+Pieces of a task are remembered in a table of bounded size, so frequent ones are encoded once. A piece over LONG bytes is
+a row by itself, and a round of it merges all places of the least rank that merging one by one would take in a row, so
+its rounds follow the vocabulary and not its length.
 
-Defined cases: a null text counts as empty and has no ids; special tokens are ordinary text; very long pieces are rows
-like any other; repeated rows are encoded alike; an empty table gives an empty result; other columns are not looked at.
+Defined cases: a null text counts as empty and has no ids; special tokens are ordinary text; very long pieces have
+the same ids as in one-by-one merging; repeated rows are encoded alike; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .common import table
 NONE = np.int32(2**31 - 1)
 FRESH_CHARS = 1 << 21
 ROWS = 1 << 14
+LONG = 256
 
 
 class PairTable:
@@ -99,6 +102,8 @@ class ByteBPE:
             known = self.ids.get(p)
             if known is not None:
                 out[i] = np.array([known], np.int32)
+            elif len(p) > LONG:
+                out[i] = self._merge_long(p)
             else:
                 width = len(p) if len(p) <= 16 else 1 << (len(p) - 1).bit_length()
                 buckets.setdefault(width, []).append(i)
@@ -144,6 +149,32 @@ class ByteBPE:
                 ranks[ok, s] = self.pairs.find(ids[ok, s], ids[ok, s + 1])
         return out
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        ids = self.bytes_[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            starts = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs, every other one merges
+            at = at[(at - at[starts][np.cumsum(starts) - 1]) % 2 == 0]
+            ahead = at[at + 2 < len(ids)] + 2
+            if len(at) > 1 and (self.pairs.find(np.full(len(ahead), best), ids[ahead]) < best).any():
+                at = at[:1]  # a new pair would go before the other places
+            new, place = self._with_merged(ids, at, best)
+            if len(at) > 1 and (self.pairs.find(new[place[place > 0] - 1], new[place[place > 0]]) < best).any():
+                at = at[:1]
+                new, place = self._with_merged(ids, at, best)
+            ids, ranks = new, np.delete(ranks, at)
+            touched = np.concatenate([place[place > 0] - 1, place[place < len(ranks)]])
+            ranks[touched] = self.pairs.find(ids[touched], ids[touched + 1])
+        return ids
+
+    @staticmethod
+    def _with_merged(ids: np.ndarray, at: np.ndarray, merged: np.int32) -> tuple[np.ndarray, np.ndarray]:
+        """(ids with the pairs at these places merged, the new places)"""
+        new = ids.copy()
+        new[at] = merged
+        return np.delete(new, at + 1), at - np.arange(len(at))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ends): text i has ids[ends[i]:ends[i + 1]]."""
         cut = [self.pattern.findall(t) for t in texts]

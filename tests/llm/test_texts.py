@@ -74,6 +74,7 @@ def test_byte_pairs_against_the_library(spark, odd_docs, no_docs, sf_dir):
     r = random.Random(3)
     texts = [x["text"] or "" for x in odd_docs.collect()] + ["don't we'll 123456  \t\n", "ab" * 700 + "日本" * 100, " " * 300 + "q"]
     texts += ["".join(chr(r.choice([r.randint(32, 126), r.randint(160, 0x24F), r.randint(0x3040, 0x30FF), 0x1F600, 9, 10, 32])) for _ in range(r.randint(1, 200))) for _ in range(150)]
+    texts += ["".join(r.choices("abcdeinorst", k=n)) for n in (257, 1000, 30_000)] + ["a" * 20_001, "abab" * 3000 + "b", "the" * 2000, "é日" * 3000]
     bpe = byte_bpe.loaded(*byte_bpe.default_vocabulary())
     ids, ends = bpe.encode(texts)
     for t, a, b in zip(texts, ends, ends[1:]):
