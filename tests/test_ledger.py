@@ -55,7 +55,7 @@ def test_measures(spark):
 
 def test_blocks_restart_at_midnight(spark):
     hour = 3600 * 1000
-    df = facts(spark, *[(str(i), "e", h * hour, 1, 0) for i, h in enumerate((10, 14.5, 15, 20, 23.9, 24))])
+    df = facts(spark, *[(str(i), "e", int(h * hour), 1, 0) for i, h in enumerate((10, 14.5, 15, 20, 23.9, 24))])
     got = [(str(r["block_start"]), r["label"], r["input_tokens"]) for r in reports.blocks(df).orderBy("block_start").collect()]
     assert [(b[11:16], label, n) for b, label, n in got] == [("10:00", "10:00-15:00", 2), ("15:00", "15:00-20:00", 1), ("20:00", "20:00-01:00", 2), ("00:00", "00:00-05:00", 1)]
 
