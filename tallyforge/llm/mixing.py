@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, unit_hash
+from .common import WORD, partitions, staged, unit_hash
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -136,7 +136,8 @@ def mix(docs: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFr
 def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of the mix with the columns of docs, repeats as repeated rows, shuffled inside each shard."""
     rows = mix(docs, text_col)
-    return rows.repartition(F.col("shard"), F.shiftright(F.col("position"), 46)).sortWithinPartitions("shard", "position").select("row.*")
+    bits = max(6, (4 * partitions(docs.sparkSession) // SHARDS).bit_length())  # of the position: each shard is cut into so many ranges
+    return rows.repartition(F.col("shard"), F.shiftright(F.col("position"), 52 - bits)).sortWithinPartitions("shard", "position").select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
