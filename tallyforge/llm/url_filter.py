@@ -66,8 +66,12 @@ def window_ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     cut = counts.select("a", "r", "window", levels).select("a", "r", gram, context)
     grams, contexts = cut.groupBy("gram").agg(*sums), cut.groupBy(F.char_length("context").alias("k"), "context").agg(*sums)
     asked = wanted.select("window", levels).select("window", "k", gram, context)
-    joined = asked.join(grams.select("gram", F.col("a").alias("ga"), F.col("r").alias("gr")), "gram", "left")
-    joined = joined.join(contexts.select("k", "context", F.col("a").alias("ca"), F.col("r").alias("cr")), ["k", "context"], "left")
+    known = lambda rows: rows.join(grams.select("gram", F.col("a").alias("ga"), F.col("r").alias("gr")), "gram", "left")
+    # All windows share the empty context, so its counts are two numbers and not a key of the join.
+    total = counts.agg(*sums).first()
+    first = known(asked.where("k = 0")).select("window", "k", "ga", "gr", F.lit(total["a"]).cast("long").alias("ca"), F.lit(total["r"]).cast("long").alias("cr"))
+    longer = known(asked.where("k > 0")).join(contexts.where("k > 0").select("k", "context", F.col("a").alias("ca"), F.col("r").alias("cr")), ["k", "context"], "left")
+    joined = first.unionByName(longer.select("window", "k", "ga", "gr", "ca", "cr"))
     zero = [F.coalesce(F.col(x), F.lit(0)).cast("double").alias(x) for x in ("ga", "ca", "gr", "cr")]
     steps = joined.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("k", *zero))).alias("steps"))
     start = F.struct(F.lit(1 / ALPHABET).alias("a"), F.lit(1 / ALPHABET).alias("r"))
@@ -89,7 +93,7 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     if_label = lambda x: F.sum(F.when(F.col("label") == x, F.col("count")).otherwise(0))
     counts = staged(learn.groupBy("window").agg(if_label("allow").alias("a"), if_label("block").alias("r")), "url-counts")
     asked = names.where(F.col("label").isNull() | held).select("host", "path", "label", F.explode(windows(name)).alias("window"))
-    ratios = staged(window_ratios(counts, asked.select("window").distinct()), "url-ratios")
+    ratios = staged(window_ratios(counts, staged(asked.select("window").distinct(), "url-windows")), "url-ratios")
     scores = asked.join(ratios, "window").groupBy("host", "path", "label").agg((F.sum("ratio") / F.count("*") / 1e6).alias("score"))
     scores = staged(scores, "url-scores")
     by = lambda f, x: f(F.when(F.col("label") == x, F.col("score")))
