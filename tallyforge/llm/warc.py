@@ -120,14 +120,14 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 ARCHIVES = "archive string, n_records long, bytes long"
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Write every row as a record, a gzip stream for each partition, and return the committed list of archives."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = local_path(folder)
         files.create_dir(base, recursive=True)
         name, out, n, size = f"crawl-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz", None, 0, 0
-        engine = zlib.compressobj(1, wbits=31)
+        engine = zlib.compressobj(level, wbits=31)
         for batch in batches:
             for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or files.open_output_stream(f"{base}/{name}", compression=None, buffer_size=CHUNK)
