@@ -64,6 +64,7 @@ def quotas(sized: DataFrame) -> DataFrame:
     """Per source: target, whole copies, and where the partial copy ends (edge_block, cut, pick). sized has source, size, u."""
     blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK_DOCS))).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    sized = staged(sized, "mix-sizes")
     plan = targets(sized).withColumn("blocks", blocks).withColumn("copies", whole)
     plan = staged(plan.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-targets")
     with_block = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("u"), F.col("blocks")))
@@ -110,27 +111,35 @@ def split_quotas(quota: np.ndarray, shards: int, seed: int = 1) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """The mix itself: (row struct, epoch, shard, position), one row for each copy of a document that is taken."""
-    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
-    sized = docs.select(row, F.col("source"), word_count(F.col(f"`{text_col}`")).alias("size"), unit_hash(SEED, F.col("doc_id")).alias("u"))
-    plan = quotas(staged(sized.select("source", "size", "u"), "mix-sizes"))
+def dealt(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """rows (row, source, size, u) with source_size, target and draws, an array of (epoch, shard), one for each copy that is taken."""
+    plan = quotas(rows.select("source", "size", "u"))
     known = plan.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).select("source", "blocks", "copies", "edge_block").collect()
     if len(known) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     quota = np.array([x["copies"] * x["blocks"] + (0 if x["edge_block"] is None else x["edge_block"] + 1) for x in known], np.int64)
     ends = split_quotas(quota, shards).cumsum(axis=1) if len(known) else np.zeros((0, shards), np.int64)
-    dealt = F.from_json(F.lit(json.dumps([{"s": x["source"], "ends": e.tolist()} for x, e in zip(known, ends)])), "array<struct<s:string,ends:array<bigint>>>")
-    plan = plan.join(docs.sparkSession.range(1).select(F.inline(dealt)), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = staged(plan.withColumnRenamed("source", "s").drop("source_size", "n_docs", "target", "rest"), "mix-plan")
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("u"), F.col("blocks")))
-    c = {x: F.col(x) for x in ("edge_block", "cut", "pick")}
-    epochs = F.sequence(F.lit(0).cast("long"), F.col("copies") + drawn(c).cast("long") - 1)
-    rows = rows.where((F.col("copies") > 0) | drawn(c)).select("*", F.explode(epochs).alias("epoch"))
-    draw = F.col("epoch") * F.col("blocks") + F.col("block")
-    shard = F.size(F.filter("ends", lambda e: e <= draw))
-    rows = rows.select("row", "epoch", F.least(shard, F.lit(shards - 1)).alias("shard"), "u")
-    return rows.select("row", "epoch", "shard", unit_hash(f"{SEED}-order", F.col("shard"), F.col("epoch"), F.col("u")).alias("position"))
+    split = F.from_json(F.lit(json.dumps([{"s": x["source"], "ends": e.tolist()} for x, e in zip(known, ends)])), "array<struct<s:string,ends:array<bigint>>>")
+    plan = plan.join(rows.sparkSession.range(1).select(F.inline(split)), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = staged(plan.withColumnRenamed("source", "s").drop("n_docs", "rest"), "mix-plan")
+    found = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("u"), F.col("blocks")))
+    part = drawn({x: F.col(x) for x in ("edge_block", "cut", "pick")})
+
+    def draw(epoch: Column) -> Column:
+        shard = F.size(F.filter("ends", lambda e: e <= epoch * F.col("blocks") + F.col("block")))
+        return F.struct(epoch.alias("epoch"), shard.alias("shard"))
+
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies")), draw)
+    draws = F.filter(draws, lambda d: (d["shard"] < shards) & ((d["epoch"] < F.col("copies")) | part))
+    return found.select("row", "size", "source_size", "target", "u", draws.alias("draws"))
+
+
+def mix(docs: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """The mix itself: (row struct, epoch, shard, position), one row for each copy of a document that is taken."""
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("source"), word_count(F.col(f"`{text_col}`")).alias("size"), unit_hash(SEED, F.col("doc_id")).alias("u"))
+    out = dealt(rows, shards).select("row", "u", F.explode("draws").alias("draw")).select("row", "draw.epoch", "draw.shard", "u")
+    return out.select("row", "epoch", "shard", unit_hash(f"{SEED}-order", F.col("shard"), F.col("epoch"), F.col("u")).alias("position"))
 
 
 def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -144,12 +153,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, with its source's size and target."""
     from .common import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(SEED, F.col("doc_id")).alias("u")), "mix-sizes")
-    plan = quotas(sized.select("source", "size", "u")).withColumnRenamed("source", "s")
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("u"), F.col("blocks")))
-    c = {x: F.col(x) for x in ("edge_block", "cut", "pick")}
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + drawn(c).cast("long"))).alias("taken"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.struct("doc_id").alias("row"), "source", word_count(F.col("text")).alias("size"), unit_hash(SEED, F.col("doc_id")).alias("u"))
+    out = dealt(staged(rows, "mix-rows"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
 OP7_SQL = r"""
