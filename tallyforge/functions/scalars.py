@@ -110,12 +110,12 @@ def compact(c: Column) -> Column:
 
 def money(c: Column, symbol: str = "$") -> Column:
     """Two decimals, N/A if unknown."""
-    return F.coalesce(F.concat(F.lit(symbol), F.format_string("%.2f", c)), F.lit("N/A"))
+    return F.when(c.isNull(), "N/A").otherwise(F.concat(F.lit(symbol), F.format_string("%.2f", c)))
 
 
 def percent(c: Column) -> Column:
     """One decimal, N/A if unknown."""
-    return F.coalesce(F.format_string("%.1f%%", c), F.lit("N/A"))
+    return F.when(c.isNull(), "N/A").otherwise(F.format_string("%.1f%%", c))
 
 
 def csv_field(c: Column) -> Column:

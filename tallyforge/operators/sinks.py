@@ -19,7 +19,7 @@ def json_rows(df: DataFrame, keys: list[str], parts: str = "models", by: str = "
 
 def csv_lines(df: DataFrame, columns: list[str], cost: tuple[str, ...] = ("cost",)) -> DataFrame:
     """One line for each row; costs have six decimals or N/A."""
-    cells = [F.coalesce(F.format_string("%.6f", c), F.lit("N/A")) if c in cost else csv_field(F.col(c)) for c in columns]
+    cells = [F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.6f", c)) if c in cost else csv_field(F.col(c)) for c in columns]
     return df.select(F.concat_ws(",", *cells).alias("line"))
 
 
