@@ -84,9 +84,10 @@ def _with_dotted(keys: Column) -> Column:
 
 
 def _without_vendor(keys: Column) -> Column:
+    without = lambda v: lambda k: F.regexp_replace(k, v, "")  # noqa: E731  a second argument would be the index
     out = keys
     for v in VENDORS:
-        out = F.concat(out, F.transform(keys, lambda k, v=v: F.regexp_replace(k, v, "")))
+        out = F.concat(out, F.transform(keys, without(v)))
     return _with_dotted(out)
 
 
