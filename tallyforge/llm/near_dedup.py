@@ -3,10 +3,12 @@
 A text's k-mers are its five-word shingles, labelled with how often they occurred before, so every one is distinct. Each
 of SKETCHES hash functions picks the ELL k-mers of least hash and keeps them in text order; that short sequence is one
 key. Two texts share a key with a probability that falls with their edit distance, since an edit breaks k-mers and a
-move breaks their order. Texts that share a key are candidates of the key's first and last text, not of each other, so
-work grows with the rows of a bucket, not with their square; buckets over HOT texts are split once more by longer keys,
-which frees texts that share only a passage. A candidate counts if the banded edit distance of the two word sequences is
-at most (1 - SIMILARITY) of the longer one. Classes are the connected components of verified links.
+move breaks their order. Texts that share a key are a bucket, and every pair of a bucket is compared unless its texts are
+in one class already. The first round compares each text with the first and last of its bucket, in buckets over HOT texts
+also with those of longer keys. Where a bucket is still more than one component, its texts are dealt into blocks of about
+BLOCK, and each pair of blocks is a task that tells pairs apart by length and a bag of hashed words (both exact bounds);
+what passes is the second round. A candidate counts if the banded edit distance of the two word sequences is at most
+(1 - SIMILARITY) of the longer one. Classes are the connected components of verified links.
 
 Equal texts are one node from the start, whatever their number. Links never come to the driver; components are found by
 alternating large and small stars over staged tables.
@@ -32,6 +34,7 @@ K, ELL, SKETCHES = 5, 2, 24
 SIMILARITY = 0.8
 HOT = 64
 CHUNK_ROWS = 256
+BLOCK, BAG = 256, 128
 BATCH_WORDS = 1 << 18
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -169,29 +172,139 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): texts and the first or last text of a bucket that they fall in. sets: one row for each node, with its keys."""
+def met(sets: DataFrame) -> DataFrame:
+    """(key, node, first, last, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys."""
+    rows = sets.select("node", F.explode("keys").alias("key"))
+    return staged(rows.join(_bucketed(rows), "key"), "dedup-buckets")
 
-    def stars(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-        met = rows.join(buckets, "key").select("node", F.explode(F.array("first", "last")).alias("a"))
-        return met.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
-    def bucketed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
 
-    rows = sets.select("node", F.explode("keys").alias("key"))
-    buckets = staged(bucketed(rows), "dedup-buckets")
-    found = stars(rows, buckets)
-    hot = buckets.where(F.col("n") > HOT).select("key")
+
+def candidates(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of the first round: texts and the first or last text of a bucket that they fall in. rows: met(sets)."""
+
+    def stars(rows: DataFrame) -> DataFrame:
+        both = rows.select("node", F.explode(F.array("first", "last")).alias("a"))
+        return both.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+
+    found = stars(rows)
+    hot = rows.where((F.col("n") > HOT) & (F.col("node") == F.col("first"))).select("key")
     if not hot.isEmpty():
         cut = sets.select("node", "keys", F.posexplode("keys").alias("at", "key")).join(hot, "key")
-        after = lambda i: F.element_at("keys", ((F.col("at") + i) % SKETCHES + 1).cast("int"))
+        after = lambda i: F.element_at("keys", ((F.col("at") + i) % F.size("keys") + 1).cast("int"))
         longer = F.explode(F.array(F.xxhash64("key", after(1)), F.xxhash64("key", after(1), after(2), after(3)))).alias("key")
         finer = cut.select("node", longer)
-        found = found.unionByName(stars(finer, bucketed(finer))).distinct()
+        found = found.unionByName(stars(finer.join(_bucketed(finer), "key"))).distinct()
     return found
 
 
+def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words and their counts in BAG buckets, in the least type that holds them."""
+    table_ = WordTable()
+    for batch in batches:
+        sizes, bags = [], []
+        for text in batch.column("text").to_pylist():
+            words = (text or b"").split()
+            bag = np.bincount((table_.word_hashes(table_.rows(words)) % np.uint64(BAG)).astype(np.int64), minlength=BAG)
+            table_.trim()
+            sizes.append(len(words))
+            bags.append(bag.astype(np.min_scalar_type(int(bag.max()))).tobytes())
+        yield pa.record_batch([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["node", "words", "bag"])
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by task (key, cls, kind, lo, hi), one or two blocks each: pairs of other roots that length and bag let pass."""
+    task, held = None, []
+
+    def compare() -> Iterator[pa.RecordBatch]:
+        node, root, words, side = (np.array(x, np.int64) for x in zip(*(x[:4] for x in held)))
+        bags = np.stack([np.frombuffer(x[4], f"u{len(x[4]) // BAG}").astype(np.int32) for x in held])
+        inside = task[2] == 0 and task[3] == task[4]
+        right = np.flatnonzero(side == (0 if inside else 1))
+        us, vs = [], []
+        for i in np.flatnonzero(side == 0):
+            other = right[right > i] if inside else right
+            longest = np.maximum(words[other], words[i])
+            most = ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
+            fits = (root[other] != root[i]) & (np.abs(words[other] - words[i]) <= most)
+            other, spare = other[fits], (longest - most)[fits]
+            other = other[np.minimum(bags[other], bags[i]).sum(axis=1) >= spare]
+            us.append(np.full(len(other), node[i]))
+            vs.append(node[other])
+        if us:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+    for batch in batches:
+        for *at, node, root, words, side, bag in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != task:
+                if held:
+                    yield from compare()
+                task, held = at, []
+            held.append((node, root, words, side, bag))
+    if held:
+        yield from compare()
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of the second round. members: key, node, root, words, bag.
+
+    Texts within the similarity have lengths of the same or the next class. A class of a bucket is dealt into blocks; a task
+    is two blocks of one class (kind 0) or one of a class and one of the next (kind 1).
+    """
+    spark = members.sparkSession
+    cls = F.floor(F.log(F.greatest(F.col("words"), F.lit(1))) / -float(np.log(SIMILARITY))).cast("int")
+    classed = members.withColumn("cls", cls)
+    counts = classed.groupBy("key", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counts = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("cls", "blocks"))).alias("blocks"))  # lengths have few classes
+    rows = classed.join(counts, "key")
+    of = lambda step: F.try_element_at("blocks", F.col("cls") + step)
+    rows = rows.select("*", of(0).alias("own"), of(1).alias("above"), of(-1).alias("below")).withColumn("block", F.pmod(F.xxhash64("node"), "own").cast("int"))
+
+    def tasks(n: str, step: int, kind: int, lo, hi, side) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct((F.col("cls") + step).alias("cls"), F.lit(kind).alias("kind"), lo(x).alias("lo"), hi(x).alias("hi"), side(x).alias("side")))
+        return F.when(F.col(n).isNotNull(), made).otherwise(F.array().cast("array<struct<cls:int,kind:int,lo:int,hi:int,side:int>>"))
+
+    block = F.col("block")
+    each = F.concat(
+        tasks("own", 0, 0, lambda x: F.least(block, x), lambda x: F.greatest(block, x), lambda x: (block > x).cast("int")),
+        tasks("above", 0, 1, lambda x: block, lambda x: x, lambda x: F.lit(0)),
+        tasks("below", -1, 1, lambda x: x, lambda x: block, lambda x: F.lit(1)),
+    )
+    at = ["key", "cls", "kind", "lo", "hi"]
+    dealt = rows.select("key", F.explode(each).alias("t"), "node", "root", "words", "bag").select("key", "t.cls", "t.kind", "t.lo", "t.hi", "node", "root", "words", "t.side", "bag")
+    return dealt.repartition(partitions(spark), *at).sortWithinPartitions(*at).mapInArrow(_pair_batches, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, as links (u, v). texts: node, text."""
+    # Only leaders of many candidates are cut into chunks; a third of all rows makes at most rows / CHUNK_ROWS such leaders.
+    large = staged(pairs.groupBy("a").count().where(F.col("count") > CHUNK_ROWS).select("a", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")), "dedup-large")
+    dealt = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
+    row = lambda role: [F.col("a"), F.col("chunk"), F.lit(role).alias("role"), F.col("node"), F.col("text")]
+    members = dealt.join(texts, F.col("b") == F.col("node")).select(*row(1))
+    leaders = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("node")).select(*row(0))
+    lined = members.unionByName(leaders).repartition(partitions(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    return lined.select("a", "role", "node", "text").mapInArrow(_verify_batches, "u long, v long")
+
+
+def compared(sets: DataFrame, rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """components() of all similar pairs that share a bucket; pairs are those of the first round."""
+    roots = components(verified(pairs, texts))
+    # Pairs with the first or last text are done; the others count where they are not yet one component.
+    inner = rows.where((F.col("n") > 3) & (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))).select("key", "node")
+    inner = inner.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = staged(inner.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x")).where("m < x").select("key"), "dedup-mixed")
+    if mixed.isEmpty():
+        return roots
+    inner = staged(inner.join(mixed, "key"), "dedup-inner")
+    bags = texts.join(inner.select("node").distinct(), "node", "left_semi").mapInArrow(_bag_batches, "node long, words long, bag binary")
+    more = verified(staged(block_pairs(inner.join(staged(bags, "dedup-bags"), "node")), "dedup-more"), texts)
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link (u, v); root is the smallest node of the component."""
     edges = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links")
@@ -213,25 +326,17 @@ def components(links: DataFrame) -> DataFrame:
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): sets has doc_id and node of every row; classes has node, its smallest doc_id (id), class_id and root."""
-    spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.col("text").cast("binary").alias("text"))
     sets = staged(plain.mapInArrow(_sketch_batches, "doc_id long, node long, keys array<long>"), "dedup-sketches")
     nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("id")), "dedup-nodes")
     one = sets.join(nodes, (sets["node"] == nodes["node"]) & sets["doc_id"].eqNullSafe(nodes["id"])).select(sets["node"], "keys").dropDuplicates(["node"])
-    pairs = staged(candidates(one), "dedup-pairs")
+    rows = met(one)
+    pairs = staged(candidates(one, rows), "dedup-pairs")
     # Texts of the nodes that have candidates, one row for each.
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("node").alias("w"), "id")
     texts = plain.join(wanted, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     texts = staged(texts, "dedup-texts")
-    # Only leaders of many candidates are cut into chunks; a third of all rows makes at most rows / CHUNK_ROWS such leaders.
-    large = staged(pairs.groupBy("a").count().where(F.col("count") > CHUNK_ROWS).select("a", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")), "dedup-large")
-    dealt = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
-    row = lambda role: [F.col("a"), F.col("chunk"), F.lit(role).alias("role"), F.col("node"), F.col("text")]
-    members = dealt.join(texts, F.col("b") == F.col("node")).select(*row(1))
-    leaders = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("node")).select(*row(0))
-    lined = members.unionByName(leaders).repartition(partitions(spark), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    links = lined.select("a", "role", "node", "text").mapInArrow(_verify_batches, "u long, v long")
-    roots = components(links)
+    roots = compared(one, rows, pairs, texts)
     rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
     return sets.select("doc_id", "node"), staged(rooted.join(named, "root").select("node", "id", "class_id", "root"), "dedup-classes")
