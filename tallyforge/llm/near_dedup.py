@@ -1,9 +1,11 @@
 """Near-duplicate classes by Order MinHash, candidates verified by banded alignment.
 
-A text's k-mers are its five-word shingles, labelled with how often they occurred before, so every one is distinct. Each
+A text's k-mers are its three-word shingles, labelled with how often they occurred before, so every one is distinct. Each
 of SKETCHES hash functions picks the ELL k-mers of least hash and keeps them in text order; that short sequence is one
 key. Two texts share a key with a probability that falls with their edit distance, since an edit breaks k-mers and a
-move breaks their order. Texts that share a key are a bucket, and every pair of a bucket is compared unless its texts are
+move breaks their order. At the similarity of 0.8 texts of one length share about 0.4 of their k-mers even if the edits are evenly
+spaced, so a key is shared with a chance of about 1/16 and any of the 72 with 0.98 to 0.99 (scattered edits: above 0.99).
+With few words one edit may break every k-mer, so texts of at most SHORT words get SHORT_KEYS more keys from single words. Texts that share a key are a bucket, and every pair of a bucket is compared unless its texts are
 in one class already. The first round compares each text with the first and last of its bucket, in buckets over HOT texts
 also with those of longer keys. Where a bucket is still more than one component, its texts are dealt into blocks of about
 BLOCK, and each pair of blocks is a task that tells pairs apart by length and a bag of hashed words (both exact bounds);
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import WordTable, mix64, partitions, staged, table
 
-K, ELL, SKETCHES = 5, 2, 24
+K, ELL, SKETCHES = 3, 2, 72
+SHORT, SHORT_KEYS = 64, 16
 SIMILARITY = 0.8
 HOT = 64
 CHUNK_ROWS = 256
@@ -43,11 +46,11 @@ _PLACE = 20  # low bits of a hash that hold the place in the text
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def kmers(hashes: np.ndarray) -> np.ndarray:
+def kmers(hashes: np.ndarray, k: int = K) -> np.ndarray:
     """Occurrence-labelled k-mer hashes of a text's word hashes."""
-    n = max(1, len(hashes) - K + 1)
+    n = max(1, len(hashes) - k + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(min(K, len(hashes))):
+    for i in range(min(k, len(hashes))):
         out = mix64(out * _STEP + hashes[i : i + n] + np.uint64(1))
     order = np.sort(out)
     if (order[1:] == order[:-1]).any():
@@ -60,15 +63,15 @@ def kmers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(each: list[np.ndarray]) -> np.ndarray:
+def sketches(each: list[np.ndarray], count: int = SKETCHES) -> np.ndarray:
     """int64[text, sketch] for the k-mers of texts; ELL is 2: the two least k-mers in text order."""
     size = np.fromiter(map(len, each), np.int64, len(each))
     x, start = np.concatenate(each), np.concatenate([[0], np.cumsum(size)[:-1]])
     place = np.minimum(np.arange(len(x)) - np.repeat(start, size), (1 << _PLACE) - 1).astype(np.uint64)
     low, top = np.uint64((1 << _PLACE) - 1), np.uint64(2**64 - 1)
-    out = np.empty((len(each), SKETCHES), np.int64)
+    out = np.empty((len(each), count), np.int64)
     single = size == 1
-    for j in range(SKETCHES):
+    for j in range(count):
         h = (x ^ _SALT[j]) * _ODD[j]
         h &= ~low
         h |= place
@@ -80,6 +83,16 @@ def sketches(each: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def keys_of(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of texts, from their word hashes; short texts have more."""
+    keys = list(sketches([kmers(x) for x in hashes]))
+    short = [i for i, x in enumerate(hashes) if K < len(x) <= SHORT]
+    if short:
+        for i, more in zip(short, sketches([kmers(hashes[i], 1) for i in short], SHORT_KEYS)):
+            keys[i] = np.concatenate([keys[i], more])
+    return keys
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordTable()
     names = ["doc_id", "node", "keys"]
@@ -88,11 +101,13 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         held, low, n = [], 0, 0
         texts = texts.to_pylist()
         for i, text in enumerate(texts):
-            held.append(kmers(words.word_hashes(words.rows((text or b"").split()))))
+            held.append(words.word_hashes(words.rows((text or b"").split())))
             words.trim()
             n += len(held[-1])
             if n >= BATCH_WORDS or i + 1 == len(texts):
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(sketches(held).ravel()), SKETCHES).cast(pa.list_(pa.int64()))
+                each = keys_of(held)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
                 yield pa.record_batch([ids.slice(low, len(held)), nodes.slice(low, len(held)), keys], names)
                 held, low, n = [], i + 1, 0
 

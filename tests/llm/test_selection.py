@@ -177,6 +177,22 @@ def test_large_groups_and_shared_passages(spark, monkeypatch):
     assert all(got[1000 + i] == 1000 + i for i in range(150))
 
 
+def test_pairs_at_the_threshold_share_a_key():
+    """Words replaced at random or evenly spaced, at 5 to 20 %; 0.97 leaves room for the draw of 200 pairs."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (5, 10, 15, 20, 25, 50, 200, 1000):
+        for rate in (0.05, 0.1, 0.15, 0.2):
+            edits = int(rate * n + 1e-9)
+            for way in ("random", "even"):
+                old = [draw(n) for _ in range(200)]
+                new = [a.copy() for a in old]
+                for b in new:
+                    b[rng.choice(n, edits, replace=False) if way == "random" else ((np.arange(edits) + 0.5) * n // max(1, edits)).astype(int)] = draw(edits)
+                found = sum(np.intersect1d(a, b).size > 0 for a, b in zip(near_dedup.keys_of(old), near_dedup.keys_of(new)))
+                assert found >= 0.97 * 200, (n, rate, way, found)
+
+
 def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
     """400 copies with 12 to 15 % of the words edited: most reach 0.8 with the original only, which is rarely first or last of a bucket."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)  # many blocks
