@@ -42,7 +42,7 @@ BATCH_WORDS = 1 << 18
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, SKETCHES + 1001, dtype=np.uint64))
-_PLACE = 20  # low bits of a hash that hold the place in the text
+_PLACE = 20  # low bits of a hash that hold the place in the text; texts with more k-mers are searched without it
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,13 +71,21 @@ def sketches(each: list[np.ndarray], count: int = SKETCHES) -> np.ndarray:
     low, top = np.uint64((1 << _PLACE) - 1), np.uint64(2**64 - 1)
     out = np.empty((len(each), count), np.int64)
     single = size == 1
+    far = np.flatnonzero(size > 1 << _PLACE)  # texts whose places do not fit
+
+    def least(h: np.ndarray) -> np.ndarray:
+        at = start + (np.minimum.reduceat(h, start) & low).astype(np.int64)
+        for i in far:
+            at[i] = start[i] + np.argmin(h[start[i] : start[i] + size[i]] >> np.uint64(_PLACE))
+        return at
+
     for j in range(count):
         h = (x ^ _SALT[j]) * _ODD[j]
         h &= ~low
         h |= place
-        one = start + (np.minimum.reduceat(h, start) & low).astype(np.int64)
+        one = least(h)
         h[one] = top
-        two = np.where(single, one, start + (np.minimum.reduceat(h, start) & low).astype(np.int64))
+        two = np.where(single, one, least(h))
         key = mix64(x[np.minimum(one, two)] * _STEP + x[np.maximum(one, two)]) + np.uint64(j)
         out[:, j] = mix64(key).view(np.int64)
     return out
