@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_decoded
+from ..staging import staged
 
 
 def with_line_ordinals(df: DataFrame) -> DataFrame:
@@ -15,6 +16,25 @@ def with_line_ordinals(df: DataFrame) -> DataFrame:
     return told.withColumn("line_ord", F.row_number().over(order).cast("long")).drop("__start", "__id")
 
 
+def placed(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds place (from 1) in a total order and before_<name>, the sum of each of sums over all rows before.
+
+    The order is cut into ranges that are sorted side by side; only a row for each range meets in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = df.select("*", *[c.alias(f"__{n}") for n, c in sums.items()])
+    cut = staged(given.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "placed")
+    here = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    ranges = cut.groupBy("__part").agg(F.count("*").alias("__rows"), *[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    ranges = ranges.select(F.col("__part").alias("__range"), *[upto(f"__{n}", ahead).alias(f"__ahead_{n}") for n in ("rows", *sums)])
+    rows = cut.withColumn("__rows", F.lit(1)).select("*", *[upto(f"__{n}", here).alias(f"__here_{n}") for n in ("rows", *sums)])
+    joined = rows.join(F.broadcast(ranges), F.col("__part") == F.col("__range"))  # at most a row for each partition
+    both = lambda n: F.col(f"__ahead_{n}") + F.col(f"__here_{n}")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (both("rows") + 1).alias("place"), *[both(n).alias(f"before_{n}") for n in sums])
+
+
 def so_far(keys: list[str], order: list[str]):
     """Window from the first row of the keys to the current one."""
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -521,8 +521,8 @@ def share_of_total(spark, sf_dir):
 @query(_with(_SESSIONS) + " SELECT session_key, row_number() OVER (ORDER BY last_ms NULLS FIRST, last_timestamp, session_key) AS place FROM sessions")
 def session_sort(spark, sf_dir):
     """Sessions in order of their last activity."""
-    order = Window.orderBy(F.col("last_ms").asc_nulls_first(), "last_timestamp", "session_key")
-    return reports.sessions(facts(spark, sf_dir)).select("session_key", F.row_number().over(order).cast("long").alias("place"))
+    rows = reports.sessions(facts(spark, sf_dir)).select("session_key", "last_ms", "last_timestamp")
+    return ordered.placed(rows, [F.col("last_ms").asc_nulls_first(), F.col("last_timestamp"), F.col("session_key")]).select("session_key", "place")
 
 
 @query(
@@ -533,7 +533,7 @@ def project_sort_nulls(spark, sf_dir):
     """Projects by falling cost, unknown cost first."""
     rows = reports.by(facts(spark, sf_dir), "project_path", "model")
     rows = pricing.with_costs(rows, pricing.resolve(rows, price_table(spark))).groupBy("project_path").agg(pricing.strict_sum().alias("cost"))
-    return rows.select("project_path", F.row_number().over(Window.orderBy(F.round("cost", 6).desc_nulls_first(), "project_path")).cast("long").alias("place"))
+    return ordered.placed(rows, [F.round("cost", 6).desc_nulls_first(), F.col("project_path")]).select("project_path", "place")
 
 
 @query(

@@ -89,6 +89,17 @@ def test_sum_of_deltas_is_the_total(spark):
     assert {r["k"]: r["d"] for r in got} == {k: max(n for q, _, n in rows if q == k) for k in range(5)}
 
 
+def test_places_and_running_sums(spark):
+    r = random.Random(3)
+    rows = [(r.randint(0, 9) if r.random() < 0.9 else None, i, r.randint(0, 5)) for i in range(500)]
+    got = ordered.placed(spark.createDataFrame(rows, "k int, i int, n long").repartition(7), [F.col("k").asc_nulls_last(), F.col("i").desc()], n=F.col("n")).collect()
+    want, before = {}, 0
+    for place, (_, i, n) in enumerate(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, -x[1])), 1):
+        want[i], before = (place, before), before + n
+    assert {x["i"]: (x["place"], x["before_n"]) for x in got} == want
+    assert ordered.placed(spark.range(0), [F.col("id")]).count() == 0
+
+
 @pytest.fixture(scope="module")
 def prices(spark):
     costs = {"claude-sonnet-4": (3e-6, 15e-6), "claude-opus-4-20250101": (1.0, 2.0), "claude-opus-4-20250202": (1.0, 2.0), "openai/gpt-5": (1e-6, 2e-6), "zai/glm-5.2": (5.0, 5.0), "host/glm-5p2": (6.0, 6.0), "mistral": (1.0, 1.0), "gpt-0": (None, None), "xai/grok-build-0.1": (9.0, 9.0)}
