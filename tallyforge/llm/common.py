@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import fresh_path, local_path, removed, shared_dir, staged  # noqa: F401  for the operators
+
 #: Words of all operators: maximal runs of anything but ASCII white space. bytes.split() splits the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,42 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session (one machine, as in tests) may leave it unset and then gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or None
-    if folder is None:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a result into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle in this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def local_path(uri: str) -> tuple:
-    """(pyarrow file system, path) for a URI of the shared folder."""
-    from pyarrow import fs
+#: Keys with more than 1 / (HOT * partitions) of all rows are hot; there are at most HOT * partitions of them, whatever the data.
+HOT = 16
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
+def lookup(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with found, which has one row for each key, where few keys may hold many rows.
 
-def partitions(spark: SparkSession) -> int:
-    """Partitions of a shuffle in this session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts: key and count, the number of rows of each key, staged. Rows of hot keys stay where they are and get a broadcast of
+    at most HOT * partitions rows; all others are joined by key. how is inner or left.
+    """
+    most = HOT * partitions(rows.sparkSession)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = counts.where(F.col("count") > total / most).select(key)
+    known = found.join(F.broadcast(hot), key, "left_semi")
+    near = rows.join(F.broadcast(known if how == "inner" else hot.join(F.broadcast(known), key, "left")), key)
+    far = rows.join(F.broadcast(hot), key, "left_anti").join(found, key, how)
+    return near.select(*far.columns).unionByName(far)
 
 
 def unit_hash(seed: str, *cols: Column) -> Column:

@@ -4,12 +4,12 @@ Every document has a fixed uniform number u; the blocks of a source are ranges o
 the source. A source takes whole copies of itself (epochs) and, for the rest of its target, its first blocks in that
 order; the last of them is cut between documents where the target is met. The number of blocks that each source gives is
 then its quota. A binary tree splits the quotas over the output shards: at each node the left half gets its exact share of
-blocks, composed by a multivariate hypergeometric draw, as if all blocks had been shuffled globally. Blocks keep the
-permuted order within a source, so shards draw disjoint blocks; inside a shard rows are sorted by another hash.
+blocks, composed by a multivariate hypergeometric draw, as if all blocks had been shuffled globally. Which of a source's
+blocks a shard gets is a random order too, so shards draw disjoint permuted blocks; inside a shard rows are sorted by another hash.
 
 Defined cases: a null text has size 0; a null source is a source, the last one; a null or repeated doc_id is allowed (rows
 with equal ids are taken together); sources without words get target 0; an empty table gives an empty mix; extra columns
-pass through. At most MAX_SOURCES sources are accepted, since weights and quotas are a table of the driver (more: an error).
+pass through. Sources may be many: ranks, targets and quotas are tables, and the driver holds the quotas of at most GROUPS groups.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import placed
 from .common import WORD, partitions, staged, unit_hash
 
 WEIGHTS = (3, 1, 2)
@@ -27,7 +28,7 @@ TOTAL_SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_DOCS, MAX_BLOCKS = 512, 1024
 SHARDS = 16
-MAX_SOURCES = 10_000
+GROUPS = 1024
 SEED = "mix-1"
 
 
@@ -37,22 +38,19 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, n_docs, target): shares by weight, capped, the excess reshared by weight (water filling)."""
+    """(source, source_size, n_docs, rank, target): shares by weight, capped, the excess reshared by weight (water filling)."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    ranked = sums.select("*", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("rank"))
+    ranked = placed(sums, [F.col("source").asc_nulls_last()]).withColumnRenamed("place", "rank")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int"))
-    cap = F.col("source_size") * MAX_REPEAT
-    before = Window.orderBy(F.col("source_size") * MAX_REPEAT / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) * TOTAL_SHARE - F.coalesce(F.sum(cap).over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    levels = ranked.withColumn("weight", weight).withColumn("level", level)
+    weighed = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MAX_REPEAT)
+    filled = placed(weighed, [F.col("cap") / F.col("weight"), F.col("rank")], cap=F.col("cap"), weight=F.col("weight")).drop("place")
+    filled = staged(filled, "mix-filled")
+    size, weights = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit((size or 0) * TOTAL_SHARE) - F.col("before_cap")) / (F.lit(weights) - F.col("before_weight"))
     # The first source, by cap per weight, that its level does not fill sets the level of all that follow.
-    met = F.when(F.col("level") * F.col("weight") <= cap, F.struct(cap / F.col("weight"), F.col("rank"), F.col("level").alias("level")))
-    return levels.withColumn("level", F.min(met).over(everything)["level"]).select(
-        "source", "source_size", "n_docs", F.least(cap.cast("double"), F.col("level") * F.col("weight")).alias("target")
-    )
+    met = F.when(level * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("rank"), level.alias("level")))
+    level = filled.agg(F.min(met)["level"]).first()[0]
+    return filled.select("source", "source_size", "n_docs", "rank", F.least(F.col("cap").cast("double"), F.lit(level).cast("double") * F.col("weight")).alias("target"))
 
 
 def block_of(u: Column, blocks: Column) -> Column:
@@ -61,33 +59,47 @@ def block_of(u: Column, blocks: Column) -> Column:
 
 
 def quotas(sized: DataFrame) -> DataFrame:
-    """Per source: target, whole copies, and where the partial copy ends (edge_block, cut, pick). sized has source, size, u."""
+    """Per source: target, whole copies, and where the partial copy ends (edge_block, cut, pick). sized has source, size, u.
+
+    The edge block is cut a second time, so the rows of a source that are put in order are its last MAX_BLOCKS-th of a MAX_BLOCKS-th.
+    """
     blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK_DOCS))).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sized = staged(sized, "mix-sizes")
     plan = targets(sized).withColumn("blocks", blocks).withColumn("copies", whole)
     plan = staged(plan.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-targets")
-    with_block = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("u"), F.col("blocks")))
-    sums = with_block.groupBy("source", "block", "rest").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("block")
-    edges = sums.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > F.col("rest"))
-    edges = edges.groupBy("source").agg(F.min_by(F.struct("block", (F.col("rest") - F.col("upto") + F.col("words")).alias("need")), "block").alias("e"))
-    edges = staged(edges.select(F.col("source").alias("s"), "e.block", "e.need"), "mix-edges")
-    inside = with_block.drop("s").join(edges.withColumnRenamed("block", "edge_block"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("edge_block")))
-    inside = inside.groupBy("source", "need", "u").agg(F.sum("size").alias("size"))  # rows of equal ids go together
-    run = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("u")))
-    taken = F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).over(Window.partitionBy("source"))
-    left = run.withColumn("left", F.col("need") - F.coalesce(taken, F.lit(0)))
-    miss = F.abs(F.col("size") - F.col("left"))
-    open_ = (F.col("upto") > F.col("need")) & (miss < F.col("left"))
-    cuts = left.groupBy(F.col("source").alias("s")).agg(
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("u"))), F.lit(-1)).alias("cut"),
-        F.min(F.when(open_, F.struct(miss.alias("miss"), F.col("u").alias("u"))))["u"].alias("pick"),
+    with_block = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block_of(F.col("u"), F.col("blocks")))
+    edges = edge(with_block.groupBy("source", "rest", "block").agg(F.sum("size").alias("words")), "block", "rest")
+    edges = staged(edges.select(F.col("source").alias("s"), F.col("block").alias("edge_block"), "need"), "mix-edges")
+    inside = with_block.join(edges, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("edge_block")))
+    inside = inside.groupBy("source", "need", "u", "blocks").agg(F.sum("size").alias("size"))  # rows of equal ids go together
+    part = block_of((F.col("u") * F.col("blocks")).bitwiseAND((1 << 52) - 1), F.lit(MAX_BLOCKS).cast("long"))
+    inside = staged(inside.select("source", "need", "u", "size", part.alias("part")), "mix-inside")
+    last = edge(inside.groupBy("source", "need", "part").agg(F.sum("size").alias("words")), "part", "need").withColumnsRenamed({"source": "s", "need": "room", "part": "edge_part"})
+    run = inside.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("edge_part")))
+    run = run.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("u")))
+    fits = F.col("upto") <= F.col("room")
+    cuts = run.groupBy(F.col("source").alias("s")).agg(
+        F.coalesce(F.max(F.when(fits, F.col("u"))), F.min("u") - 1).alias("cut"),
+        (F.max("room") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("left"),
     )
-    found = edges.alias("e").join(cuts.alias("c"), F.col("e.s").eqNullSafe(F.col("c.s")), "left").select(F.col("e.s").alias("s"), F.col("block").alias("edge_block"), "cut", "pick")
+    cuts = staged(cuts, "mix-cuts")
+    over = inside.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("u") > F.col("cut")))
+    miss = F.abs(F.col("size") - F.col("left"))
+    picks = over.where(miss < F.col("left")).groupBy(F.col("source").alias("p")).agg(F.min(F.struct(miss.alias("miss"), F.col("u").alias("u")))["u"].alias("pick"))
+    found = edges.alias("e").join(cuts.alias("c"), F.col("e.s").eqNullSafe(F.col("c.s")), "left").join(picks, F.col("e.s").eqNullSafe(F.col("p")), "left")
+    found = found.select(F.col("e.s").alias("s"), "edge_block", "cut", "pick")
     return staged(plan.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-quotas")
 
 
+def edge(sums: DataFrame, part: str, room: str) -> DataFrame:
+    """(source, part, need): the first part of a source that its room does not hold whole, and what is left for it. sums: at most MAX_BLOCKS rows a source."""
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy(part))
+    over = sums.withColumn("upto", upto).where(F.col("upto") > F.col(room))
+    first = F.min_by(F.struct(F.col(part), (F.col(room) - F.col("upto") + F.col("words")).alias("need")), part)
+    return over.groupBy("source").agg(first.alias("e")).select("source", f"e.{part}", "e.need")
+
+
 def drawn(c: Column) -> Column:
     """Whether the partial copy takes a row with block and u."""
     inside = (F.col("block") < c["edge_block"]) | ((F.col("block") == c["edge_block"]) & (F.col("u") <= c["cut"]))
@@ -111,26 +123,39 @@ def split_quotas(quota: np.ndarray, shards: int, seed: int = 1) -> np.ndarray:
     return out
 
 
+def block_shards(plan: DataFrame, shards: int) -> DataFrame:
+    """(s, shards) for each source: the shard of each of its blocks, at most (MAX_REPEAT + 1) * MAX_BLOCKS.
+
+    The tree deals the quotas of GROUPS groups of sources (one source a group while there are no more): that is all that the
+    driver holds. Inside a group all blocks are put in random order, and the shards take their exact numbers from it one after
+    the other, which is the same multivariate hypergeometric draw. plan has source, rank and quota.
+    """
+    grouped = plan.select("source", "rank", "quota", F.pmod("rank", F.lit(GROUPS)).cast("int").alias("g"))
+    have = {x["g"]: x["n"] for x in grouped.groupBy("g").agg(F.sum("quota").alias("n")).collect()}  # at most GROUPS rows
+    known = sorted(have)
+    ends = split_quotas(np.array([have[g] for g in known], np.int64), shards).cumsum(axis=1) if known else []
+    split = F.from_json(F.lit(json.dumps([{"h": g, "upto": e.tolist()} for g, e in zip(known, ends)])), "array<struct<h:int,upto:array<bigint>>>")
+    split = plan.sparkSession.range(1).select(F.inline(split))
+    blocks = grouped.where("quota > 0").select("source", "rank", "g", F.explode(F.sequence(F.lit(1).cast("long"), "quota")).alias("i"))
+    order = Window.partitionBy("g").orderBy(unit_hash(f"{SEED}-tree", F.col("rank"), F.col("i")), "rank", "i")
+    taken = blocks.withColumn("at", F.row_number().over(order)).join(F.broadcast(split), F.col("g") == F.col("h"))
+    shard = F.size(F.filter("upto", lambda e: e < F.col("at"))).alias("shard")
+    told = taken.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("i", shard))).alias("told"))
+    return told.select("s", F.transform("told", lambda x: x["shard"]).alias("shards"))
+
+
 def dealt(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows (row, source, size, u) with source_size, target and draws, an array of (epoch, shard), one for each copy that is taken."""
     plan = quotas(rows.select("source", "size", "u"))
-    known = plan.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).select("source", "blocks", "copies", "edge_block").collect()
-    if len(known) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    quota = np.array([x["copies"] * x["blocks"] + (0 if x["edge_block"] is None else x["edge_block"] + 1) for x in known], np.int64)
-    ends = split_quotas(quota, shards).cumsum(axis=1) if len(known) else np.zeros((0, shards), np.int64)
-    split = F.from_json(F.lit(json.dumps([{"s": x["source"], "ends": e.tolist()} for x, e in zip(known, ends)])), "array<struct<s:string,ends:array<bigint>>>")
-    plan = plan.join(rows.sparkSession.range(1).select(F.inline(split)), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = staged(plan.withColumnRenamed("source", "s").drop("n_docs", "rest"), "mix-plan")
+    quota = F.col("copies") * F.col("blocks") + F.coalesce(F.col("edge_block") + 1, F.lit(0))
+    each = staged(block_shards(plan.select("source", "rank", quota.alias("quota")), shards), "mix-shards")
+    plan = plan.join(each, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rank", "n_docs", "rest")
+    plan = staged(plan.withColumnRenamed("source", "s"), "mix-plan")
     found = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("u"), F.col("blocks")))
     part = drawn({x: F.col(x) for x in ("edge_block", "cut", "pick")})
 
-    def draw(epoch: Column) -> Column:
-        shard = F.size(F.filter("ends", lambda e: e <= epoch * F.col("blocks") + F.col("block")))
-        return F.struct(epoch.alias("epoch"), shard.alias("shard"))
-
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies")), draw)
-    draws = F.filter(draws, lambda d: (d["shard"] < shards) & ((d["epoch"] < F.col("copies")) | part))
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies")), lambda epoch: F.struct(epoch.alias("epoch"), F.get("shards", epoch * F.col("blocks") + F.col("block")).alias("shard")))
+    draws = F.filter(draws, lambda d: d["shard"].isNotNull() & ((d["epoch"] < F.col("copies")) | part))
     return found.select("row", "size", "source_size", "target", "u", draws.alias("draws"))
 
 
