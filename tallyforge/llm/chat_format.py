@@ -12,11 +12,12 @@ empty result; other columns are not looked at. A conversation is one string, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TURN, SAY, END = "<turn>", "<say>", "</turn>\n"
 LOSS_ROLE = "assistant"
+CHUNK = 1024
 
 
 def escape(text: Column) -> Column:
@@ -29,50 +30,64 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\\])\\", "$1")
 
 
-def format_conversations(df: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """(conv_id, formatted, loss_spans): loss_spans holds (start, length) in code points of each text of the loss role."""
-    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
-    turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part("role"), part("text")))).alias("turns"))
-    block = "struct<role:string,texts:array<string>>"
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body looks at it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def merged(done: Column, turn: Column) -> Column:
-        last, text = F.element_at(done, -1), F.array(turn["text"])
-        same = F.coalesce(F.try_element_at(done, F.lit(-1))["role"] == turn["role"], F.lit(False))
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], text).alias("texts"))
-        fresh = F.struct(turn["role"].alias("role"), text.alias("texts"))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
 
-    blocks = turns.select("conv_id", F.aggregate("turns", F.array().cast(f"array<{block}>"), merged).alias("blocks"))
-    # Pieces in output order; each is control text or one escaped text, with a flag for the loss mask.
-    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+def format_conversations(df: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
+    """(conv_id, formatted, loss_spans): loss_spans holds (start, length) in code points of each text of the loss role.
 
-    def pieces(b: Column) -> Column:
-        head = piece(F.concat(F.lit(TURN), escape(b["role"])), F.lit(False))
-        said = F.flatten(F.transform(b["texts"], lambda t: F.array(piece(F.lit(SAY), F.lit(False)), piece(escape(t), b["role"] == loss_role))))
-        return F.concat(F.array(head), said, F.array(piece(F.lit(END), F.lit(False))))
+    The work for a conversation is linear in its turns: a turn looks only at the one before it to know whether its block
+    goes on, and the places of texts are a running sum over exploded turns, which are collected again without a shuffle.
+    """
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part("role"), part("text")))).alias("turns"))
 
-    laid = blocks.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
+    def pieces(all_: Column) -> Column:
+        def piece(t: Column, i: Column) -> Column:
+            goes_on = (i > 0) & F.coalesce(F.get(all_, i - 1)["role"] == t["role"], F.lit(False))
+            head = F.concat(F.when(i > 0, END).otherwise(""), F.lit(TURN), escape(t["role"]))
+            lead = F.concat(F.when(goes_on, "").otherwise(head), F.lit(SAY))
+            return F.struct(lead.alias("lead"), escape(t["text"]).alias("said"), (t["role"] == loss_role).alias("loss"))
 
-    def masked(state: Column, p: Column) -> Column:
-        length = F.char_length(p["text"]).cast("long")
-        span = F.struct(state["at"].alias("start"), length.alias("length"))
-        return F.struct((state["at"] + length).alias("at"), F.when(p["loss"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return F.transform(all_, piece)
 
-    formatted = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
-    return laid.select("conv_id", formatted.alias("formatted"), F.aggregate("pieces", start, masked)["spans"].alias("loss_spans"))
+    laid = turns.select("conv_id", F.posexplode(let(F.col("turns"), pieces)).alias("pos", "p")).select("conv_id", "pos", "p.lead", "p.said", "p.loss")
+    length = F.char_length("said").cast("long")
+    so_far = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = laid.withColumn("start", F.sum(F.char_length("lead") + length).over(so_far) - length).withColumn("length", length)
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lead", "said", "loss", "start", "length"))).alias("parts"))
+    formatted = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["said"])), ""), F.lit(END))
+    spans = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return whole.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted conversation, one entry for each original turn."""
     blocks = F.filter(F.split(formatted, END, -1), lambda b: b != "")
 
-    def turns(b: Column) -> Column:
-        fields = F.split(F.substring(b, len(TURN) + 1, 2**31 - 1), SAY, -1)
+    def turns(fields: Column) -> Column:
         role = unescape(fields[0])
-        return F.transform(F.slice(fields, 2, F.size(fields)), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        said = F.transform(F.slice(fields, 2, F.size(fields)), unescape)
+        return let(role, lambda r: F.transform(said, lambda t: F.struct(r.alias("role"), t.alias("text"))))
+
+    return F.flatten(F.transform(blocks, lambda b: let(F.split(F.substring(b, len(TURN) + 1, 2**31 - 1), SAY, -1), turns)))
+
+
+def under_spans(text: Column, spans: Column) -> Column:
+    """The parts of a text that (start, length) spans name, as an array.
+
+    The text is cut once into chunks of CHUNK code points, so a span looks at its own chunks and not at all before them.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def part(chunks: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / CHUNK), F.floor((s["start"] + s["length"]) / CHUNK)
+        near = F.array_join(F.slice(chunks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.substring(near, (s["start"] % CHUNK + 1).cast("int"), s["length"].cast("int"))
 
-    return F.flatten(F.transform(blocks, turns))
+    return let(chunks, lambda c: F.transform(spans, lambda s: part(c, s)))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +101,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     out = format_conversations(rows).select("*", read_turns(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    loss = F.array_join(F.transform(under_spans(F.col("formatted"), F.col("loss_spans")), unescape), "")
     out = out.select("*", loss.alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

@@ -113,3 +113,12 @@ def test_chat_round_trip(spark):
     assert len(spans) == 2 and spans[0].replace("<\\", "<").replace("\\\\", "\\") == "<turn> \\ </turn>\n" and spans[1] == ""
     assert one["formatted"].count("<turn>") == 3  # adjacent turns of one role share a block
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_a_long_conversation(spark):
+    """16,000 turns, escapes and code points beyond the first plane; all spans read back what was said."""
+    rows = spark.range(16_000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 7 < 5 THEN 'assistant' ELSE 'user' END AS role", "concat('<', id, '> \U0001f600 \\\\') AS text")
+    out = chat_format.format_conversations(rows).select(chat_format.under_spans(F.col("formatted"), F.col("loss_spans")).alias("loss"), chat_format.read_turns(F.col("formatted")).alias("turns"))
+    got = out.select(F.transform("loss", chat_format.unescape).alias("loss"), "turns").first()
+    said = [r["text"] for r in rows.orderBy("turn").collect()]
+    assert [t["text"] for t in got["turns"]] == said and got["loss"] == [x for i, x in enumerate(said) if i % 7 < 5]
