@@ -6,11 +6,12 @@ backing off to the shorter one (p_k = (n(context, char) + m * p_(k-1)) / (n(cont
 log-likelihood difference of its characters. The threshold is calibrated on a fifth of the labelled URLs, which the
 models never see: the point that lies equally many standard deviations from either class.
 
-Work follows distinct text: characters are looked up once for each distinct five-character window, windows are joined to
-distinct URLs, URLs to pages. Log ratios are whole millionths, so sums do not depend on their order.
+The models see the whole URL, query and fragment included. Work follows distinct text: characters are looked up once for
+each distinct five-character window, windows are joined to distinct URLs, URLs to pages. Log ratios are whole millionths, so
+sums do not depend on their order.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path and is judged like any other; repeated rows are
-judged alike; without labels of both classes every score is 0 against a threshold of 0, so the verdict is allow; an
+Defined cases: a null URL is an empty one; a URL without ``://`` has an empty host and path, fits no rule and is judged by its
+text; repeated rows are judged alike; without labels of both classes every score is 0 against a threshold of 0, so the verdict is allow; an
 empty table gives an empty result; other columns are not looked at.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lookup, partitions, staged
 
 #: (host, path, verdict)
 RULES = (
@@ -58,55 +59,63 @@ def windows(text: Column) -> Column:
 
 
 def window_ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(window, ratio): millionths of ln p(accepted) - ln p(rejected) for wanted windows. counts: window, a, r."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
-    gram = F.expr("right(window, k + 1)").alias("gram")
-    context = F.expr(f"substring(window, {ORDER} + 1 - k, k)").alias("context")
+    """(window, ratio): millionths of ln p(accepted) - ln p(rejected) for wanted windows. counts: window, a, r.
+
+    One order after the other: a gram of k + 1 characters looks up the gram without its first character, whose blend is known
+    from the order before, and the context without its last one. Distinct grams that share either are at most as many
+    as there are characters, so no key of these joins grows with the data, however common it is in URLs.
+    """
     sums = [F.sum("a").alias("a"), F.sum("r").alias("r")]
-    cut = counts.select("a", "r", "window", levels).select("a", "r", gram, context)
-    grams, contexts = cut.groupBy("gram").agg(*sums), cut.groupBy(F.char_length("context").alias("k"), "context").agg(*sums)
-    asked = wanted.select("window", levels).select("window", "k", gram, context)
-    known = lambda rows: rows.join(grams.select("gram", F.col("a").alias("ga"), F.col("r").alias("gr")), "gram", "left")
-    # All windows share the empty context, so its counts are two numbers and not a key of the join.
-    total = counts.agg(*sums).first()
-    first = known(asked.where("k = 0")).select("window", "k", "ga", "gr", F.lit(total["a"]).cast("long").alias("ca"), F.lit(total["r"]).cast("long").alias("cr"))
-    longer = known(asked.where("k > 0")).join(contexts.where("k > 0").select("k", "context", F.col("a").alias("ca"), F.col("r").alias("cr")), ["k", "context"], "left")
-    joined = first.unionByName(longer.select("window", "k", "ga", "gr", "ca", "cr"))
-    zero = [F.coalesce(F.col(x), F.lit(0)).cast("double").alias(x) for x in ("ga", "ca", "gr", "cr")]
-    steps = joined.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("k", *zero))).alias("steps"))
-    start = F.struct(F.lit(1 / ALPHABET).alias("a"), F.lit(1 / ALPHABET).alias("r"))
-    blend = lambda p, s: F.struct(
-        ((s["ga"] + PRIOR * p["a"]) / (s["ca"] + PRIOR)).alias("a"), ((s["gr"] + PRIOR * p["r"]) / (s["cr"] + PRIOR)).alias("r")
-    )
-    return steps.select("window", F.aggregate("steps", start, blend, lambda p: F.round((F.log(p["a"]) - F.log(p["r"])) * 1e6)).cast("long").alias("ratio"))
+    total = counts.agg(*sums).first()  # what all windows share: the empty context
+    before = None
+    for k in range(ORDER + 1):
+        gram = F.expr(f"right(window, {k + 1})").alias("gram")
+        grams = counts.groupBy(gram).agg(*sums)
+        asked = wanted.select(gram).distinct() if k < ORDER else wanted.select(gram)
+        rows = asked.join(grams.select("gram", F.col("a").alias("ga"), F.col("r").alias("gr")), "gram", "left")
+        rows = rows.select("gram", F.expr(f"left(gram, {k})").alias("context"), F.expr(f"right(gram, {k})").alias("tail"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("ga", "gr")])
+        if before is None:
+            start = F.lit(1 / ALPHABET)
+            rows = rows.select("*", F.lit(total["a"] or 0).alias("ca"), F.lit(total["r"] or 0).alias("cr"), start.alias("pa"), start.alias("pr"))
+        else:
+            contexts = grams.groupBy(F.expr(f"left(gram, {k})").alias("context")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
+            rows = rows.join(contexts, "context", "left").join(before, "tail", "left")
+            rows = rows.select("gram", "ga", "gr", F.coalesce("ca", F.lit(0)).alias("ca"), F.coalesce("cr", F.lit(0)).alias("cr"), "pa", "pr")
+        blend = lambda g, c, p: (F.col(g).cast("double") + PRIOR * F.col(p)) / (F.col(c).cast("double") + PRIOR)
+        before = rows.select(F.col("gram").alias("tail"), blend("ga", "ca", "pa").alias("pa"), blend("gr", "cr", "pr").alias("pr"))
+    return before.select(F.col("tail").alias("window"), F.round((F.log("pa") - F.log("pr")) * 1e6).cast("long").alias("ratio"))
 
 
 def judge(df: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """All columns of df in a struct ``row``, then host, path, rule, verdict."""
-    host, path = parse(F.col(f"`{url_col}`"))
-    pages = df.select(F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("row"), host.alias("host"), path.alias("path"))
-    pages = pages.select("row", "host", "path", fitting(rules).alias("fit"))
-    names = staged(pages.select("host", "path", "fit").groupBy("host", "path", F.col("fit.verdict").alias("label")).count(), "url-names")
-    name = F.concat("host", "path")
-    held = F.crc32(name) % HELD_OUT == 0
-    learn = names.where(F.col("label").isNotNull() & ~held).select("label", "count", F.explode(windows(name)).alias("window"))
+    url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
+    host, path = parse(url)
+    pages = df.select(F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("row"), url.alias("url"), host.alias("host"), path.alias("path"))
+    pages = pages.select("row", "url", "host", "path", fitting(rules).alias("fit"))
+    seen = pages.groupBy("url", F.col("fit.verdict").alias("label")).count()
+    names = staged(seen.select("url", "label", "count", F.monotonically_increasing_id().alias("n")), "url-names")
+    # Each URL becomes a row for each of its characters, so there are more tasks than names alone would get.
+    cut = names.repartition(partitions(df.sparkSession), "n").withColumn("held", F.crc32("url") % HELD_OUT == 0)
+    cut = cut.select("n", "label", "count", "held", F.explode(windows(F.col("url"))).alias("window"))
+    learn, asked = cut.where("label IS NOT NULL AND NOT held"), cut.where("label IS NULL OR held").select("n", "window")
     if_label = lambda x: F.sum(F.when(F.col("label") == x, F.col("count")).otherwise(0))
     counts = staged(learn.groupBy("window").agg(if_label("allow").alias("a"), if_label("block").alias("r")), "url-counts")
-    asked = names.where(F.col("label").isNull() | held).select("host", "path", "label", F.explode(windows(name)).alias("window"))
-    ratios = staged(window_ratios(counts, staged(asked.select("window").distinct(), "url-windows")), "url-ratios")
-    scores = asked.join(ratios, "window").groupBy("host", "path", "label").agg((F.sum("ratio") / F.count("*") / 1e6).alias("score"))
-    scores = staged(scores, "url-scores")
+    wanted = staged(asked.groupBy("window").count(), "url-windows")
+    ratios = staged(window_ratios(counts, wanted.select("window")), "url-ratios")
+    scores = lookup(asked, ratios, "window", wanted).groupBy("n").agg((F.sum("ratio") / F.count("*") / 1e6).alias("score"))
+    scores = staged(names.select("n", "url", "label", "count").join(scores, "n").drop("n"), "url-scores")
     by = lambda f, x: f(F.when(F.col("label") == x, F.col("score")))
     stats = tuple(scores.agg(by(F.avg, "allow"), by(F.avg, "block"), by(F.stddev_pop, "allow"), by(F.stddev_pop, "block")).first())
-    seen = counts.agg(F.sum("a"), F.sum("r")).first()
+    learnt = counts.agg(F.sum("a"), F.sum("r")).first()
     threshold = 0.0
     if None not in stats and stats[2] + stats[3] > 0:
         threshold = round((stats[0] * stats[3] + stats[1] * stats[2]) / (stats[2] + stats[3]), 6)
-    trained = bool(seen[0]) and bool(seen[1])
+    trained = bool(learnt[0]) and bool(learnt[1])
     said = F.when(F.lit(not trained) | (F.round("score", 6) >= (threshold if trained else 0.0)), "allow").otherwise("block")
-    verdicts = scores.where(F.col("label").isNull()).select(F.col("host").alias("h"), F.col("path").alias("p"), said.alias("said"))
+    free = scores.where(F.col("label").isNull())
+    verdicts, often = free.select("url", said.alias("said")), free.select("url", "count")
     ruled = pages.where(F.col("fit").isNotNull()).select("row", "host", "path", "fit.rule", "fit.verdict")
-    free = pages.where(F.col("fit").isNull()).join(verdicts, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    free = lookup(pages.where(F.col("fit").isNull()), verdicts, "url", often)
     return ruled.unionByName(free.select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.col("said").alias("verdict")))
 
 
@@ -124,13 +133,13 @@ _FITS = " ".join(
 OP10_SQL = f"""
 WITH parsed AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, coalesce(url, '') AS name FROM pages
 ), fitted AS (
   SELECT *, CASE {_FITS} END AS fit FROM parsed
 ), pages_ AS (
-  SELECT page_id, host, path, split_part(fit, '|', 1) AS rule, split_part(fit, '|', 2) AS label, fit IS NULL AS free FROM fitted
+  SELECT page_id, host, path, name, split_part(fit, '|', 1) AS rule, split_part(fit, '|', 2) AS label, fit IS NULL AS free FROM fitted
 ), names AS (
-  SELECT host, path, label, free, host || path AS name, count(*) AS n FROM pages_ GROUP BY ALL
+  SELECT name, label, free, count(*) AS n FROM pages_ GROUP BY ALL
 ), crc AS (
   SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256))::BIGINT AS i)
 ), tab AS (SELECT list(v ORDER BY i) AS t FROM crc
@@ -158,7 +167,7 @@ WITH parsed AS (
   SELECT win, CAST(round((ln(list_reduce(list_prepend(1 / {ALPHABET}::DOUBLE, range(1, {ORDER + 2})::DOUBLE[]), lambda p, k: (ga[k::INT] + {PRIOR}::DOUBLE * p) / (ca[k::INT] + {PRIOR}::DOUBLE)))
        - ln(list_reduce(list_prepend(1 / {ALPHABET}::DOUBLE, range(1, {ORDER + 2})::DOUBLE[]), lambda p, k: (gr[k::INT] + {PRIOR}::DOUBLE * p) / (cr[k::INT] + {PRIOR}::DOUBLE)))) * 1e6) AS BIGINT) AS ratio FROM lists
 ), scores AS (
-  SELECT host, path, label, free, sum(ratio)::DOUBLE / count(*) / 1e6::DOUBLE AS score FROM cutup JOIN ratios USING (win) WHERE free OR held GROUP BY ALL
+  SELECT name, label, free, sum(ratio)::DOUBLE / count(*) / 1e6::DOUBLE AS score FROM cutup JOIN ratios USING (win) WHERE free OR held GROUP BY ALL
 ), stats AS (
   SELECT avg(score) FILTER (label = 'allow') AS ma, avg(score) FILTER (label = 'block') AS mr,
          stddev_pop(score) FILTER (label = 'allow') AS sa, stddev_pop(score) FILTER (label = 'block') AS sr FROM scores
@@ -167,5 +176,5 @@ WITH parsed AS (
 )
 SELECT page_id, p.host, p.path, CASE WHEN NOT p.free THEN p.rule END AS rule,
        CASE WHEN NOT p.free THEN p.label WHEN NOT coalesce(trained, false) OR round(score, 6) >= bar THEN 'allow' ELSE 'block' END AS verdict
-FROM pages_ p LEFT JOIN scores s ON p.free AND s.free AND p.host = s.host AND p.path = s.path, bar
+FROM pages_ p LEFT JOIN scores s ON p.free AND s.free AND p.name = s.name, bar
 """

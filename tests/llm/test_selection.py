@@ -110,6 +110,30 @@ def test_splitting_tree_is_exact_and_hypergeometric():
     assert first.mean() == pytest.approx(15, abs=0.3) and first.var() == pytest.approx(50 * 0.3 * 0.7 * 50 / 99, rel=0.15)
 
 
+def test_more_sources_than_groups(spark, monkeypatch):
+    """Sources share the groups of the tree; every target is met as before and every shard gets its share of blocks."""
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 7 AS int)) AS text", "concat('s', id % 2500) AS source")
+    rows = mixing.dealt(docs.select(F.struct("doc_id", F.col("source").alias("s")).alias("row"), "source", mixing.word_count(F.col("text")).alias("size"), mixing.unit_hash(mixing.SEED, F.col("doc_id")).alias("u")), 8).select("row.s", "size", "target", "draws").collect()
+    sizes, taken, target, shards = Counter(), Counter(), {}, Counter()
+    for r in rows:
+        sizes[r["s"]] += r["size"]
+        taken[r["s"]] += r["size"] * len(r["draws"])
+        target[r["s"]] = r["target"]
+        shards.update(d["shard"] for d in r["draws"])
+    assert len(sizes) == 2500 and target == pytest.approx(targets_by_hand(sizes)) and all(abs(taken[s] - target[s]) <= 3.5 for s in sizes)
+    assert set(shards) == set(range(8)) and max(shards.values()) < 1.25 * min(shards.values())
+
+
+def test_a_large_edge_block(spark, monkeypatch):
+    """The edge block of a source is cut twice: with two blocks a level the cut still falls at the target."""
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 2)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 9 AS int)) AS text", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
+    rows = mixing.dealt(docs.select(F.struct("doc_id", F.col("source").alias("s")).alias("row"), "source", mixing.word_count(F.col("text")).alias("size"), mixing.unit_hash(mixing.SEED, F.col("doc_id")).alias("u")), 2)
+    told = rows.groupBy("row.s", "target").agg(F.sum(F.col("size") * F.size("draws")).alias("taken")).collect()
+    assert len(told) == 2 and all(abs(r["taken"] - r["target"]) <= 4.5 for r in told)
+
+
 def test_odd_mix(spark, odd_docs, no_docs, tmp_path):
     assert mixing.mixed(odd_docs).columns == odd_docs.columns and mixing.mixed(no_docs).count() == 0
     for name, df in (("odd", odd_docs), ("none", no_docs)):
@@ -294,6 +318,14 @@ def test_model_probabilities_by_hand(spark):
     assert got == {w: pytest.approx(np.log(p(w, 0) / p(w, 1)) * 1e6, abs=1) for w in wanted}
 
 
+def test_query_strings_and_urls_without_a_scheme_count(spark):
+    """Only what follows the path, or the whole text of a URL without a scheme, tells these apart."""
+    good, bad = [f"h://a{i}.com/?{'note' * 3}{i}" for i in range(60)], [f"h://b{i}.net/es/?{'spam' * 3}{i}" for i in range(60)]
+    rows = list(enumerate(good + bad + ["h://z.org/p?notenote", "h://z.org/p?spamspam", "notenotenote", "spamspamspam"]))
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).select("row.page_id", "verdict").collect()
+    assert [r["verdict"] for r in sorted(out, key=lambda r: r["page_id"])[-4:]] == ["allow", "block", "allow", "block"]
+
+
 def test_odd_urls(spark):
     rows = [(1, None), (1, None), (2, "no scheme"), (3, "x://"), (4, "://a.com/"), (None, "h://[é😀]/" + "p" * 3000), (5, "h://com"), (6, "h://com/"), (7, "h://a\nb.com/x://y")]
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "'z' AS label")
