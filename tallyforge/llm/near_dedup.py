@@ -6,9 +6,9 @@ key. Two texts share a key with a probability that falls with their edit distanc
 move breaks their order. At the similarity of 0.8 texts of one length share about 0.4 of their k-mers even if the edits are evenly
 spaced, so a key is shared with a chance of about 1/16 and any of the 72 with 0.98 to 0.99 (scattered edits: above 0.99).
 With few words one edit may break every k-mer, so texts of at most SHORT words get SHORT_KEYS more keys from single words. Texts that share a key are a bucket, and every pair of a bucket is compared unless its texts are
-in one class already. The first round compares each text with the first and last of its bucket, in buckets over HOT texts
+in one class already. The first round compares each text with the first and last of its bucket, in buckets over BIG texts
 also with those of longer keys. Where a bucket is still more than one component, its texts are dealt into blocks of about
-BLOCK, and each pair of blocks is a task that tells pairs apart by length and a bag of hashed words (both exact bounds);
+BLOCK, and each pair of blocks is a task that tells pairs apart by length and by counts of hashed word pairs (both exact bounds);
 what passes is the second round. A candidate counts if the banded edit distance of the two word sequences is at most
 (1 - SIMILARITY) of the longer one. Classes are the connected components of verified links.
 
@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, partitions, staged, table
+from .common import WordTable, lookup, mix64, partitions, staged, table
 
 K, ELL, SKETCHES = 3, 2, 72
 SHORT, SHORT_KEYS = 64, 16
 SIMILARITY = 0.8
-HOT = 64
+BIG = 64
 CHUNK_ROWS = 256
-BLOCK, BAG = 256, 128
+BLOCK, MAX_BAG = 256, 13
 BATCH_WORDS = 1 << 18
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -103,9 +103,9 @@ def keys_of(hashes: list[np.ndarray]) -> list[np.ndarray]:
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordTable()
-    names = ["doc_id", "node", "keys"]
+    names = ["doc_id", "digest", "keys"]
     for batch in batches:
-        ids, nodes, texts = batch.columns
+        ids, digests, texts = batch.columns
         held, low, n = [], 0, 0
         texts = texts.to_pylist()
         for i, text in enumerate(texts):
@@ -116,22 +116,19 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 each = keys_of(held)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
-                yield pa.record_batch([ids.slice(low, len(held)), nodes.slice(low, len(held)), keys], names)
+                yield pa.record_batch([ids.slice(low, len(held)), digests.slice(low, len(held)), keys], names)
                 held, low, n = [], i + 1, 0
 
 
-def node_of(text: Column) -> Column:
-    """64 bits of md5: equal texts are one node."""
-    hexed = F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))
-    half = lambda i: F.conv(F.substring(hexed, i, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+def digest_of(text: Column) -> Column:
+    """The 128 bits of md5: equal texts are one node."""
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary"))))
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences if at most ``most``, else a larger number.
 
-    Bit-parallel: vertical differences of the 2 * most + 1 rows around the diagonal are one integer that slides down a row
-    with each column; the distance is followed along the diagonal that ends in the last cell.
+    The band starts narrow and grows fourfold until the distance fits, so the work follows the distance and not ``most``.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -147,16 +144,35 @@ def banded_distance(a: list, b: list, most: int) -> int:
     a, b = a[low : len(a) - high], b[low : len(b) - high]
     if not b:
         return len(a)
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    mask = (1 << (2 * most + 1)) - 1
+    limit = min(most, max(apart, 31))
+    while (distance := _distance_within(a, b, limit)) > limit and limit < most:
+        limit = min(most, 4 * limit)
+    return distance
+
+
+def _distance_within(a: list, b: list, most: int) -> int:
+    """Bit-parallel: vertical differences of the 2 * most + 1 rows around the diagonal are one integer that slides down a row
+    with each column; the distance is followed along the diagonal that ends in the last cell. Where words stand in a is kept
+    for the one or two segments under the band.
+    """
+    apart, width = len(a) - len(b), 2 * most + 1
+    mask, size = (1 << width) - 1, max(1024, width)
+    segments: dict[int, dict] = {}
     at = 1 << (apart + most)
     up, down, distance = mask >> most << most, 0, apart
     for j, x in enumerate(b):
-        found = places.get(x, 0)
-        shift = j - most
-        found = (found >> shift if shift >= 0 else found << -shift) & mask
+        found, first = 0, j - most
+        for k in range(max(0, first) // size, min(len(a) - 1, j + most) // size + 1):
+            places = segments.get(k)
+            if places is None:
+                segments.pop(k - 2, None)
+                places = segments[k] = {}
+                for i, y in enumerate(a[k * size : (k + 1) * size]):
+                    places[y] = places.get(y, 0) | 1 << i
+            if bits := places.get(x):
+                shift = k * size - first
+                found |= bits << shift if shift >= 0 else bits >> -shift
+        found &= mask
         diagonal = ((((found & up) + up) ^ up) | found | down) & mask
         if not diagonal & at:
             distance += 1
@@ -213,7 +229,7 @@ def candidates(sets: DataFrame, rows: DataFrame) -> DataFrame:
         return both.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
     found = stars(rows)
-    hot = rows.where((F.col("n") > HOT) & (F.col("node") == F.col("first"))).select("key")
+    hot = rows.where((F.col("n") > BIG) & (F.col("node") == F.col("first"))).select("key")
     if not hot.isEmpty():
         cut = sets.select("node", "keys", F.posexplode("keys").alias("at", "key")).join(hot, "key")
         after = lambda i: F.element_at("keys", ((F.col("at") + i) % F.size("keys") + 1).cast("int"))
@@ -223,27 +239,45 @@ def candidates(sets: DataFrame, rows: DataFrame) -> DataFrame:
     return found
 
 
+def bag_width(words: int) -> int:
+    """Buckets of a bag: a power of two, at least twice the words of any text of the length class, within bounds."""
+    return 1 << min(MAX_BAG, max(6, int(np.ceil(np.log2(2.5 * max(words, 1))))))
+
+
 def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of words and their counts in BAG buckets, in the least type that holds them."""
+    """Number of words, and the counts of hashed pairs of adjacent words in the least type that holds them."""
     table_ = WordTable()
     for batch in batches:
         sizes, bags = [], []
         for text in batch.column("text").to_pylist():
-            words = (text or b"").split()
-            bag = np.bincount((table_.word_hashes(table_.rows(words)) % np.uint64(BAG)).astype(np.int64), minlength=BAG)
+            hashes = table_.word_hashes(table_.rows((text or b"").split()))
             table_.trim()
-            sizes.append(len(words))
+            pairs = mix64(hashes[:-1] * _STEP + hashes[1:]) if len(hashes) else hashes
+            width = bag_width(len(hashes))
+            bag = np.bincount((pairs & np.uint64(width - 1)).astype(np.int64), minlength=width)
+            sizes.append(len(hashes))
             bags.append(bag.astype(np.min_scalar_type(int(bag.max()))).tobytes())
         yield pa.record_batch([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["node", "words", "bag"])
 
 
+def folded(bags: list[bytes], words: np.ndarray) -> np.ndarray:
+    """Bags of one width, the least that occurs: folding adds buckets, so common counts only grow."""
+    widths = [bag_width(int(n)) for n in words]
+    least = min(widths)
+    made = [np.frombuffer(x, f"u{len(x) // w}").reshape(-1, least).sum(axis=0, dtype=np.int64) for x, w in zip(bags, widths)]
+    return np.stack(made).astype(np.uint16 if max(int(x.max()) for x in made) < 1 << 16 else np.int64)
+
+
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by task (key, cls, kind, lo, hi), one or two blocks each: pairs of other roots that length and bag let pass."""
+    """Rows come sorted by task (key, cls, kind, lo, hi), one or two blocks each: pairs of other roots that length and bag let pass.
+
+    One edit changes at most two pairs of adjacent words, so texts within d edits have all but 2 d of the longer one's in common.
+    """
     task, held = None, []
 
     def compare() -> Iterator[pa.RecordBatch]:
         node, root, words, side = (np.array(x, np.int64) for x in zip(*(x[:4] for x in held)))
-        bags = np.stack([np.frombuffer(x[4], f"u{len(x[4]) // BAG}").astype(np.int32) for x in held])
+        bags = folded([x[4] for x in held], words)
         inside = task[2] == 0 and task[3] == task[4]
         right = np.flatnonzero(side == (0 if inside else 1))
         us, vs = [], []
@@ -252,8 +286,8 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             longest = np.maximum(words[other], words[i])
             most = ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
             fits = (root[other] != root[i]) & (np.abs(words[other] - words[i]) <= most)
-            other, spare = other[fits], (longest - most)[fits]
-            other = other[np.minimum(bags[other], bags[i]).sum(axis=1) >= spare]
+            other, least = other[fits], (longest - 1 - 2 * most)[fits]
+            other = other[np.minimum(bags[other], bags[i]).sum(axis=1, dtype=np.int64) >= least]
             us.append(np.full(len(other), node[i]))
             vs.append(node[other])
         if us:
@@ -280,9 +314,11 @@ def block_pairs(members: DataFrame) -> DataFrame:
     spark = members.sparkSession
     cls = F.floor(F.log(F.greatest(F.col("words"), F.lit(1))) / -float(np.log(SIMILARITY))).cast("int")
     classed = members.withColumn("cls", cls)
-    counts = classed.groupBy("key", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    counts = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("cls", "blocks"))).alias("blocks"))  # lengths have few classes
-    rows = classed.join(counts, "key")
+    counts = classed.groupBy("key", "cls").count()
+    blocks = F.struct("cls", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    counts = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(blocks)).alias("blocks"), F.sum("count").alias("count"))  # lengths have few classes
+    counts = staged(counts, "dedup-blocks")
+    rows = lookup(classed, counts.drop("count"), "key", counts)
     of = lambda step: F.try_element_at("blocks", F.col("cls") + step)
     rows = rows.select("*", of(0).alias("own"), of(1).alias("above"), of(-1).alias("below")).withColumn("block", F.pmod(F.xxhash64("node"), "own").cast("int"))
 
@@ -302,10 +338,10 @@ def block_pairs(members: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, as links (u, v). texts: node, text."""
-    # Only leaders of many candidates are cut into chunks; a third of all rows makes at most rows / CHUNK_ROWS such leaders.
-    large = staged(pairs.groupBy("a").count().where(F.col("count") > CHUNK_ROWS).select("a", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")), "dedup-large")
-    dealt = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
+    """The pairs (a, b) whose texts are similar, as links (u, v). pairs is staged. texts: node, text."""
+    counts = staged(pairs.groupBy("a").count(), "dedup-leaders")
+    dealt = lookup(pairs, counts.select("a", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")), "a", counts)
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
     row = lambda role: [F.col("a"), F.col("chunk"), F.lit(role).alias("role"), F.col("node"), F.col("text")]
     members = dealt.join(texts, F.col("b") == F.col("node")).select(*row(1))
     leaders = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("node")).select(*row(0))
@@ -319,27 +355,33 @@ def compared(sets: DataFrame, rows: DataFrame, pairs: DataFrame, texts: DataFram
     # Pairs with the first or last text are done; the others count where they are not yet one component.
     inner = rows.where((F.col("n") > 3) & (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))).select("key", "node")
     inner = inner.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = staged(inner.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x")).where("m < x").select("key"), "dedup-mixed")
+    mixed = inner.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x"), F.count("*").alias("count")).where("m < x")
+    mixed = staged(mixed.select("key", "count"), "dedup-mixed")
     if mixed.isEmpty():
         return roots
-    inner = staged(inner.join(mixed, "key"), "dedup-inner")
+    inner = staged(lookup(inner, mixed.select("key"), "key", mixed), "dedup-inner")
     bags = texts.join(inner.select("node").distinct(), "node", "left_semi").mapInArrow(_bag_batches, "node long, words long, bag binary")
     more = verified(staged(block_pairs(inner.join(staged(bags, "dedup-bags"), "node")), "dedup-more"), texts)
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node with a link (u, v); root is the smallest node of the component."""
-    edges = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links")
-    state = None
+    """(node, root) for every node with a link (u, v); root is the smallest node of the component.
+
+    A class with a third of all texts is a star at its root: how many edges each node has is known from the aggregation that finds
+    the least neighbour, so nodes with many get it by broadcast (lookup) and no task holds all edges of one.
+    """
+    edges, state = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links"), None
     while True:
         # Large star: every node gives its larger neighbours the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count")), "dedup-least")
+        # Only the rows to larger neighbours go on.
+        large = lookup(both.where("v > u"), least.select("u", "m"), "u", least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large, "dedup-large")
         # Small star: every node gives its smaller neighbours, and itself, the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")), "dedup-least")
+        small = lookup(large, least.select("u", "m"), "u", least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "dedup-stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -348,21 +390,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, classes): sets has doc_id and node of every row; classes has node, its smallest doc_id (id), class_id and root."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.col("text").cast("binary").alias("text"))
-    sets = staged(plain.mapInArrow(_sketch_batches, "doc_id long, node long, keys array<long>"), "dedup-sketches")
-    nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("id")), "dedup-nodes")
-    one = sets.join(nodes, (sets["node"] == nodes["node"]) & sets["doc_id"].eqNullSafe(nodes["id"])).select(sets["node"], "keys").dropDuplicates(["node"])
+    """(sets, classes): sets has doc_id and digest of every row; classes has a row for each digest with its node, smallest doc_id (id),
+    class_id, the root of its class and count, the rows with that text."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("text"))
+    sets = plain.mapInArrow(_sketch_batches, "doc_id long, digest binary, keys array<long>")
+    sets = staged(sets.select("*", F.monotonically_increasing_id().alias("row")), "dedup-sketches")  # written, so a row keeps its number
+    nodes = staged(sets.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.count("*").alias("count")), "dedup-nodes")
+    one = sets.select("row", "keys").join(nodes.select("node"), F.col("row") == F.col("node")).select("node", "keys")
     rows = met(one)
     pairs = staged(candidates(one, rows), "dedup-pairs")
-    # Texts of the nodes that have candidates, one row for each.
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("node").alias("w"), "id")
-    texts = plain.join(wanted, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    # Texts of the nodes that have candidates.
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("digest").alias("w"), "id")
+    texts = plain.join(wanted, (F.col("digest") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     texts = staged(texts, "dedup-texts")
     roots = compared(one, rows, pairs, texts)
-    rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
-    return sets.select("doc_id", "node"), staged(rooted.join(named, "root").select("node", "id", "class_id", "root"), "dedup-classes")
+    rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-rooted")
+    named = staged(rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("count")), "dedup-named")
+    classes = lookup(rooted, named.select("root", "class_id"), "root", named)
+    return sets.select("doc_id", "digest"), staged(classes.select("digest", "node", "id", "class_id", "root", "count"), "dedup-classes")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -370,20 +415,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     sets, classes = classified(docs)
     # A class whose ids are all null keeps its root.
     stays = F.when(F.col("class_id").isNull(), F.col("node") == F.col("root")).otherwise(F.col("id").eqNullSafe(F.col("class_id")))
-    kept = classes.where(stays).select(F.col("node").alias("n"), "id")
+    kept = classes.where(stays).select(F.col("digest").alias("w"), "id")
     row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("d"), node_of(F.col("text")).alias("node"))
-    rows = rows.join(kept, (F.col("node") == F.col("n")) & F.col("d").eqNullSafe(F.col("id")), "left_semi")
-    again = sets.groupBy("doc_id", "node").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("node").alias("n"))
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("d"), digest_of(F.col("text")).alias("digest"))
+    rows = rows.join(kept, (F.col("digest") == F.col("w")) & F.col("d").eqNullSafe(F.col("id")), "left_semi")
+    again = sets.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("digest").alias("w"))
     if again.isEmpty():
         return rows.select("row.*")
-    same = (F.col("node") == F.col("n")) & F.col("d").eqNullSafe(F.col("i"))
+    same = (F.col("digest") == F.col("w")) & F.col("d").eqNullSafe(F.col("i"))
     single = rows.join(again, same, "left_anti").select("row")
-    repeated = rows.join(again, same, "left_semi").groupBy("node", "d").agg(F.first("row").alias("row")).select("row")
+    repeated = rows.join(again, same, "left_semi").groupBy("digest", "d").agg(F.first("row").alias("row")).select("row")
     return single.unionByName(repeated).select("row.*")
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and whether the document stays, for every document."""
     sets, classes = classified(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return sets.join(classes, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return lookup(sets, classes.select("digest", "class_id"), "digest", classes).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -196,7 +196,7 @@ def test_large_groups_and_shared_passages(spark, monkeypatch):
     rows += [(2000 + i, "the same text again and again") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets, classes = near_dedup.classified(docs)
-    got = {x["doc_id"]: x["class_id"] for x in sets.join(classes, "node").collect()}
+    got = {x["doc_id"]: x["class_id"] for x in sets.join(classes, "digest").collect()}
     assert {got[i] for i in range(150)} == {0} and {got[2000 + i] for i in range(50)} == {2000}
     assert all(got[1000 + i] == 1000 + i for i in range(150))
 
@@ -241,8 +241,8 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
             copy[at] = word()
         texts.append(copy)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    sketched = docs.select("doc_id", near_dedup.node_of(F.col("text")).alias("node"), F.col("text").cast("binary").alias("text"))
-    keys = {x["doc_id"]: set(x["keys"]) for x in sketched.mapInArrow(near_dedup._sketch_batches, "doc_id long, node long, keys array<long>").collect()}
+    sketched = docs.select("doc_id", near_dedup.digest_of(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("text"))
+    keys = {x["doc_id"]: set(x["keys"]) for x in sketched.mapInArrow(near_dedup._sketch_batches, "doc_id long, digest binary, keys array<long>").collect()}
     root = list(range(len(texts)))
 
     def find(i):
@@ -255,7 +255,7 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     sets, classes = near_dedup.classified(docs)
-    got = {x["doc_id"]: x["class_id"] for x in sets.join(classes, "node").collect()}
+    got = {x["doc_id"]: x["class_id"] for x in sets.join(classes, "digest").collect()}
     assert got == {i: find(i) for i in range(len(texts))} and Counter(got.values())[0] > 350
 
 
