@@ -14,12 +14,14 @@ looked at. Strings of special tokens in a text become special tokens, as the tok
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -158,36 +160,92 @@ class Rows(dict):
         return new
 
 
+class IdTable:
+    """Token ids of keys, kept in one flat array."""
+
+    def __init__(self):
+        self.rows, self.ends, self.flat = Rows(), np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def gathered(self, keys: Iterable, n: int, encode: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of n keys, where each ends); encode gives (all ids, how many for each) of new keys."""
+        rows = np.fromiter(map(self.rows.__getitem__, keys), np.int64, n)
+        if new := self.rows.taken():
+            made, sizes = encode(new)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, made])
+        start, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 class ChunkEncoder:
-    """The tokenizers library over chunks between ASCII white space, which these vocabularies drop; frequent chunks are encoded once.
+    """The tokenizers library over chunks between ASCII white space; frequent chunks are encoded once.
 
-    The vocabulary must lower-case and drop white space, and encode a bar between spaces as one id: new chunks without
-    a bar go to the library many at a time, with bars between them.
+    A chunk is cut again before the punctuation that ends it, so most new chunks are known words with a mark. New pieces without a bar
+    go to the library many at a time, with bars between them. All of this holds for vocabularies that normalise and cut as
+    SHAPE says (lower case, white space dropped, words apart from marks) and give a bar one id; with any other the library gets whole texts.
     """
 
-    BAR, JOINED = "|", 256
+    BAR, JOINED, MARKS = "|", 256, ".,;:!?*#%&$"
+    #: How the word vocabulary describes its normaliser and its cutting of texts.
+    SHAPE = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None, "truncation": None, "padding": None,
+    }
 
     def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        (self.bar,) = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
+        shape, bar = json.loads(self.tokenizer.to_str()), self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
+        self.by_chunks = len(bar) == 1 and all(shape[k] == v for k, v in self.SHAPE.items())
+        self.bar = bar[0] if bar else None
         self._forget()
 
-    def _library(self, chunks: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, how many for each chunk)"""
-        if any(self.BAR in c for c in chunks):
-            made = self._library(chunks)
-            return np.array([i for x in made for i in x], np.uint32), np.array(list(map(len, made)), np.int64)
-        groups = [chunks[i : i + self.JOINED] for i in range(0, len(chunks), self.JOINED)]
+    def _forget(self) -> None:
+        self.chunks, self.pieces = IdTable(), IdTable()
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        barred = np.array([self.BAR in p for p in pieces])
+        if barred.any():  # few: each is a text of its own
+            out: list = [None] * len(pieces)
+            for want, of in ((True, self._alone), (False, self._joined)):
+                at = np.flatnonzero(barred == want)
+                made, sizes = of([pieces[i] for i in at])
+                for i, ids in zip(at, np.split(made, np.cumsum(sizes)[:-1])):
+                    out[i] = ids
+            return np.concatenate(out), np.array(list(map(len, out)), np.int64)
+        return self._joined(pieces)
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = self._library(pieces)
+        return np.array([i for x in made for i in x], np.uint32), np.array(list(map(len, made)), np.int64)
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [pieces[i : i + self.JOINED] for i in range(0, len(pieces), self.JOINED)]
         ids = np.array([i for x in self._library([f" {self.BAR} ".join((*g, "")) for g in groups]) for i in x], np.uint32)
         bars = np.flatnonzero(ids == self.bar)
         return np.delete(ids, bars), np.diff(bars, prepend=-1) - 1
 
+    def _of_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = []
+        for chunk in map(bytes.decode, chunks):
+            word = chunk.rstrip(self.MARKS)
+            pieces += (word, chunk[len(word) :]) if word and word[-1].isalpha() else (chunk, "")
+        ids, upto = self.pieces.gathered(pieces, len(pieces), self._of_pieces)
+        return ids, np.diff(upto[::2])
+
     @staticmethod
     def plain(text: str) -> str:
         """Lower case where that cannot change ids: Latin-1 texts (all composed) without strings of special tokens."""
@@ -197,23 +255,15 @@ class ChunkEncoder:
             return text
         return text if "<|" in text else text.lower()
 
-    def _forget(self) -> None:
-        self.rows, self.ends, self.flat = Rows(), np.zeros(1, np.int64), np.empty(0, np.uint32)
-
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.rows) > self.limit:
+        if not self.by_chunks:
+            return [np.array(x, np.uint32) for x in self._library(texts)]
+        if len(self.chunks.rows) > self.limit:
             self._forget()
         cut = [self.plain(t).encode().split() for t in texts]
         n = np.fromiter(map(len, cut), np.int64, len(cut))
-        rows = np.fromiter((r for chunks in cut for r in map(self.rows.__getitem__, chunks)), np.int64, int(n.sum()))
-        if new := self.rows.taken():
-            made, sizes = self._encoded([c.decode() for c in new])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, made])
-        start, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        ids, upto = self.chunks.gathered(chain.from_iterable(cut), int(n.sum()), self._of_chunks)
         at = upto[np.concatenate([[0], np.cumsum(n)])]
         return [ids[a:b] for a, b in zip(at, at[1:])]
 

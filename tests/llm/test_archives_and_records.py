@@ -120,6 +120,26 @@ def test_chunks_equal_whole_texts():
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     ours, library, r = token_records.ChunkEncoder(vocabulary), Tokenizer.from_file(vocabulary), random.Random(2)
     texts = ["ΑΣ ΟΔΟΣ.", "é\u0301 a<|endoftext|>b  x\x85y", "日本 don't I'LL 123", "İstanbul ǅ", "\x1c\x1d a", "A|b || |", "<|StartOfText|> A", "a\xa0B c"]
+    texts += ["WORD,", "word.,!", "(word).", "a1.", "don't!", "x.. y", "ΟΔΟΣ: α", "e\u0301.", "a|b.", "| |.", ".", "!?", "né,né", "<|endoftext|>.", "ﬁ."]
     texts += ["".join(chr(r.choice([r.randint(32, 126), r.randint(160, 0x24F), 0x1F600 + r.randint(0, 60), 9, 10, 32])) for _ in range(r.randint(1, 300))) for _ in range(200)]
     for t, ids in zip(texts, ours(texts)):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_get_whole_texts():
+    """A vocabulary that keeps white space and capitals is not cut into chunks."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, library = token_records.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = ["Two  words, One LINE\n", "", "a|b <|endoftext|>"]
+    assert not ours.by_chunks and token_records.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")).by_chunks
+    assert [x.tolist() for x in ours(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op6_against_the_library(spark, sf_dir):
+    """The query itself: places, lengths and checksums of all documents in ascending order."""
+    library, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = [*library.encode(r["text"], add_special_tokens=False).ids, 1]
+        want[r["doc_id"]] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r["doc_id"]: tuple(r)[1:] for r in token_records.op6_token_records(spark, sf_dir).collect()} == want
