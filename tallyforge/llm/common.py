@@ -13,6 +13,18 @@ from ..staging import fresh_path, local_path, removed, shared_dir, staged  # noq
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Common words of the corpus languages, fixed.
+COMMON_WORDS = frozenset(
+    w.encode()
+    for w in (
+        "the and of to a in is that for it on with as was at by be this from are or an "
+        "le la les de des du et un une en que qui est dans pour par sur pas au avec "
+        "der die das und ist den von zu mit nicht ein eine auf im sich dem auch es "
+        "el los las y del se por con para su al lo como"
+    ).split()
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path, so it may lie in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,29 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import COMMON_WORDS, staged
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_AT = 0.5
+FEW_WORDS = 20  # fewer than these may well have no common word
 
 COUNTS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_lines long, n_upper long, n_letters long, n_bangs long, n_bars long, n_stops long, n_ends long"
 )
 
-#: Common words of the corpus languages, fixed.
-STOPS = frozenset(
-    w.encode()
-    for w in (
-        "the and of to a in is that for it on with as was at by be this from are or an "
-        "le la les de des du et un une en que qui est dans pour par sur pas au avec "
-        "der die das und ist den von zu mit nicht ein eine auf im sich dem auch es "
-        "el los las y del se por con para su al lo como"
-    ).split()
-)
-
-
 def count_text(text: bytes | None) -> tuple[int, ...]:
     """The counts of one UTF-8 text, in the order of COUNTS."""
     text = text or b""
@@ -73,7 +62,7 @@ def count_text(text: bytes | None) -> tuple[int, ...]:
         lower + upper,
         text.count(b"!"),
         text.count(b"|"),
-        sum(map(STOPS.__contains__, map(bytes.lower, words))),
+        sum(map(COMMON_WORDS.__contains__, map(bytes.lower, words))),
         text.count(b".") + text.count(b"!") + text.count(b"?"),
     )
 
@@ -94,9 +83,9 @@ def _counts(text: Column) -> Column:
     return F.pandas_udf(_count_batches, COUNTS)(text)
 
 
-def base_failed(c: Column) -> Column:
+def base_failed(c: Column, min_words: int = MIN_WORDS) -> Column:
     """Too short, or mostly repeated three-word windows."""
-    return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    return (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
 
 
 def votes(c: Column) -> list[Column]:
@@ -118,7 +107,7 @@ def votes(c: Column) -> list[Column]:
         rule(bars, bars <= 0.05, bars > 0.2),
         rule(repeats, repeats <= 0.1, repeats > 0.3),
         rule(again, again <= 0.1, again > 0.3),
-        rule(stops, stops >= 0.1, stops < 0.04),
+        rule(stops, stops >= 0.1, (stops < 0.04) & (n >= FEW_WORDS)),
         rule(ends, (ends >= 0.02) & (ends <= 0.3), (ends < 0.01) | (ends > 0.6)),
         rule(length, (length >= 3) & (length <= 9), (length < 2.5) | (length > 14)),
     ]
@@ -158,7 +147,7 @@ def judged(df: DataFrame, text_col: str = "text") -> DataFrame:
     return _posterior(counted)
 
 
-def _posterior(counted: DataFrame) -> DataFrame:
+def _posterior(counted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ballots = counted.select("*", F.array(*votes(F.col("c"))).alias("votes"))
     seen = ballots.groupBy("votes").count().collect()  # at most 3 ** rules rows
     rules = len(votes(F.col("c")))
@@ -171,18 +160,20 @@ def _posterior(counted: DataFrame) -> DataFrame:
         v = F.col("votes")[r]
         score = score + F.when(v < 0, float(ratio[r, 0])).when(v == 0, float(ratio[r, 1])).otherwise(float(ratio[r, 2]))
     posterior = (1 / (1 + F.exp(-score))).alias("posterior")
-    out = ballots.select("*", posterior, base_failed(F.col("c")).alias("base_failed"))
+    out = ballots.select("*", posterior, base_failed(F.col("c"), min_words).alias("base_failed"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_AT))
 
 
-def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", min_words: int = 1) -> DataFrame:
     """The rows that pass the base rules and the posterior, with all their columns and nothing else.
 
+    Texts are not turned away for their length alone, as min_words is 1 here: about one clean text in twenty has under
+    MIN_WORDS words, and the posterior tells those from junk.
     The rows are staged with their counts, so no key is needed to find a verdict again.
     """
     whole = F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("row")
     counted = staged(df.select(whole, F.col(f"`{text_col}`").cast("binary").alias("text")).select("row", _counts(F.col("text")).alias("c")), "quality-rows")
-    return _posterior(counted).where("kept").select("row.*")
+    return _posterior(counted, min_words).where("kept").select("row.*")
 
 
 def op9_quality_rules(spark, sf_dir) -> DataFrame:

@@ -24,24 +24,14 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Grown, WordTable, mix64, partitions, staged, table
+from .common import COMMON_WORDS, Grown, WordTable, mix64, partitions, staged, table
 
 CHAIN = 2
 THRESHOLD = 0.8
 
-#: Common words of the corpus languages, fixed.
-ANCHORS = frozenset(
-    w.encode()
-    for w in (
-        "the and of to a in is that for it on with as was at by be this from are or an "
-        "le la les de des du et un une en que qui est dans pour par sur pas au avec "
-        "der die das und ist den von zu mit nicht ein eine auf im sich dem auch es "
-        "el los las y del se por con para su al lo como"
-    ).split()
-)
 EDGES = b".,;:!?\"'()[]"
 
 
@@ -56,7 +46,7 @@ class SpotTable(WordTable):
         plain = word.lower().strip(EDGES)
         row = super().__missing__(word)
         self.hashes[row] = xxhash.xxh3_64_intdigest(plain)
-        self.extra.append(2 if not plain else 1 if plain in ANCHORS else 0)
+        self.extra.append(2 if not plain else 1 if plain in COMMON_WORDS else 0)
         return row
 
     def trim(self) -> None:
@@ -172,10 +162,6 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "sigs"])
 
 
-def _least_overlap(n: Column, m: Column, threshold: float) -> Column:
-    return F.ceil(F.round(threshold / (1 + threshold) * (n + m), 9))
-
-
 def near_pairs(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members has doc_id and rep, its class of equal fingerprints; pairs has a, b (representatives) and likeness."""
     plain = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

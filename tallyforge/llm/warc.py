@@ -24,16 +24,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, local_path, partitions, table
+from .common import fresh_path, local_path, lookup, partitions, removed, staged, table
 
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
-MAX_HEAD = 1 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -110,9 +109,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, refers_to, revisit): refers_to is the smallest page_id with the same payload."""
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     keyed = plain.select("*", F.sha1("html").alias("sha1"))
-    # Counted before any row moves: only payloads that occur again take part in the join, and the join may be split by AQE.
-    again = keyed.groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("sha1", "first")
-    joined = keyed.join(again.withColumn("again", F.lit(True)), "sha1", "left")
+    # Counted before any row moves; rows of very common payloads then stay where they are, so no task gets all copies of one page.
+    again = keyed.groupBy("sha1").agg(F.count("*").alias("count"), F.min("page_id").alias("first")).where("count > 1")
+    again = staged(again.withColumn("again", F.lit(True)), "warc-payloads")
+    joined = lookup(keyed, again.drop("count"), "sha1", again, "left")
     revisit = F.coalesce(F.col("again"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -218,9 +218,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, clean = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc-normalised")
     archives = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), raw)
     index = normalise(spark, raw, archives, clean)
-    for archive in archives.select("archive").toLocalIterator():  # the index is committed, so the streams are not needed again
-        files, base = local_path(raw)
-        files.delete_file(f"{base}/{archive['archive']}")
+    removed(raw)  # the index is committed, so the streams are not needed again
     return read_records(index, clean)
 
 
