@@ -1,9 +1,11 @@
 import random
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyforge.llm import classifier, mixing, near_dedup, quality_rules, url_filter
@@ -49,8 +51,6 @@ def test_rules_and_classifier_find_the_junk(spark, sf_dir):
     ruled = quality_rules.op9_quality_rules(spark, sf_dir).collect()
     assert sum(r["kept"] == (labels[r["doc_id"]] == 1) for r in ruled) >= 0.95 * len(ruled)
     scored = classifier.op3_quality_classifier(spark, sf_dir).collect()
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in scored)
     held = [(r["score"], labels[r["doc_id"]]) for r in scored if r["held_out"]]
     pairs = [(a > b) + (a == b) / 2 for a, x in held for b, y in held if x > y]
@@ -58,6 +58,60 @@ def test_rules_and_classifier_find_the_junk(spark, sf_dir):
     assert [tuple(r) for r in scored] == [tuple(r) for r in classifier.op3_quality_classifier(spark, sf_dir).collect()]
 
 
+def test_posterior_by_hand(spark, sf_dir):
+    """Votes are counted, the model fitted and every posterior multiplied out from the vote tables."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ballots = quality_rules.judged(docs.select("doc_id", "text")).select("row.doc_id", "votes", "posterior", "base_failed", "kept", "c.n_words", "c.n_repeat_words").collect()
+    seen = Counter(tuple(r["votes"]) for r in ballots)
+    prior, table = quality_rules.expectation_maximisation(np.array(sorted(seen)), np.array([float(seen[v]) for v in sorted(seen)]))
+    for r in ballots:
+        good, bad = prior, 1 - prior
+        for k, v in enumerate(r["votes"]):
+            good, bad = good * table[1, k, v + 1], bad * table[0, k, v + 1]
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert r["posterior"] == pytest.approx(good / (good + bad), abs=1e-9)
+        assert r["base_failed"] == failed and r["kept"] == (not failed and r["posterior"] >= 0.5)
+
+
+def test_short_clean_texts_stay(spark):
+    rows = [(1, "A short clean note."), (2, "spam " * 40), (3, "$$$ ### *** " * 3), (4, "the cat sat on the mat and it was glad of that.")]
+    kept = quality_rules.keep_good(spark.createDataFrame(rows * 5, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == {1, 4}
+
+
+def features_by_hand(text):
+    """Every bucket of a text, one entry for each occurrence."""
+    out, words = [], text.encode().split()
+    for w in words:
+        marked = f"<{w.decode()}>"
+        out += [zlib.crc32(w) % classifier.BUCKETS] + [zlib.crc32(marked[i : i + n].encode(), 1) % classifier.BUCKETS for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+    hashed = [xxhash.xxh3_64_intdigest(w) for w in words]
+    mix = lambda x: int(classifier.mix64(np.array([x], np.uint64))[0])
+    hashed = [mix(h) for h in hashed]
+    for a, b in zip(hashed, hashed[1:]):
+        out.append(mix((a * 0x9E3779B97F4A7C15 + b) % 2**64) % classifier.BUCKETS)
+        out += [classifier.SAME] * (a == b)
+    return out
+
+
+def test_scores_by_hand(spark):
+    """Averages of vectors through the softmax layer, feature by feature, against the summed logits of the operator."""
+    texts = ["good plain words here", "bad bad bad spam", "né à la côte", "spam spam good", "one"]
+    examples = []
+    for i, t in enumerate(texts):
+        buckets, times = np.unique(features_by_hand(t), return_counts=True)
+        found, counts = classifier.document_buckets(t.encode(), classifier.BucketTable())
+        assert found.tolist() == buckets.tolist() and counts.tolist() == times.tolist()
+        examples.append((buckets, times, i % 2))
+    logits = classifier.train(examples)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in df.select("doc_id", classifier.score_column(spark, logits, F.col("text").cast("binary")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        z = np.mean([logits[b] for b in features_by_hand(t)])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+    assert all((got[i] > 0.5) == (i % 2 == 1) for i in range(4))
+
+
 def test_odd_classifier_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (4, None, 0), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert classifier.keep_good(odd_docs, odd_docs, labels).columns == odd_docs.columns

@@ -87,6 +87,16 @@ def test_byte_pairs_against_the_library(spark, odd_docs, no_docs, sf_dir):
     assert byte_bpe.encoded(no_docs, *byte_bpe.default_vocabulary()).count() == 0
 
 
+def test_both_ways_meet_at_the_longest_piece_of_the_matrix():
+    """Pieces of LONG bytes and around it: the matrix, the way of longer pieces and the library agree."""
+    known, bpe, r = library(), byte_bpe.loaded(*byte_bpe.default_vocabulary()), random.Random(6)
+    for n in (byte_bpe.LONG - 1, byte_bpe.LONG, byte_bpe.LONG + 1):
+        for letters in ("ab", "abcdeinorst", "a", "thean"):
+            piece = "".join(r.choices(letters, k=n)).encode()
+            (matrix,), want = bpe._merge_bucket([piece], len(piece)), known.encode_ordinary(piece.decode())
+            assert matrix.tolist() == bpe._merge_long(piece).tolist() == bpe.merge([piece])[0].tolist() == want
+
+
 def test_a_full_table_starts_anew():
     path, pattern = byte_bpe.default_vocabulary()
     small = byte_bpe.ByteBPE(path, pattern, limit=3)
