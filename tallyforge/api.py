@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.measures import cost_kind, hit_rate, total_tokens
-from .operators import dedup, reports
+from .functions.scalars import project_name, zone_name
+from .operators import dedup, reports, sinks
 from .plans import forecast, pricing
-from .sources import SOURCES, codex
+from .sources import SOURCES, claude, codex
+from .sources.base import ALL
 
 
 @dataclass(frozen=True)
@@ -38,53 +41,170 @@ class Range:
         return cls(as_of.replace(day=1), as_of)
 
 
-PERIODS = {"daily": lambda days: days, "weekly": reports.weekly, "monthly": reports.monthly}
-KEYS = {"daily": "date", "weekly": "week", "monthly": "month"}
+PERIODS = {"daily": lambda days: days, "today": lambda days: days, "weekly": reports.weekly, "monthly": reports.monthly}
+KEYS = {"daily": "date", "today": "date", "weekly": "week", "monthly": "month"}
+#: Reports that all sources together give.
+TOGETHER = (*PERIODS, "models", "statusline")
 
 
-def facts(spark: SparkSession, source: str, root: str, zone: str = "UTC", wanted: Range = Range(), **options) -> DataFrame:
-    """Usage facts of a source, filtered by date and then deduplicated as the source asks."""
-    found = SOURCES.find(source)
-    rows, _ = found.facts(spark, root, zone, **options)
+@dataclass(frozen=True)
+class Loaded:
+    """Usage facts of a source: all in the range, those that count, and one row with valid, dedup_skipped and parse_errors."""
+
+    every: DataFrame
+    facts: DataFrame
+    quality: DataFrame
+
+
+def loaded(spark: SparkSession, source: str, root: str | dict[str, str], zone: str = "UTC", wanted: Range = Range(), **options) -> Loaded:
+    """Facts filtered by date and then deduplicated as the source asks; of all sources (root by name) each by itself."""
+    found, zone = SOURCES.find(source), zone_name(zone)
+    if found.name == ALL:
+        parts = [loaded(spark, name, path, zone, wanted) for name, path in root.items()]
+        if not parts:
+            raise ValueError("all sources need a root each, by name")
+        every, best, told = (reduce(DataFrame.unionByName, (getattr(p, f) for p in parts)) for f in ("every", "facts", "quality"))
+        return Loaded(every, best, told.agg(*[F.sum(c).alias(c) for c in told.columns]))
+    if options.get("scope", "all") != "all" and found.name != "codex":
+        raise ValueError("only codex has scopes")
+    rows, errors = found.facts(spark, root, zone, **options)
     rows = reports.in_range(rows, wanted.since, wanted.until)
-    return dedup.best_candidate(rows) if found.capabilities.dedup else rows
+    best = dedup.best_candidate(rows) if found.capabilities.dedup else rows
+    told = dedup.quality(rows, best) if found.capabilities.dedup else best.agg(F.count("*").alias("valid"), F.lit(0).cast("long").alias("dedup_skipped"))
+    return Loaded(rows, best, told.crossJoin(errors))  # one row each
 
 
-def report(spark: SparkSession, kind: str, source: str, root: str, prices: DataFrame, wanted: Range = Range(), zone: str = "UTC", strict: bool = False, **options) -> DataFrame:
-    """daily, weekly, monthly, session, project, blocks, endpoints, models or tools, with costs."""
-    can = SOURCES.find(source).capabilities
-    if kind == "tools":
-        if not can.tools:
-            raise ValueError(f"{source} has no tool calls")
-        from .sources import claude
+def facts(spark: SparkSession, source: str, root: str | dict[str, str], zone: str = "UTC", wanted: Range = Range(), **options) -> DataFrame:
+    """The usage facts that count."""
+    return loaded(spark, source, root, zone, wanted, **options).facts
+
+
+@dataclass(frozen=True)
+class Report:
+    """rows: sums and costs by keys and model. cost names the column that the report adds up: estimates are left out of all sources."""
+
+    kind: str
+    keys: tuple[str, ...]
+    rows: DataFrame
+    quality: DataFrame
+    label: str
+    cost: str = "cost"
+    cache_read: bool = True
+
+    def rolled(self) -> DataFrame:
+        """One row for each key."""
+        more = (F.sum("session_rows").alias("session_count"),) if self.kind == "project" else ()
+        out = sinks.rolled(self.rows, *self.keys, cost=self.cost, cache_read=self.cache_read, more=more)
+        return out.withColumn("project_name", project_name(F.col("project_path"))) if self.kind == "project" else out
+
+    def json(self, breakdown: bool = False, descending: bool = False) -> DataFrame:
+        """(place, json)"""
+        rows = self.rolled()
+        if self.kind in PERIODS:
+            return sinks.period_json(rows, self.keys[0], breakdown, self.quality, descending)
+        if self.kind == "statusline":
+            return sinks.statusline_json(rows, self.label, self.quality).select(F.lit(1).cast("long").alias("place"), "json")
+        if self.kind == "endpoints":
+            return sinks.endpoint_json(rows, self.quality)
+        made = {"session": sinks.session_json, "project": sinks.project_json, "blocks": sinks.block_json}
+        if self.kind not in made:
+            raise ValueError(f"{self.kind} has no JSON form of its own")
+        return made[self.kind](rows, self.quality, descending)
+
+    def csv(self, breakdown: bool = False, descending: bool = False, estimates: bool = False) -> DataFrame:
+        """(part, place, line)"""
+        rows = self.rolled()
+        if self.kind in PERIODS:
+            return sinks.period_breakdown_csv(rows, self.keys[0], self.quality, descending) if breakdown else sinks.period_csv(rows, self.keys[0], self.quality, descending, estimates)
+        made = {"session": sinks.session_csv, "project": sinks.project_csv, "blocks": sinks.block_csv}
+        if self.kind not in made:
+            raise ValueError(f"{self.kind} has no CSV form")
+        return made[self.kind](rows, self.quality, descending, estimates)
+
+    def table(self, short: bool = False, limit: int = 1000) -> str:
+        """Aligned text of at most limit rows, in order, with a total and, if lines were rejected, a note."""
+        key = self.keys[0]
+        rows = sinks.with_total_row(self.rolled(), key).orderBy("part", key)
+        note = self.quality.first()
+        text = sinks.text_table(sinks.display(rows, [key], short=short), limit)
+        return text + (f"\n{note['parse_errors']} lines could not be read" if note["parse_errors"] else "")
+
 
-        return reports.tool_counts(dedup.distinct_tool_calls(reports.in_range(claude.tool_calls(spark, root, zone), wanted.since or "0001-01-01", wanted.until)))
+def usage_report(spark: SparkSession, kind: str, source: str, root: str | dict[str, str], prices: DataFrame, wanted: Range = Range(), zone: str = "UTC", strict: bool = False, **options) -> Report:
+    """daily, today, weekly, monthly, session, project, blocks, endpoints, models or statusline, with costs."""
+    found, zone = SOURCES.find(source), zone_name(zone)
+    can = found.capabilities
+    if found.name == ALL and kind not in TOGETHER:
+        raise ValueError(f"all sources together give {', '.join(TOGETHER)}; name one source for {kind}")
     if {"project": not can.projects, "endpoints": not can.endpoints, "blocks": not can.blocks}.get(kind, False):
         raise ValueError(f"{source} does not support {kind}")
-    rows = facts(spark, source, root, zone, wanted, **options)
+    got = loaded(spark, source, root, zone, wanted, **options)
+    rows = got.facts
     if kind in PERIODS:
         keys, sums = [KEYS[kind]], PERIODS[kind](reports.daily(rows))
-    elif kind == "models":
+    elif kind in ("models", "statusline"):
         keys, sums = [], reports.models(reports.daily(rows))
     elif kind == "session":
-        keys, sums = ["session_key"], reports.sessions(rows, "model")
+        keys, sums = ["session_key", "session_id", "project_path", "first_timestamp", "last_timestamp", "last_ms"], reports.session_models(rows)
     elif kind == "project":
-        keys, sums = ["project_path"], reports.by(rows, "project_path", "model")
+        keys, sums = ["project_path"], reports.project_models(reports.session_models(rows))
     elif kind == "blocks":
-        keys = ["block_start", "utc_offset"]
-        sums = reports.by(rows.withColumn("block_start", reports.block_start(F.col("timestamp_ms"), zone)).withColumn("utc_offset", F.lit(0)), *keys, "model")
+        keys, sums = ["block_start", "block_end", "utc_offset"], with_block_times(reports.blocks(rows, zone, "model"))
     elif kind == "endpoints":
         keys, sums = ["endpoint"], reports.by(rows, "endpoint", "model")
     else:
         raise ValueError(f"no report {kind!r}")
-    priced = pricing.with_costs(sums, pricing.resolve(sums, prices, strict))
-    return priced.select(*keys, "model", *[c for c in priced.columns if c not in (*keys, "model", "rates")])
+    priced = pricing.with_costs(sums, pricing.resolve(got.every, prices, strict))
+    priced = priced.select(*keys, "model", *[c for c in priced.columns if c not in (*keys, "model", "rates")])
+    return Report(kind, tuple(keys), priced, got.quality, found.label, "real_cost" if found.name == ALL else "cost", can.cache_read)
+
+
+def with_block_times(rows: DataFrame) -> DataFrame:
+    """Start and end of blocks as text with their UTC offset."""
+    away = F.abs("utc_offset")
+    offset = F.concat(F.when(F.col("utc_offset") < 0, "-").otherwise("+"), F.lpad(F.floor(away / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((away % 60).cast("string"), 2, "0"))
+    at = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit(" "), offset)
+    return rows.withColumn("block_end", at(F.col("block_start") + F.expr(f"INTERVAL {reports.BLOCK_HOURS} HOURS"))).withColumn("block_start", at(F.col("block_start")))
+
+
+def report(spark: SparkSession, kind: str, source: str, root: str | dict[str, str], prices: DataFrame, wanted: Range = Range(), zone: str = "UTC", strict: bool = False, **options) -> DataFrame:
+    """The rows of usage_report by key and model, or the counts of tools."""
+    if kind == "tools":
+        return tools(spark, source, root, wanted, zone)
+    return usage_report(spark, kind, source, root, prices, wanted, zone, strict, **options).rows
+
+
+def tools(spark: SparkSession, source: str, root: str, wanted: Range = Range(), zone: str = "UTC") -> DataFrame:
+    """Distinct tool calls by name. Calls without a date are in no range, an open one included."""
+    if not SOURCES.find(source).capabilities.tools:
+        raise ValueError(f"{source} has no tool calls")
+    calls = claude.tool_calls(spark, root, zone_name(zone))
+    return reports.tool_counts(dedup.distinct_tool_calls(reports.in_range(calls, wanted.since or "0001-01-01", wanted.until)))
+
+
+def top(spark: SparkSession, dimension: str, source: str, root: str | dict[str, str], prices: DataFrame, limit: int = 10, wanted: Range = Range(), zone: str = "UTC", strict: bool = False) -> DataFrame:
+    """Models or projects by cost: rank, name, count of calls or sessions, tokens, share of what is shown."""
+    if dimension not in ("model", "project"):
+        raise ValueError("top ranks by model or project")
+    kind = {"model": "models", "project": "project"}[dimension]
+    got = usage_report(spark, kind, source, root, prices, wanted, zone, strict)
+    key = {"model": "model", "project": "project_path"}[dimension]
+    more = (F.sum("session_rows").alias("count"),) if dimension == "project" else (F.sum("call_count").alias("count"),)
+    rows = sinks.rolled(got.rows, key, cost=got.cost, cache_read=got.cache_read, more=more)
+    return reports.top(rows.withColumn("tokens", F.col("total_tokens")), key, limit)
+
+
+def budget(spark: SparkSession, source: str, root: str | dict[str, str], prices: DataFrame, limit: float, as_of: date, wanted: Range = Range(), zone: str = "UTC", strict: bool = False) -> DataFrame:
+    """Months against a budget; the month of as_of (no later than the end of the range) is projected."""
+    months = usage_report(spark, "monthly", source, root, prices, wanted, zone, strict).rolled()
+    day = min(as_of, wanted.until) if wanted.until else as_of
+    return forecast.monthly_budget(months, limit, day.isoformat()).withColumn("budget", F.lit(float(limit)))
 
 
 def summarize(spark: SparkSession, source: str, root: str, prices: DataFrame, wanted: Range, zone: str = "UTC", strict: bool = False) -> DataFrame:
-    """One row with totals, cost and the models by cost."""
-    rows = report(spark, "models", source, root, prices, wanted, zone, strict)
-    return _summary(rows)
+    """One row with totals, cost, the models by cost and data quality."""
+    got = usage_report(spark, "models", source, root, prices, wanted, zone, strict)
+    return _summary(got.rows).crossJoin(got.quality)  # one row each
 
 
 def _summary(rows: DataFrame, *keys: str) -> DataFrame:
@@ -96,31 +216,42 @@ def _summary(rows: DataFrame, *keys: str) -> DataFrame:
 
 def summarize_ranges(spark: SparkSession, source: str, root: str, prices: DataFrame, wanted: dict[str, Range], zone: str = "UTC", strict: bool = False) -> DataFrame:
     """A row for each named range from one scan; equal to one call of summarize for each."""
-    found = SOURCES.find(source)
-    rows, _ = found.facts(spark, root, zone)
+    found, zone = SOURCES.find(source), zone_name(zone)
+    rows, errors = found.facts(spark, root, zone)
     table = spark.createDataFrame([(n, r.since, r.until) for n, r in wanted.items()], "range_id string, since date, until date")
-    rows = reports.ranges(rows, table)
-    rows = dedup.best_candidate(rows, ("range_id",)) if found.capabilities.dedup else rows
-    sums = reports.by(rows, "range_id", "model")
-    return _summary(pricing.with_costs(sums, pricing.resolve(sums, prices, strict)), "range_id")
+    inside = reports.ranges(rows, table)
+    best = dedup.best_candidate(inside, ("range_id",)) if found.capabilities.dedup else inside
+    sums = reports.by(best, "range_id", "model")
+    told = _summary(pricing.with_costs(sums, pricing.resolve(rows, prices, strict)), "range_id")
+    all_, left = inside.groupBy("range_id").agg(F.count("message_id").alias("all")), best.groupBy("range_id").agg(F.count("message_id").alias("left"), F.count("*").alias("valid"))
+    quality = left.join(all_, "range_id").select("range_id", "valid", (F.col("all") - F.col("left") if found.capabilities.dedup else F.lit(0).cast("long")).alias("dedup_skipped"))
+    return told.join(quality, "range_id").crossJoin(errors)  # a row for each range, and one
 
 
 def weekly_quota(spark: SparkSession, root: str, now_s: int) -> DataFrame:
-    """The newest weekly quota and where it is heading."""
-    return forecast.quota_pace(codex.quota_snapshot(spark, root), F.lit(now_s).cast("long"))
+    """The newest weekly quota and where it is heading, in one row; error says why that cannot be told."""
+    return forecast.quota_pace(codex.quota_snapshot(spark, root, now_s), F.lit(now_s).cast("long"))
+
+
+class QuotaError(ValueError):
+    """No quota can be told; kind is the error of weekly_quota, or parse_errors."""
+
+    def __init__(self, kind: str):
+        super().__init__(f"no weekly quota: {kind}")
+        self.kind = kind
 
 
 def weekly_value(spark: SparkSession, root: str, prices: DataFrame, now_s: int, strict: bool = False) -> DataFrame:
     """What the whole quota window is worth at the pace so far; the reason if that cannot be told."""
     quota = weekly_quota(spark, root, now_s).first()
-    if quota is None:
-        raise ValueError("no quota snapshot")
+    if quota["error"] is not None:
+        raise QuotaError(quota["error"])
     rows = codex.scan(spark, root, missing_model="unknown-model")
     if not rows.where("rejected").isEmpty():
-        raise ValueError("some usage lines do not parse")
+        raise QuotaError("parse_errors")
     start, end = (quota["resets_at"] - quota["window_minutes"] * 60) * 1000, quota["observed_at"] * 1000
-    rows = dedup.best_candidate(rows.where(F.col("timestamp_ms").between(start, end)).drop("rejected"))
-    sums = reports.by(rows, "model")
-    sums = pricing.with_costs(sums, pricing.resolve(sums, prices, strict))
+    rows = rows.where(F.col("timestamp_ms").between(start, end)).drop("rejected")
+    sums = reports.by(dedup.best_candidate(rows), "model")
+    sums = pricing.with_costs(sums, pricing.resolve(rows, prices, strict))
     usage = sums.agg(F.sum(total_tokens()).alias("tokens"), pricing.known_sum().alias("cost"), F.collect_set(F.when(F.col("pricing_source") == "unknown", F.col("model"))).alias("unpriced"))
     return forecast.window_value(usage, F.lit(float(quota["used_percent"])))

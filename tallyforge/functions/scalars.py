@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import zoneinfo
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -55,6 +57,20 @@ def work_dir_slug(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, "^wd_(.+)_([0-9a-fA-F]{12})$", 1), F.lit(""))
 
 
+def zone_name(text: str | None) -> str:
+    """A time zone by name: none, blank and local are this machine's, z is UTC; anything else must be in the zone database."""
+    name = (text or "").strip()
+    if name.lower() in ("", "local"):
+        path = os.path.realpath("/etc/localtime")
+        name = os.environ.get("TZ") or (path.split("zoneinfo/")[-1] if "zoneinfo/" in path else "UTC")
+    elif name.lower() in ("utc", "z"):
+        name = "UTC"
+    try:
+        return zoneinfo.ZoneInfo(name).key
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError):
+        raise ValueError(f"no time zone {name!r}") from None
+
+
 def local_date(ts_ms: Column, zone: str) -> Column:
     """Calendar date in a zone of an instant in milliseconds."""
     return F.to_date(F.from_utc_timestamp(F.timestamp_millis(ts_ms), zone))

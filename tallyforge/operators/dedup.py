@@ -16,14 +16,14 @@ def scope() -> Column:
 def best_candidate(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row for each (keys, scope, message_id): the latest completed one, else the latest; ties go to the first seen.
 
-    Rows without an id stay only if completed. A struct ordered by (completed, time, first seen) makes the choice a
-    window over the key; the shuffle is on the full key, so no session or source gathers in one task.
+    Rows without an id stay only if completed. One pass over df: the shuffle is on the full key, and rows without an id are spread
+    by their place, so neither a session nor the id-less rows gather in one task.
     """
-    keyed = df.where("message_id IS NOT NULL").withColumn("__scope", scope())
+    spread = F.when(F.col("message_id").isNull(), F.xxhash64("file_path", "line_ord"))
+    keyed = df.where("message_id IS NOT NULL OR stop_reason IS NOT NULL").withColumn("__scope", scope()).withColumn("__spread", spread)
     order = [F.col("stop_reason").isNull(), F.desc("timestamp_ms"), "file_path", "line_ord"]
-    place = F.row_number().over(Window.partitionBy(*keys, "__scope", "message_id").orderBy(*order))
-    best = keyed.withColumn("__place", place).where("__place = 1").drop("__scope", "__place")
-    return best.unionByName(df.where("message_id IS NULL AND stop_reason IS NOT NULL"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__scope", "message_id", "__spread").orderBy(*order))
+    return keyed.withColumn("__place", place).where("__place = 1 OR message_id IS NULL").drop("__scope", "__spread", "__place")
 
 
 def quality(df: DataFrame, valid: DataFrame) -> DataFrame:
@@ -45,10 +45,12 @@ def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def distinct_tool_calls(df: DataFrame) -> DataFrame:
-    """Calls with a whole identity count once; calls without one all count."""
-    known = F.col("session_key").isNotNull() & F.col("message_id").isNotNull() & F.col("tool_use_id").isNotNull()
-    once = df.where(known).dropDuplicates(["session_key", "message_id", "tool_use_id"])
-    return once.unionByName(df.where(~known))
+    """Calls with a whole identity count once, those of the least name and date; calls without one all count."""
+    identity = ["session_key", "message_id", "tool_use_id"]
+    known = F.col(identity[0]).isNotNull() & F.col(identity[1]).isNotNull() & F.col(identity[2]).isNotNull()
+    rest = [c for c in df.columns if c not in identity]
+    once = df.where(known).groupBy(*identity).agg(F.min(F.struct(*sorted(rest, key=lambda c: (c != "name", c != "date", c)))).alias("__first"))
+    return once.select(*identity, *[F.col(f"__first.{c}").alias(c) for c in rest]).select(*df.columns).unionByName(df.where(~known))
 
 
 def upsert(ledger: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

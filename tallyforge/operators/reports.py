@@ -50,18 +50,33 @@ def with_total(rows: DataFrame, key: str) -> DataFrame:
     return rows.rollup(key, "model").agg(*resums(), F.grouping_id().alias("level"))
 
 
-def sessions(df: DataFrame, *more: str) -> DataFrame:
-    """By session: id and project of the first row, first and last timestamp."""
+def sessions(df: DataFrame, *more: str, at: bool = False) -> DataFrame:
+    """By session (and more): id and project of the first row, first and last timestamp; with at also the least column __at."""
     first = F.struct("timestamp_ms", "file_path", "line_ord")
     key = F.coalesce("session_key", "session_id").alias("session_key")
     return with_cost_parts(df).groupBy(key, *more).agg(
         F.min_by("session_id", F.struct("file_path", "line_ord")).alias("session_id"),
         F.min_by("project_path", F.struct("file_path", "line_ord")).alias("project_path"),
         F.min_by("timestamp", first).alias("first_timestamp"), F.max_by("timestamp", first).alias("last_timestamp"),
-        F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"), *sums(),
+        F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"), *sums(), *([F.min("__at").alias("__at")] if at else []),
     )
 
 
+def session_models(df: DataFrame) -> DataFrame:
+    """By session and model; id, project and span are those of the whole session. session_rows is 1 in one row of each session."""
+    rows = sessions(df.withColumn("__at", F.struct("file_path", "line_ord")), "model", at=True)
+    whole = Window.partitionBy("session_key")  # a row for each model of a session
+    first, last = F.struct("first_ms", "__at"), F.struct("last_ms", "__at")
+    named = {"session_id": F.min_by("session_id", "__at"), "project_path": F.min_by("project_path", "__at"), "first_timestamp": F.min_by("first_timestamp", first), "last_timestamp": F.max_by("last_timestamp", last), "first_ms": F.min("first_ms"), "last_ms": F.max("last_ms")}
+    told = rows.select(*[c for c in rows.columns if c not in (*named, "__at")], *[x.over(whole).alias(n) for n, x in named.items()], F.row_number().over(whole.orderBy("model")).alias("__n"))
+    return told.withColumn("session_rows", (F.col("__n") == 1).cast("long")).drop("__n")
+
+
+def project_models(session_rows: DataFrame) -> DataFrame:
+    """By project and model from session_models; sessions counts each session once, under one of its models."""
+    return session_rows.groupBy("project_path", "model").agg(F.sum("session_rows").alias("session_rows"), *resums())
+
+
 def projects(session_rows: DataFrame) -> DataFrame:
     """By project of sessions: a session belongs to the project it began in."""
     return session_rows.groupBy("project_path").agg(F.count("*").alias("session_count"), *resums())
@@ -74,11 +89,15 @@ def block_start(ts_ms: Column, zone: str = "UTC") -> Column:
     return F.date_trunc("day", local) + F.make_dt_interval(F.lit(0), hour.cast("int"))
 
 
-def blocks(df: DataFrame, zone: str = "UTC") -> DataFrame:
-    """By five-hour block and UTC offset, with the label HH:00-HH:00."""
-    start = block_start(F.col("timestamp_ms"), zone)
+def with_block(df: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Adds block_start and utc_offset (minutes): an hour that a clock shows twice is two blocks."""
     offset = F.expr(f"timestampdiff(MINUTE, timestamp_millis(timestamp_ms), from_utc_timestamp(timestamp_millis(timestamp_ms), '{zone}'))")
-    rows = by(df.withColumn("block_start", start).withColumn("utc_offset", offset), "block_start", "utc_offset")
+    return df.withColumn("block_start", block_start(F.col("timestamp_ms"), zone)).withColumn("utc_offset", offset)
+
+
+def blocks(df: DataFrame, zone: str = "UTC", *more: str) -> DataFrame:
+    """By five-hour block and UTC offset, with the label HH:00-HH:00."""
+    rows = by(with_block(df, zone), "block_start", "utc_offset", *more)
     end = F.col("block_start") + F.expr(f"INTERVAL {BLOCK_HOURS} HOURS")
     return rows.withColumn("label", F.concat(F.date_format("block_start", "HH:mm"), F.lit("-"), F.date_format(end, "HH:mm")))
 
@@ -95,20 +114,21 @@ def tool_counts(calls: DataFrame) -> DataFrame:
     return counts.withColumn("share", share).orderBy(F.desc("calls"), "name")
 
 
-def top(rows: DataFrame, name: str, limit: int = 10) -> DataFrame:
+def top(rows: DataFrame, name: str, limit: int = 10, cost: str = "cost") -> DataFrame:
     """The first rows by cost, unknown cost last, then tokens, then name; rank and share of the rows shown.
 
     The share is of cost if every row shown has a known positive cost, else of tokens. rows has name, cost, tokens.
     """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be from 1 to 1000")
-    order = [F.desc_nulls_last("cost"), F.desc("tokens"), F.asc(name)]
+    order = [F.desc_nulls_last(cost), F.desc("tokens"), F.asc(name)]
     shown = rows.orderBy(*order).limit(limit)  # TakeOrderedAndProject: at most limit rows go on
     all_ = Window.partitionBy()
-    by_cost = F.every(F.coalesce(F.col("cost") > 0, F.lit(False))).over(all_)
-    basis = F.when(by_cost, F.col("cost")).otherwise(F.col("tokens").cast("double"))
+    by_cost = F.every(F.coalesce(F.col(cost) > 0, F.lit(False))).over(all_)
+    basis = F.when(by_cost, F.col(cost)).otherwise(F.col("tokens").cast("double"))
     shown = shown.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("__basis", basis)
     whole = F.sum("__basis").over(all_)
+    shown = shown.withColumn("share_basis", F.when(by_cost, "cost").otherwise("tokens"))
     return shown.withColumn("share", F.when(whole > 0, F.round(F.col("__basis") * 100 / whole, 2)).otherwise(0.0)).drop("__basis")
 
 
@@ -120,4 +140,7 @@ def statusline(df: DataFrame) -> DataFrame:
 def ranges(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """Facts of several date ranges in one scan. wanted: range_id, since, until, a few rows given by the caller."""
     inside = (F.col("date") >= F.coalesce("since", F.lit("0001-01-01").cast("date"))) & (F.col("date") <= F.coalesce("until", F.lit("9999-12-31").cast("date")))
-    return df.join(F.broadcast(wanted), inside)
+    most = 10_000
+    if len(wanted.limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} ranges")
+    return df.join(F.broadcast(wanted), inside)  # its size has been checked

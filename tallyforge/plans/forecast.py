@@ -33,11 +33,12 @@ def quota_pace(snapshots: DataFrame, now_s: Column) -> DataFrame:
     """Projection of a usage window from (used_percent, window_minutes, resets_at, observed_at), times in seconds."""
     start = F.col("resets_at") - F.col("window_minutes") * 60
     elapsed = F.col("observed_at") - start
+    earlier = F.col("error") if "error" in snapshots.columns else F.lit(None).cast("string")
     problem = (
-        F.when(F.col("observed_at") > now_s + SKEW_S, "future").when(F.col("resets_at") <= now_s, "expired")
+        F.when(earlier.isNotNull(), earlier).when(F.col("observed_at") > now_s + SKEW_S, "future").when(F.col("resets_at") <= now_s, "expired")
         .when((elapsed <= 0) | (F.col("observed_at") > F.col("resets_at")), "bad_timing")
     )
-    rows = snapshots.select("*", start.alias("window_start"), elapsed.alias("elapsed_s"), problem.alias("error"))
+    rows = snapshots.select(*[c for c in snapshots.columns if c != "error"], start.alias("window_start"), elapsed.alias("elapsed_s"), problem.alias("error"))
     projected = F.when(F.col("error").isNull(), F.col("used_percent") * F.col("window_minutes") * 60 / F.col("elapsed_s"))
     rows = rows.withColumn("projected_percent", projected)
     runs_out = F.when(F.col("projected_percent") > 100, F.col("window_start") + F.round(F.col("elapsed_s") * 100 / F.col("used_percent")).cast("long"))
@@ -49,7 +50,7 @@ def window_value(usage: DataFrame, used_percent: Column) -> DataFrame:
     """Cost and tokens of a whole window from the part that was used. usage: one row with cost, tokens, unpriced."""
     error = (
         F.when(used_percent.isNull() | (used_percent <= 0), "zero_percent").when(F.col("tokens").isNull() | (F.col("tokens") == 0), "no_usage")
-        .when(F.size("unpriced") > 0, F.concat(F.lit("unpriced: "), F.array_join(F.array_sort("unpriced"), ", ")))
+        .when(F.size("unpriced") > 0, F.concat(F.lit("unpriced: "), F.array_join(F.array_sort("unpriced"), ", "))).when(~F.coalesce(F.col("cost") > 0, F.lit(False)), "no_priced_usage")
     )
     rows = usage.select("*", error.alias("error"))
     whole = lambda c: F.when(F.col("error").isNull(), F.col(c) * 100 / used_percent)

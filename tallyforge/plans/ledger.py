@@ -70,7 +70,8 @@ ledger AS (
 
 def price_table(spark: SparkSession) -> DataFrame:
     """PRICES as a table."""
-    return spark.createDataFrame(list(PRICES), "price_key string, " + ", ".join(f"{r} double" for r in RATES))
+    rows = ", ".join(f"({', '.join(repr(x) if isinstance(x, str) else f'{x!r}D' for x in p)})" for p in PRICES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(price_key, {', '.join(RATES)})")
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

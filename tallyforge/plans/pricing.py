@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import total_tokens
 from ..functions.scalars import dotted_version
 from ..schema import RATES
+from ..staging import staged
 
 # Fixed values: (name parts, input, output, cache read, cache write, cache write for an hour), USD for a million tokens;
 # the first row of which a part occurs in the model's name counts.
@@ -124,7 +125,7 @@ def resolve(models: DataFrame, prices: DataFrame, strict: bool = True) -> DataFr
     key = lambda k: F.struct(k.alias("key"), canonical(k).alias("canonical"))
     stage = lambda i, keys, f=key: F.transform(keys, lambda k: F.struct(F.lit(i).alias("stage"), f(k).alias("k")))
     itself = lambda k: F.struct(k.alias("key"), F.lower(k).alias("canonical"))
-    asked = models.select("model").where("model != ''").distinct()
+    asked = staged(models.select("model").where("model != ''").distinct().coalesce(1), "models")  # one column is read, once; what follows is small
     tried = asked.select("model", F.explode(F.concat(stage(1, F.array_distinct(F.array(m, F.lower(m))), itself), stage(2, exact_keys(m)), stage(3, _with_dotted(undated)))).alias("t"))
     tried = tried.select("model", "t.stage", F.col("t.k.key").alias("price_key"), F.col("t.k.canonical").alias("canonical"))
     hits = tried.join(listed, "price_key").select("model", "stage", "price_key", "canonical", "rates")
@@ -223,3 +224,9 @@ def converted(usd: Column, rates: dict[str, float], code: str) -> Column:
     if code != "USD" and code not in rates:
         raise ValueError(f"no exchange rate for {code}")
     return usd * F.lit(1.0 if code == "USD" else float(rates[code]))
+
+
+def diagnostics(resolved: DataFrame) -> DataFrame:
+    """A line for each model: what its price was matched to, and where it comes from."""
+    matched = F.when(F.col("source") == "fallback", "built-in fallback").otherwise(F.coalesce("matched", F.lit("no match")))
+    return resolved.select(F.format_string("Pricing: %s -> %s (%s)", "model", matched, "source").alias("line")).orderBy("line")

@@ -122,8 +122,12 @@ _KNOWN = f"CASE WHEN count(*) FILTER ({_HAS}) = 0 THEN 0 ELSE sum(cost) FILTER (
 
 def costed_days(spark: SparkSession, sf_dir: str, strict: bool = True) -> DataFrame:
     """Daily sums by model with their costs."""
-    days = reports.daily(facts(spark, sf_dir))
-    return pricing.with_costs(days, pricing.resolve(days, price_table(spark), strict))
+    return pricing.with_costs(reports.daily(facts(spark, sf_dir)), resolved_models(spark, sf_dir, strict))
+
+
+def resolved_models(spark: SparkSession, sf_dir: str, strict: bool = True) -> DataFrame:
+    """Prices of the models of the raw ledger, which needs one column of it."""
+    return pricing.resolve(events_ledger(spark, sf_dir), price_table(spark), strict)
 
 
 def shown(df: DataFrame, *keys: str) -> DataFrame:
@@ -207,9 +211,7 @@ def tool_counts(spark, sf_dir):
         F.col("role").alias("name"), F.col("conv_id").cast("string").alias("session_key"), F.floor(F.col("turn") / 4).cast("string").alias("message_id"),
         F.when(F.col("turn") % 3 != 0, F.floor(F.col("turn") / 2).cast("string")).alias("tool_use_id"),
     )
-    known = rows.where("tool_use_id IS NOT NULL").groupBy("session_key", "message_id", "tool_use_id").agg(F.min("name").alias("name"))
-    once = known.select(*rows.columns).unionByName(rows.where("tool_use_id IS NULL"))
-    return reports.tool_counts(dedup.distinct_tool_calls(once))
+    return reports.tool_counts(dedup.distinct_tool_calls(rows))
 
 
 @query(_with() + " SELECT scope, message_id, session_key, timestamp_ms, stop_reason, line_ord FROM deduped")
@@ -384,8 +386,8 @@ def token_cost(spark, sf_dir):
 @query(_with(_DAILY, _RESOLVE, _COSTED) + " SELECT model, CAST(sum(recorded_entries) AS BIGINT) AS recorded_entries, round(sum(recorded_usd), 6) AS recorded_usd, round(sum(p), 6) AS priced_usd FROM costed GROUP BY model")
 def recorded_vs_priced(spark, sf_dir):
     """Recorded cost beside the cost of what was priced locally."""
-    rows = costed_days(spark, sf_dir).join(pricing.resolve(events_ledger(spark, sf_dir), price_table(spark)).select("model", "rates").withColumnRenamed("rates", "r2"), "model", "left")
-    return rows.groupBy("model").agg(F.sum("recorded_entries").alias("recorded_entries"), F.round(F.sum("recorded_usd"), 6).alias("recorded_usd"), F.round(F.sum(pricing.token_cost("priced_", "r2")), 6).alias("priced_usd"))
+    rows = costed_days(spark, sf_dir)
+    return rows.groupBy("model").agg(F.sum("recorded_entries").alias("recorded_entries"), F.round(F.sum("recorded_usd"), 6).alias("recorded_usd"), F.round(F.sum(pricing.token_cost("priced_")), 6).alias("priced_usd"))
 
 
 _ACTUAL = ", ".join(f"greatest(priced_{t} - est_{t}, 0) AS actual_{t}" for t in TOKENS)
@@ -482,7 +484,7 @@ def weekly_value(spark, sf_dir):
     """The value of a quota window; models without a price make it unknown."""
     inside = facts(spark, sf_dir).where(F.col("timestamp_ms").between(1704153600000, 1704758400000))
     rows = reports.by(inside, "model")
-    rows = pricing.with_costs(rows, pricing.resolve(rows, price_table(spark)))
+    rows = pricing.with_costs(rows, resolved_models(spark, sf_dir))
     usage = rows.agg(F.sum(M.total_tokens()).alias("tokens"), pricing.known_sum().alias("cost"), F.collect_set(F.when(F.col("pricing_source") == "unknown", F.col("model"))).alias("unpriced"))
     return forecast.window_value(usage, F.lit(25.0)).select("tokens", "error", "value", "window_tokens")
 
@@ -506,7 +508,7 @@ def top_models(spark, sf_dir):
 def top_projects(spark, sf_dir):
     """Projects by cost with their shares."""
     rows = reports.by(facts(spark, sf_dir), "project_path", "model")
-    rows = pricing.with_costs(rows, pricing.resolve(rows, price_table(spark)))
+    rows = pricing.with_costs(rows, resolved_models(spark, sf_dir))
     rows = rows.groupBy("project_path").agg(pricing.known_sum().alias("cost"), F.sum(M.total_tokens()).alias("tokens"))
     return reports.top(rows, "project_path").select("rank", "project_path", F.round("cost", 5).alias("cost"), "tokens", "share")
 
@@ -532,7 +534,7 @@ def session_sort(spark, sf_dir):
 def project_sort_nulls(spark, sf_dir):
     """Projects by falling cost, unknown cost first."""
     rows = reports.by(facts(spark, sf_dir), "project_path", "model")
-    rows = pricing.with_costs(rows, pricing.resolve(rows, price_table(spark))).groupBy("project_path").agg(pricing.strict_sum().alias("cost"))
+    rows = pricing.with_costs(rows, resolved_models(spark, sf_dir)).groupBy("project_path").agg(pricing.strict_sum().alias("cost"))
     return ordered.placed(rows, [F.round("cost", 6).desc_nulls_first(), F.col("project_path")]).select("project_path", "place")
 
 

@@ -18,7 +18,7 @@ class Capabilities:
     """What reports a source supports."""
 
     projects: bool = False
-    blocks: bool = True
+    blocks: bool = False
     endpoints: bool = False
     tools: bool = False
     quota: bool = False
@@ -36,6 +36,7 @@ class Source:
     aliases: tuple[str, ...]
     capabilities: Capabilities
     scan: Callable[..., DataFrame]
+    label: str = ""
 
     def facts(self, spark: SparkSession, root: str, zone: str = "UTC", **options) -> tuple[DataFrame, DataFrame]:
         """(usage facts before dedup, one row with parse_errors)."""
@@ -50,26 +51,57 @@ def combined(sources: list[Source]) -> Capabilities:
     return Capabilities(**values)
 
 
+ALL = "all"
+
+
 class Registry(dict):
-    """Sources by lower-case name."""
+    """Sources by lower-case name, and all of them together as ``all``."""
+
+    def _scan_all(self, spark: SparkSession, roots: dict[str, str], zone: str = "UTC") -> DataFrame:
+        """Facts of every source that has a root."""
+        parts = [self.find(name).scan(spark, root, zone) for name, root in roots.items()]
+        if not parts:
+            raise ValueError("all sources need a root each, by name")
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
 
     def find(self, name: str) -> Source:
         """By name or alias, whatever the case."""
         wanted = name.strip().lower()
+        if wanted == ALL:
+            return Source(ALL, (), combined(list(self.values())), self._scan_all, "All Sources")
         for s in self.values():
             if wanted == s.name or wanted in s.aliases:
                 return s
-        near = did_you_mean(wanted, [x for s in self.values() for x in (s.name, *s.aliases)])
+        near = did_you_mean(wanted, [x for s in self.values() for x in (s.name, *s.aliases)] + [ALL])
         raise KeyError(f"no source {name!r}" + (f"; did you mean {near!r}?" if near else ""))
 
 
+def no_path(error: Exception) -> bool:
+    """Whether reading failed because a path is not there."""
+    return "PATH_NOT_FOUND" in str(error)
+
+
+def text_files(spark: SparkSession, paths: str | list[str], pattern: str, **options) -> DataFrame | None:
+    """Text of the files below a path, null if it is not there."""
+    try:
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, **options)
+    except Exception as e:
+        if not no_path(e):
+            raise
+        return None
+
+
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str, pattern: str = "*.jsonl", needle: str | None = None) -> DataFrame:
-    """Lines of JSON files below a path: file_path, line_ord, value, j (typed) and rejected.
+    """Lines of JSON files below a path: file_path, line_ord, value, j (typed) and rejected; none if the path is not there.
 
     A value of the wrong type in a typed field rejects the whole line. needle filters lines before they are parsed.
     """
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths)
-    lines = with_line_ordinals(text).where(F.trim("value") != "")
+    text = text_files(spark, paths, pattern)
+    lines = with_line_ordinals(text) if text is not None else spark.createDataFrame([], "value string, file_path string, line_ord long")
+    lines = lines.where(F.trim("value") != "")
     if needle is not None:
         lines = lines.where(F.col("value").contains(needle))
     parsed = F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
@@ -77,9 +109,16 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: str, pattern
 
 
 def whole_json(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
-    """Whole-file JSON documents: file_path and j."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return text.select(percent_decoded(F.col("_metadata.file_path")).alias("file_path"), "value", F.from_json("value", schema).alias("j"))
+    """Whole-file JSON documents: file_path and j; none if the path is not there."""
+    return whole_text(spark, root, pattern).select("file_path", "value", F.from_json("value", schema).alias("j"))
+
+
+def whole_text(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Whole files: file_path and value; none if the path is not there."""
+    text = text_files(spark, root, pattern, wholetext=True)
+    if text is None:
+        return spark.createDataFrame([], "file_path string, value string")
+    return text.select(percent_decoded(F.col("_metadata.file_path")).alias("file_path"), "value")
 
 
 def usage(df: DataFrame, zone: str, **columns: Column) -> DataFrame:

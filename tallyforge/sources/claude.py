@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, endpoint, instant_ms, local_date
+from ..functions.scalars import clamp, endpoint, instant_ms, local_date, model_name
 from .base import Capabilities, Source, file_stem, json_lines, part_from_end, usage
 
 LINE = (
@@ -32,7 +32,7 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     wide = F.when(m["id"].isNotNull(), F.concat(F.lit("source-wide:claude:"), m["id"]))
     return usage(
         rows, zone, source=F.lit("claude"), timestamp=F.col("j.timestamp"), message_id=wide, dedup_scope=F.lit(""), session_key=F.col("file_path"),
-        session_id=file_stem(F.col("file_path")), project_path=project(F.col("file_path")), model=F.coalesce(m["model"], F.lit("unknown")),
+        session_id=file_stem(F.col("file_path")), project_path=project(F.col("file_path")), model=F.coalesce(model_name(F.trim(m["model"])), F.lit("unknown")),
         input_tokens=clamp(u["input_tokens"]), output_tokens=clamp(u["output_tokens"]), cache_creation=created,
         cache_creation_1h=F.least(clamp(u["cache_creation"]["ephemeral_1h_input_tokens"]), created), cache_read=clamp(u["cache_read_input_tokens"]),
         stop_reason=m["stop_reason"], endpoint=endpoint(u["inference_geo"]),
@@ -50,4 +50,4 @@ def tool_calls(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     return calls.select(F.lit("claude").alias("source"), "b.name", local_date(instant_ms(F.col("t")), zone).alias("date"), "session_key", "message_id", F.col("b.id").alias("tool_use_id"))
 
 
-SOURCE = Source("claude", ("cc",), Capabilities(projects=True, endpoints=True, tools=True, cache_creation=True), scan)
+SOURCE = Source("claude", ("cc",), Capabilities(projects=True, blocks=True, endpoints=True, tools=True, cache_creation=True), scan, "Claude Code")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blank_to_null, instant_ms, split_overlap
 from ..operators.ordered import carried
-from .base import Capabilities, Source, file_stem, json_lines, usage
+from .base import Capabilities, Source, file_stem, json_lines, no_path, usage
 
 TOTALS = "struct<input_tokens:bigint,cached_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>"
 LIMIT = "struct<used_percent:double,window_minutes:bigint,resets_at:bigint>"
@@ -19,6 +19,7 @@ LINE = (
 FIELDS = ("input", "cached", "output", "reasoning", "total")
 SCOPES = ("all", "interactive", "exec", "subagent")
 WEEK_MINUTES = 10080
+MARGIN_MINUTES = 24 * 60
 DEFAULT_MODEL = "gpt-5"
 
 
@@ -46,7 +47,11 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC", scope: str = "all",
     rows = json_lines(spark, f"{root}/sessions", LINE)
     p, keys = F.col("j.payload"), (["file_path"], ["line_ord"])
     meta = F.col("j.type") == "session_meta"
-    rows = rows.withColumn("origin", carried(F.when(meta, F.struct(origin(p, F.col("value")).alias("o"))), *keys)["o"])
+    stateful = meta | (F.col("j.type") == "turn_context") | ((F.col("j.type") == "event_msg") & (p["type"] == "token_count"))
+    # Lines of a file meet in one task, in order; so only those that carry state or usage go there, without their text.
+    said = F.when(meta, F.struct(origin(p, F.col("value")).alias("o"))).alias("said")
+    rows = rows.where(F.col("rejected") | F.coalesce(stateful, F.lit(False))).select("file_path", "line_ord", "rejected", "j", said)
+    rows = rows.withColumn("origin", carried(F.col("said"), *keys)["o"])
     rows = rows.withColumn("logical", carried(F.when(meta, blank_to_null(p["id"])), *keys))
     wanted = F.lit(True) if scope == "all" else F.coalesce(F.col("origin") == scope, F.lit(False))
     counts = (F.col("j.type") == "event_msg") & (p["type"] == "token_count") & wanted & F.col("j.timestamp").isNotNull() & p["info"]["total_token_usage"].isNotNull()
@@ -75,16 +80,50 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC", scope: str = "all",
     )
 
 
-def quota_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest weekly rate limit: of each file its last one, of those the latest; the first file wins ties."""
-    rows = json_lines(spark, f"{root}/sessions", LINE, needle="rate_limits").where("NOT rejected")
+def recent_files(spark: SparkSession, root: str, now_s: int) -> list[str] | None:
+    """Session files that may hold the running week: by the date in their path or by their last change; null without a folder."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(f"{root}/sessions")
+    except Exception as e:
+        if not no_path(e):
+            raise
+        return None
+    path = F.col("_metadata.file_path")
+    since = F.timestamp_seconds(F.lit(now_s - (WEEK_MINUTES + MARGIN_MINUTES) * 60))
+    day = F.try_to_date(F.regexp_extract(path, r"/(\d{4}/\d{2}/\d{2})/[^/]*$", 1), "yyyy/MM/dd")
+    kept = files.where((day >= F.to_date(since)) | (F.col("_metadata.file_modification_time") >= since))
+    return [r[0] for r in kept.select(path.alias("p")).orderBy("p").collect()]  # names only; Spark lists them on the driver in any case
+
+
+def quota_snapshot(spark: SparkSession, root: str, now_s: int | None = None) -> DataFrame:
+    """The newest weekly rate limit in one row: of each file its last one, of those the latest; the first file wins ties.
+
+    error tells why there is none: sessions_not_found, snapshot_not_found, malformed_line (one after a file's last weekly limit; a
+    broken last line of a file is still being written and does not count) or invalid_percent. With now_s only recent files are read.
+    """
+    fields = "used_percent double, window_minutes long, resets_at long, observed_at long, file_path string, error string"
+    paths = [f"{root}/sessions"] if now_s is None else recent_files(spark, root, now_s)
+    if paths is None:
+        return spark.createDataFrame([(None,) * 5 + ("sessions_not_found",)], fields)
+    none = spark.createDataFrame([(None,) * 5 + ("snapshot_not_found",)], fields)
+    if not paths:
+        return none
+    rows = json_lines(spark, paths, LINE)
     limits = F.col("j.payload.rate_limits")
-    week = F.filter(F.array(limits["primary"], limits["secondary"]), lambda x: x["window_minutes"] == WEEK_MINUTES)
-    rows = rows.select("file_path", "line_ord", instant_ms(F.col("j.timestamp")).alias("observed_ms"), F.try_element_at(week, F.lit(1)).alias("w")).where("w IS NOT NULL AND observed_ms IS NOT NULL")
-    last = rows.groupBy("file_path").agg(F.max_by(F.struct("observed_ms", "w"), "line_ord").alias("s"))
-    best = last.orderBy(F.desc("s.observed_ms"), "file_path").limit(1)
-    ok = F.col("s.w.used_percent").between(0, 100)
-    return best.where(ok).select("s.w.used_percent", "s.w.window_minutes", "s.w.resets_at", (F.col("s.observed_ms") / 1000).cast("long").alias("observed_at"), "file_path")
+    week = F.try_element_at(F.filter(F.array(limits["primary"], limits["secondary"]), lambda x: x["window_minutes"] == WEEK_MINUTES), F.lit(1))
+    rows = rows.select("file_path", "line_ord", "rejected", instant_ms(F.col("j.timestamp")).alias("ms"), F.when(~F.col("rejected"), week).alias("w"))
+    hit = F.col("w").isNotNull() & F.col("ms").isNotNull()
+    files = rows.groupBy("file_path").agg(
+        F.max_by(F.when(hit, F.struct("ms", "w")), F.when(hit, F.col("line_ord"))).alias("s"), F.max(F.when(hit, F.col("line_ord"))).alias("at"),
+        F.max("line_ord").alias("last"), F.sort_array(F.collect_list(F.when(F.col("rejected"), F.col("line_ord")))).alias("bad"),
+    )
+    broken = F.exists("bad", lambda x: (x > F.coalesce("at", F.lit(-1))) & (x < F.col("last")))
+    files = files.select("file_path", "s", broken.alias("broken"))
+    malformed = F.max("broken").over(Window.partitionBy())  # a row for each file
+    best = files.withColumn("malformed", malformed).where("s IS NOT NULL OR malformed").orderBy(F.desc_nulls_last("s.ms"), "file_path").limit(1)
+    error = F.when(F.col("malformed"), "malformed_line").when(~F.coalesce(F.col("s.w.used_percent").between(0, 100), F.lit(False)), "invalid_percent")
+    found = best.select("s.w.used_percent", "s.w.window_minutes", "s.w.resets_at", F.floor(F.col("s.ms") / 1000).alias("observed_at"), "file_path", error.alias("error"))
+    return found.unionByName(none).orderBy(F.col("file_path").isNull(), F.col("error") == "snapshot_not_found").limit(1)
 
 
-SOURCE = Source("codex", ("cx",), Capabilities(quota=True, reasoning=True), scan)
+SOURCE = Source("codex", ("cx",), Capabilities(quota=True, reasoning=True), scan, "Codex")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, instant_ms, percent_decoded
-from .base import Capabilities, Source, usage
+from ..functions.scalars import clamp, instant_ms
+from .base import Capabilities, Source, usage, whole_text
 
 LISTS = ("usageEventsDisplay", "usageEvents", "events")
 
@@ -23,8 +23,7 @@ def _text(event: Column, *paths: str) -> Column:
 
 def scan(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     """Events with tokens or a charge; an id that comes again in a document counts once, the first."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    text = text.select("value", percent_decoded(F.col("_metadata.file_path")).alias("file_path"))
+    text = whole_text(spark, root, "*.json")
     listed = F.coalesce(*[F.get_json_object("value", f"$.{x}") for x in LISTS], F.when(F.ltrim("value").startswith("["), F.col("value")))
     events = F.from_json(listed, "array<string>")
     rows = text.select("file_path", F.posexplode_outer(events).alias("pos", "e"), events.isNull().alias("rejected")).withColumn("line_ord", F.coalesce(F.col("pos"), F.lit(0)).cast("long"))
@@ -53,4 +52,4 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     return out.withColumn("__first", first).where("rejected OR line_ord = __first").drop("__first")
 
 
-SOURCE = Source("cursor", ("cur",), Capabilities(cache_creation=True, dedup=False), scan)
+SOURCE = Source("cursor", ("cur",), Capabilities(cache_creation=True, dedup=False), scan, "Cursor")

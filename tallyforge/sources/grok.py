@@ -126,4 +126,4 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC", files: str = "unifie
     return unified(spark, root, zone) if files == "unified" else turns(spark, root, zone).unionByName(snapshots(spark, root, zone))
 
 
-SOURCE = Source("grok", ("gx",), Capabilities(projects=True, reasoning=True), scan)
+SOURCE = Source("grok", ("gx",), Capabilities(projects=True, reasoning=True, cache_creation=True), scan, "Grok")
