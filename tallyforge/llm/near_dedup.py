@@ -6,10 +6,9 @@ key. Two texts share a key with a probability that falls with their edit distanc
 move breaks their order. At the similarity of 0.8 texts of one length share about 0.4 of their k-mers even if the edits are evenly
 spaced, so a key is shared with a chance of about 1/16 and any of the 72 with 0.98 to 0.99 (scattered edits: above 0.99).
 With few words one edit may break every k-mer, so texts of at most SHORT words get SHORT_KEYS more keys from single words. Texts that share a key are a bucket, and every pair of a bucket is compared unless its texts are
-in one class already. The first round compares each text with the first and last of its bucket, in buckets over BIG texts
-also with those of longer keys. Where a bucket is still more than one component, its texts are dealt into blocks of about
-BLOCK, and each pair of blocks is a task that tells pairs apart by length and by counts of hashed word pairs (both exact bounds);
-what passes is the second round. A candidate counts if the banded edit distance of the two word sequences is at most
+in one class already. The first round compares each text with the first and last of its bucket. Where a bucket is still more than one component, its texts are dealt into blocks of about
+BLOCK, and each pair of blocks is a task of the second round, which tells pairs apart by exact bounds, aligns what passes and
+gives the links that join classes. A candidate counts if the banded edit distance of the two word sequences is at most
 (1 - SIMILARITY) of the longer one. Classes are the connected components of verified links.
 
 Equal texts are one node from the start, whatever their number. Links never come to the driver; components are found by
@@ -22,22 +21,21 @@ empty result; in ``keep_one`` all columns pass through and of rows with equal do
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, lookup, mix64, partitions, staged, table
+from .common import WORD, WordTable, lookup, mix64, partitions, staged, table
 
 K, ELL, SKETCHES = 3, 2, 72
 SHORT, SHORT_KEYS = 64, 16
 SIMILARITY = 0.8
-BIG = 64
 CHUNK_ROWS = 256
-BLOCK, MAX_BAG = 256, 13
+BLOCK, BLOCK_BYTES, MAX_BITS = 2048, 8 << 20, 16
 BATCH_WORDS = 1 << 18
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -185,28 +183,44 @@ def _distance_within(a: list, b: list, most: int) -> int:
     return distance
 
 
-def similar(a: list, b: list, bag: Counter, threshold: float = SIMILARITY) -> bool:
-    """Whether the aligned words of a and b reach the threshold; bag counts the words of a."""
-    longest = max(len(a), len(b))
-    most = int((1 - threshold) * longest + 1e-9)
+def pairs_of(words: list) -> set:
+    """Distinct pairs of adjacent words."""
+    return set(zip(words, words[1:]))
+
+
+def similar(a: list, b: list, pairs: set, threshold: float = SIMILARITY) -> bool:
+    """Whether the aligned words of a and b reach the threshold; pairs are those of a.
+
+    Bounds from both sides decide most cases before the alignment: what is left between a common start and end, words that differ
+    place by place, and word pairs that only a has, of which one edit makes at most two.
+    """
+    most = int((1 - threshold) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    other = Counter(b)
-    common = sum(min(n, bag[x]) for x, n in other.items() if x in bag)
-    return longest - common <= most and banded_distance(a, b, most) <= most
+    low, least = 0, min(len(a), len(b))
+    while low < least and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < least - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    if max(len(a), len(b)) - low - high <= most or (len(a) == len(b) and sum(map(ne, a, b)) <= most):
+        return True
+    if len(pairs.difference(zip(b, b[1:]))) > 2 * most:
+        return False
+    return banded_distance(a, b, most) <= most
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted: the leader of a chunk (role 0), then its candidates (role 1)."""
-    leader, words, bag = None, [], Counter()
+    leader, words, pairs = None, [], set()
     for batch in batches:
         links = []
         for a, role, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "node", "text"))):
             if role == 0:
                 if leader != a:
                     leader, words = a, (text or b"").split()
-                    bag = Counter(words)
-            elif leader == a and similar(words, (text or b"").split(), bag):
+                    pairs = pairs_of(words)
+            elif leader == a and similar(words, (text or b"").split(), pairs):
                 links.append((a, node))
         yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
@@ -221,120 +235,110 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
 
 
-def candidates(sets: DataFrame, rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame) -> DataFrame:
     """(a, b) of the first round: texts and the first or last text of a bucket that they fall in. rows: met(sets)."""
+    both = rows.select("node", F.explode(F.array("first", "last")).alias("a"))
+    return both.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
-    def stars(rows: DataFrame) -> DataFrame:
-        both = rows.select("node", F.explode(F.array("first", "last")).alias("a"))
-        return both.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-
-    found = stars(rows)
-    hot = rows.where((F.col("n") > BIG) & (F.col("node") == F.col("first"))).select("key")
-    if not hot.isEmpty():
-        cut = sets.select("node", "keys", F.posexplode("keys").alias("at", "key")).join(hot, "key")
-        after = lambda i: F.element_at("keys", ((F.col("at") + i) % F.size("keys") + 1).cast("int"))
-        longer = F.explode(F.array(F.xxhash64("key", after(1)), F.xxhash64("key", after(1), after(2), after(3)))).alias("key")
-        finer = cut.select("node", longer)
-        found = found.unionByName(stars(finer.join(_bucketed(finer), "key"))).distinct()
-    return found
 
+def map_bits(words: int) -> int:
+    """Bits in a text's map of word pairs: a power of two, four or more for each word, within bounds."""
+    return 1 << min(MAX_BITS, max(8, int(np.ceil(np.log2(4 * max(words, 1))))))
 
-def bag_width(words: int) -> int:
-    """Buckets of a bag: a power of two, at least twice the words of any text of the length class, within bounds."""
-    return 1 << min(MAX_BAG, max(6, int(np.ceil(np.log2(2.5 * max(words, 1))))))
 
-
-def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of words, and the counts of hashed pairs of adjacent words in the least type that holds them."""
-    table_ = WordTable()
-    for batch in batches:
-        sizes, bags = [], []
-        for text in batch.column("text").to_pylist():
-            hashes = table_.word_hashes(table_.rows((text or b"").split()))
-            table_.trim()
-            pairs = mix64(hashes[:-1] * _STEP + hashes[1:]) if len(hashes) else hashes
-            width = bag_width(len(hashes))
-            bag = np.bincount((pairs & np.uint64(width - 1)).astype(np.int64), minlength=width)
-            sizes.append(len(hashes))
-            bags.append(bag.astype(np.min_scalar_type(int(bag.max()))).tobytes())
-        yield pa.record_batch([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["node", "words", "bag"])
-
-
-def folded(bags: list[bytes], words: np.ndarray) -> np.ndarray:
-    """Bags of one width, the least that occurs: folding adds buckets, so common counts only grow."""
-    widths = [bag_width(int(n)) for n in words]
-    least = min(widths)
-    made = [np.frombuffer(x, f"u{len(x) // w}").reshape(-1, least).sum(axis=0, dtype=np.int64) for x, w in zip(bags, widths)]
-    return np.stack(made).astype(np.uint16 if max(int(x.max()) for x in made) < 1 << 16 else np.int64)
+def pair_maps(texts: list[list[bytes]], table_: WordTable) -> np.ndarray:
+    """A row of bits for each text: which hashed pairs of adjacent words it has. The width suits the longest text."""
+    width = map_bits(max(map(len, texts)))
+    bits = np.zeros((len(texts), width), bool)
+    for row, words in zip(bits, texts):
+        hashes = table_.word_hashes(table_.rows(words))
+        table_.trim()
+        if len(hashes) > 1:
+            row[(mix64(hashes[:-1] * _STEP + hashes[1:]) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by task (key, cls, kind, lo, hi), one or two blocks each: pairs of other roots that length and bag let pass.
+    """Links of each task (key, cls, i, j), whose rows come sorted: left texts (role 0) against each other if i is j, against those of
+    role 1 (another block) and of role 2 (the next shorter class).
 
-    One edit changes at most two pairs of adjacent words, so texts within d edits have all but 2 d of the longer one's in common.
+    A pair is looked at in the least bucket of the second round that both texts are in, and only while the task's links have not joined
+    its classes; so what leaves a task is at most a link for each of its classes. Before a pair is aligned it passes exact bounds: an edit
+    takes one word or two pairs of adjacent words from a text, so of texts within d edits neither has more than d distinct words, or
+    2 d pairs, that the other lacks.
     """
-    task, held = None, []
-
-    def compare() -> Iterator[pa.RecordBatch]:
-        node, root, words, side = (np.array(x, np.int64) for x in zip(*(x[:4] for x in held)))
-        bags = folded([x[4] for x in held], words)
-        inside = task[2] == 0 and task[3] == task[4]
-        right = np.flatnonzero(side == (0 if inside else 1))
-        us, vs = [], []
-        for i in np.flatnonzero(side == 0):
-            other = right[right > i] if inside else right
-            longest = np.maximum(words[other], words[i])
-            most = ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
-            fits = (root[other] != root[i]) & (np.abs(words[other] - words[i]) <= most)
-            other, least = other[fits], (longest - 1 - 2 * most)[fits]
-            other = other[np.minimum(bags[other], bags[i]).sum(axis=1, dtype=np.int64) >= least]
-            us.append(np.full(len(other), node[i]))
-            vs.append(node[other])
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+    table_, task, held = WordTable(), None, []
+
+    def compare() -> pa.RecordBatch:
+        node, root, role = (np.array(x, np.int64) for x in zip(*(x[:3] for x in held)))
+        keys, texts = [set(x[3]) for x in held], [x[4].split() for x in held]
+        size, maps, words = np.array(list(map(len, texts))), pair_maps(texts, table_), list(map(set, texts))
+        set_ = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        key, inside, links = task[0], task[2] == task[3], []
+        for x in np.flatnonzero(role == 0):
+            other = np.flatnonzero((root != root[x]) & ((role > 0) | (inside & (np.arange(len(role)) > x))))
+            most = ((1 - SIMILARITY) * np.maximum(size[other], size[x]) + 1e-9).astype(np.int64)
+            other, most = (c[np.abs(size[other] - size[x]) <= most] for c in (other, most))
+            lacking = np.maximum(set_[other], set_[x]) - np.bitwise_count(maps[other] & maps[x]).sum(axis=1, dtype=np.int64)
+            near = lacking <= 2 * most
+            own = None
+            for y, d in zip(other[near].tolist(), most[near].tolist()):
+                if root[x] == root[y] or min(keys[x] & keys[y]) != key or len(words[x] - words[y]) > d or len(words[y] - words[x]) > d:
+                    continue
+                own = own or pairs_of(texts[x])
+                if similar(texts[x], texts[y], own):
+                    links.append((int(node[x]), int(node[y])))
+                    root[root == root[y]] = root[x]
+        return pa.record_batch([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
 
     for batch in batches:
-        for *at, node, root, words, side, bag in zip(*(c.to_pylist() for c in batch.columns)):
+        for *at, node, root, role, keys, text in zip(*(c.to_pylist() for c in batch.columns)):
             if at != task:
                 if held:
-                    yield from compare()
+                    yield compare()
                 task, held = at, []
-            held.append((node, root, words, side, bag))
+            held.append((node, root, role, keys, text or b""))
     if held:
-        yield from compare()
+        yield compare()
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of the second round. members: key, node, root, words, bag.
+def block_links(inner: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of the second round: similar texts of other classes in one bucket. inner: key, node, root, staged.
 
-    Texts within the similarity have lengths of the same or the next class. A class of a bucket is dealt into blocks; a task
-    is two blocks of one class (kind 0) or one of a class and one of the next (kind 1).
+    A bucket of at most BLOCK texts and BLOCK_BYTES bytes is one task. In a larger one, texts within the similarity have lengths of the
+    same or the next class, and the texts of a class are dealt into blocks of that size at most. A task (i, j) of a class holds its block i with its block j, where j is not less, and with block j of the
+    next shorter class; texts are joined to the rows of tasks at the end, so they move once.
     """
-    spark = members.sparkSession
+    told = texts.join(inner.select("node").distinct(), "node", "left_semi").select("node", F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).alias("words"), F.octet_length("text").alias("bytes"))
+    buckets = inner.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most as many as a text has keys
+    told = staged(told.join(buckets, "node"), "dedup-told")
     cls = F.floor(F.log(F.greatest(F.col("words"), F.lit(1))) / -float(np.log(SIMILARITY))).cast("int")
-    classed = members.withColumn("cls", cls)
-    counts = classed.groupBy("key", "cls").count()
-    blocks = F.struct("cls", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    counts = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(blocks)).alias("blocks"), F.sum("count").alias("count"))  # lengths have few classes
-    counts = staged(counts, "dedup-blocks")
-    rows = lookup(classed, counts.drop("count"), "key", counts)
-    of = lambda step: F.try_element_at("blocks", F.col("cls") + step)
+    classed = inner.join(told, "node").withColumn("cls", cls)
+    counts = classed.groupBy("key", "cls").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"))
+    needs = lambda count, bytes_: F.greatest(F.ceil(count / BLOCK), F.ceil(bytes_ / BLOCK_BYTES)).cast("int")
+    blocks = F.map_from_entries(F.collect_list(F.struct("cls", needs(F.col("count"), F.col("bytes")))))  # lengths have few classes
+    counts = counts.groupBy("key").agg(blocks.alias("blocks"), needs(F.sum("count"), F.sum("bytes")).alias("whole"), F.sum("count").alias("count"))
+    counts = staged(counts.withColumn("blocks", F.when(F.col("whole") > 1, F.col("blocks"))).drop("whole"), "dedup-blocks")
+    rows = lookup(classed.drop("bytes", "words"), counts.drop("count"), "key", counts)
+    rows = rows.withColumn("cls", F.when(F.col("blocks").isNotNull(), F.col("cls")).otherwise(0)).withColumn("blocks", F.coalesce("blocks", F.create_map(F.lit(0), F.lit(1))))
+    of = lambda step: F.coalesce(F.try_element_at("blocks", F.col("cls") + step), F.lit(0))
     rows = rows.select("*", of(0).alias("own"), of(1).alias("above"), of(-1).alias("below")).withColumn("block", F.pmod(F.xxhash64("node"), "own").cast("int"))
 
-    def tasks(n: str, step: int, kind: int, lo, hi, side) -> Column:
-        made = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct((F.col("cls") + step).alias("cls"), F.lit(kind).alias("kind"), lo(x).alias("lo"), hi(x).alias("hi"), side(x).alias("side")))
-        return F.when(F.col(n).isNotNull(), made).otherwise(F.array().cast("array<struct<cls:int,kind:int,lo:int,hi:int,side:int>>"))
+    def tasks(n: Column, make) -> Column:
+        made = F.transform(F.sequence(F.lit(0), n - 1), make)
+        return F.when(n > 0, made).otherwise(F.array().cast("array<struct<cls:int,i:int,j:int,role:int>>"))
 
     block = F.col("block")
+    task = lambda step, i, j, role: F.struct((F.col("cls") + step).alias("cls"), i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     each = F.concat(
-        tasks("own", 0, 0, lambda x: F.least(block, x), lambda x: F.greatest(block, x), lambda x: (block > x).cast("int")),
-        tasks("above", 0, 1, lambda x: block, lambda x: x, lambda x: F.lit(0)),
-        tasks("below", -1, 1, lambda x: x, lambda x: block, lambda x: F.lit(1)),
+        tasks(F.greatest("own", "below"), lambda x: task(0, block, x, 0)),
+        tasks(block, lambda x: task(0, x, block, 1)),
+        tasks(F.col("above"), lambda x: task(1, x, block, 2)),
     )
-    at = ["key", "cls", "kind", "lo", "hi"]
-    dealt = rows.select("key", F.explode(each).alias("t"), "node", "root", "words", "bag").select("key", "t.cls", "t.kind", "t.lo", "t.hi", "node", "root", "words", "t.side", "bag")
-    return dealt.repartition(partitions(spark), *at).sortWithinPartitions(*at).mapInArrow(_pair_batches, "a long, b long").distinct()
+    at = ["key", "cls", "i", "j"]
+    dealt = rows.select("key", F.explode(each).alias("t"), "node", "root", "keys").select("key", "t.cls", "t.i", "t.j", "node", "root", "t.role", "keys")
+    dealt = dealt.join(texts, "node").select(*at, "node", "root", "role", "keys", "text")
+    return dealt.repartition(partitions(inner.sparkSession), *at).sortWithinPartitions(*at).mapInArrow(_pair_batches, "u long, v long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -360,8 +364,7 @@ def compared(sets: DataFrame, rows: DataFrame, pairs: DataFrame, texts: DataFram
     if mixed.isEmpty():
         return roots
     inner = staged(lookup(inner, mixed.select("key"), "key", mixed), "dedup-inner")
-    bags = texts.join(inner.select("node").distinct(), "node", "left_semi").mapInArrow(_bag_batches, "node long, words long, bag binary")
-    more = verified(staged(block_pairs(inner.join(staged(bags, "dedup-bags"), "node")), "dedup-more"), texts)
+    more = block_links(inner, texts)
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
@@ -398,7 +401,7 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = staged(sets.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.count("*").alias("count")), "dedup-nodes")
     one = sets.select("row", "keys").join(nodes.select("node"), F.col("row") == F.col("node")).select("node", "keys")
     rows = met(one)
-    pairs = staged(candidates(one, rows), "dedup-pairs")
+    pairs = staged(candidates(rows), "dedup-pairs")
     # Texts of the nodes that have candidates.
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("digest").alias("w"), "id")
     texts = plain.join(wanted, (F.col("digest") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")

@@ -217,6 +217,23 @@ def test_banded_distance():
         assert got == want if want <= most else got > most
 
 
+def test_bounds_decide_as_the_alignment_does():
+    r = random.Random(13)
+    for _ in range(1500):
+        a = [r.randint(0, 9) for _ in range(r.randint(0, 40))]
+        b = list(a) if r.random() < 0.8 else [r.randint(0, 9) for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 10)):
+            way, at = r.random(), r.randrange(len(b) + 1)
+            if way < 0.4 and at < len(b):
+                b[at] = r.randint(0, 9)
+            elif way < 0.7:
+                b.insert(at, r.randint(0, 9))
+            elif b:
+                b.pop(at % len(b))
+        want = distance_by_hand(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+        assert near_dedup.similar(a, b, near_dedup.pairs_of(a)) == want
+
+
 def classes_by_hand(rows):
     words = {i: (t or "").encode().split() for i, t in rows.items()}
     root = {i: i for i in rows}
@@ -227,7 +244,7 @@ def classes_by_hand(rows):
         return i
 
     for a, b in combinations(sorted(rows), 2):
-        if near_dedup.similar(words[a], words[b], Counter(words[a])):
+        if near_dedup.similar(words[a], words[b], near_dedup.pairs_of(words[a])):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: find(i) for i in rows}
@@ -305,7 +322,7 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
         return i
 
     for a, b in combinations(range(len(texts)), 2):
-        if keys[a] & keys[b] and near_dedup.similar(texts[a], texts[b], Counter(texts[a])):
+        if keys[a] & keys[b] and near_dedup.similar(texts[a], texts[b], near_dedup.pairs_of(texts[a])):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     sets, classes = near_dedup.classified(docs)
