@@ -6,9 +6,9 @@ key. Two texts share a key with a probability that falls with their edit distanc
 move breaks their order. At the similarity of 0.8 texts of one length share about 0.4 of their k-mers even if the edits are evenly
 spaced, so a key is shared with a chance of about 1/16 and any of the 72 with 0.98 to 0.99 (scattered edits: above 0.99).
 With few words one edit may break every k-mer, so texts of at most SHORT words get SHORT_KEYS more keys from single words. Texts that share a key are a bucket, and every pair of a bucket is compared unless its texts are
-in one class already. The first round compares each text with the first and last of its bucket. Where a bucket is still more than one component, its texts are dealt into blocks of about
-BLOCK, and each pair of blocks is a task of the second round, which tells pairs apart by exact bounds, aligns what passes and
-gives the links that join classes. A candidate counts if the banded edit distance of the two word sequences is at most
+in one class already. The first round compares each text with three of its bucket. Where a bucket is still more than one component, its texts are dealt into blocks of about
+BLOCK, and each pair of blocks is a task of the second round, which tells pairs apart by exact bounds on bit maps of words and word
+pairs; what passes is aligned. A candidate counts if the banded edit distance of the two word sequences is at most
 (1 - SIMILARITY) of the longer one. Classes are the connected components of verified links.
 
 Equal texts are one node from the start, whatever their number. Links never come to the driver; components are found by
@@ -21,7 +21,7 @@ empty result; in ``keep_one`` all columns pass through and of rows with equal do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import ne
 
 import numpy as np
@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordTable, lookup, mix64, partitions, staged, table
+from .common import WordTable, lookup, mix64, partitions, staged, table
 
 K, ELL, SKETCHES = 3, 2, 72
 SHORT, SHORT_KEYS = 64, 16
 SIMILARITY = 0.8
 CHUNK_ROWS = 256
-BLOCK, BLOCK_BYTES, MAX_BITS = 2048, 8 << 20, 16
+BLOCK, MAX_BITS, FEW = 2048, 16, 2
 BATCH_WORDS = 1 << 18
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -188,11 +188,37 @@ def pairs_of(words: list) -> set:
     return set(zip(words, words[1:]))
 
 
+def greedy_cost(a: list, b: list, most: int, reach: int = 8) -> int:
+    """Edits of one alignment of a and b, or more than most: after a difference it goes on at the nearest two equal words."""
+    i = j = cost = 0
+    n, m = len(a), len(b)
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for s in range(1, reach + 1):
+            if i + s <= n and j + s <= m and a[i + s : i + s + 2] == b[j + s : j + s + 2]:
+                i, j = i + s, j + s
+            elif i + s < n and a[i + s : i + s + 2] == b[j : j + 2]:
+                i += s
+            elif j + s < m and a[i : i + 2] == b[j + s : j + s + 2]:
+                j += s
+            else:
+                continue
+            cost += s
+            break
+        else:
+            return most + 1
+        if cost > most:
+            return cost
+    return cost + n - i + m - j
+
+
 def similar(a: list, b: list, pairs: set, threshold: float = SIMILARITY) -> bool:
     """Whether the aligned words of a and b reach the threshold; pairs are those of a.
 
     Bounds from both sides decide most cases before the alignment: what is left between a common start and end, words that differ
-    place by place, and word pairs that only a has, of which one edit makes at most two.
+    place by place, a greedy alignment, and word pairs that only a has, of which one edit makes at most two.
     """
     most = int((1 - threshold) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
@@ -203,7 +229,7 @@ def similar(a: list, b: list, pairs: set, threshold: float = SIMILARITY) -> bool
     high = 0
     while high < least - low and a[-1 - high] == b[-1 - high]:
         high += 1
-    if max(len(a), len(b)) - low - high <= most or (len(a) == len(b) and sum(map(ne, a, b)) <= most):
+    if max(len(a), len(b)) - low - high <= most or (len(a) == len(b) and sum(map(ne, a, b)) <= most) or greedy_cost(a, b, most) <= most:
         return True
     if len(pairs.difference(zip(b, b[1:]))) > 2 * most:
         return False
@@ -226,119 +252,124 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def met(sets: DataFrame) -> DataFrame:
-    """(key, node, first, last, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys."""
+    """(key, node, first, last, middle, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys."""
     rows = sets.select("node", F.explode("keys").alias("key"))
     return staged(rows.join(_bucketed(rows), "key"), "dedup-buckets")
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
+    return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("node", F.xxhash64("node", "key")).alias("middle"), F.count("*").alias("n")).where("n > 1")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of the first round: texts and the first or last text of a bucket that they fall in. rows: met(sets)."""
-    both = rows.select("node", F.explode(F.array("first", "last")).alias("a"))
+    """(a, b) of the first round: texts and the first, last or middle text of a bucket that they fall in. rows: met(sets)."""
+    both = rows.select("node", F.explode(F.array("first", "last", "middle")).alias("a"))
     return both.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
 
-def map_bits(words: int) -> int:
-    """Bits in a text's map of word pairs: a power of two, four or more for each word, within bounds."""
-    return 1 << min(MAX_BITS, max(8, int(np.ceil(np.log2(4 * max(words, 1))))))
+def bit_maps(words: list[bytes], table_: WordTable) -> tuple[bytes, bytes]:
+    """Bits for the hashed words of a text, and for its hashed pairs of adjacent words; four bits or more for each, within bounds."""
+    hashes = table_.word_hashes(table_.rows(words))
+    table_.trim()
+    width = 1 << min(MAX_BITS, max(8, int(np.ceil(np.log2(4 * max(len(words), 1))))))
+    out = []
+    for x in (hashes, mix64(hashes[:-1] * _STEP + hashes[1:]) if len(hashes) else hashes):
+        bits = np.zeros(width, bool)
+        bits[(x & np.uint64(width - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out[0], out[1]
+
+
+def _map_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table_ = WordTable()
+    for batch in batches:
+        texts = [(t or b"").split() for t in batch.column("text").to_pylist()]
+        maps = [bit_maps(t, table_) for t in texts]
+        yield pa.record_batch([batch.column("node"), pa.array(list(map(len, texts)), pa.int64()), pa.array([m for m, _ in maps], pa.binary()), pa.array([m for _, m in maps], pa.binary())], ["node", "words", "singles", "pairs"])
 
 
-def pair_maps(texts: list[list[bytes]], table_: WordTable) -> np.ndarray:
-    """A row of bits for each text: which hashed pairs of adjacent words it has. The width suits the longest text."""
-    width = map_bits(max(map(len, texts)))
-    bits = np.zeros((len(texts), width), bool)
-    for row, words in zip(bits, texts):
-        hashes = table_.word_hashes(table_.rows(words))
-        table_.trim()
-        if len(hashes) > 1:
-            row[(mix64(hashes[:-1] * _STEP + hashes[1:]) & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Maps of one width, the least that occurs: folding joins bits, so fewer of one map are missing in another."""
+    least = min(map(len, maps)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, least), axis=0) for x in maps])
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each task (key, cls, i, j), whose rows come sorted: left texts (role 0) against each other if i is j, against those of
-    role 1 (another block) and of role 2 (the next shorter class).
+def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) of each task (key, cls, i, j), whose rows come sorted: left texts (role 0) against each other if i is j, against those
+    of role 1 (another block) and of role 2 (the next shorter class).
 
-    A pair is looked at in the least bucket of the second round that both texts are in, and only while the task's links have not joined
-    its classes; so what leaves a task is at most a link for each of its classes. Before a pair is aligned it passes exact bounds: an edit
-    takes one word or two pairs of adjacent words from a text, so of texts within d edits neither has more than d distinct words, or
-    2 d pairs, that the other lacks.
+    Pairs of other roots count that pass exact bounds: an edit takes one word or two pairs of adjacent words from a text, so of texts
+    within d edits neither has more than d distinct words, or 2 d pairs, that the other lacks. With few, a text gives only the
+    likeliest so many for each other root.
     """
-    table_, task, held = WordTable(), None, []
-
-    def compare() -> pa.RecordBatch:
-        node, root, role = (np.array(x, np.int64) for x in zip(*(x[:3] for x in held)))
-        keys, texts = [set(x[3]) for x in held], [x[4].split() for x in held]
-        size, maps, words = np.array(list(map(len, texts))), pair_maps(texts, table_), list(map(set, texts))
-        set_ = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        key, inside, links = task[0], task[2] == task[3], []
-        for x in np.flatnonzero(role == 0):
-            other = np.flatnonzero((root != root[x]) & ((role > 0) | (inside & (np.arange(len(role)) > x))))
-            most = ((1 - SIMILARITY) * np.maximum(size[other], size[x]) + 1e-9).astype(np.int64)
-            other, most = (c[np.abs(size[other] - size[x]) <= most] for c in (other, most))
-            lacking = np.maximum(set_[other], set_[x]) - np.bitwise_count(maps[other] & maps[x]).sum(axis=1, dtype=np.int64)
-            near = lacking <= 2 * most
-            own = None
-            for y, d in zip(other[near].tolist(), most[near].tolist()):
-                if root[x] == root[y] or min(keys[x] & keys[y]) != key or len(words[x] - words[y]) > d or len(words[y] - words[x]) > d:
-                    continue
-                own = own or pairs_of(texts[x])
-                if similar(texts[x], texts[y], own):
-                    links.append((int(node[x]), int(node[y])))
-                    root[root == root[y]] = root[x]
-        return pa.record_batch([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
 
-    for batch in batches:
-        for *at, node, root, role, keys, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if at != task:
-                if held:
-                    yield compare()
-                task, held = at, []
-            held.append((node, root, role, keys, text or b""))
-    if held:
-        yield compare()
-
-
-def block_links(inner: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) of the second round: similar texts of other classes in one bucket. inner: key, node, root, staged.
-
-    A bucket of at most BLOCK texts and BLOCK_BYTES bytes is one task. In a larger one, texts within the similarity have lengths of the
-    same or the next class, and the texts of a class are dealt into blocks of that size at most. A task (i, j) of a class holds its block i with its block j, where j is not less, and with block j of the
-    next shorter class; texts are joined to the rows of tasks at the end, so they move once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
+
+        def compare() -> pa.RecordBatch:
+            node, root, role, size = (np.array(x, np.int64) for x in zip(*(x[:4] for x in held)))
+            maps = [folded([x[k] for x in held]) for k in (4, 5)]
+            counts = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in maps]
+            us, vs = [], []
+            for x in np.flatnonzero(role == 0):
+                other = np.flatnonzero((root != root[x]) & ((role > 0) | ((task[2] == task[3]) & (np.arange(len(role)) > x))))
+                most = ((1 - SIMILARITY) * np.maximum(size[other], size[x]) + 1e-9).astype(np.int64)
+                keep = np.abs(size[other] - size[x]) <= most
+                for m, c, edit in zip(maps, counts, (1, 2)):
+                    other, most = other[keep], most[keep]
+                    lacking = np.maximum(c[other], c[x]) - np.bitwise_count(m[other] & m[x]).sum(axis=1, dtype=np.int64)
+                    keep = lacking <= edit * most
+                other, lacking = other[keep], lacking[keep]
+                if few and len(other) > few:
+                    by = np.lexsort((lacking, root[other]))
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(root[other][by])) + 1])
+                    place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+                    other = other[by[place < few]]
+                us.append(np.full(len(other), node[x]))
+                vs.append(node[other])
+            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+            return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+        for batch in batches:
+            for *at, node, root, role, size, singles, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != task:
+                    if held:
+                        yield compare()
+                    task, held = at, []
+                held.append((node, root, role, size, singles, pairs))
+        if held:
+            yield compare()
+
+    return run
+
+
+def block_pairs(members: DataFrame, roots: DataFrame, few: int) -> DataFrame:
+    """(a, b) of the second round, staged. members: node, words, singles, pairs and buckets, an array of (key, n).
+
+    A bucket of n texts is one task if n is at most BLOCK. In a larger one, texts within the similarity have lengths of the same or the
+    next class, and the texts of a class are dealt into n / BLOCK blocks: a task (i, j) of a class holds its block i with its block j,
+    where j is not less, and with block j of the next shorter class.
     """
-    told = texts.join(inner.select("node").distinct(), "node", "left_semi").select("node", F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).alias("words"), F.octet_length("text").alias("bytes"))
-    buckets = inner.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most as many as a text has keys
-    told = staged(told.join(buckets, "node"), "dedup-told")
     cls = F.floor(F.log(F.greatest(F.col("words"), F.lit(1))) / -float(np.log(SIMILARITY))).cast("int")
-    classed = inner.join(told, "node").withColumn("cls", cls)
-    counts = classed.groupBy("key", "cls").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"))
-    needs = lambda count, bytes_: F.greatest(F.ceil(count / BLOCK), F.ceil(bytes_ / BLOCK_BYTES)).cast("int")
-    blocks = F.map_from_entries(F.collect_list(F.struct("cls", needs(F.col("count"), F.col("bytes")))))  # lengths have few classes
-    counts = counts.groupBy("key").agg(blocks.alias("blocks"), needs(F.sum("count"), F.sum("bytes")).alias("whole"), F.sum("count").alias("count"))
-    counts = staged(counts.withColumn("blocks", F.when(F.col("whole") > 1, F.col("blocks"))).drop("whole"), "dedup-blocks")
-    rows = lookup(classed.drop("bytes", "words"), counts.drop("count"), "key", counts)
-    rows = rows.withColumn("cls", F.when(F.col("blocks").isNotNull(), F.col("cls")).otherwise(0)).withColumn("blocks", F.coalesce("blocks", F.create_map(F.lit(0), F.lit(1))))
-    of = lambda step: F.coalesce(F.try_element_at("blocks", F.col("cls") + step), F.lit(0))
-    rows = rows.select("*", of(0).alias("own"), of(1).alias("above"), of(-1).alias("below")).withColumn("block", F.pmod(F.xxhash64("node"), "own").cast("int"))
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("length", cls)
 
     def tasks(n: Column, make) -> Column:
         made = F.transform(F.sequence(F.lit(0), n - 1), make)
         return F.when(n > 0, made).otherwise(F.array().cast("array<struct<cls:int,i:int,j:int,role:int>>"))
 
-    block = F.col("block")
-    task = lambda step, i, j, role: F.struct((F.col("cls") + step).alias("cls"), i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
-    each = F.concat(
-        tasks(F.greatest("own", "below"), lambda x: task(0, block, x, 0)),
-        tasks(block, lambda x: task(0, x, block, 1)),
-        tasks(F.col("above"), lambda x: task(1, x, block, 2)),
-    )
+    def dealt(bucket: Column) -> Column:
+        blocks = F.ceil(bucket["n"] / BLOCK).cast("int")
+        large = blocks > 1
+        cls, block = F.when(large, F.col("length")).otherwise(0), F.pmod(F.xxhash64("node"), blocks).cast("int")
+        task = lambda step, i, j, role: F.struct((cls + step).alias("cls"), i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+        each = F.concat(tasks(blocks, lambda x: task(0, block, x, 0)), tasks(block, lambda x: task(0, x, block, 1)), tasks(F.when(large, blocks).otherwise(0), lambda x: task(1, x, block, 2)))
+        return F.transform(each, lambda t: F.struct(bucket["key"].alias("key"), t.alias("t")))
+
     at = ["key", "cls", "i", "j"]
-    dealt = rows.select("key", F.explode(each).alias("t"), "node", "root", "keys").select("key", "t.cls", "t.i", "t.j", "node", "root", "t.role", "keys")
-    dealt = dealt.join(texts, "node").select(*at, "node", "root", "role", "keys", "text")
-    return dealt.repartition(partitions(inner.sparkSession), *at).sortWithinPartitions(*at).mapInArrow(_pair_batches, "u long, v long")
+    rows = rooted.select(F.explode(F.flatten(F.transform("buckets", dealt))).alias("d"), "node", "root", "words", "singles", "pairs")
+    rows = rows.select("d.key", "d.t.cls", "d.t.i", "d.t.j", "node", "root", "d.t.role", "words", "singles", "pairs")
+    lined = rows.repartition(partitions(members.sparkSession), *at).sortWithinPartitions(*at)
+    return staged(lined.mapInArrow(_pair_batches(few), "a long, b long").distinct(), "dedup-more")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -353,19 +384,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return lined.select("a", "role", "node", "text").mapInArrow(_verify_batches, "u long, v long")
 
 
-def compared(sets: DataFrame, rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """components() of all similar pairs that share a bucket; pairs are those of the first round."""
+def compared(rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """components() of all similar pairs that share a bucket; pairs are those of the first round.
+
+    The second round looks at the buckets whose texts are not one component yet, first at the FEW likeliest pairs of a text and a
+    component, which join most that belong together, and then at all that are left.
+    """
     roots = components(verified(pairs, texts))
-    # Pairs with the first or last text are done; the others count where they are not yet one component.
-    inner = rows.where((F.col("n") > 3) & (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))).select("key", "node")
-    inner = inner.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    inner = rows.where("n > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = inner.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x"), F.count("*").alias("count")).where("m < x")
     mixed = staged(mixed.select("key", "count"), "dedup-mixed")
     if mixed.isEmpty():
         return roots
-    inner = staged(lookup(inner, mixed.select("key"), "key", mixed), "dedup-inner")
-    more = block_links(inner, texts)
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    inner = lookup(inner.drop("root"), mixed.select("key"), "key", mixed)
+    inner = inner.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("buckets"))  # at most as many as a text has keys
+    inner = staged(inner, "dedup-inner")
+    maps = texts.join(inner.select("node"), "node", "left_semi").mapInArrow(_map_batches, "node long, words long, singles binary, pairs binary")
+    members = staged(maps.join(inner, "node"), "dedup-members")
+    for few in (FEW, 0):
+        more = block_pairs(members, roots, few)
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(more, texts)))
+    return roots
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -406,7 +446,7 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("digest").alias("w"), "id")
     texts = plain.join(wanted, (F.col("digest") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     texts = staged(texts, "dedup-texts")
-    roots = compared(one, rows, pairs, texts)
+    roots = compared(rows, pairs, texts)
     rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-rooted")
     named = staged(rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("count")), "dedup-named")
     classes = lookup(rooted, named.select("root", "class_id"), "root", named)

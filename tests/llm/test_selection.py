@@ -232,6 +232,7 @@ def test_bounds_decide_as_the_alignment_does():
                 b.pop(at % len(b))
         want = distance_by_hand(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
         assert near_dedup.similar(a, b, near_dedup.pairs_of(a)) == want
+        assert near_dedup.greedy_cost(a, b, 99) >= distance_by_hand(a, b)
 
 
 def classes_by_hand(rows):
