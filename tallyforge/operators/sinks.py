@@ -105,7 +105,7 @@ def endpoint_json(rows: DataFrame, quality: DataFrame | None = None) -> DataFram
 
 def csv_cost(c: Column) -> Column:
     """Six decimals, N/A if unknown."""
-    return F.when(c.isNull(), "N/A").otherwise(F.format_string("%.6f", c))
+    return F.when(c.isNull(), "N/A").otherwise(F.format_string("%.6f", F.round(c, 9)))  # sums differ in their last digits by the order of rows
 
 
 def csv_rate(c: Column) -> Column:
@@ -178,7 +178,7 @@ def top_csv(rows: DataFrame, dimension: str) -> DataFrame:
     """rows: rank, the dimension, count, the sums, cost and share."""
     cells = {"rank": csv_field(F.col("rank")), dimension: csv_field(F.col(dimension)), "count": csv_field(F.col("count"))}
     cells |= {a: csv_field(F.col(a)) for a in ("input_tokens", "output_tokens", "cache_creation", "cache_read")} | {"cache_hit_rate": csv_rate(F.col("cache_hit_rate")), "reasoning_tokens": csv_field(F.col("reasoning_tokens")), "total_tokens": csv_field(F.col("tokens"))}
-    cells |= {"share_percent": F.format_string("%.2f", "share"), "cost_usd": F.when(F.col("cost").isNull(), "N/A").otherwise(F.format_string("%.5f", "cost"))}
+    cells |= {"share_percent": F.format_string("%.2f", "share"), "cost_usd": F.when(F.col("cost").isNull(), "N/A").otherwise(F.format_string("%.5f", F.round("cost", 9)))}
     return csv_report(rows, cells, [F.col("rank")])
 
 

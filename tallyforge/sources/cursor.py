@@ -25,8 +25,9 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     """Events with tokens or a charge; an id that comes again in a document counts once, the first."""
     text = whole_text(spark, root, "*.json")
     listed = F.coalesce(*[F.get_json_object("value", f"$.{x}") for x in LISTS], F.when(F.ltrim("value").startswith("["), F.col("value")))
-    events = F.from_json(listed, "array<string>")
-    rows = text.select("file_path", F.posexplode_outer(events).alias("pos", "e"), events.isNull().alias("rejected")).withColumn("line_ord", F.coalesce(F.col("pos"), F.lit(0)).cast("long"))
+    events = text.select("file_path", F.from_json(listed, "array<string>").alias("events")).where("events IS NULL OR size(events) > 0")
+    rows = events.select("file_path", F.posexplode_outer("events").alias("pos", "e"))  # only a document without a list gives a row without a place
+    rows = rows.select("file_path", "e", F.col("pos").isNull().alias("rejected"), F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("line_ord"))
     e = F.col("e")
     said = _text(e, "timestamp", "createdAt", "time")
     ms = F.coalesce(instant_ms(said), F.when(said.rlike(r"^-?\d+$"), said.cast("long")), _number(e, "timestamp", "createdAt", "unixMs", "timestampMs").cast("long"))

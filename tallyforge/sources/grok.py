@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp, instant_ms, percent_decoded, split_overlap
 from ..operators.ordered import snapshot_tokens
 from ..plans.pricing import tiered_cost
+from ..schema import USAGE
+from ..streaming.ledgers import Ledger
 from .base import Capabilities, Source, json_lines, part_from_end, usage, whole_json
 
 UNIFIED = "ts string, sid string, msg string, ctx struct<loop_index:bigint,prompt_tokens:bigint,cached_prompt_tokens:bigint,completion_tokens:bigint,reasoning_tokens:bigint>"
@@ -121,6 +123,15 @@ def snapshots(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     )
 
 
+def durable(spark: SparkSession, root: str, ledger: str, zone: str = "UTC") -> DataFrame:
+    """Inferences of the log and of all runs before, by their key; the log may be gone. A log with lines that do not parse changes nothing."""
+    rows = unified(spark, root, zone)
+    kept = Ledger(spark, ledger, USAGE, "message_id", "line_ord")
+    if rows.where("rejected").isEmpty():
+        kept.add(rows.drop("rejected"))
+    return kept.read()
+
+
 def scan(spark: SparkSession, root: str, zone: str = "UTC", files: str = "unified") -> DataFrame:
     """Inferences of the unified log, or (files = sessions) turns and snapshots of the session folders."""
     return unified(spark, root, zone) if files == "unified" else turns(spark, root, zone).unionByName(snapshots(spark, root, zone))

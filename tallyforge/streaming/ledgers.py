@@ -5,49 +5,77 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dedup import last_by, upsert
+from ..staging import local_path, staged
+
+
+BUCKETS = 64
 
 
 class Ledger:
     """A durable table of the last record for each key, fed by micro-batches.
 
-    Each batch writes a new version beside the old one and then a one-row pointer, both by Spark's commit protocol, so a
-    reader sees a whole version and a batch that is repeated after a failure gives the same version.
+    Keys are dealt into buckets. A batch rewrites the buckets that it touches under a new version, and then a pointer says, by Spark's
+    commit protocol, which version holds each of them; so a reader sees whole buckets of finished batches, and a batch that is
+    repeated after a failure gives the same ledger. Versions that no pointer of the last two batches names are removed.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, order: str):
         self.spark, self.path, self.schema, self.key, self.order = spark, path.rstrip("/"), schema, key, order
-        self.pointer = "batch long, version string"
+        self.pointer = "batch long, bucket int, version string"
 
-    def _last(self):
+    def _pointers(self) -> list:
+        """(batch, bucket, version) of the newest batch, one for each bucket that holds anything."""
         try:
             rows = self.spark.read.schema(self.pointer).parquet(f"{self.path}/pointer")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return None
-        return rows.orderBy(F.desc("batch")).first()
+            return []
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == last).collect()  # at most BUCKETS rows
 
-    def read(self) -> DataFrame:
-        """The newest whole version."""
-        last = self._last()
-        if last is None:
+    def _buckets(self, pointers: list) -> DataFrame:
+        paths = [f"{self.path}/versions/{p['version']}/bucket={p['bucket']}" for p in pointers if p["version"]]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/versions/{last['version']}")
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def read(self) -> DataFrame:
+        """The newest whole ledger."""
+        return self._buckets(self._pointers())
+
+    def add(self, rows: DataFrame) -> None:
+        """Merge rows as the batch after the last."""
+        self.merge(rows, max((p["batch"] for p in self._pointers()), default=-1) + 1)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch function."""
-        last = self._last()
-        if last is not None and last["batch"] >= batch_id:
+        held = self._pointers()
+        if held and held[0]["batch"] >= batch_id:
             return
         version = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"
-        fresh = last_by(batch, [self.key], self.order)
-        upsert(self.read(), fresh, self.key, self.order).write.parquet(f"{self.path}/versions/{version}")
-        self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch"), F.lit(version).alias("version")).write.mode("append").parquet(f"{self.path}/pointer")
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
+        fresh = staged(last_by(batch, [self.key], self.order), "ledger-batch")
+        touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # at most BUCKETS
+        old = self._buckets([p for p in held if p["bucket"] in touched])
+        merged = upsert(old, fresh, self.key, self.order).withColumn("bucket", bucket)
+        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/versions/{version}")
+        kept = {p["bucket"]: p["version"] for p in held} | dict.fromkeys(touched, version)
+        rows = [(batch_id, b, v) for b, v in sorted(kept.items())] or [(batch_id, 0, "")]
+        self.spark.createDataFrame(rows, self.pointer).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+        self._clean(set(kept.values()) | {p["version"] for p in held})
+
+    def _clean(self, named: set[str]) -> None:
+        files, base = local_path(f"{self.path}/versions")
+        for info in files.get_file_info(FileSelector(base, allow_not_found=True)):
+            if info.base_name not in named:
+                files.delete_dir(info.path)
 
     def follow(self, stream: DataFrame, checkpoint: str):
         """Start feeding the ledger from a stream."""
