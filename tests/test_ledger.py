@@ -184,3 +184,10 @@ def test_ranges_equal_single_calls(spark, tmp_path, prices):
 
 def test_rates_schema():
     assert len(RATES) == 6 and all(len(row) == 6 for row in pricing.FALLBACK)
+
+
+def test_zone_names():
+    assert scalars.zone_name(" Z ") == scalars.zone_name("utc") == "UTC" and scalars.zone_name("Europe/Berlin") == "Europe/Berlin"
+    assert scalars.zone_name(None) == scalars.zone_name("local")
+    with pytest.raises(ValueError):
+        scalars.zone_name("Mars/Base")

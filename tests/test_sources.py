@@ -1,13 +1,16 @@
 """Small logs of every format with hand-derived facts."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge import api
 from tallyforge.operators.dedup import best_candidate, quality
+from tallyforge.schema import PRICE
 from tallyforge.sources import SOURCES, claude, codex, grok
-from tallyforge.sources.base import combined
+from tallyforge.sources.base import combined, json_lines
 
 
 def write(path, *lines):
@@ -20,27 +23,56 @@ def message(ts, id_, inp, out, stop=None, model="claude-sonnet-4", **more):
 
 
 def test_streamed_messages(spark, tmp_path):
+    """A message grows in three steps over two files and ends in the second; another is never finished; a third has no id."""
     write(
-        tmp_path / "projects/p1/s1.jsonl",
-        message("2026-01-01T10:00:00Z", "d", 50, 10),
-        message("2026-01-01T10:00:01Z", "d", 100, 50, "end_turn", inference_geo="not_available"),
-        message("2026-01-01T10:00:02Z", "n", -5, 7, "end_turn", cache_creation_input_tokens=10, cache_creation={"ephemeral_1h_input_tokens": 99}, inference_geo=""),
-        message("2026-01-01T10:00:03Z", "x", 1, 1, "end_turn", model="<synthetic>"),
-        "",
-        '{"timestamp": "2026-01-01T10:00:04Z", "message": {"usage": {"input_tokens": "abc"}}}',
-        message("yesterday", "y", 1, 1),
-        {"timestamp": "2026-01-01T10:00:04Z", "type": "note"},
+        tmp_path / "projects/alpha/day.jsonl",
+        message("2025-03-09T07:00:00.250Z", "grow", 4, 1),
+        message("2025-03-09T07:00:02Z", "grow", 4, 9, inference_geo="us"),
+        message("2025-03-09T07:05:00Z", "open", 31, 2, inference_geo="not_available"),
+        message("2025-03-09T07:06:00Z", None, 6, 6, "stop"),
+        message("2025-03-09T07:07:00Z", None, 8, 8),
+        message("2025-03-09T07:08:00Z", "zero", -3, -4, "stop", cache_creation_input_tokens=12, cache_creation={"ephemeral_1h_input_tokens": 40}, inference_geo="", model="anthropic.claude-opus-9-20300102"),
+        message("2025-03-09T07:09:00Z", "made up", 1, 1, "stop", model="<synthetic>"),
+        message("2025-03-09T07:10:00Z", "made up", 1, 1, "stop", model=" "),
+        "   ",
+        '{"timestamp": "2025-03-09T07:11:00Z", "message": {"usage": {"output_tokens": 1.5}}}',
+        '{"timestamp": "2025-03-09T07:12',
+        message("09.03.2025", "when", 1, 1),
+        {"type": "note", "message": {"id": "n"}},
     )
-    write(tmp_path / "projects/p1/sub/s2.jsonl", message("2026-01-01T11:00:00Z", "d", 200, 80, "end_turn"))
+    write(tmp_path / "projects/beta/deep/er/night.jsonl", message("2025-03-09T06:00:00Z", "grow", 4, 77, "stop"))
     facts, errors = claude.SOURCE.facts(spark, str(tmp_path))
-    assert errors.first()["parse_errors"] == 2
+    assert errors.first()["parse_errors"] == 3
     best = best_candidate(facts)
     got = {r["message_id"]: r for r in best.collect()}
-    assert set(got) == {"source-wide:claude:d", "source-wide:claude:n"}
-    assert (got["source-wide:claude:d"]["input_tokens"], got["source-wide:claude:d"]["output_tokens"]) == (200, 80)
-    n = got["source-wide:claude:n"]
-    assert (n["input_tokens"], n["cache_creation"], n["cache_creation_1h"], n["endpoint"], n["project_path"]) == (0, 10, 10, "proxy", "p1")
-    assert quality(facts, best).first().asDict() == {"valid": 2, "dedup_skipped": 2}
+    assert set(got) == {"source-wide:claude:grow", "source-wide:claude:open", "source-wide:claude:zero", None}
+    grown, zero = got["source-wide:claude:grow"], got["source-wide:claude:zero"]
+    assert (grown["output_tokens"], grown["session_id"], grown["project_path"], grown["endpoint"], grown["model"]) == (77, "night", "beta", "unknown", "sonnet-4")
+    assert (zero["input_tokens"], zero["output_tokens"], zero["cache_creation"], zero["cache_creation_1h"], zero["endpoint"], zero["model"]) == (0, 0, 12, 12, "proxy", "opus-9")
+    assert (got[None]["input_tokens"], got["source-wide:claude:open"]["endpoint"]) == (6, "native")
+    assert quality(facts, best).first().asDict() == {"valid": 4, "dedup_skipped": 2}
+
+
+def test_absent_roots_are_empty(spark, tmp_path):
+    for name in ("claude", "codex", "cursor", "grok", "kimi"):
+        facts, errors = SOURCES.find(name).facts(spark, f"{tmp_path}/nowhere")
+        assert facts.count() == 0 and errors.first()["parse_errors"] == 0
+    assert codex.quota_snapshot(spark, f"{tmp_path}/nowhere", 10**9).first()["error"] == "sessions_not_found"
+
+
+def test_lines_keep_their_order_across_splits(spark, tmp_path):
+    write(tmp_path / "sessions/long.jsonl", *[{"type": "turn_context", "n": i, "pad": "x" * (i % 50)} for i in range(4000)])
+    write(tmp_path / "sessions/short.jsonl", {"n": 0})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+    try:
+        rows = json_lines(spark, f"{tmp_path}/sessions", "n bigint")
+        parts = rows.where("file_path LIKE '%long%'").select("line_ord", "j.n", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r["p"] for r in parts}) > 3
+    ordered = sorted(parts, key=lambda r: r["line_ord"])
+    assert [r["n"] for r in ordered] == list(range(4000)) and len({r["line_ord"] for r in parts}) == 4000
 
 
 def test_tool_calls(spark, tmp_path):
@@ -68,48 +100,69 @@ def test_cumulative_counters(spark, tmp_path):
     write(
         tmp_path / "sessions/2026/a.jsonl",
         {"type": "session_meta", "payload": {"id": "S", "source": "cli"}},
-        counter("2026-01-01T00:00:00Z", (100, 20, 30, 10, 130)),
-        counter("2026-01-01T00:00:01Z", (100, 20, 30, 10, 130), model="ignored"),
+        counter("2025-06-01T09:00:00Z", (64, 16, 24, 8, 88)),
+        counter("2025-06-01T09:00:07Z", (64, 16, 24, 8, 88), model="ignored"),
         {"type": "turn_context", "payload": {"model": "gpt-5.4"}},
-        counter("2026-01-01T00:00:02Z", (160, 20, 30, 10, 190)),
-        counter("no time", (170, 20, 30, 10, 200)),
+        counter("2025-06-01T09:01:00Z", (97, 16, 24, 8, 121)),
+        counter("no time", (99, 16, 24, 8, 123)),
         {"type": "session_meta", "payload": {"source": {"exec": {}}}},
-        counter("2026-01-01T00:00:04Z", (200, 20, 30, 10, 230), last=(10, 0, 5, 0, 15), model="m2"),
+        counter("2025-06-01T09:02:00Z", (150, 16, 24, 8, 174), last=(11, 3, 6, 2, 17), model="m2"),
     )
     rows = codex.scan(spark, str(tmp_path)).orderBy("line_ord").collect()
     good = [(r["model"], r["input_tokens"], r["cache_read"], r["output_tokens"], r["reasoning_tokens"]) for r in rows if not r["rejected"]]
-    assert good == [("gpt-5", 80, 20, 20, 10), ("gpt-5.4", 60, 0, 0, 0), ("m2", 10, 0, 5, 0)]
+    assert good == [("gpt-5", 48, 16, 16, 8), ("gpt-5.4", 33, 0, 0, 0), ("m2", 8, 3, 4, 2)]
     assert sum(r["rejected"] for r in rows) == 1
     assert {r["session_key"] for r in rows} == {"codex-session:S"}
     only = codex.scan(spark, str(tmp_path), scope="exec").where("NOT rejected").collect()
-    assert [r["input_tokens"] for r in only] == [10]
+    assert [r["input_tokens"] for r in only] == [8]
     with pytest.raises(ValueError):
         codex.scan(spark, str(tmp_path), scope="some")
 
 
 def test_replays_of_one_session_count_once(spark, tmp_path):
     for name in ("a", "b"):
-        write(tmp_path / f"sessions/{name}.jsonl", {"type": "session_meta", "payload": {"id": "S"}}, counter("2026-01-01T00:00:00Z", (100, 0, 5, 0, 105)))
-    write(tmp_path / "sessions/c.jsonl", {"type": "session_meta", "payload": {"id": "T"}}, counter("2026-01-01T00:00:00Z", (100, 0, 5, 0, 105)))
+        write(tmp_path / f"sessions/{name}.jsonl", {"type": "session_meta", "payload": {"id": "S"}}, counter("2025-06-02T00:00:00Z", (42, 0, 9, 0, 51)))
+    write(tmp_path / "sessions/c.jsonl", {"type": "session_meta", "payload": {"id": "T"}}, counter("2025-06-02T00:00:00Z", (42, 0, 9, 0, 51)))
     facts, _ = codex.SOURCE.facts(spark, str(tmp_path))
     assert best_candidate(facts).count() == 2
 
 
+def limits(ts, used, week=10080):
+    spans = {"primary": {"used_percent": 70.5, "window_minutes": 60, "resets_at": 7}, "secondary": {"used_percent": used, "window_minutes": week, "resets_at": 1_760_400_000}}
+    return {"timestamp": ts, "type": "event_msg", "payload": {"type": "token_count", "rate_limits": spans}}
+
+
 def test_quota_snapshot(spark, tmp_path):
-    limit = lambda ts, used: {"timestamp": ts, "type": "event_msg", "payload": {"type": "token_count", "rate_limits": {"primary": {"used_percent": 3.0, "window_minutes": 300, "resets_at": 5}, "secondary": {"used_percent": used, "window_minutes": 10080, "resets_at": 99}}}}
-    write(tmp_path / "sessions/a.jsonl", limit("2026-01-01T00:00:00Z", 10.0), limit("2026-01-01T00:01:00Z", 20.0))
-    write(tmp_path / "sessions/b.jsonl", limit("2026-01-01T00:02:00Z", 25.0))
-    got = codex.quota_snapshot(spark, str(tmp_path)).first()
-    assert (got["used_percent"], got["window_minutes"], got["resets_at"]) == (25.0, 10080, 99)
+    now = 1_760_000_000  # 2025-10-09
+    folder = tmp_path / "sessions/2025/10/08"
+    write(folder / "x.jsonl", limits("2025-10-08T01:00:00Z", 33.0), limits("2025-10-08T03:00:00Z", 12.5), limits("2025-10-08T05:00:00Z", 99.0, week=1))
+    write(folder / "y.jsonl", limits("2025-10-08T02:00:00Z", 44.0), '{"timestamp": "2025-10-08T04:0')
+    got = codex.quota_snapshot(spark, str(tmp_path), now).first()
+    assert (got["used_percent"], got["window_minutes"], got["resets_at"], got["error"]) == (12.5, 10080, 1_760_400_000, None)
+    old = tmp_path / "sessions/2025/09/01/z.jsonl"
+    write(old, limits("2025-10-08T23:00:00Z", 1.0))
+    assert codex.quota_snapshot(spark, str(tmp_path), now).first()["used_percent"] == 1.0  # changed just now
+    os.utime(old, (now - 20 * 86_400,) * 2)
+    assert codex.quota_snapshot(spark, str(tmp_path), now).first()["used_percent"] == 12.5
+    write(folder / "w.jsonl", "{broken", limits("2025-10-08T01:00:00Z", 5.0), "{broken", {"type": "note"})
+    assert codex.quota_snapshot(spark, str(tmp_path), now).first()["error"] == "malformed_line"
+    with pytest.raises(api.QuotaError, match="malformed_line"):
+        api.weekly_value(spark, str(tmp_path), spark.createDataFrame([], PRICE), now)
+
+
+@pytest.mark.parametrize("used, error", [(101.0, "invalid_percent"), (None, "snapshot_not_found")])
+def test_quota_errors(spark, tmp_path, used, error):
+    write(tmp_path / "sessions/a.jsonl", limits("2025-10-08T01:00:00Z", used) if used else {"type": "rate_limits"})
+    assert codex.quota_snapshot(spark, str(tmp_path)).first()["error"] == error
 
 
 def test_billing_events(spark, tmp_path):
-    use = {"inputTokens": 100, "outputTokens": 40.9, "cacheWriteTokens": 0, "cacheReadTokens": 10}
+    use = {"inputTokens": 61, "outputTokens": 17.8, "cacheWriteTokens": 5, "cacheReadTokens": 2}
     write(
         tmp_path / "usage.json",
         {
             "events": [
-                {"timestamp": "2026-01-01T00:00:00Z", "model": "m", "conversationId": "c", "usageEventId": "1", "tokenUsage": use, "chargedCents": 12.5},
+                {"timestamp": "2026-01-01T00:00:00Z", "model": "m", "conversationId": "c", "usageEventId": "1", "tokenUsage": use, "chargedCents": 3.2},
                 {"timestamp": "1767225600000", "usageEventId": "1", "tokenUsage": use},
                 {"timestamp": 1767225600000, "inputTokens": 7},
                 {"timestamp": "2026-01-01T00:00:00Z", "tokenUsage": {}},
@@ -119,7 +172,7 @@ def test_billing_events(spark, tmp_path):
     )
     rows = SOURCES.find("CUR").scan(spark, str(tmp_path)).orderBy("line_ord").collect()
     assert [(r["message_id"], r["model"], r["input_tokens"], r["output_tokens"], r["cache_read"], r["recorded_cost_usd"]) for r in rows] == [
-        ("event:1", "m", 100, 40, 10, 0.125), ("event:2", "cursor", 7, 0, 0, None),
+        ("event:1", "m", 61, 17, 2, 0.032), ("event:2", "cursor", 7, 0, 0, None),
     ]
     assert rows[1]["timestamp_ms"] == 1767225600000
 
@@ -127,18 +180,18 @@ def test_billing_events(spark, tmp_path):
 def test_inference_log(spark, tmp_path):
     write(
         tmp_path / "logs/unified.jsonl",
-        {"ts": "2026-01-01T00:00:00Z", "sid": "s", "msg": grok.DONE, "ctx": {"loop_index": 1, "prompt_tokens": 200000, "cached_prompt_tokens": 100000, "completion_tokens": 10, "reasoning_tokens": 50}},
+        {"ts": "2026-01-01T00:00:00Z", "sid": "s", "msg": grok.DONE, "ctx": {"loop_index": 1, "prompt_tokens": 260000, "cached_prompt_tokens": 90000, "completion_tokens": 14, "reasoning_tokens": 50}},
         {"ts": "2026-01-01T00:00:00Z", "sid": "", "msg": grok.DONE, "ctx": {"prompt_tokens": 1}},
         {"ts": "2026-01-01T00:00:00Z", "sid": "s", "msg": "other"},
     )
     write(tmp_path / "sessions/%2Fhome%2Fme/s/summary.json", {"current_model_id": "grok-4.5", "updated_at": "2026-01-01T00:00:00Z"})
     (row,) = grok.unified(spark, str(tmp_path)).collect()
-    assert (row["model"], row["project_path"], row["input_tokens"], row["cache_read"], row["output_tokens"], row["reasoning_tokens"]) == ("grok-4.5", "/home/me", 100000, 100000, 0, 10)
-    assert row["recorded_cost_usd"] == pytest.approx(100000 * 4e-6 + 100000 * 0.6e-6 + 10 * 12e-6)
+    assert (row["model"], row["project_path"], row["input_tokens"], row["cache_read"], row["output_tokens"], row["reasoning_tokens"]) == ("grok-4.5", "/home/me", 170000, 90000, 0, 14)
+    assert row["recorded_cost_usd"] == pytest.approx(170000 * 4e-6 + 90000 * 0.6e-6 + 14 * 12e-6)
 
 
 def test_turns_leave_a_rest_and_sessions_without_turns_are_estimated(spark, tmp_path):
-    usage = {"inputTokens": 100, "outputTokens": 50, "modelCalls": 3, "costUsdTicks": 2 * 10**10, "modelUsage": {"a": {"inputTokens": 60, "outputTokens": 50, "modelCalls": 1}}}
+    usage = {"inputTokens": 90, "outputTokens": 21, "modelCalls": 5, "costUsdTicks": 3 * 10**10, "modelUsage": {"a": {"inputTokens": 52, "outputTokens": 21, "modelCalls": 2}}}
     write(
         tmp_path / "sessions/p/s1/updates.jsonl",
         {"timestamp": 1767225600, "params": {"sessionId": "s1", "update": {"sessionUpdate": "turn_completed", "prompt_id": "q", "usage": usage}}},
@@ -146,25 +199,25 @@ def test_turns_leave_a_rest_and_sessions_without_turns_are_estimated(spark, tmp_
     )
     write(tmp_path / "sessions/p/s1/summary.json", {"updated_at": "2026-01-01T00:00:00Z"})
     write(tmp_path / "sessions/p/s2/summary.json", {"updated_at": "2026-01-01T00:00:00Z"})
-    write(tmp_path / "sessions/p/s2/signals.json", {"contextTokensUsed": 1200, "totalTokensBeforeCompaction": 300, "primaryModelId": "z"})
+    write(tmp_path / "sessions/p/s2/signals.json", {"contextTokensUsed": 881, "totalTokensBeforeCompaction": 46, "primaryModelId": "z"})
     write(tmp_path / "sessions/p/s3/summary.json", {"updated_at": "2026-01-01T00:00:00Z"})
-    write(tmp_path / "sessions/p/s3/updates.jsonl", *[{"params": {"_meta": {"totalTokens": n}}} for n in (100, 250)])
+    write(tmp_path / "sessions/p/s3/updates.jsonl", *[{"params": {"_meta": {"totalTokens": n}}} for n in (75, 310, 290)])
     rows = grok.scan(spark, str(tmp_path), files="sessions").collect()
     got = {(r["session_id"], r["model"]): r for r in rows if not r["rejected"]}
     assert sum(r["rejected"] for r in rows) == 1
-    assert (got["s1", "a"]["input_tokens"], got["s1", "a"]["recorded_cost_usd"]) == (60, 0.0)
-    assert (got["s1", "grok"]["input_tokens"], got["s1", "grok"]["call_count"], got["s1", "grok"]["recorded_cost_usd"]) == (40, 2, 2.0)
-    assert (got["s2", "z"]["input_tokens"], got["s2", "z"]["cost_kind"]) == (1500, "estimated_proxy")
-    assert got["s3", "grok"]["input_tokens"] == 250
+    assert (got["s1", "a"]["input_tokens"], got["s1", "a"]["recorded_cost_usd"]) == (52, 0.0)
+    assert (got["s1", "grok"]["input_tokens"], got["s1", "grok"]["call_count"], got["s1", "grok"]["recorded_cost_usd"]) == (38, 3, 3.0)
+    assert (got["s2", "z"]["input_tokens"], got["s2", "z"]["cost_kind"]) == (927, "estimated_proxy")
+    assert got["s3", "grok"]["input_tokens"] == 310
 
 
 def test_wire_log(spark, tmp_path):
     use = lambda t, *n, **k: {"type": "usage.record", "usageScope": "turn", "model": "k2", "time": t, "usage": dict(zip(("inputOther", "output", "inputCacheRead", "inputCacheCreation"), n)), **k}
-    write(tmp_path / "sessions/wd_web_0123456789ab/S/agents/main/wire.jsonl", use(1767225600000, 1000, 500, 200, 300), use(1767225600001, 2000, 1000, 0, 0), use(0, 1), use(1767225600002, 0, 0, 0, 0))
-    write(tmp_path / "sessions/wd_web_0123456789ab/S/agents/sub/wire.jsonl", use(1767225600003, 7, 3), use(1767225600003, 7, 3, usageScope="session"))
+    write(tmp_path / "sessions/wd_web_0123456789ab/S/agents/main/wire.jsonl", use(1740000000000, 31, 12, 5, 9), use(1740000000500, 64, 3, 0, 0), use(0, 1), use(1740000000900, 0, 0, 0, 0))
+    write(tmp_path / "sessions/wd_web_0123456789ab/S/agents/sub/wire.jsonl", use(1740000001000, 2, 11), use(1740000001000, 2, 11, usageScope="session"))
     facts, errors = SOURCES.find("kimi").facts(spark, str(tmp_path))
     total = facts.agg(*[F.sum(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_creation")]).first()
-    assert tuple(total) == (3007, 1503, 200, 300) and errors.first()[0] == 1
+    assert tuple(total) == (97, 26, 5, 9) and errors.first()[0] == 1
     assert facts.select("session_key", "project_path").distinct().count() == 1 and facts.first()["project_path"] == "web"
     write(tmp_path / "session_index.jsonl", {"sessionId": "S", "workDir": "/old"}, {"sessionId": "S", "workDir": "/new"})
     assert SOURCES.find("km").facts(spark, str(tmp_path))[0].first()["project_path"] == "/new"

@@ -32,3 +32,16 @@ def test_late_completion_wins(spark, tmp_path):
     assert got == {("s", "m"): ("end", 7), ("", "source-wide:x"): (None, 1)}
     run(blocks(stream).writeStream.outputMode("update").format("memory").queryName("blocks").option("checkpointLocation", f"{tmp_path}/c2").start())
     assert spark.table("blocks").first()["calls"] == 5
+
+
+def test_buckets_that_a_batch_leaves_alone_stay(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger", ROWS, "key", "ord")
+    ledger.add(spark.createDataFrame([(f"k{i}", 1, i) for i in range(300)], ROWS))
+    first = {p["bucket"]: p["version"] for p in ledger._pointers()}
+    for n in (2, 3, 4):
+        ledger.add(spark.createDataFrame([("k7", n, 1000 + n)], ROWS))
+    last = {p["bucket"]: p["version"] for p in ledger._pointers()}
+    assert sum(first[b] != last[b] for b in first) == 1 and len(list((tmp_path / "ledger/versions").iterdir())) <= 3
+    assert sorted(map(tuple, ledger.read().collect())) == sorted([(f"k{i}", 1, i) for i in range(300) if i != 7] + [("k7", 4, 1004)])
+    ledger.add(spark.createDataFrame([], ROWS))
+    assert ledger.read().count() == 300
