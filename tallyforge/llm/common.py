@@ -39,14 +39,14 @@ def partitions(spark: SparkSession) -> int:
 HOT = 16
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined with found, which has one row for each key, where few keys may hold many rows.
 
-    counts: key and count, the number of rows of each key, staged. Rows of hot keys stay where they are and get a broadcast of
+    counts: key and count, the number of rows of each key, staged; total may give at least the sum of them. Rows of hot keys stay where they are and get a broadcast of
     at most HOT * partitions rows; all others are joined by key. how is inner or left.
     """
     most = HOT * partitions(rows.sparkSession)
-    total = counts.agg(F.sum("count")).first()[0] or 0
+    total = counts.agg(F.sum("count")).first()[0] or 0 if total is None else total
     hot = counts.where(F.col("count") > total / most).select(key)
     known = found.join(F.broadcast(hot), key, "left_semi")
     near = rows.join(F.broadcast(known if how == "inner" else hot.join(F.broadcast(known), key, "left")), key)

@@ -6,7 +6,7 @@ key. Two texts share a key with a probability that falls with their edit distanc
 move breaks their order. At the similarity of 0.8 texts of one length share about 0.4 of their k-mers even if the edits are evenly
 spaced, so a key is shared with a chance of about 1/16 and any of the 72 with 0.98 to 0.99 (scattered edits: above 0.99).
 With few words one edit may break every k-mer, so texts of at most SHORT words get SHORT_KEYS more keys from single words. Texts that share a key are a bucket, and every pair of a bucket is compared unless its texts are
-in one class already. The first round compares each text with three of its bucket. Where a bucket is still more than one component, its texts are dealt into blocks of about
+in one class already. The first round compares each text with the first and last of its bucket. Where a bucket is still more than one component, its texts are dealt into blocks of about
 BLOCK, and each pair of blocks is a task of the second round, which tells pairs apart by exact bounds on bit maps of words and word
 pairs; what passes is aligned. A candidate counts if the banded edit distance of the two word sequences is at most
 (1 - SIMILARITY) of the longer one. Classes are the connected components of verified links.
@@ -252,18 +252,18 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def met(sets: DataFrame) -> DataFrame:
-    """(key, node, first, last, middle, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys."""
+    """(key, node, first, last, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys."""
     rows = sets.select("node", F.explode("keys").alias("key"))
     return staged(rows.join(_bucketed(rows), "key"), "dedup-buckets")
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("node", F.xxhash64("node", "key")).alias("middle"), F.count("*").alias("n")).where("n > 1")
+    return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of the first round: texts and the first, last or middle text of a bucket that they fall in. rows: met(sets)."""
-    both = rows.select("node", F.explode(F.array("first", "last", "middle")).alias("a"))
+    """(a, b) of the first round: texts and the first or last text of a bucket that they fall in. rows: met(sets)."""
+    both = rows.select("node", F.explode(F.array("first", "last")).alias("a"))
     return both.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
 
@@ -299,8 +299,8 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     of role 1 (another block) and of role 2 (the next shorter class).
 
     Pairs of other roots count that pass exact bounds: an edit takes one word or two pairs of adjacent words from a text, so of texts
-    within d edits neither has more than d distinct words, or 2 d pairs, that the other lacks. With few, a text gives only the
-    likeliest so many for each other root.
+    within d edits neither has more than d distinct words, or 2 d pairs, that the other lacks. A pair counts in the least bucket of the
+    second round that both texts are in. With few, a task gives only the likeliest so many for each two roots.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,7 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             node, root, role, size = (np.array(x, np.int64) for x in zip(*(x[:4] for x in held)))
             maps = [folded([x[k] for x in held]) for k in (4, 5)]
             counts = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in maps]
-            us, vs = [], []
+            keys, key, us, vs, lacks = [x[6] for x in held], task[0], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for x in np.flatnonzero(role == 0):
                 other = np.flatnonzero((root != root[x]) & ((role > 0) | ((task[2] == task[3]) & (np.arange(len(role)) > x))))
                 most = ((1 - SIMILARITY) * np.maximum(size[other], size[x]) + 1e-9).astype(np.int64)
@@ -320,23 +320,27 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     lacking = np.maximum(c[other], c[x]) - np.bitwise_count(m[other] & m[x]).sum(axis=1, dtype=np.int64)
                     keep = lacking <= edit * most
                 other, lacking = other[keep], lacking[keep]
-                if few and len(other) > few:
-                    by = np.lexsort((lacking, root[other]))
-                    first = np.concatenate([[0], np.flatnonzero(np.diff(root[other][by])) + 1])
-                    place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
-                    other = other[by[place < few]]
-                us.append(np.full(len(other), node[x]))
-                vs.append(node[other])
-            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+                least = np.fromiter((min(keys[x] & keys[y]) == key for y in other.tolist()), bool, len(other))
+                us.append(np.full(int(least.sum()), x))
+                vs.append(other[least])
+                lacks.append(lacking[least])
+            x, y, lacking = (np.concatenate(c) for c in (us, vs, lacks))
+            if few and len(x):
+                one, two = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+                by = np.lexsort((lacking, two, one))
+                first = np.concatenate([[0], np.flatnonzero(np.diff(one[by]) | np.diff(two[by])) + 1])
+                by = by[np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by)))) < few]
+                x, y = x[by], y[by]
+            u, v = node[x], node[y]
             return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
         for batch in batches:
-            for *at, node, root, role, size, singles, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            for *at, node, root, role, size, singles, pairs, keys in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != task:
                     if held:
                         yield compare()
                     task, held = at, []
-                held.append((node, root, role, size, singles, pairs))
+                held.append((node, root, role, size, singles, pairs, set(keys)))
         if held:
             yield compare()
 
@@ -366,8 +370,8 @@ def block_pairs(members: DataFrame, roots: DataFrame, few: int) -> DataFrame:
         return F.transform(each, lambda t: F.struct(bucket["key"].alias("key"), t.alias("t")))
 
     at = ["key", "cls", "i", "j"]
-    rows = rooted.select(F.explode(F.flatten(F.transform("buckets", dealt))).alias("d"), "node", "root", "words", "singles", "pairs")
-    rows = rows.select("d.key", "d.t.cls", "d.t.i", "d.t.j", "node", "root", "d.t.role", "words", "singles", "pairs")
+    rows = rooted.select(F.explode(F.flatten(F.transform("buckets", dealt))).alias("d"), "node", "root", "words", "singles", "pairs", F.col("buckets.key").alias("keys"))
+    rows = rows.select("d.key", "d.t.cls", "d.t.i", "d.t.j", "node", "root", "d.t.role", "words", "singles", "pairs", "keys")
     lined = rows.repartition(partitions(members.sparkSession), *at).sortWithinPartitions(*at)
     return staged(lined.mapInArrow(_pair_batches(few), "a long, b long").distinct(), "dedup-more")
 
@@ -387,8 +391,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def compared(rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """components() of all similar pairs that share a bucket; pairs are those of the first round.
 
-    The second round looks at the buckets whose texts are not one component yet, first at the FEW likeliest pairs of a text and a
-    component, which join most that belong together, and then at all that are left.
+    The second round looks at the buckets whose texts are not one component yet, first at the FEW likeliest pairs of two components in
+    a task, which join most that belong together, and then at all that are left.
     """
     roots = components(verified(pairs, texts))
     inner = rows.where("n > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -415,21 +419,21 @@ def components(links: DataFrame) -> DataFrame:
     the least neighbour, so nodes with many get it by broadcast (lookup) and no task holds all edges of one.
     """
     edges, state = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links"), None
+    total = 2 * edges.count()
     while True:
         # Large star: every node gives its larger neighbours the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count")), "dedup-least")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count"))
         # Only the rows to larger neighbours go on.
-        large = lookup(both.where("v > u"), least.select("u", "m"), "u", least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "dedup-large")
+        large = lookup(both.where("v > u"), least.select("u", "m"), "u", least, total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every node gives its smaller neighbours, and itself, the smallest of them.
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")), "dedup-least")
-        small = lookup(large, least.select("u", "m"), "u", least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
+        small = lookup(large, least.select("u", "m"), "u", least, total=total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "dedup-stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, total = now, 2 * now[0]
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
