@@ -166,24 +166,25 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     """(members, pairs): members has doc_id and rep, its class of equal fingerprints; pairs has a, b (representatives) and likeness."""
     plain = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = staged(plain.mapInArrow(_set_batches, "doc_id long, sigs array<long>"), "spot-sets")
-    classes = staged(sets.groupBy("sigs").agg(F.min("doc_id").alias("rep")), "spot-classes")
+    classes = sets.groupBy("sigs").agg(F.min("doc_id").alias("rep"))
+    classes = staged(classes.select("*", F.monotonically_increasing_id().alias("c")), "spot-classes")  # written, so a class keeps its number
     members = sets.join(classes, "sigs").select("doc_id", "rep")
-    reps = classes.select("rep", "sigs", F.size("sigs").cast("long").alias("n")).where("n > 0")
+    reps = classes.select("c", "sigs", F.size("sigs").cast("long").alias("n")).where("n > 0")
     often = reps.select(F.explode("sigs").alias("sig")).groupBy("sig").count()
-    ranked = reps.select("rep", "n", F.explode("sigs").alias("sig")).join(often, "sig")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("count", "sig"))
+    ranked = reps.select("c", "n", F.explode("sigs").alias("sig")).join(often, "sig")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("count", "sig"))
     prefix = F.col("n") - F.ceil(F.round(threshold * F.col("n"), 9)) + 1
-    heads = staged(ranked.select("rep", "n", "sig", place.alias("place")).where(F.col("place") <= prefix).select("rep", "n", "sig"), "spot-heads")
+    heads = staged(ranked.select("c", "n", "sig", place.alias("place")).where(F.col("place") <= prefix).select("c", "n", "sig"), "spot-heads")
     # The length class of n is floor(log n / -log t); sets within the threshold are in the same or the next class.
     cls = F.floor(F.log("n") / -np.log(threshold)).cast("long")
-    left = heads.select(F.col("rep").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(cls - 1, cls, cls + 1)).alias("cls"))
-    right = heads.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "sig", cls.alias("cls"))
+    left = heads.select(F.col("c").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(cls - 1, cls, cls + 1)).alias("cls"))
+    right = heads.select(F.col("c").alias("b"), F.col("n").alias("nb"), "sig", cls.alias("cls"))
     close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     maybe = left.join(right, ["sig", "cls"]).where(close).select("a", "b").distinct()
-    full = reps.select("rep", "sigs")
-    both = maybe.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
+    full = classes.select("c", "sigs", "rep")
+    both = maybe.join(full.toDF("a", "sa", "ra"), "a").join(full.toDF("b", "sb", "rb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    scored = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("likeness"))
+    scored = both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("likeness"))
     return members, scored.where(F.col("likeness") >= threshold)
 
 
