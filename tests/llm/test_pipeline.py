@@ -24,3 +24,15 @@ def test_every_operator_is_registered():
     names = sorted(registry.queries())
     assert [int(n[2:].split("_")[0]) for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_odd_rows_pass_as_a_whole(spark, odd_docs, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, clashing columns; then no rows at all."""
+    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd_docs), ("none", odd_docs.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        ids = {r["doc_id"] for r in out.collect()}
+        assert ids <= {r["doc_id"] for r in docs.collect()} and (name == "odd" or not ids)
