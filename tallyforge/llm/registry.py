@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, classifier, mixing, near_dedup, quality_rules, spot_signatures, token_records, url_filter, warc
+from . import byte_bpe, chat_format, classifier, filter_audit, mixing, near_dedup, pair_index, quality_rules, spot_signatures, token_records, url_filter, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_order_minhash": near_dedup.op8_order_minhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_pair_index_bpe": pair_index.op13_pair_index_bpe,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat_format.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_vector_codes": vector_codes.OP12_SQL,
     }
