@@ -80,7 +80,7 @@ class Codebooks:
         self.half = apart
         apart = apart.copy()
         apart[:, np.arange(entries.shape[1]), np.arange(entries.shape[1])] = np.inf
-        self.nearest = apart.min(axis=2) if entries.shape[1] else apart[..., 0]
+        self.nearest = apart.min(axis=2)
         self.moved = np.zeros(entries.shape[:2]) if before is None else np.sqrt(squared(entries, before)) * unit * _SURE
 
     def root(self, squares: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def moved_once(rows: DataFrame, books: Codebooks, layout: Layout, first: bool) -> str:
     """The path of the next state: vec_id, label, vector, state; and a row with sums for each task that had rows."""
-    schema = rows.select("vec_id", "label").schema.simpleString()[7:-1].replace(":", " ") + ", vector binary, state binary, sums binary"
+    schema = f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, vector binary, state binary, sums binary"
     types = [pa.int64(), None]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +247,11 @@ def compressed(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
     entries = scaled([r["embedding"] for r in head], width).transpose(1, 0, 2).copy()
     layout = Layout(width, len(head), most)
     unit = 2.0 ** np.floor(np.log2(60000 / max(1.0, 2 * most * max(width, 1) ** 0.5)))
+    shape = f"vec_id long, label {vectors.schema['label'].dataType.simpleString()}, code string, error long"
     spark, before, path = vectors.sparkSession, None, None
-    for number in range(ROUNDS if len(head) else 0):
+    if not head:
+        return spark.createDataFrame([], shape), entries
+    for number in range(ROUNDS):
         now = moved_once(rows, Codebooks(entries, unit, before), layout, number == 0)
         if path is not None:
             removed(path)
@@ -257,7 +260,6 @@ def compressed(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
         before, entries = entries, updated(state, entries)
         rows = state.where("sums IS NULL").select("vec_id", "label", "vector", "state")
     books = Codebooks(entries, unit, before)
-    schema = vectors.select("label").schema.simpleString()[7:-1].replace(":", " ")
 
     def coded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _in_parts(it):
@@ -267,9 +269,6 @@ def compressed(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
             codes = pa.array([code[i : i + 2 * PARTS] for i in range(0, len(code), 2 * PARTS)], pa.string())
             yield pa.record_batch([batch.column("vec_id"), batch.column("label"), codes, pa.array(books.errors(x, entry))], ["vec_id", "label", "code", "error"])
 
-    shape = f"vec_id long, {schema}, code string, error long"
-    if path is None:
-        return spark.createDataFrame([], shape), entries
     out = staged(rows.mapInArrow(coded, shape), "codes")
     removed(path)
     return out, entries
