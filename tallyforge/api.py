@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, timedelta
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.measures import cost_kind, hit_rate, total_tokens
 from .functions.scalars import project_name, zone_name
-from .operators import dedup, reports, sinks
+from .operators import dedup, ordered, reports, sinks
+from .operators.intervals import Cuts
 from .plans import forecast, pricing
+from .schema import COLUMNS, TOKENS
 from .sources import SOURCES, claude, codex
 from .sources.base import ALL
+from .staging import staged
 
 
 @dataclass(frozen=True)
@@ -45,33 +48,72 @@ PERIODS = {"daily": lambda days: days, "today": lambda days: days, "weekly": rep
 KEYS = {"daily": "date", "today": "date", "weekly": "week", "monthly": "month"}
 #: Reports that all sources together give.
 TOGETHER = (*PERIODS, "models", "statusline")
+#: What sums by model need of a fact.
+MEASURED = ("model", *TOKENS, "call_count", "cost_kind", "recorded_cost_usd")
+
+
+def _grain(*keys: str):
+    """Sums of counted rows by keys and model."""
+    return lambda rows, zone: reports.by(rows, *keys, "model", "rejected", more=tuple(reports.counters()))
+
+
+def _session_grain(rows: DataFrame, zone: str) -> DataFrame:
+    return reports.session_parts(rows, "rejected", told=tuple(reports.counters()))
+
+
+def _block_grain(rows: DataFrame, zone: str) -> DataFrame:
+    return reports.by(reports.with_block(rows, zone), "block_start", "utc_offset", "model", "rejected", more=tuple(reports.counters()))
+
+
+_SESSION = ("session_id", "project_path", "timestamp")
+#: Of each report: keys, the columns that it needs besides MEASURED, and its finest sums.
+GRAINS = {
+    **{kind: ((key,), ("date",), _grain("date")) for kind, key in KEYS.items()},
+    **{kind: ((), ("date",), _grain("date")) for kind in ("models", "statusline")},
+    "session": (("session_key", "session_id", "project_path", "first_timestamp", "last_timestamp", "last_ms"), _SESSION, _session_grain),
+    "project": (("project_path",), _SESSION, _session_grain),
+    "blocks": (("block_start", "block_end", "utc_offset"), (), _block_grain),
+    "endpoints": (("endpoint",), ("endpoint",), _grain("endpoint")),
+}
 
 
 @dataclass(frozen=True)
 class Loaded:
-    """Usage facts of a source: all in the range, those that count, and one row with valid, dedup_skipped and parse_errors."""
+    """Usage facts of a source: all in the range, and those that count, with entries and with rejected lines as dedup.counted tells them."""
 
     every: DataFrame
-    facts: DataFrame
-    quality: DataFrame
+    counted: DataFrame
+
+    @property
+    def facts(self) -> DataFrame:
+        """The facts that count."""
+        return self.counted.where("NOT rejected").drop("rejected", "entries")
 
+    @property
+    def quality(self) -> DataFrame:
+        """One row with valid, dedup_skipped and parse_errors."""
+        return dedup.quality_of(self.counted)
 
-def loaded(spark: SparkSession, source: str, root: str | dict[str, str], zone: str = "UTC", wanted: Range = Range(), **options) -> Loaded:
-    """Facts filtered by date and then deduplicated as the source asks; of all sources (root by name) each by itself."""
+
+def loaded(
+    spark: SparkSession, source: str, root: str | dict[str, str], zone: str = "UTC", wanted: Range = Range(), columns: tuple[str, ...] = tuple(COLUMNS), options: dict | None = None, **more
+) -> Loaded:
+    """Facts filtered by date and then deduplicated as the source asks; of all sources (root by name) each by itself.
+
+    Only columns, and what dedup looks at, are carried. Options are those of the source's scan; for all sources, options has them by name.
+    """
     found, zone = SOURCES.find(source), zone_name(zone)
     if found.name == ALL:
-        parts = [loaded(spark, name, path, zone, wanted) for name, path in root.items()]
+        parts = [loaded(spark, name, path, zone, wanted, columns, **(options or {}).get(SOURCES.find(name).name, {})) for name, path in root.items()]
         if not parts:
             raise ValueError("all sources need a root each, by name")
-        every, best, told = (reduce(DataFrame.unionByName, (getattr(p, f) for p in parts)) for f in ("every", "facts", "quality"))
-        return Loaded(every, best, told.agg(*[F.sum(c).alias(c) for c in told.columns]))
-    if options.get("scope", "all") != "all" and found.name != "codex":
+        return Loaded(*(reduce(DataFrame.unionByName, (getattr(p, f) for p in parts)) for f in ("every", "counted")))
+    if more.get("scope", "all") != "all" and found.name != "codex":
         raise ValueError("only codex has scopes")
-    rows, errors = found.facts(spark, root, zone, **options)
-    rows = reports.in_range(rows, wanted.since, wanted.until)
-    best = dedup.best_candidate(rows) if found.capabilities.dedup else rows
-    told = dedup.quality(rows, best) if found.capabilities.dedup else best.agg(F.count("*").alias("valid"), F.lit(0).cast("long").alias("dedup_skipped"))
-    return Loaded(rows, best, told.crossJoin(errors))  # one row each
+    rows = found.scan(spark, root, zone, **more).select(*dict.fromkeys((*dedup.IDENTITY, "date", *columns)), "rejected")
+    rows = reports.in_range(rows, wanted.since, wanted.until, always=F.col("rejected"))
+    best = dedup.counted(rows) if found.capabilities.dedup else rows.withColumn("entries", F.lit(1).cast("long"))
+    return Loaded(rows.where("NOT rejected").drop("rejected"), best)
 
 
 def facts(spark: SparkSession, source: str, root: str | dict[str, str], zone: str = "UTC", wanted: Range = Range(), **options) -> DataFrame:
@@ -81,45 +123,94 @@ def facts(spark: SparkSession, source: str, root: str | dict[str, str], zone: st
 
 @dataclass(frozen=True)
 class Report:
-    """rows: sums and costs by keys and model. cost names the column that the report adds up: estimates are left out of all sources."""
+    """A report of a source. cost names the column that it adds up: estimates are left out of all sources.
+
+    told is the only plan that reads logs: sums at the finest grain that the report needs, with rejected lines and COUNTERS. It runs
+    once, when something is first asked of the report; all else is made from its staged result.
+    """
 
     kind: str
     keys: tuple[str, ...]
-    rows: DataFrame
-    quality: DataFrame
+    told: DataFrame
+    prices: DataFrame
+    strict: bool
     label: str
     cost: str = "cost"
     cache_read: bool = True
 
-    def rolled(self) -> DataFrame:
-        """One row for each key."""
+    @cached_property
+    def sums(self) -> DataFrame:
+        """told, staged."""
+        return staged(self.told, "report")
+
+    @cached_property
+    def few(self) -> bool:
+        """Whether one task may put the rows in order."""
+        return self.sums.count() <= ordered.FEW
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        """One row with valid, dedup_skipped and parse_errors."""
+        return reports.quality(self.sums)
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """The sums with their costs, at the grain of told."""
+        rows = self.sums.where("NOT rejected").drop("rejected", *reports.COUNTERS)
+        return pricing.with_costs(rows, pricing.resolve(rows, self.prices, self.strict))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Sums and costs by keys and model."""
+        rows = self.sums.where("NOT rejected").drop("rejected", *reports.COUNTERS)
+        if self.kind in PERIODS:
+            rows = PERIODS[self.kind](rows)
+        elif self.kind in ("models", "statusline"):
+            rows = reports.models(rows)
+        elif self.kind == "session":
+            rows = reports.session_whole(rows)
+        elif self.kind == "project":
+            rows = reports.project_models(reports.session_whole(rows))
+        elif self.kind == "blocks":
+            rows = with_block_times(rows)
+        priced = pricing.with_costs(rows, pricing.resolve(self.sums.where("NOT rejected"), self.prices, self.strict))
+        return priced.select(*self.keys, "model", *[c for c in priced.columns if c not in (*self.keys, "model", "rates")])
+
+    def rolled(self, breakdown: bool = False) -> DataFrame:
+        """One row for each key. In a breakdown one unknown model makes the cost unknown; in a status line, a day of nothing else."""
+        if self.kind == "statusline":
+            days = sinks.rolled(self.base, "date", cost=self.cost).select("date", F.col("cost").alias("day_cost"))
+            cost = days.agg(pricing.strict_sum("day_cost").alias("cost"))
+            return sinks.rolled(self.rows, cache_read=self.cache_read).drop("cost").crossJoin(F.broadcast(cost))  # one row each
         more = (F.sum("session_rows").alias("session_count"),) if self.kind == "project" else ()
-        out = sinks.rolled(self.rows, *self.keys, cost=self.cost, cache_read=self.cache_read, more=more)
+        out = sinks.rolled(self.rows, *self.keys, cost=self.cost, cache_read=self.cache_read, more=more, strict=breakdown)
         return out.withColumn("project_name", project_name(F.col("project_path"))) if self.kind == "project" else out
 
     def json(self, breakdown: bool = False, descending: bool = False) -> DataFrame:
         """(place, json)"""
-        rows = self.rolled()
+        rows = self.rolled(breakdown)
         if self.kind in PERIODS:
-            return sinks.period_json(rows, self.keys[0], breakdown, self.quality, descending)
+            return sinks.period_json(rows, self.keys[0], breakdown, self.quality, descending, few=self.few)
         if self.kind == "statusline":
             return sinks.statusline_json(rows, self.label, self.quality).select(F.lit(1).cast("long").alias("place"), "json")
         if self.kind == "endpoints":
-            return sinks.endpoint_json(rows, self.quality)
+            return sinks.endpoint_json(rows, self.quality, few=self.few)
         made = {"session": sinks.session_json, "project": sinks.project_json, "blocks": sinks.block_json}
         if self.kind not in made:
             raise ValueError(f"{self.kind} has no JSON form of its own")
-        return made[self.kind](rows, self.quality, descending)
+        return made[self.kind](rows, self.quality, descending, few=self.few)
 
     def csv(self, breakdown: bool = False, descending: bool = False, estimates: bool = False) -> DataFrame:
         """(part, place, line)"""
         rows = self.rolled()
         if self.kind in PERIODS:
-            return sinks.period_breakdown_csv(rows, self.keys[0], self.quality, descending) if breakdown else sinks.period_csv(rows, self.keys[0], self.quality, descending, estimates)
+            if breakdown:
+                return sinks.period_breakdown_csv(rows, self.keys[0], self.quality, descending, few=self.few)
+            return sinks.period_csv(rows, self.keys[0], self.quality, descending, estimates, few=self.few)
         made = {"session": sinks.session_csv, "project": sinks.project_csv, "blocks": sinks.block_csv}
         if self.kind not in made:
             raise ValueError(f"{self.kind} has no CSV form")
-        return made[self.kind](rows, self.quality, descending, estimates)
+        return made[self.kind](rows, self.quality, descending, estimates, few=self.few)
 
     def table(self, short: bool = False, limit: int = 1000) -> str:
         """Aligned text of at most limit rows, in order, with a total and, if lines were rejected, a note."""
@@ -138,25 +229,12 @@ def usage_report(spark: SparkSession, kind: str, source: str, root: str | dict[s
         raise ValueError(f"all sources together give {', '.join(TOGETHER)}; name one source for {kind}")
     if {"project": not can.projects, "endpoints": not can.endpoints, "blocks": not can.blocks}.get(kind, False):
         raise ValueError(f"{source} does not support {kind}")
-    got = loaded(spark, source, root, zone, wanted, **options)
-    rows = got.facts
-    if kind in PERIODS:
-        keys, sums = [KEYS[kind]], PERIODS[kind](reports.daily(rows))
-    elif kind in ("models", "statusline"):
-        keys, sums = [], reports.models(reports.daily(rows))
-    elif kind == "session":
-        keys, sums = ["session_key", "session_id", "project_path", "first_timestamp", "last_timestamp", "last_ms"], reports.session_models(rows)
-    elif kind == "project":
-        keys, sums = ["project_path"], reports.project_models(reports.session_models(rows))
-    elif kind == "blocks":
-        keys, sums = ["block_start", "block_end", "utc_offset"], with_block_times(reports.blocks(rows, zone, "model"))
-    elif kind == "endpoints":
-        keys, sums = ["endpoint"], reports.by(rows, "endpoint", "model")
-    else:
+    if kind not in GRAINS:
         raise ValueError(f"no report {kind!r}")
-    priced = pricing.with_costs(sums, pricing.resolve(got.every, prices, strict))
-    priced = priced.select(*keys, "model", *[c for c in priced.columns if c not in (*keys, "model", "rates")])
-    return Report(kind, tuple(keys), priced, got.quality, found.label, "real_cost" if found.name == ALL else "cost", can.cache_read)
+    keys, columns, sums = GRAINS[kind]
+    got = loaded(spark, source, root, zone, wanted, (*MEASURED, *columns), **options)
+    told = sums(got.counted, zone)
+    return Report(kind, keys, told, prices, strict, found.label, "real_cost" if found.name == ALL else "cost", can.cache_read)
 
 
 def with_block_times(rows: DataFrame) -> DataFrame:
@@ -201,31 +279,54 @@ def budget(spark: SparkSession, source: str, root: str | dict[str, str], prices:
     return forecast.monthly_budget(months, limit, day.isoformat()).withColumn("budget", F.lit(float(limit)))
 
 
-def summarize(spark: SparkSession, source: str, root: str, prices: DataFrame, wanted: Range, zone: str = "UTC", strict: bool = False) -> DataFrame:
-    """One row with totals, cost, the models by cost and data quality."""
-    got = usage_report(spark, "models", source, root, prices, wanted, zone, strict)
-    return _summary(got.rows).crossJoin(got.quality)  # one row each
+def summarize(spark: SparkSession, source: str, root: str | dict[str, str], prices: DataFrame, wanted: Range, zone: str = "UTC", strict: bool = False, **options) -> DataFrame:
+    """One row with totals, cost, the models by cost and data quality; without usage all sums are 0."""
+    got = usage_report(spark, "models", source, root, prices, wanted, zone, strict, **options)
+    return _summary(got.rows, cost=got.cost).crossJoin(got.quality)  # one row each
+
+
+_SUMMED = ("input_tokens", "output_tokens", "cache_creation", "cache_read", "reasoning_tokens", "call_count")
+
 
+def _summary(rows: DataFrame, *keys: str, cost: str = "cost") -> DataFrame:
+    """Totals, cost and the models by falling cost, by keys. Rows with a null model stand for keys without usage."""
+    used = F.col("model").isNotNull()
+    row = F.struct("model", F.col(cost).alias("cost"), total_tokens().alias("total_tokens"), cost_kind().alias("cost_kind"))
+    model = F.struct(F.col(cost).isNull().alias("unknown"), (-F.coalesce(cost, F.lit(0.0))).alias("order"), (-total_tokens()).alias("size"), row.alias("m"))
+    has = used & F.coalesce(pricing.has_cost_input(), F.lit(False))
+    total = rows.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _SUMMED], pricing.known_sum(cost, has).alias("cost"), pricing.provenance().alias("pricing_source"),
+        F.transform(F.sort_array(F.collect_list(F.when(used, model))), lambda x: x["m"]).alias("models"),
+    )
+    return total.select(*keys, *_SUMMED, total_tokens().alias("total_tokens"), hit_rate().alias("hit_rate"), "cost", "pricing_source", "models")
 
-def _summary(rows: DataFrame, *keys: str) -> DataFrame:
-    model = F.struct(F.col("cost").isNull().alias("unknown"), (-F.coalesce("cost", F.lit(0.0))).alias("order"), (-total_tokens()).alias("size"), F.struct("model", "cost", total_tokens().alias("total_tokens"), cost_kind().alias("cost_kind")).alias("m"))
-    names = ("input_tokens", "output_tokens", "cache_creation", "cache_read", "reasoning_tokens", "call_count")
-    total = rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names], pricing.known_sum().alias("cost"), pricing.provenance().alias("pricing_source"), F.transform(F.sort_array(F.collect_list(model)), lambda x: x["m"]).alias("models"))
-    return total.select(*keys, *names, total_tokens().alias("total_tokens"), hit_rate().alias("hit_rate"), "cost", "pricing_source", "models")
 
+def summarize_ranges(
+    spark: SparkSession, source: str, root: str | dict[str, str], prices: DataFrame, wanted: dict[str, Range], zone: str = "UTC", strict: bool = False, options: dict | None = None, **more
+) -> DataFrame:
+    """A row for each named range, in the order asked for (position), from one pass over the logs; equal to one call of summarize for each.
 
-def summarize_ranges(spark: SparkSession, source: str, root: str, prices: DataFrame, wanted: dict[str, Range], zone: str = "UTC", strict: bool = False) -> DataFrame:
-    """A row for each named range from one scan; equal to one call of summarize for each."""
+    What is shuffled does not grow with the number of ranges; see operators.intervals.
+    """
     found, zone = SOURCES.find(source), zone_name(zone)
-    rows, errors = found.facts(spark, root, zone)
-    table = spark.createDataFrame([(n, r.since, r.until) for n, r in wanted.items()], "range_id string, since date, until date")
-    inside = reports.ranges(rows, table)
-    best = dedup.best_candidate(inside, ("range_id",)) if found.capabilities.dedup else inside
-    sums = reports.by(best, "range_id", "model")
-    told = _summary(pricing.with_costs(sums, pricing.resolve(rows, prices, strict)), "range_id")
-    all_, left = inside.groupBy("range_id").agg(F.count("message_id").alias("all")), best.groupBy("range_id").agg(F.count("message_id").alias("left"), F.count("*").alias("valid"))
-    quality = left.join(all_, "range_id").select("range_id", "valid", (F.col("all") - F.col("left") if found.capabilities.dedup else F.lit(0).cast("long")).alias("dedup_skipped"))
-    return told.join(quality, "range_id").crossJoin(errors)  # a row for each range, and one
+    cuts = Cuts([(n, r.since, r.until) for n, r in wanted.items()])
+    roots = root if found.name == ALL else {found.name: root}
+    parts = []
+    for name, path in roots.items():
+        one = SOURCES.find(name)
+        rows = one.scan(spark, path, zone, **((options or {}).get(one.name, {}) if found.name == ALL else more))
+        rows = rows.select(*dict.fromkeys((*dedup.IDENTITY, "date", *MEASURED)), "rejected")
+        parts.append(cuts.sums(rows, MEASURED, one.capabilities.dedup))
+    if not parts:
+        raise ValueError("all sources need a root each, by name")
+    sums = staged(reduce(DataFrame.unionByName, parts), "ranges")
+    errors = sums.agg(F.coalesce(F.sum("errors"), F.lit(0)).cast("long").alias("parse_errors"))
+    told, quality = cuts.merged(sums.where("NOT rejected"))
+    every = cuts.table(spark).select("position", "range_id")
+    priced = pricing.costed(told, prices, strict)
+    rows = every.join(priced, ["position", "range_id"], "left")
+    out = _summary(rows, "position", "range_id", cost="real_cost" if found.name == ALL else "cost")
+    return out.join(quality, ["position", "range_id"]).crossJoin(F.broadcast(errors)).orderBy("position")  # a row for each range, and one
 
 
 def weekly_quota(spark: SparkSession, root: str, now_s: int) -> DataFrame:

@@ -38,6 +38,15 @@ def placed(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (both("rows") + 1).alias("place"), *[both(n).alias(f"before_{n}") for n in sums])
 
 
+#: Rows that are put in order by one task; more are cut into ranges.
+FEW = 10_000
+
+
+def numbered(df: DataFrame, order: list[Column], few: bool = False) -> DataFrame:
+    """Adds place (from 1) in a total order. few says that there are at most FEW rows, which one task sorts without a staged copy."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")) if few else placed(df, order)
+
+
 def so_far(keys: list[str], order: list[str]):
     """Window from the first row of the keys to the current one."""
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -11,18 +11,35 @@ from ..functions.scalars import endpoint_order
 BLOCK_HOURS = 5
 
 
-def in_range(df: DataFrame, since=None, until=None) -> DataFrame:
-    """Rows with since <= date <= until; either side may be open. Apply before dedup."""
+def in_range(df: DataFrame, since=None, until=None, always: Column | None = None) -> DataFrame:
+    """Rows with since <= date <= until, and those for which always holds; either side may be open. Apply before dedup."""
+    also = F.lit(False) if always is None else always
     if since is not None:
-        df = df.where(F.col("date") >= F.lit(since).cast("date"))
+        df = df.where(also | (F.col("date") >= F.lit(since).cast("date")))
     if until is not None:
-        df = df.where(F.col("date") <= F.lit(until).cast("date"))
+        df = df.where(also | (F.col("date") <= F.lit(until).cast("date")))
     return df
 
 
-def by(df: DataFrame, *keys: str | Column) -> DataFrame:
+#: What a report of rows from dedup.counted knows besides its sums; rejected lines are a group of their own.
+COUNTERS = ("skipped", "errors")
+
+
+def counters() -> list[Column]:
+    """Aggregates for COUNTERS, in the pass that adds up the measures."""
+    add = lambda c: F.sum(c).cast("long")
+    return [add(F.when(F.col("rejected"), 0).otherwise(F.col("entries") - 1)).alias("skipped"), add(F.when(F.col("rejected"), F.col("entries")).otherwise(0)).alias("errors")]
+
+
+def quality(told: DataFrame) -> DataFrame:
+    """One row with valid, dedup_skipped and parse_errors from sums by any keys and rejected, with COUNTERS."""
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return told.agg(add(F.when(~F.col("rejected"), F.col("entries"))).alias("valid"), add("skipped").alias("dedup_skipped"), add("errors").alias("parse_errors"))
+
+
+def by(df: DataFrame, *keys: str | Column, more: tuple[Column, ...] = ()) -> DataFrame:
     """Sums of all measures by keys."""
-    return with_cost_parts(df).groupBy(*keys).agg(*sums())
+    return with_cost_parts(df).groupBy(*keys).agg(*sums(), *more)
 
 
 def daily(df: DataFrame) -> DataFrame:
@@ -50,21 +67,30 @@ def with_total(rows: DataFrame, key: str) -> DataFrame:
     return rows.rollup(key, "model").agg(*resums(), F.grouping_id().alias("level"))
 
 
-def sessions(df: DataFrame, *more: str, at: bool = False) -> DataFrame:
-    """By session (and more): id and project of the first row, first and last timestamp; with at also the least column __at."""
+def sessions(df: DataFrame, *more: str, at: bool = False, told: tuple[Column, ...] = ()) -> DataFrame:
+    """By session (and more): id and project of the first row, first and last timestamp, the aggregates told; with at also the least column __at."""
     first = F.struct("timestamp_ms", "file_path", "line_ord")
     key = F.coalesce("session_key", "session_id").alias("session_key")
     return with_cost_parts(df).groupBy(key, *more).agg(
         F.min_by("session_id", F.struct("file_path", "line_ord")).alias("session_id"),
         F.min_by("project_path", F.struct("file_path", "line_ord")).alias("project_path"),
         F.min_by("timestamp", first).alias("first_timestamp"), F.max_by("timestamp", first).alias("last_timestamp"),
-        F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"), *sums(), *([F.min("__at").alias("__at")] if at else []),
+        F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"), *sums(), *told, *([F.min("__at").alias("__at")] if at else []),
     )
 
 
+def session_parts(df: DataFrame, *more: str, told: tuple[Column, ...] = ()) -> DataFrame:
+    """By session and model (and more), with what session_whole needs."""
+    return sessions(df.withColumn("__at", F.struct("file_path", "line_ord")), "model", *more, at=True, told=told)
+
+
 def session_models(df: DataFrame) -> DataFrame:
     """By session and model; id, project and span are those of the whole session. session_rows is 1 in one row of each session."""
-    rows = sessions(df.withColumn("__at", F.struct("file_path", "line_ord")), "model", at=True)
+    return session_whole(session_parts(df))
+
+
+def session_whole(rows: DataFrame) -> DataFrame:
+    """session_parts, each with the id, project and span of the whole session."""
     whole = Window.partitionBy("session_key")  # a row for each model of a session
     first, last = F.struct("first_ms", "__at"), F.struct("last_ms", "__at")
     named = {"session_id": F.min_by("session_id", "__at"), "project_path": F.min_by("project_path", "__at"), "first_timestamp": F.min_by("first_timestamp", first), "last_timestamp": F.max_by("last_timestamp", last), "first_ms": F.min("first_ms"), "last_ms": F.max("last_ms")}
@@ -137,10 +163,3 @@ def statusline(df: DataFrame) -> DataFrame:
     return with_cost_parts(df).agg(*sums()).withColumn("total_tokens", total_tokens())
 
 
-def ranges(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Facts of several date ranges in one scan. wanted: range_id, since, until, a few rows given by the caller."""
-    inside = (F.col("date") >= F.coalesce("since", F.lit("0001-01-01").cast("date"))) & (F.col("date") <= F.coalesce("until", F.lit("9999-12-31").cast("date")))
-    most = 10_000
-    if len(wanted.limit(most + 1).collect()) > most:
-        raise ValueError(f"more than {most} ranges")
-    return df.join(F.broadcast(wanted), inside)  # its size has been checked

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import hit_rate, total_tokens
 from ..functions.scalars import compact, csv_field, grouped, money, percent
-from ..plans.pricing import known_sum, provenance
+from ..plans.pricing import known_sum, provenance, strict_sum
 from ..schema import TOKENS
-from .ordered import placed
+from .ordered import numbered
 
 #: How the token columns of a report are called outside.
 SHOWN = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "reasoning_tokens": "reasoning_tokens", "cache_creation": "cache_creation_tokens", "cache_read": "cache_read_tokens"}
@@ -23,15 +23,16 @@ def kind_of(proxy: Column, real: Column) -> Column:
     return F.when((proxy > 0) & (real > 0), "mixed").when(proxy > 0, "estimated_proxy").otherwise("real")
 
 
-def rolled(rows: DataFrame, *keys: str, cost: str = "cost", cache_read: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
-    """One row for each key from priced rows by key and model: tokens, models, cost (unknown ones left out), where prices are from, estimates.
+def rolled(rows: DataFrame, *keys: str, cost: str = "cost", cache_read: bool = True, more: tuple[Column, ...] = (), strict: bool = False) -> DataFrame:
+    """One row for each key from priced rows by key and model: tokens, models, cost, where prices are from, estimates.
 
-    breakdown has the rows by model. cost is the column to add up: cost, or real_cost to leave estimates out.
+    breakdown has the rows by model. cost is the column to add up: cost, or real_cost to leave estimates out. Unknown costs are left
+    out of a sum as long as any is known; if strict, one of them makes it unknown. Sums without rows are 0.
     """
     model = F.struct("model", *[F.col(a).alias(b) for a, b in SHOWN.items()], F.round(hit_rate(cache_read), 2).alias("cache_hit_rate"), total_tokens().alias("total_tokens"), F.col(cost).alias("cost"), "pricing_source")
     out = rows.groupBy(*keys).agg(
-        *[F.sum(t).alias(t) for t in TOKENS], F.sum("call_count").alias("call_count"), F.array_sort(F.collect_set("model")).alias("models"),
-        known_sum(cost).alias("cost"), provenance().alias("pricing_source"), F.sum(F.when(F.col("estimated_cost") > 0, F.col("estimated_cost"))).alias("estimated_cost"),
+        *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in (*TOKENS, "call_count")], F.array_sort(F.collect_set("model")).alias("models"),
+        (strict_sum(cost) if strict else known_sum(cost)).alias("cost"), provenance().alias("pricing_source"), F.sum(F.when(F.col("estimated_cost") > 0, F.col("estimated_cost"))).alias("estimated_cost"),
         kind_of(F.sum("proxy_entries"), F.sum("real_entries")).alias("cost_kind"), F.collect_list(model).alias("breakdown"), *more,
     )
     return out.select("*", total_tokens().alias("total_tokens"), F.round(hit_rate(cache_read), 2).alias("cache_hit_rate"))
@@ -41,7 +42,7 @@ def _measures(some: dict[str, str] = SHOWN) -> list[Column]:
     return [*[F.col(a).alias(b) for a, b in some.items()], F.col("cache_hit_rate"), F.col("total_tokens")]
 
 
-def _objects(rows: DataFrame, fields: list[Column], quality: DataFrame | None, order: list[Column]) -> DataFrame:
+def _objects(rows: DataFrame, fields: list[Column], quality: DataFrame | None, order: list[Column], few: bool = False) -> DataFrame:
     """(place, json): estimates are told where there are any; data quality is told in each object, or alone in one if there are no rows."""
     priced = [*fields, F.col("cost"), F.col("pricing_source")]
     told = [F.col("cost_kind"), F.col("estimated_cost")]
@@ -52,7 +53,7 @@ def _objects(rows: DataFrame, fields: list[Column], quality: DataFrame | None, o
         last = []
     text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     json = F.when(F.col("estimated_cost") > 0, text(*priced, *told, *last)).otherwise(text(*priced, *last))
-    out = placed(rows, order).select("place", json.alias("json"))
+    out = numbered(rows, order, few).select("place", json.alias("json"))
     if quality is not None:
         alone = _told(quality).crossJoin(rows.agg(F.count("*").alias("n"))).where("n = 0")
         out = out.unionByName(alone.select(F.lit(1).cast("long").alias("place"), F.to_json(F.struct("data_quality")).alias("json")))
@@ -67,22 +68,22 @@ def _order(key: list[str], descending: bool) -> list[Column]:
     return [F.col(k).desc() if descending else F.col(k).asc() for k in key]
 
 
-def period_json(rows: DataFrame, label: str, breakdown: bool = False, quality: DataFrame | None = None, descending: bool = False) -> DataFrame:
+def period_json(rows: DataFrame, label: str, breakdown: bool = False, quality: DataFrame | None = None, descending: bool = False, few: bool = False) -> DataFrame:
     """An object for each period, with its model names or, as a breakdown, its models by cost."""
     models = F.col("models")
     if breakdown:
         dear = lambda a, b: F.when(F.coalesce(a["cost"], F.lit(-1.0)) != F.coalesce(b["cost"], F.lit(-1.0)), F.when(F.coalesce(a["cost"], F.lit(-1.0)) > F.coalesce(b["cost"], F.lit(-1.0)), -1).otherwise(1)).when(a["model"] < b["model"], -1).when(a["model"] > b["model"], 1).otherwise(0)
         models = F.array_sort("breakdown", dear).alias("breakdown")
-    return _objects(rows, [F.col(label).cast("string").alias(label), *_measures(), models], quality, _order([label], descending))
+    return _objects(rows, [F.col(label).cast("string").alias(label), *_measures(), models], quality, _order([label], descending), few)
 
 
-def session_json(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False) -> DataFrame:
+def session_json(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, few: bool = False) -> DataFrame:
     order = [F.col("last_ms").desc_nulls_last() if descending else F.col("last_ms").asc_nulls_first(), *_order(["last_timestamp", "session_key"], descending)]
-    return _objects(rows, [F.col(c) for c in ("session_id", "project_path", "first_timestamp", "last_timestamp")] + [*_measures(), F.col("models")], quality, order)
+    return _objects(rows, [F.col(c) for c in ("session_id", "project_path", "first_timestamp", "last_timestamp")] + [*_measures(), F.col("models")], quality, order, few)
 
 
-def project_json(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False) -> DataFrame:
-    return _objects(rows, [F.col(c) for c in ("project_name", "project_path", "session_count")] + [*_measures(), F.col("models")], quality, project_order(descending))
+def project_json(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, few: bool = False) -> DataFrame:
+    return _objects(rows, [F.col(c) for c in ("project_name", "project_path", "session_count")] + [*_measures(), F.col("models")], quality, project_order(descending), few)
 
 
 def project_order(descending: bool = False) -> list[Column]:
@@ -91,16 +92,16 @@ def project_order(descending: bool = False) -> list[Column]:
     return [cost.desc_nulls_first() if descending else cost.asc_nulls_last(), F.col("project_path").asc()]
 
 
-def block_json(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False) -> DataFrame:
-    return _objects(rows, [F.col(c) for c in ("block_start", "block_end")] + [*_measures(), F.col("models")], quality, _order(["block_start", "block_end", "utc_offset"], descending))
+def block_json(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, few: bool = False) -> DataFrame:
+    return _objects(rows, [F.col(c) for c in ("block_start", "block_end")] + [*_measures(), F.col("models")], quality, _order(["block_start", "block_end", "utc_offset"], descending), few)
 
 
-def endpoint_json(rows: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+def endpoint_json(rows: DataFrame, quality: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Endpoints in their order; they have no CSV form."""
     from ..functions.scalars import average_input, endpoint_order
 
     fields = [F.col("endpoint"), F.col("call_count").alias("calls"), *_measures(), average_input(F.col("input_tokens"), F.col("call_count")).alias("avg_input_per_call")]
-    return _objects(rows, fields, quality, [endpoint_order(F.col("endpoint"))])
+    return _objects(rows, fields, quality, [endpoint_order(F.col("endpoint"))], few)
 
 
 def csv_cost(c: Column) -> Column:
@@ -113,11 +114,11 @@ def csv_rate(c: Column) -> Column:
     return F.coalesce(F.format_string("%.2f", c), F.lit(""))
 
 
-def csv_report(rows: DataFrame, cells: dict[str, Column], order: list[Column], quality: DataFrame | None = None) -> DataFrame:
+def csv_report(rows: DataFrame, cells: dict[str, Column], order: list[Column], quality: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(part, place, line); cells are columns by header. A trailer tells data quality if lines were rejected."""
     head = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(1).cast("long").alias("place"), F.lit(",".join(cells)).alias("line"))
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells.values()])
-    out = head.unionByName(placed(rows, order).select(F.lit(1).alias("part"), "place", line.alias("line")))
+    out = head.unionByName(numbered(rows, order, few).select(F.lit(1).alias("part"), "place", line.alias("line")))
     if quality is not None:
         note = F.format_string("# data_quality valid=%d dedup_skipped=%d parse_errors=%d", "valid", "dedup_skipped", "parse_errors")
         out = out.unionByName(quality.where("parse_errors > 0").select(F.lit(2).alias("part"), F.lit(1).cast("long").alias("place"), note.alias("line")))
@@ -132,31 +133,31 @@ def _cells(names: tuple[str, ...], some: dict[str, str], estimates: bool) -> dic
     return out | {"pricing_source": F.col("pricing_source")}
 
 
-def period_csv(rows: DataFrame, label: str, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False) -> DataFrame:
-    return csv_report(rows, _cells((label,), SHOWN, estimates), _order([label], descending), quality)
+def period_csv(rows: DataFrame, label: str, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False, few: bool = False) -> DataFrame:
+    return csv_report(rows, _cells((label,), SHOWN, estimates), _order([label], descending), quality, few)
 
 
-def period_breakdown_csv(rows: DataFrame, label: str, quality: DataFrame | None = None, descending: bool = False) -> DataFrame:
+def period_breakdown_csv(rows: DataFrame, label: str, quality: DataFrame | None = None, descending: bool = False, few: bool = False) -> DataFrame:
     """A line for each model of a period, by name."""
     each = rows.select(label, F.inline("breakdown"))
     cells = {label: csv_field(F.col(label)), "model": csv_field(F.col("model"))} | {b: csv_field(F.col(b)) for b in SHOWN.values()}
     cells |= {"cache_hit_rate": csv_rate(F.col("cache_hit_rate")), "total_tokens": csv_field(F.col("total_tokens")), "cost": csv_cost(F.col("cost")), "pricing_source": F.col("pricing_source")}
-    return csv_report(each, cells, [*_order([label], descending), F.col("model")], quality)
+    return csv_report(each, cells, [*_order([label], descending), F.col("model")], quality, few)
 
 
-def session_csv(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False) -> DataFrame:
+def session_csv(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False, few: bool = False) -> DataFrame:
     order = [F.col("last_ms").desc_nulls_last() if descending else F.col("last_ms").asc_nulls_first(), *_order(["last_timestamp", "session_key"], descending)]
-    return csv_report(rows, _cells(("session_id", "project_path", "first_timestamp", "last_timestamp"), SHOWN, estimates), order, quality)
+    return csv_report(rows, _cells(("session_id", "project_path", "first_timestamp", "last_timestamp"), SHOWN, estimates), order, quality, few)
 
 
-def project_csv(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False) -> DataFrame:
+def project_csv(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False, few: bool = False) -> DataFrame:
     some = {x: x for x in ("input_tokens", "output_tokens")}
-    return csv_report(rows.withColumn("sessions", F.col("session_count")), _cells(("project_name", "project_path", "sessions"), some, estimates), project_order(descending), quality)
+    return csv_report(rows.withColumn("sessions", F.col("session_count")), _cells(("project_name", "project_path", "sessions"), some, estimates), project_order(descending), quality, few)
 
 
-def block_csv(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False) -> DataFrame:
+def block_csv(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False, few: bool = False) -> DataFrame:
     some = {a: b for a, b in SHOWN.items() if a != "reasoning_tokens"}
-    return csv_report(rows, _cells(("block_start", "block_end"), some, estimates), _order(["block_start", "block_end", "utc_offset"], descending), quality)
+    return csv_report(rows, _cells(("block_start", "block_end"), some, estimates), _order(["block_start", "block_end", "utc_offset"], descending), quality, few)
 
 
 def tools_csv(counts: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def top_csv(rows: DataFrame, dimension: str) -> DataFrame:
     cells = {"rank": csv_field(F.col("rank")), dimension: csv_field(F.col(dimension)), "count": csv_field(F.col("count"))}
     cells |= {a: csv_field(F.col(a)) for a in ("input_tokens", "output_tokens", "cache_creation", "cache_read")} | {"cache_hit_rate": csv_rate(F.col("cache_hit_rate")), "reasoning_tokens": csv_field(F.col("reasoning_tokens")), "total_tokens": csv_field(F.col("tokens"))}
     cells |= {"share_percent": F.format_string("%.2f", "share"), "cost_usd": F.when(F.col("cost").isNull(), "N/A").otherwise(F.format_string("%.5f", F.round("cost", 9)))}
-    return csv_report(rows, cells, [F.col("rank")])
+    return csv_report(rows, cells, [F.col("rank")], few=True)
 
 
 def top_json(rows: DataFrame, dimension: str, limit: int, total_rows: int) -> DataFrame:
@@ -198,14 +199,14 @@ def budget_csv(months: DataFrame, descending: bool = False) -> DataFrame:
     values = {"limit": F.col("budget"), "spent": F.col("cost")}
     number = lambda n: F.when(values.get(n, F.col(n) if n not in values else None).isNull(), "N/A").otherwise(F.format_string("%.6f", values.get(n, F.col(n) if n not in values else None)))
     cells = _cells(("month",), SHOWN, False) | {f"budget_{n}": number(n) if n not in ("status", "days_elapsed", "days_in_month") else F.col(n).cast("string") for n in BUDGET}
-    return csv_report(months, cells, _order(["month"], descending))
+    return csv_report(months, cells, _order(["month"], descending), few=True)
 
 
 def budget_json(months: DataFrame, descending: bool = False) -> DataFrame:
     """Months with an object budget."""
     number = lambda c: F.round(c, 6)
     budget = F.struct(number(F.col("budget")).alias("limit"), number(F.col("cost")).alias("spent"), *[number(F.col(c)).alias(c) for c in ("projected", "remaining", "used_pct", "projected_pct")], "status", "days_elapsed", "days_in_month")
-    return _objects(months, [F.col("month"), *_measures(), F.col("models"), budget.alias("budget")], None, _order(["month"], descending))
+    return _objects(months, [F.col("month"), *_measures(), F.col("models"), budget.alias("budget")], None, _order(["month"], descending), few=True)
 
 
 def quota_rows(pace: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def quota_json(pace: DataFrame) -> DataFrame:
 def quota_csv(pace: DataFrame) -> DataFrame:
     rows = quota_rows(pace)
     cells = {c: csv_rate(F.col(c)) if c.endswith("pct") or c == "projected_pct_at_reset" else csv_field(F.col(c)) for c in rows.columns}
-    return csv_report(rows, cells, [F.col("observed_at")])
+    return csv_report(rows, cells, [F.col("observed_at")], few=True)
 
 
 def statusline_json(totals: DataFrame, label: str, quality: DataFrame | None = None) -> DataFrame:
@@ -255,7 +256,7 @@ def source_rows(spark, registry) -> DataFrame:
 def sources_csv(spark, registry) -> DataFrame:
     rows = source_rows(spark, registry)
     cells = {"name": F.col("name"), "display_name": csv_field(F.col("display_name")), "aliases": F.array_join("aliases", "|")} | {f: F.col(f).cast("string") for f in FLAGS}
-    return csv_report(rows.withColumnRenamed("place", "n"), cells, [F.col("n")])
+    return csv_report(rows.withColumnRenamed("place", "n"), cells, [F.col("n")], few=True)
 
 
 def sources_json(spark, registry) -> DataFrame:

@@ -117,32 +117,42 @@ def resolve(models: DataFrame, prices: DataFrame, strict: bool = True) -> DataFr
 
     Stages, the first with any hit decides: the name itself; its spellings; its spellings without a date; for Claude
     families, catalogue names that add a date. Within a stage, two canonical names or two rate vectors are ambiguous and
-    end the search. Unless strict, models without rates get those of FALLBACK.
+    end the search. Unless strict, models without rates get those of FALLBACK. models is read once, and one column of it; each
+    distinct name meets the catalogue in one join.
     """
     m = F.col("model")
-    listed = prices.select("price_key", F.struct(*RATES).alias("rates"))
     undated = F.filter(F.transform(_without_vendor(_with_dotted(F.array(m, F.lower(m)))), lambda k: F.regexp_extract(k, DATED, 1)), lambda k: k != "")
-    key = lambda k: F.struct(k.alias("key"), canonical(k).alias("canonical"))
-    stage = lambda i, keys, f=key: F.transform(keys, lambda k: F.struct(F.lit(i).alias("stage"), f(k).alias("k")))
-    itself = lambda k: F.struct(k.alias("key"), F.lower(k).alias("canonical"))
-    asked = staged(models.select("model").where("model != ''").distinct().coalesce(1), "models")  # one column is read, once; what follows is small
-    tried = asked.select("model", F.explode(F.concat(stage(1, F.array_distinct(F.array(m, F.lower(m))), itself), stage(2, exact_keys(m)), stage(3, _with_dotted(undated)))).alias("t"))
-    tried = tried.select("model", "t.stage", F.col("t.k.key").alias("price_key"), F.col("t.k.canonical").alias("canonical"))
-    hits = tried.join(listed, "price_key").select("model", "stage", "price_key", "canonical", "rates")
     plain = lambda k: F.regexp_replace(F.regexp_replace(k, r"^anthropic\.", ""), "^claude-", "")
-    bases = asked.select("model", F.explode(F.array_distinct(F.transform(exact_keys(F.lower(m)), plain))).alias("base"))
-    bases = bases.where(_family(F.col("base")) & ~F.col("base").rlike("-[0-9]{8}$"))
-    dated = listed.select("price_key", "rates", plain(F.lower("price_key")).alias("canonical")).withColumn("base", F.regexp_extract("canonical", "^(.+)-[0-9]{8}$", 1))
-    hits = hits.unionByName(bases.join(dated.where("base != ''"), "base").select("model", F.lit(4).alias("stage"), "price_key", "canonical", "rates"))
-    told = hits.groupBy("model", "stage").agg(F.count_distinct("canonical").alias("n_names"), F.count_distinct("rates").alias("n_rates"), F.min("rates").alias("rates"), F.min("price_key").alias("matched"))
-    first = told.groupBy("model").agg(F.min_by(F.struct("stage", "n_names", "n_rates", "rates", "matched"), "stage").alias("r"))
-    one = (F.col("r.n_names") == 1) & (F.col("r.n_rates") == 1)
-    out = asked.join(first, "model", "left").select("model", F.col("r.stage").alias("stage"), F.when(one, F.col("r.matched")).alias("matched"), F.when(one, F.col("r.rates")).alias("rates"))
+    tries = lambda i, keys, kind, name: F.transform(keys, lambda k: F.struct(F.lit(i).alias("stage"), F.lit(kind).alias("kind"), k.alias("key"), name(k).alias("canonical")))
+    bases = F.filter(F.array_distinct(F.transform(exact_keys(F.lower(m)), plain)), lambda k: _family(k) & ~k.rlike("-[0-9]{8}$"))
+    tried = F.concat(
+        tries(1, F.array_distinct(F.array(m, F.lower(m))), "name", F.lower), tries(2, exact_keys(m), "name", canonical),
+        tries(3, _with_dotted(undated), "name", canonical), tries(4, bases, "base", lambda k: F.lit(None).cast("string")),
+    )
+    asked = models.select("model").where("model != ''").distinct().select("model", F.explode(tried).alias("t"))
+    full = plain(F.lower("price_key"))
+    entry = lambda kind, key, name: F.struct(F.lit(kind).alias("kind"), key.alias("key"), name.cast("string").alias("canonical"))
+    entries = F.array(entry("name", F.col("price_key"), F.lit(None)), entry("base", F.regexp_extract(full, "^(.+)-[0-9]{8}$", 1), full))
+    listed = prices.select(F.explode(entries).alias("e"), "price_key", F.struct(*RATES).alias("rates")).where("e.key != ''")
+    hit = F.struct(F.col("t.stage").alias("stage"), F.coalesce("t.canonical", "e.canonical").alias("name"), "rates", F.col("price_key").alias("key"))
+    pairs = asked.join(listed, (F.col("t.kind") == F.col("e.kind")) & (F.col("t.key") == F.col("e.key")), "left")
+    found = pairs.groupBy("model").agg(F.collect_set(F.when(F.col("price_key").isNotNull(), hit)).alias("hits"))  # the catalogue entries that spell this model
+    stage = F.array_min(F.transform("hits", lambda h: h["stage"]))
+    found = found.withColumn("stage", stage).withColumn("hits", F.filter("hits", lambda h: h["stage"] == F.col("stage")))
+    distinct = lambda f: F.size(F.array_distinct(F.transform("hits", lambda h: h[f])))
+    one = (distinct("name") == 1) & (distinct("rates") == 1)
+    out = found.select("model", "stage", F.when(one, F.array_min(F.transform("hits", lambda h: h["key"]))).alias("matched"), F.when(one, F.col("hits")[0]["rates"]).alias("rates"))
     fallback = F.lit(None).cast(RATES_TYPE) if strict else fallback_rates(m)
     source = F.when(F.col("rates").isNotNull(), "catalogue").when(fallback.isNotNull(), "fallback").otherwise("unknown")
     return out.select("model", "stage", "matched", F.coalesce("rates", fallback).alias("rates"), source.alias("source"))
 
 
+def costed(sums: DataFrame, prices: DataFrame, strict: bool = True) -> DataFrame:
+    """Sums by model with their costs. The sums are staged, so what they were made from is read once and their few models are resolved."""
+    sums = staged(sums, "sums")
+    return with_costs(sums, resolve(sums, prices, strict))
+
+
 def fallback_rates(model: Column) -> Column:
     """Struct of rates by the first fitting row of FALLBACK."""
     out, name = F.lit(None).cast(RATES_TYPE), F.lower(model)
@@ -196,7 +206,7 @@ def known_sum(value: str = "cost", has: Column | None = None) -> Column:
 
 def strict_sum(value: str = "cost") -> Column:
     """Aggregate: null as soon as one cost is unknown."""
-    return F.when(F.count("*") == F.count(value), F.sum(value))
+    return F.when(F.count("*") == F.count(value), F.coalesce(F.sum(value), F.lit(0.0)))
 
 
 def provenance(source: str = "pricing_source") -> Column:

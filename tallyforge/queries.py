@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .functions import measures as M
 from .functions import scalars as S
 from .operators import dedup, ordered, reports
+from .operators.intervals import Cuts
 from .plans import forecast, pricing
 from .plans.ledger import LEDGER_SQL, PRICES, events_ledger, price_table
 from .schema import RATES, TOKENS
+from .staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,9 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deduplicated usage facts."""
-    return dedup.best_candidate(events_ledger(spark, sf_dir))
+#: What sums by model need of a fact.
+MEASURED = ("model", *TOKENS, "call_count", "cost_kind", "recorded_cost_usd")
+
+
+def facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Deduplicated usage facts: these columns of them, or all."""
+    ledger = events_ledger(spark, sf_dir)
+    return dedup.best_candidate(ledger.select(*dict.fromkeys((*dedup.IDENTITY, *columns))) if columns else ledger)
 
 
 # Parts of the DuckDB counterparts.
@@ -122,12 +129,7 @@ _KNOWN = f"CASE WHEN count(*) FILTER ({_HAS}) = 0 THEN 0 ELSE sum(cost) FILTER (
 
 def costed_days(spark: SparkSession, sf_dir: str, strict: bool = True) -> DataFrame:
     """Daily sums by model with their costs."""
-    return pricing.with_costs(reports.daily(facts(spark, sf_dir)), resolved_models(spark, sf_dir, strict))
-
-
-def resolved_models(spark: SparkSession, sf_dir: str, strict: bool = True) -> DataFrame:
-    """Prices of the models of the raw ledger, which needs one column of it."""
-    return pricing.resolve(events_ledger(spark, sf_dir), price_table(spark), strict)
+    return pricing.costed(reports.daily(facts(spark, sf_dir, *MEASURED, "date")), price_table(spark), strict)
 
 
 def shown(df: DataFrame, *keys: str) -> DataFrame:
@@ -142,25 +144,25 @@ _SHOWN = f"{', '.join(TOKENS)}, call_count, {_TOTAL} AS total_tokens, {_HIT} AS
 @query(_with(_DAILY) + f" SELECT CAST(date AS VARCHAR) AS date, model, {_SHOWN} FROM daily")
 def daily_model_usage(spark, sf_dir):
     """Daily report by model."""
-    return shown(reports.daily(facts(spark, sf_dir)), "date", "model")
+    return shown(reports.daily(facts(spark, sf_dir, *MEASURED, "date")), "date", "model")
 
 
 @query(_with(_DAILY) + f", r AS (SELECT date, model, {_SUMS}, grouping(date) * 2 + grouping(model) AS level FROM daily GROUP BY ROLLUP (date, model)) SELECT CAST(date AS VARCHAR) AS date, model, level, {_SHOWN} FROM r")
 def daily_rollup(spark, sf_dir):
     """Daily report with a row for each day and a total row."""
-    return shown(reports.with_total(reports.daily(facts(spark, sf_dir)), "date").withColumn("level", F.col("level").cast("int")), "date", "model", "level")
+    return shown(reports.with_total(reports.daily(facts(spark, sf_dir, *MEASURED, "date")), "date").withColumn("level", F.col("level").cast("int")), "date", "model", "level")
 
 
 @query(_with(_DAILY) + f", r AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week, model, {_SUMS} FROM daily GROUP BY ALL) SELECT CAST(week AS VARCHAR) AS week, model, {_SHOWN} FROM r")
 def weekly_usage(spark, sf_dir):
     """Weeks from Monday."""
-    return shown(reports.weekly(reports.daily(facts(spark, sf_dir))), "week", "model")
+    return shown(reports.weekly(reports.daily(facts(spark, sf_dir, *MEASURED, "date"))), "week", "model")
 
 
 @query(_with(_DAILY) + f", r AS (SELECT strftime(date, '%Y-%m') AS month, model, {_SUMS} FROM daily GROUP BY ALL) SELECT month, model, {_SHOWN} FROM r")
 def monthly_usage(spark, sf_dir):
     """Months."""
-    return shown(reports.monthly(reports.daily(facts(spark, sf_dir))), "month", "model")
+    return shown(reports.monthly(reports.daily(facts(spark, sf_dir, *MEASURED, "date"))), "month", "model")
 
 
 _SESSIONS = (
@@ -173,13 +175,13 @@ _SESSIONS = (
 @query(_with(_SESSIONS) + f" SELECT session_key, session_id, project_path, first_timestamp, last_timestamp, {_SHOWN} FROM sessions")
 def session_usage(spark, sf_dir):
     """Sessions with their span and project."""
-    return shown(reports.sessions(facts(spark, sf_dir)), "session_key", "session_id", "project_path", "first_timestamp", "last_timestamp")
+    return shown(reports.sessions(facts(spark, sf_dir, *MEASURED, "session_id", "project_path", "timestamp")), "session_key", "session_id", "project_path", "first_timestamp", "last_timestamp")
 
 
 @query(_with(_SESSIONS) + f", r AS (SELECT project_path, count(*) AS session_count, {_SUMS} FROM sessions GROUP BY project_path) SELECT project_path, CASE WHEN contains(project_path, '/') THEN regexp_extract(project_path, '([^/]*)$', 1) ELSE ltrim(project_path, '-') END AS project, session_count, {_SHOWN} FROM r")
 def project_usage(spark, sf_dir):
     """Projects of sessions, with display names."""
-    rows = reports.projects(reports.sessions(facts(spark, sf_dir)))
+    rows = reports.projects(reports.sessions(facts(spark, sf_dir, *MEASURED, "session_id", "project_path", "timestamp")))
     return shown(rows.withColumn("project", S.project_name(F.col("project_path"))), "project_path", "project", "session_count")
 
 
@@ -189,13 +191,13 @@ def project_usage(spark, sf_dir):
 )
 def blocks_5h(spark, sf_dir):
     """Five-hour blocks of each day."""
-    return shown(reports.blocks(facts(spark, sf_dir)).withColumn("block_start", F.date_format("block_start", "yyyy-MM-dd HH:mm")), "block_start", "label")
+    return shown(reports.blocks(facts(spark, sf_dir, *MEASURED)).withColumn("block_start", F.date_format("block_start", "yyyy-MM-dd HH:mm")), "block_start", "label")
 
 
 @query(_with(f"r AS (SELECT endpoint, {_SUMS} FROM stats GROUP BY endpoint)") + f" SELECT endpoint, CASE WHEN call_count <= 0 THEN 0 ELSE input_tokens // call_count END AS average_input, {_SHOWN} FROM r")
 def endpoint_usage(spark, sf_dir):
     """Endpoints with whole average input for a call."""
-    rows = reports.endpoints(facts(spark, sf_dir))
+    rows = reports.endpoints(facts(spark, sf_dir, *MEASURED, "endpoint"))
     return shown(rows.withColumn("average_input", S.average_input(F.col("input_tokens"), F.col("call_count"))), "endpoint", "average_input")
 
 
@@ -217,20 +219,20 @@ def tool_counts(spark, sf_dir):
 @query(_with() + " SELECT scope, message_id, session_key, timestamp_ms, stop_reason, line_ord FROM deduped")
 def dedup_best_candidate(spark, sf_dir):
     """The winners of deduplication."""
-    return facts(spark, sf_dir).select(dedup.scope().alias("scope"), "message_id", "session_key", "timestamp_ms", "stop_reason", "line_ord")
+    return facts(spark, sf_dir, *dedup.IDENTITY).select(dedup.scope().alias("scope"), "message_id", "session_key", "timestamp_ms", "stop_reason", "line_ord")
 
 
 @query(_with() + " SELECT (SELECT count(*) FROM deduped) AS valid, CAST((SELECT count(message_id) - count(DISTINCT (scope, message_id)) FILTER (message_id IS NOT NULL) FROM keyed) AS BIGINT) AS dedup_skipped")
 def dedup_quality(spark, sf_dir):
     """How many rows count and how many were duplicates."""
-    ledger = events_ledger(spark, sf_dir)
-    return dedup.quality(ledger, dedup.best_candidate(ledger))
+    best = dedup.counted(events_ledger(spark, sf_dir).select(*dedup.IDENTITY))
+    return dedup.quality_of(best).select("valid", "dedup_skipped")
 
 
 @query(_with() + " SELECT starts_with(message_id, 'source-wide:') AS source_wide, count(*) AS messages, count(DISTINCT session_key) AS sessions FROM deduped WHERE message_id IS NOT NULL GROUP BY 1")
 def source_wide_vs_scoped_dedup(spark, sf_dir):
     """Messages whose ids are unique in a source, and others."""
-    rows = facts(spark, sf_dir).where("message_id IS NOT NULL")
+    rows = facts(spark, sf_dir, *dedup.IDENTITY).where("message_id IS NOT NULL")
     return rows.groupBy(F.col("message_id").startswith(dedup.SOURCE_WIDE).alias("source_wide")).agg(F.count("*").alias("messages"), F.count_distinct("session_key").alias("sessions"))
 
 
@@ -265,7 +267,7 @@ def token_split_clamp(spark, sf_dir):
 @query("WITH " + LEDGER_SQL.replace("FROM ledger", "FROM ledger WHERE date >= DATE '2024-01-20'") + " SELECT CAST(date AS VARCHAR) AS date, count(*) AS entries, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM deduped GROUP BY date")
 def date_filter_open_ended(spark, sf_dir):
     """Dates from a day on, filtered before dedup."""
-    rows = dedup.best_candidate(reports.in_range(events_ledger(spark, sf_dir), since="2024-01-20"))
+    rows = dedup.best_candidate(reports.in_range(events_ledger(spark, sf_dir).select(*dedup.IDENTITY, "date", "input_tokens"), since="2024-01-20"))
     return rows.groupBy(day()).agg(F.count("*").alias("entries"), F.sum("input_tokens").alias("input_tokens"))
 
 
@@ -296,9 +298,13 @@ _RANGES = "(VALUES ('a', DATE '2024-01-01', DATE '2024-01-07'), ('b', DATE '2024
 )
 def multi_range_batch(spark, sf_dir):
     """Several date ranges from one scan, each deduplicated by itself."""
-    wanted = spark.sql(f"SELECT * FROM VALUES ('a', DATE '2024-01-01', DATE '2024-01-07'), ('b', DATE '2024-01-05', CAST(NULL AS DATE)), ('c', CAST(NULL AS DATE), DATE '2024-01-10'), ('d', DATE '2024-01-09', DATE '2024-01-09') w(range_id, since, until)")
-    rows = dedup.best_candidate(reports.ranges(events_ledger(spark, sf_dir), wanted), ("range_id",))
-    return rows.groupBy("range_id", "model").agg(F.count("*").alias("entries"), F.sum("input_tokens").alias("input_tokens"))
+    from datetime import date
+
+    at = lambda n: date(2024, 1, n)
+    cuts = Cuts([("a", at(1), at(7)), ("b", at(5), None), ("c", None, at(10)), ("d", at(9), at(9))])
+    rows = events_ledger(spark, sf_dir).select(*dict.fromkeys((*dedup.IDENTITY, "date", *MEASURED)), F.lit(False).alias("rejected"))
+    told, _ = cuts.merged(staged(cuts.sums(rows, MEASURED), "ranges"))
+    return told.select("range_id", "model", "entries", "input_tokens")
 
 
 _COUNTERS = (
@@ -436,7 +442,7 @@ def pricing_provenance(spark, sf_dir):
 @query(_with(f"r AS (SELECT session_key, {_SUMS} FROM stats GROUP BY session_key)") + f" SELECT {_KIND} AS cost_kind, count(*) AS sessions FROM r GROUP BY 1")
 def cost_kind(spark, sf_dir):
     """Sessions by kind of cost."""
-    return reports.by(facts(spark, sf_dir), "session_key").groupBy(M.cost_kind().alias("cost_kind")).agg(F.count("*").alias("sessions"))
+    return reports.by(facts(spark, sf_dir, *MEASURED), "session_key").groupBy(M.cost_kind().alias("cost_kind")).agg(F.count("*").alias("sessions"))
 
 
 @query("SELECT o_orderkey, o_custkey, round(o_totalprice * 0.92::DOUBLE, 4) AS eur FROM orders")
@@ -482,9 +488,9 @@ def quota_pace(spark, sf_dir):
 )
 def weekly_value(spark, sf_dir):
     """The value of a quota window; models without a price make it unknown."""
-    inside = facts(spark, sf_dir).where(F.col("timestamp_ms").between(1704153600000, 1704758400000))
+    inside = facts(spark, sf_dir, *MEASURED).where(F.col("timestamp_ms").between(1704153600000, 1704758400000))
     rows = reports.by(inside, "model")
-    rows = pricing.with_costs(rows, resolved_models(spark, sf_dir))
+    rows = pricing.costed(rows, price_table(spark))
     usage = rows.agg(F.sum(M.total_tokens()).alias("tokens"), pricing.known_sum().alias("cost"), F.collect_set(F.when(F.col("pricing_source") == "unknown", F.col("model"))).alias("unpriced"))
     return forecast.window_value(usage, F.lit(25.0)).select("tokens", "error", "value", "window_tokens")
 
@@ -507,8 +513,8 @@ def top_models(spark, sf_dir):
 @query(_with(f"daily AS (SELECT project_path, model, {_SUMS} FROM stats GROUP BY ALL)", _RESOLVE, _COSTED) + _top("project_path", "costed"))
 def top_projects(spark, sf_dir):
     """Projects by cost with their shares."""
-    rows = reports.by(facts(spark, sf_dir), "project_path", "model")
-    rows = pricing.with_costs(rows, resolved_models(spark, sf_dir))
+    rows = reports.by(facts(spark, sf_dir, *MEASURED, "project_path"), "project_path", "model")
+    rows = pricing.costed(rows, price_table(spark))
     rows = rows.groupBy("project_path").agg(pricing.known_sum().alias("cost"), F.sum(M.total_tokens()).alias("tokens"))
     return reports.top(rows, "project_path").select("rank", "project_path", F.round("cost", 5).alias("cost"), "tokens", "share")
 
@@ -523,7 +529,7 @@ def share_of_total(spark, sf_dir):
 @query(_with(_SESSIONS) + " SELECT session_key, row_number() OVER (ORDER BY last_ms NULLS FIRST, last_timestamp, session_key) AS place FROM sessions")
 def session_sort(spark, sf_dir):
     """Sessions in order of their last activity."""
-    rows = reports.sessions(facts(spark, sf_dir)).select("session_key", "last_ms", "last_timestamp")
+    rows = reports.sessions(facts(spark, sf_dir, *MEASURED, "session_id", "project_path", "timestamp")).select("session_key", "last_ms", "last_timestamp")
     return ordered.placed(rows, [F.col("last_ms").asc_nulls_first(), F.col("last_timestamp"), F.col("session_key")]).select("session_key", "place")
 
 
@@ -533,8 +539,8 @@ def session_sort(spark, sf_dir):
 )
 def project_sort_nulls(spark, sf_dir):
     """Projects by falling cost, unknown cost first."""
-    rows = reports.by(facts(spark, sf_dir), "project_path", "model")
-    rows = pricing.with_costs(rows, resolved_models(spark, sf_dir)).groupBy("project_path").agg(pricing.strict_sum().alias("cost"))
+    rows = reports.by(facts(spark, sf_dir, *MEASURED, "project_path"), "project_path", "model")
+    rows = pricing.costed(rows, price_table(spark)).groupBy("project_path").agg(pricing.strict_sum().alias("cost"))
     return ordered.placed(rows, [F.round("cost", 6).desc_nulls_first(), F.col("project_path")]).select("project_path", "place")
 
 
@@ -616,13 +622,13 @@ def metadata_left_join(spark, sf_dir):
 def period_json(spark, sf_dir):
     """A period's models as one JSON array."""
     each = F.sort_array(F.collect_list(F.struct("model", "input_tokens")))
-    return reports.daily(facts(spark, sf_dir)).groupBy(F.col("date").cast("string").alias("period")).agg(F.to_json(each).alias("models"))
+    return reports.daily(facts(spark, sf_dir, *MEASURED, "date")).groupBy(F.col("date").cast("string").alias("period")).agg(F.to_json(each).alias("models"))
 
 
 @query(_with(_DAILY) + ", r AS (SELECT date, list(DISTINCT model ORDER BY model) AS m, CAST(sum(" + _TOTAL + ") AS BIGINT) AS t FROM daily GROUP BY date) SELECT strftime(date, '%Y-%m-%d') || ',' || CASE WHEN len(m) > 1 THEN '\"' || array_to_string(m, ', ') || '\"' ELSE m[1] END || ',' || t AS line FROM r")
 def period_csv(spark, sf_dir):
     """Periods as CSV lines; fields with commas are quoted."""
-    rows = reports.daily(facts(spark, sf_dir)).groupBy("date").agg(F.array_join(F.array_sort(F.collect_set("model")), ", ").alias("m"), F.sum(M.total_tokens()).alias("t"))
+    rows = reports.daily(facts(spark, sf_dir, *MEASURED, "date")).groupBy("date").agg(F.array_join(F.array_sort(F.collect_set("model")), ", ").alias("m"), F.sum(M.total_tokens()).alias("t"))
     return rows.select(F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), S.csv_field(F.col("m")), S.csv_field(F.col("t"))).alias("line"))
 
 
