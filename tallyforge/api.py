@@ -261,7 +261,7 @@ def tools(spark: SparkSession, source: str, root: str, wanted: Range = Range(),
 
 
 def top(spark: SparkSession, dimension: str, source: str, root: str | dict[str, str], prices: DataFrame, limit: int = 10, wanted: Range = Range(), zone: str = "UTC", strict: bool = False) -> DataFrame:
-    """Models or projects by cost: rank, name, count of calls or sessions, tokens, share of what is shown."""
+    """Models or projects by cost: rank, name, count of calls or sessions, tokens, share of what is shown, and how many there are in all."""
     if dimension not in ("model", "project"):
         raise ValueError("top ranks by model or project")
     kind = {"model": "models", "project": "project"}[dimension]
@@ -269,7 +269,8 @@ def top(spark: SparkSession, dimension: str, source: str, root: str | dict[str,
     key = {"model": "model", "project": "project_path"}[dimension]
     more = (F.sum("session_rows").alias("count"),) if dimension == "project" else (F.sum("call_count").alias("count"),)
     rows = sinks.rolled(got.rows, key, cost=got.cost, cache_read=got.cache_read, more=more)
-    return reports.top(rows.withColumn("tokens", F.col("total_tokens")), key, limit)
+    whole = rows.agg(F.count("*").alias("total_rows"))  # one row; all of this comes from the staged sums
+    return reports.top(rows.withColumn("tokens", F.col("total_tokens")), key, limit).crossJoin(F.broadcast(whole))
 
 
 def budget(spark: SparkSession, source: str, root: str | dict[str, str], prices: DataFrame, limit: float, as_of: date, wanted: Range = Range(), zone: str = "UTC", strict: bool = False) -> DataFrame:

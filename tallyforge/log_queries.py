@@ -138,12 +138,17 @@ def month_report_json(spark, sf_dir):
 
 
 @query(
-    _streamed(*_grain("date")) + f" SELECT CAST(date AS VARCHAR) AS date, place, model, {_TOTAL} AS total_tokens, round(cost, 9) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY cost DESC NULLS LAST, model) - 1 AS place FROM costed)"
+    _streamed(*_grain("date"))
+    + f" SELECT CAST(date AS VARCHAR) AS date, place, model, {_TOTAL} AS total_tokens, round(cost, 9) AS cost, round(CASE WHEN bool_and(cost IS NOT NULL) OVER w THEN sum(cost) OVER w END, 9) AS day_cost "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY cost DESC NULLS LAST, model) - 1 AS place FROM costed) WINDOW w AS (PARTITION BY date)"
 )
 def period_breakdown_json(spark, sf_dir):
-    """Models of a day by cost, unknown cost last, then by name."""
-    each = priced_report(spark, sf_dir, "daily").json(breakdown=True).select(F.get_json_object("json", "$.date").alias("date"), F.from_json(F.get_json_object("json", "$.breakdown"), "array<struct<model:string,total_tokens:bigint,cost:double>>").alias("b"))
-    return each.select("date", F.posexplode("b").alias("place", "m")).select("date", F.col("place").cast("long").alias("place"), "m.model", "m.total_tokens", F.round("m.cost", 9).alias("cost"))
+    """Models of a day by cost, unknown cost last, then by name; one unknown model makes the cost of the day unknown."""
+    one = "array<struct<model:string,total_tokens:bigint,cost:double>>"
+    at = lambda f: F.get_json_object("json", f"$.{f}")
+    each = priced_report(spark, sf_dir, "daily").json(breakdown=True).select(at("date").alias("date"), F.round(at("cost").cast("double"), 9).alias("day_cost"), F.from_json(at("breakdown"), one).alias("b"))
+    rows = each.select("date", "day_cost", F.posexplode("b").alias("place", "m"))
+    return rows.select("date", "day_cost", F.col("place").cast("long").alias("place"), "m.model", "m.total_tokens", F.round("m.cost", 9).alias("cost"))
 
 
 def _line(*cells: str) -> str:
@@ -263,16 +268,19 @@ def top_report_csv(spark, sf_dir):
     return sinks.top_csv(api.top(spark, "model", "claude", streamed_root(spark, sf_dir), price_table(spark), 5, strict=True), "model")
 
 
-@query(_streamed(*_grain("project_path")) + _ranked("project_path", f"(SELECT count(DISTINCT session_key) FROM stats x WHERE x.project_path = rolled.project_path)") + " SELECT rank, project_path AS name, CAST(n AS BIGINT) AS count, total_tokens, share AS share_percent, round(cost, 5) AS cost_usd, 5 AS displayed, 8 AS total_rows FROM r")
+@query(_streamed(*_grain("project_path")) + _ranked("project_path", f"(SELECT count(DISTINCT session_key) FROM stats x WHERE x.project_path = rolled.project_path)") + " SELECT rank, project_path AS name, CAST(n AS BIGINT) AS count, total_tokens, share AS share_percent, round(cost, 5) AS cost_usd, 5 AS displayed, (SELECT CAST(count(*) AS INT) FROM rolled) AS total_rows FROM r")
 def top_report_json(spark, sf_dir):
     """The five dearest projects, sessions belonging to the project they began in, as one JSON object read back."""
     rows = api.top(spark, "project", "claude", streamed_root(spark, sf_dir), price_table(spark), 5, strict=True)
-    one = sinks.top_json(rows, "project_path", 5, 8)
+    one = sinks.top_json(rows, "project_path", 5)
     at = F.from_json("json", "displayed int, total_rows int, entries array<struct<rank:bigint,name:string,count:bigint,total_tokens:bigint,share_percent:double,cost_usd:double>>")
     return one.select(at.alias("j")).select(F.explode("j.entries").alias("e"), "j.displayed", "j.total_rows").select("e.*", "displayed", "total_rows")
 
 
-@query(_streamed("daily AS (SELECT model, " + _SUMS + " FROM stats GROUP BY ALL)", _RESOLVE, _COSTED, f"rolled AS (SELECT {_ROLLED} FROM costed)") + f" SELECT input_tokens, output_tokens, total_tokens, round(cost, 9) AS cost, {_RATE} AS cache_hit_rate, '$' || printf('%.2f', cost) AS shown, CAST({_ERRORS} AS BIGINT) AS parse_errors FROM rolled")
+@query(
+    _streamed(*_grain("date"), f"whole AS (SELECT {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in (*TOKENS, 'total_tokens'))}, CASE WHEN count(*) = count(cost) THEN sum(cost) END AS cost FROM rolled)")
+    + f" SELECT input_tokens, output_tokens, total_tokens, round(cost, 9) AS cost, {_RATE} AS cache_hit_rate, coalesce('$' || printf('%.2f', cost), 'N/A') AS shown, CAST({_ERRORS} AS BIGINT) AS parse_errors FROM whole"
+)
 def statusline_json(spark, sf_dir):
     """The status line as JSON, read back."""
     at = F.from_json("json", "input_tokens bigint, output_tokens bigint, total_tokens bigint, cost double, cache_hit_rate double, formatted struct<cost:string>, data_quality struct<parse_errors:bigint>")
@@ -431,6 +439,35 @@ def quota_report_csv(spark, sf_dir):
     return sinks.quota_csv(api.weekly_quota(spark, quota_root(spark, sf_dir), 1769400000))
 
 
+_WORTH = "CAST(floor(value) AS BIGINT)"
+
+
+def worth_root(spark, sf_dir) -> str:
+    """Running totals of every user in a running week, each line with the weekly limit at its time."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events(spark, sf_dir).select("user_id", "event_id", F.sum(F.floor("value").cast("long")).over(w).alias("i"), F.sum(F.col("event_id") % 7).over(w).alias("c"), F.sum(F.col("event_id") % 50).over(w).alias("o"))
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1769300000) + F.col("event_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
+    totals = F.struct(F.col("i").alias("input_tokens"), F.least("c", "i").alias("cached_input_tokens"), F.col("o").alias("output_tokens"), F.lit(0).alias("reasoning_output_tokens"), (F.col("i") + F.col("o")).alias("total_tokens"))
+    week = F.struct((F.col("event_id") % 40 + 20).cast("double").alias("used_percent"), F.lit(10080).alias("window_minutes"), F.lit(1769800000).alias("resets_at"))
+    payload = F.struct(F.lit("token_count").alias("type"), F.struct(totals.alias("total_token_usage"), F.lit("gpt-5").alias("model")).alias("info"), F.struct(week.alias("primary")).alias("rate_limits"))
+    path = F.format_string("sessions/2026/01/25/u%d.jsonl", "user_id")
+    return write_lines(rows.select(path.alias("path"), F.col("event_id").alias("ord"), as_json(stamp, F.lit("event_msg").alias("type"), payload.alias("payload")).alias("line")), fresh_path(spark, "worth"))
+
+
+@query(
+    f"WITH s AS (SELECT user_id, event_id, sum({_WORTH}) OVER w AS i, sum(event_id % 7) OVER w AS c, sum(event_id % 50) OVER w AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)), "
+    "r AS (SELECT CAST(i AS BIGINT) AS i, CAST(least(c, i) AS BIGINT) AS c, CAST(o AS BIGINT) AS o, lag(CAST(i AS BIGINT), 1, 0) OVER w AS bi, lag(CAST(least(c, i) AS BIGINT), 1, 0) OVER w AS bc, lag(CAST(o AS BIGINT), 1, 0) OVER w AS bo FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), "
+    "d AS (SELECT i - bi AS i, c - bc AS c, o - bo AS o FROM r), t AS (SELECT CAST(sum(greatest(i - c, 0) + least(c, i) + o) AS BIGINT) AS tokens, sum(greatest(i - c, 0)) * 1.25e-6::DOUBLE + sum(least(c, i)) * 0.125e-6::DOUBLE + sum(o) * 10e-6::DOUBLE AS cost FROM d WHERE i + c + o <> 0), "
+    "u AS (SELECT (max(event_id) % 40 + 20)::DOUBLE AS used FROM events) SELECT tokens, CAST(NULL AS VARCHAR) AS error, round(cost * 100 / used, 6) AS value, round(tokens * 100 / used, 6) AS window_tokens FROM t, u"
+)
+def weekly_value_of_logs(spark, sf_dir):
+    """What the running quota window of a user's logs is worth."""
+    got = api.weekly_value(spark, worth_root(spark, sf_dir), price_table(spark), 1769400000, strict=True)
+    return got.select("tokens", "error", F.round("value", 6).alias("value"), F.round("window_tokens", 6).alias("window_tokens"))
+
+
 # Billing documents.
 
 
@@ -583,6 +620,33 @@ def all_sources_report(spark, sf_dir):
     return got.rolled().select(F.col("date").cast("string").alias("date"), "total_tokens", F.array_join("models", ",").alias("models"))
 
 
+_SIX = "(VALUES (0, 'b', DATE '2024-01-05', NULL), (1, 'never', DATE '1999-01-01', DATE '1999-12-31'), (2, 'a', DATE '2024-01-01', DATE '2024-01-09'), (3, 'open', NULL, NULL), (4, 'day', DATE '2024-01-09', DATE '2024-01-09'), (5, 'until', NULL, DATE '2024-01-12')) w(position, range_id, since, until)"
+_WITHIN = "date >= coalesce(since, DATE '0001-01-01') AND date <= coalesce(until, DATE '9999-12-31')"
+_RANGED = (
+    f"inside AS (SELECT w.position, w.range_id, l.* FROM {_SIX} JOIN (SELECT *, CASE WHEN message_id LIKE 'source-wide:%' THEN '' ELSE session_key END AS scope FROM ledger) l ON {_WITHIN}), "
+    "best AS (SELECT * FROM inside WHERE message_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY position, scope, message_id ORDER BY stop_reason IS NULL, timestamp_ms DESC, file_path, line_ord) = 1 UNION ALL SELECT * FROM inside WHERE message_id IS NULL AND stop_reason IS NOT NULL), "
+    f"wire AS (SELECT w.position, u.* FROM {_SIX} JOIN (SELECT *, CAST(ts AS DATE) AS date FROM u WHERE event_id % 13 <> 0) u ON {_WITHIN}), "
+    f"every AS (SELECT position, input_tokens AS i, {_TOTAL} AS n, 1 AS calls FROM best UNION ALL SELECT position, i, i + o + r + c, 1 FROM wire), "
+    "t AS (SELECT position, CAST(sum(i) AS BIGINT) AS i, CAST(sum(n) AS BIGINT) AS n, count(*) AS calls FROM every GROUP BY position), "
+    "s AS (SELECT position, count(message_id) - count(DISTINCT (scope, message_id)) FILTER (message_id IS NOT NULL) AS skipped FROM inside GROUP BY position)"
+)
+
+
+@query(
+    "WITH " + _STREAMED + ", " + _WIRE.removeprefix("WITH ") + ", " + _RANGED + " SELECT w.position::INT AS position, w.range_id, coalesce(t.i, 0) AS input_tokens, coalesce(t.n, 0) AS total_tokens, coalesce(t.calls, 0) AS call_count, coalesce(t.calls, 0) AS valid, "
+    f"coalesce(s.skipped, 0) AS dedup_skipped, CAST({_ERRORS} + (SELECT count(*) FROM u WHERE event_id % 13 = 0) AS BIGINT) AS parse_errors FROM {_SIX} LEFT JOIN t USING (position) LEFT JOIN s USING (position)"
+)
+def ranges_of_two_sources(spark, sf_dir):
+    """Six ranges, some of them overlapping and one without usage, over two sources in one pass, in the order asked for."""
+    from datetime import date
+
+    at = lambda n: date(2024, 1, n)
+    wanted = {"b": (at(5), None), "never": (date(1999, 1, 1), date(1999, 12, 31)), "a": (at(1), at(9)), "open": (None, None), "day": (at(9), at(9)), "until": (None, at(12))}
+    roots = {"claude": streamed_root(spark, sf_dir), "kimi": wire_root(spark, sf_dir)}
+    got = api.summarize_ranges(spark, "all", roots, price_table(spark), {n: api.Range(*r) for n, r in wanted.items()}, strict=True)
+    return got.select("position", "range_id", "input_tokens", "total_tokens", "call_count", "valid", "dedup_skipped", "parse_errors")
+
+
 @query("SELECT * FROM (VALUES (0, 1, 'name,display_name,aliases,has_projects,has_billing_blocks,has_reasoning_tokens,has_cache_creation,has_cache_read,needs_dedup'), (1, 1, 'all,All Sources,,true,true,true,true,true,true'), (1, 2, 'claude,Claude Code,cc,true,true,false,true,true,true'), (1, 3, 'codex,Codex,cx,false,false,true,false,true,true'), (1, 4, 'cursor,Cursor,cur,false,false,false,true,true,false'), (1, 5, 'grok,Grok,gx,true,false,true,true,true,true'), (1, 6, 'kimi,Kimi,km,true,false,false,true,true,false')) t(part, place, line)")
 def sources_listing_csv(spark, sf_dir):
     """Sources and what they support."""

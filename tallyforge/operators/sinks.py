@@ -183,11 +183,11 @@ def top_csv(rows: DataFrame, dimension: str) -> DataFrame:
     return csv_report(rows, cells, [F.col("rank")], few=True)
 
 
-def top_json(rows: DataFrame, dimension: str, limit: int, total_rows: int) -> DataFrame:
-    """One object with at most limit entries."""
+def top_json(rows: DataFrame, dimension: str, limit: int) -> DataFrame:
+    """One object with at most limit entries; total_rows is how many there were to rank."""
     fields = [F.col("rank"), F.col(dimension).alias("name"), F.col("count"), *[F.col(a) for a in ("input_tokens", "output_tokens", "cache_creation", "cache_read", "cache_hit_rate", "reasoning_tokens")], F.col("tokens").alias("total_tokens"), F.col("share").alias("share_percent"), F.round("cost", 5).alias("cost_usd")]
-    one = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("e")))), lambda x: x["e"]).alias("entries"), F.count("*").alias("displayed"), F.coalesce(F.min("share_basis"), F.lit("tokens")).alias("share_basis"))
-    whole = F.struct(F.lit(dimension).alias("dimension"), F.lit(limit).alias("limit"), "displayed", F.lit(total_rows).alias("total_rows"), "share_basis", "entries")
+    one = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("e")))), lambda x: x["e"]).alias("entries"), F.count("*").alias("displayed"), F.coalesce(F.min("share_basis"), F.lit("tokens")).alias("share_basis"), F.coalesce(F.max("total_rows"), F.lit(0)).alias("total_rows"))
+    whole = F.struct(F.lit(dimension).alias("dimension"), F.lit(limit).alias("limit"), "displayed", "total_rows", "share_basis", "entries")
     return one.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
 

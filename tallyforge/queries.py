@@ -510,10 +510,15 @@ def top_models(spark, sf_dir):
     return reports.top(rows, "model").select("rank", "model", F.round("cost", 5).alias("cost"), "tokens", "share")
 
 
-@query(_with(f"daily AS (SELECT project_path, model, {_SUMS} FROM stats GROUP BY ALL)", _RESOLVE, _COSTED) + _top("project_path", "costed"))
+@query(
+    _with(
+        "began AS (SELECT session_key, arg_min(project_path, (file_path, line_ord)) AS began FROM deduped GROUP BY session_key)",
+        f"daily AS (SELECT began AS project_path, model, {_SUMS} FROM stats JOIN began USING (session_key) GROUP BY ALL)", _RESOLVE, _COSTED,
+    ) + _top("project_path", "costed")
+)
 def top_projects(spark, sf_dir):
-    """Projects by cost with their shares."""
-    rows = reports.by(facts(spark, sf_dir, *MEASURED, "project_path"), "project_path", "model")
+    """Projects by cost with their shares; a session belongs to the project it began in."""
+    rows = reports.project_models(reports.session_models(facts(spark, sf_dir, *MEASURED, "session_id", "project_path", "timestamp")))
     rows = pricing.costed(rows, price_table(spark))
     rows = rows.groupBy("project_path").agg(pricing.known_sum().alias("cost"), F.sum(M.total_tokens()).alias("tokens"))
     return reports.top(rows, "project_path").select("rank", "project_path", F.round("cost", 5).alias("cost"), "tokens", "share")

@@ -33,7 +33,7 @@ def test_best_candidate_rules(spark):
     )
     best = dedup.best_candidate(df)
     assert sorted(r["input_tokens"] for r in best.collect()) == [3, 7, 11, 13, 21, 32, 100]
-    assert dedup.quality(df, best).first().asDict() == {"valid": 7, "dedup_skipped": 6}
+    assert dedup.quality_of(dedup.counted(df)).first().asDict() == {"valid": 7, "dedup_skipped": 6, "parse_errors": 0}
 
 
 def test_dedup_does_not_depend_on_order_or_partitions(spark):
@@ -174,7 +174,7 @@ def test_ranges_equal_single_calls(spark, tmp_path, prices):
     many = {r["range_id"]: r.asDict() for r in api.summarize_ranges(spark, "claude", str(tmp_path), prices, wanted).collect()}
     for name, r in wanted.items():
         one = api.summarize(spark, "claude", str(tmp_path), prices, r).first().asDict()
-        assert one == {k: v for k, v in many[name].items() if k != "range_id"}
+        assert one == {k: v for k, v in many[name].items() if k not in ("range_id", "position")}
     assert api.report(spark, "daily", "cc", str(tmp_path), prices).count() == 3
     with pytest.raises(ValueError):
         api.Range(date(2024, 1, 2), date(2024, 1, 1))

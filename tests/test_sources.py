@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import api
-from tallyforge.operators.dedup import best_candidate, quality
+from tallyforge.operators.dedup import best_candidate, counted, quality_of
 from tallyforge.schema import PRICE
 from tallyforge.sources import SOURCES, claude, codex, grok
 from tallyforge.sources.base import combined, json_lines
@@ -50,7 +50,8 @@ def test_streamed_messages(spark, tmp_path):
     assert (grown["output_tokens"], grown["session_id"], grown["project_path"], grown["endpoint"], grown["model"]) == (77, "night", "beta", "unknown", "sonnet-4")
     assert (zero["input_tokens"], zero["output_tokens"], zero["cache_creation"], zero["cache_creation_1h"], zero["endpoint"], zero["model"]) == (0, 0, 12, 12, "proxy", "opus-9")
     assert (got[None]["input_tokens"], got["source-wide:claude:open"]["endpoint"]) == (6, "native")
-    assert quality(facts, best).first().asDict() == {"valid": 4, "dedup_skipped": 2}
+    assert quality_of(counted(facts)).first().asDict() == {"valid": 4, "dedup_skipped": 2, "parse_errors": 0}
+    assert quality_of(counted(claude.scan(spark, str(tmp_path)))).first().asDict() == {"valid": 4, "dedup_skipped": 2, "parse_errors": 3}
 
 
 def test_absent_roots_are_empty(spark, tmp_path):
