@@ -6,10 +6,12 @@ import atexit
 import tempfile
 import uuid
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: set[str] = set()
+_staged: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 @lru_cache(1)
@@ -41,7 +43,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a result into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged[out] = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that nothing will read again."""
+    for table in tables:
+        if (path := _staged.pop(table, None)) is not None:
+            removed(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like staged, but in buckets by key, one for each partition of a shuffle, so that joins by key leave the rows where they are."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    _staged[out] = path
+    return out
 
 
 def local_path(uri: str) -> tuple:
