@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import fresh_path, local_path, removed, shared_dir, staged  # noqa: F401  for the operators
+from ..staging import bucketed, fresh_path, local_path, released, removed, shared_dir, staged  # noqa: F401  for the operators
 
 #: Words of all operators: maximal runs of anything but ASCII white space. bytes.split() splits the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +69,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))  # a random number for each byte
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+WINDOW_BYTES = 1 << 20
+
+
+@lru_cache(2)
+def _powers(step: int, n: int) -> np.ndarray:
+    """step ** i modulo 2 ** 64, for i below n."""
+    out = np.full(n, step, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def hashed_words(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, in order.
+
+    A word's hash is a polynomial over random numbers for its bytes, so all words of a window of WINDOW_BYTES (or of one longer word)
+    are hashed by a running sum over its bytes.
+    """
+    if not texts:
+        return []
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        first = starts[low]
+        high = max(low + 1, int(np.searchsorted(ends, first + WINDOW_BYTES, "right")))
+        span = int(ends[high - 1] - first)
+        size = max(WINDOW_BYTES, 1 << (span - 1).bit_length())
+        total = np.zeros(span + 1, np.uint64)
+        np.cumsum(_BYTE[raw[first : first + span]] * _powers(int(_STEP), size)[:span], out=total[1:])
+        s, e = starts[low:high] - first, ends[low:high] - first
+        out[low:high] = mix64((total[e] - total[s]) * _powers(int(_BACK), size)[s] + (e - s).astype(np.uint64))
+        low = high
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    cuts = np.searchsorted(starts, bounds)
+    return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Grown:
     """A numpy copy of a growing list; each item is copied about once."""
 

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, lookup, mix64, partitions, staged, table
+from .common import bucketed, hashed_words, lookup, mix64, partitions, released, staged, table
 
 K, ELL, SKETCHES = 3, 2, 72
 SHORT, SHORT_KEYS = 64, 16
 SIMILARITY = 0.8
 CHUNK_ROWS = 256
-BLOCK, MAX_BITS, FEW = 2048, 16, 2
-BATCH_WORDS = 1 << 18
+BLOCK, BITS, MAX_BITS, FEW = 2048, (16, 4), 17, 2
+BATCH_BYTES = 1 << 21
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, SKETCHES + 1001, dtype=np.uint64))
@@ -99,23 +99,24 @@ def keys_of(hashes: list[np.ndarray]) -> list[np.ndarray]:
     return keys
 
 
+def in_parts(texts: list) -> Iterator[tuple[int, list[bytes]]]:
+    """(first index, texts) of runs with about BATCH_BYTES; null is empty."""
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or b"")
+        if size >= BATCH_BYTES or i + 1 == len(texts):
+            yield low, [t or b"" for t in texts[low : i + 1]]
+            low, size = i + 1, 0
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordTable()
-    names = ["doc_id", "digest", "keys"]
     for batch in batches:
         ids, digests, texts = batch.columns
-        held, low, n = [], 0, 0
-        texts = texts.to_pylist()
-        for i, text in enumerate(texts):
-            held.append(words.word_hashes(words.rows((text or b"").split())))
-            words.trim()
-            n += len(held[-1])
-            if n >= BATCH_WORDS or i + 1 == len(texts):
-                each = keys_of(held)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
-                yield pa.record_batch([ids.slice(low, len(held)), digests.slice(low, len(held)), keys], names)
-                held, low, n = [], i + 1, 0
+        for low, some in in_parts(texts.to_pylist()):
+            each = keys_of(hashed_words(some))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
+            yield pa.record_batch([ids.slice(low, len(some)), digests.slice(low, len(some)), keys], ["doc_id", "digest", "keys"])
 
 
 def digest_of(text: Column) -> Column:
@@ -236,62 +237,96 @@ def similar(a: list, b: list, pairs: set, threshold: float = SIMILARITY) -> bool
     return banded_distance(a, b, most) <= most
 
 
+def pair_hashes(a: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct pairs of adjacent words, ascending."""
+    return np.unique(mix64(a[:-1] * _STEP + a[1:])) if len(a) > 1 else a[:0]
+
+
+def alike(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, threshold: float = SIMILARITY) -> bool:
+    """``similar`` for texts as word hashes: the cheap bounds in whole arrays, the alignment of what is left between a common start and end.
+
+    pairs are pair_hashes(a).
+    """
+    n, m = len(a), len(b)
+    most, apart, least = int((1 - threshold) * max(n, m) + 1e-9), abs(n - m), min(n, m)
+    if apart > most:
+        return False
+    ahead, behind = a[:least] != b[:least], a[n - least :] != b[m - least :]
+    if min(np.count_nonzero(ahead), np.count_nonzero(behind)) + apart <= most:
+        return True
+    low = int(ahead.argmax())
+    high = min(int(behind[::-1].argmax()), least - low)
+    if max(n, m) - low - high <= most:
+        return True
+    other = pair_hashes(b)
+    at = np.searchsorted(other, pairs)
+    at[at == len(other)] = 0
+    if len(pairs) and (np.count_nonzero(other[at] != pairs) if len(other) else len(pairs)) > 2 * most:
+        return False
+    x, y = a[low : n - high].tolist(), b[low : m - high].tolist()
+    return greedy_cost(x, y, most) <= most or banded_distance(x, y, most) <= most
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted: the leader of a chunk (role 0), then its candidates (role 1)."""
-    leader, words, pairs = None, [], set()
+    leader, words, pairs = None, None, None
     for batch in batches:
-        links = []
-        for a, role, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "node", "text"))):
-            if role == 0:
-                if leader != a:
-                    leader, words = a, (text or b"").split()
-                    pairs = pairs_of(words)
-            elif leader == a and similar(words, (text or b"").split(), pairs):
-                links.append((a, node))
+        links, (ids, roles, nodes) = [], (batch.column(c).to_pylist() for c in ("a", "role", "node"))
+        for low, some in in_parts(batch.column("text").to_pylist()):
+            for i, hashes in enumerate(hashed_words(some), low):
+                a = ids[i]
+                if roles[i] == 0:
+                    if leader != a:
+                        leader, words, pairs = a, hashes.copy(), pair_hashes(hashes)
+                elif leader == a and alike(words, hashes, pairs):
+                    links.append((a, nodes[i]))
         yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
 
 def met(sets: DataFrame) -> DataFrame:
-    """(key, node, first, last, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys."""
+    """(key, node, first, last, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys; staged."""
     rows = sets.select("node", F.explode("keys").alias("key"))
-    return staged(rows.join(_bucketed(rows), "key"), "dedup-buckets")
-
-
-def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
+    buckets = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
+    buckets = staged(buckets, "dedup-keys")
+    out = staged(lookup(rows, buckets, "key", buckets.select("key", F.col("n").alias("count"))), "dedup-buckets")
+    released(buckets)
+    return out
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of the first round: texts and the first or last text of a bucket that they fall in. rows: met(sets)."""
+    """(a, b, shared): texts, the first or last text of a bucket that they fall in, and in how many they do. rows: met(sets)."""
     both = rows.select("node", F.explode(F.array("first", "last")).alias("a"))
-    return both.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    return both.where(F.col("a") != F.col("node")).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
 
 
-def bit_maps(words: list[bytes], table_: WordTable) -> tuple[bytes, bytes]:
-    """Bits for the hashed words of a text, and for its hashed pairs of adjacent words; four bits or more for each, within bounds."""
-    hashes = table_.word_hashes(table_.rows(words))
-    table_.trim()
-    width = 1 << min(MAX_BITS, max(8, int(np.ceil(np.log2(4 * max(len(words), 1))))))
+def bit_maps(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Bits for the hashed words of a text (BITS for each word, or more), and for its hashed pairs of adjacent words; at most 2 ** MAX_BITS."""
     out = []
-    for x in (hashes, mix64(hashes[:-1] * _STEP + hashes[1:]) if len(hashes) else hashes):
-        bits = np.zeros(width, bool)
-        bits[(x & np.uint64(width - 1)).astype(np.int64)] = True
-        out.append(np.packbits(bits, bitorder="little").tobytes())
+    for x, bits in zip((hashes, mix64(hashes[:-1] * _STEP + hashes[1:]) if len(hashes) else hashes), BITS):
+        width = map_width(len(hashes), bits)
+        marks = np.zeros(width, bool)
+        marks[(x & np.uint64(width - 1)).astype(np.int64)] = True
+        out.append(np.packbits(marks, bitorder="little").tobytes())
     return out[0], out[1]
 
 
+def map_width(words: int, bits: int) -> int:
+    """Bits of a map: a power of two, so maps of texts whose lengths are within the similarity are as wide or one twice the other."""
+    return 1 << min(MAX_BITS, max(8, (bits * max(words, 1) - 1).bit_length()))
+
+
 def _map_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table_ = WordTable()
     for batch in batches:
-        texts = [(t or b"").split() for t in batch.column("text").to_pylist()]
-        maps = [bit_maps(t, table_) for t in texts]
-        yield pa.record_batch([batch.column("node"), pa.array(list(map(len, texts)), pa.int64()), pa.array([m for m, _ in maps], pa.binary()), pa.array([m for _, m in maps], pa.binary())], ["node", "words", "singles", "pairs"])
+        for low, some in in_parts(batch.column("text").to_pylist()):
+            words = hashed_words(some)
+            singles, pairs = zip(*map(bit_maps, words))
+            node, buckets = (batch.column(c).slice(low, len(some)) for c in ("node", "buckets"))
+            yield pa.record_batch([node, pa.array(list(map(len, words)), pa.int64()), pa.array(singles, pa.binary()), pa.array(pairs, pa.binary()), buckets], ["node", "words", "singles", "pairs", "buckets"])
 
 
-def folded(maps: list[bytes]) -> np.ndarray:
-    """Maps of one width, the least that occurs: folding joins bits, so fewer of one map are missing in another."""
-    least = min(map(len, maps)) // 8
-    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, least), axis=0) for x in maps])
+def folded(maps: list[bytes], width: int) -> np.ndarray:
+    """Maps as rows of so many bits: folding joins bits, so fewer of one map are missing in another."""
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 64), axis=0) for x in maps])
 
 
 def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -300,39 +335,55 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     Pairs of other roots count that pass exact bounds: an edit takes one word or two pairs of adjacent words from a text, so of texts
     within d edits neither has more than d distinct words, or 2 d pairs, that the other lacks. A pair counts in the least bucket of the
-    second round that both texts are in. With few, a task gives only the likeliest so many for each two roots.
+    second round that both texts are in. With few, a task gives only the likeliest so many for each two roots, and if it left any out
+    a row with itself and no pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
         def compare() -> pa.RecordBatch:
+            held.sort(key=lambda x: x[3])  # by length: those that a text can be similar to stand together
             node, root, role, size = (np.array(x, np.int64) for x in zip(*(x[:4] for x in held)))
-            maps = [folded([x[k] for x in held]) for k in (4, 5)]
-            counts = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in maps]
             keys, key, us, vs, lacks = [x[6] for x in held], task[0], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x in np.flatnonzero(role == 0):
-                other = np.flatnonzero((root != root[x]) & ((role > 0) | ((task[2] == task[3]) & (np.arange(len(role)) > x))))
-                most = ((1 - SIMILARITY) * np.maximum(size[other], size[x]) + 1e-9).astype(np.int64)
-                keep = np.abs(size[other] - size[x]) <= most
-                for m, c, edit in zip(maps, counts, (1, 2)):
-                    other, most = other[keep], most[keep]
-                    lacking = np.maximum(c[other], c[x]) - np.bitwise_count(m[other] & m[x]).sum(axis=1, dtype=np.int64)
-                    keep = lacking <= edit * most
-                other, lacking = other[keep], lacking[keep]
-                least = np.fromiter((min(keys[x] & keys[y]) == key for y in other.tolist()), bool, len(other))
-                us.append(np.full(int(least.sum()), x))
-                vs.append(other[least])
-                lacks.append(lacking[least])
+            wide = np.array([map_width(n, BITS[0]) for n in size.tolist()])
+            for width in np.unique(wide).tolist():
+                some = np.flatnonzero((wide == width) | (wide == 2 * width))
+                narrow = min(len(held[some[0]][5]) * 8, width)
+                maps = [folded([held[x][4] for x in some], width), folded([held[x][5] for x in some], narrow)]
+                counts = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in maps]
+                for at in np.flatnonzero(wide[some] == width).tolist():
+                    x = some[at]
+                    last = np.searchsorted(size[some], np.floor(size[x] / SIMILARITY + 1), "right")
+                    other = np.arange(at + 1, last)
+                    y = some[other]
+                    blocks = (role[x] == 0) & (role[y] == 0) & (task[2] == task[3]) | ((role[x] == 0) != (role[y] == 0))
+                    other = other[blocks & (root[y] != root[x])]
+                    most = ((1 - SIMILARITY) * np.maximum(size[some[other]], size[x]) + 1e-9).astype(np.int64)
+                    keep = np.abs(size[some[other]] - size[x]) <= most
+                    for m, c, edit in zip(maps, counts, (1, 2)):
+                        other, most = other[keep], most[keep]
+                        lacking = np.maximum(c[other], c[at]) - np.bitwise_count(m[other] & m[at]).sum(axis=1, dtype=np.int64)
+                        keep = lacking <= edit * most
+                    other, lacking = some[other[keep]], lacking[keep]
+                    least = np.fromiter((min(keys[x] & keys[y]) == key for y in other.tolist()), bool, len(other))
+                    us.append(np.full(int(least.sum()), x))
+                    vs.append(other[least])
+                    lacks.append(lacking[least])
             x, y, lacking = (np.concatenate(c) for c in (us, vs, lacks))
+            trimmed = []
             if few and len(x):
                 one, two = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
                 by = np.lexsort((lacking, two, one))
                 first = np.concatenate([[0], np.flatnonzero(np.diff(one[by]) | np.diff(two[by])) + 1])
                 by = by[np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by)))) < few]
+                trimmed = [task] if len(by) < len(x) else []
                 x, y = x[by], y[by]
             u, v = node[x], node[y]
-            return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+            columns = [pa.concat_arrays([pa.array(c), pa.nulls(len(trimmed), pa.int64())]) for c in (np.minimum(u, v), np.maximum(u, v))]
+            for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32())):
+                columns.append(pa.concat_arrays([pa.nulls(len(x), kind), pa.array([t[i] for t in trimmed], kind)]))
+            return pa.record_batch(columns, ["a", "b", *TASK])
 
         for batch in batches:
             for *at, node, root, role, size, singles, pairs, keys in zip(*(c.to_pylist() for c in batch.columns)):
@@ -347,8 +398,14 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def block_pairs(members: DataFrame, roots: DataFrame, few: int) -> DataFrame:
-    """(a, b) of the second round, staged. members: node, words, singles, pairs and buckets, an array of (key, n).
+#: What names a task of the second round.
+TASK = ("key", "cls", "i", "j")
+
+
+def block_pairs(members: DataFrame, roots: DataFrame, few: int, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((a, b), tasks that left pairs out) of the second round, staged. members: node, words, singles, pairs and buckets, an array of (key, n).
+
+    only has the tasks that are wanted, if not all are; then the bit maps go to those alone.
 
     A bucket of n texts is one task if n is at most BLOCK. In a larger one, texts within the similarity have lengths of the same or the
     next class, and the texts of a class are dealt into n / BLOCK blocks: a task (i, j) of a class holds its block i with its block j,
@@ -369,32 +426,66 @@ def block_pairs(members: DataFrame, roots: DataFrame, few: int) -> DataFrame:
         each = F.concat(tasks(blocks, lambda x: task(0, block, x, 0)), tasks(block, lambda x: task(0, x, block, 1)), tasks(F.when(large, blocks).otherwise(0), lambda x: task(1, x, block, 2)))
         return F.transform(each, lambda t: F.struct(bucket["key"].alias("key"), t.alias("t")))
 
-    at = ["key", "cls", "i", "j"]
-    rows = rooted.select(F.explode(F.flatten(F.transform("buckets", dealt))).alias("d"), "node", "root", "words", "singles", "pairs", F.col("buckets.key").alias("keys"))
-    rows = rows.select("d.key", "d.t.cls", "d.t.i", "d.t.j", "node", "root", "d.t.role", "words", "singles", "pairs", "keys")
-    lined = rows.repartition(partitions(members.sparkSession), *at).sortWithinPartitions(*at)
-    return staged(lined.mapInArrow(_pair_batches(few), "a long, b long").distinct(), "dedup-more")
+    carried = {"root": F.col("root"), "words": F.col("words"), "singles": F.col("singles"), "pairs": F.col("pairs"), "keys": F.col("buckets.key")}
+    place = ["d.key", "d.t.cls", "d.t.i", "d.t.j", "node", "d.t.role"]
+    each = F.explode(F.flatten(F.transform("buckets", dealt))).alias("d")
+    if only is None:
+        rows = rooted.select(each, "node", *[c.alias(n) for n, c in carried.items()]).select(*place, *carried)
+    else:
+        slim = rooted.select(each, "node").select(*place).join(only, list(TASK), "left_semi")
+        rows = slim.join(rooted.select("node", *[c.alias(n) for n, c in carried.items()]), "node")
+    rows = rows.select(*TASK, "node", "root", "role", "words", "singles", "pairs", "keys")
+    lined = rows.repartition(partitions(members.sparkSession), *TASK).sortWithinPartitions(*TASK)
+    told = staged(lined.mapInArrow(_pair_batches(few), "a long, b long, key long, cls int, i int, j int").distinct(), "dedup-more")
+    return told.where("a IS NOT NULL").select("a", "b"), told.where("a IS NULL").select(*TASK)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, as links (u, v). pairs is staged. texts: node, text."""
+    """The pairs (a, b) whose texts are similar, as links (u, v), staged. pairs is staged. texts: node, text, in buckets by node."""
     counts = staged(pairs.groupBy("a").count(), "dedup-leaders")
-    dealt = lookup(pairs, counts.select("a", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")), "a", counts)
+    dealt = lookup(pairs.select("a", "b"), counts.select("a", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")), "a", counts)
     dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
-    row = lambda role: [F.col("a"), F.col("chunk"), F.lit(role).alias("role"), F.col("node"), F.col("text")]
-    members = dealt.join(texts, F.col("b") == F.col("node")).select(*row(1))
-    leaders = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("node")).select(*row(0))
-    lined = members.unionByName(leaders).repartition(partitions(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return lined.select("a", "role", "node", "text").mapInArrow(_verify_batches, "u long, v long")
+    row = lambda role, node: ["a", "chunk", F.lit(role).alias("role"), F.col(node).alias("node")]
+    wanted = dealt.select(*row(1, "b")).unionByName(dealt.select("a", "chunk").distinct().select(*row(0, "a")))
+    lined = wanted.join(texts, "node").repartition(partitions(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    links = staged(lined.select("a", "role", "node", "text").mapInArrow(_verify_batches, "u long, v long"), "dedup-similar")
+    released(counts)
+    return links
+
+
+def linked(roots: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """components() of the classes so far and the similar ones of pairs (staged)."""
+    links = verified(pairs, texts)
+    known = links if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)
+    out = components(known)
+    released(links, *([] if roots is None else [roots]))
+    return out
+
+
+def apart(pairs: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """The pairs of texts that are in two classes, staged. Many pairs may have one leader a."""
+    counts = staged(pairs.groupBy("a").count(), "dedup-leaders")
+    of = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    rows = lookup(pairs.join(of("b", "rb"), "b", "left"), of("a", "ra"), "a", counts, how="left")
+    out = staged(rows.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), name)
+    released(counts)
+    return out
 
 
 def compared(rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """components() of all similar pairs that share a bucket; pairs are those of the first round.
+    """components() of all similar pairs that share a bucket; pairs are those of the first round, with how many buckets they share.
 
-    The second round looks at the buckets whose texts are not one component yet, first at the FEW likeliest pairs of two components in
-    a task, which join most that belong together, and then at all that are left.
+    Of the first round, each text is first held against the leader with which it shares most, which puts most texts where they belong, and then
+    against its other leaders in other components. The second round looks at the buckets whose texts are not one component yet, first at the
+    FEW likeliest pairs of two components in a task, and then, in tasks that had more, at all that are left.
     """
-    roots = components(verified(pairs, texts))
+    best = staged(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "dedup-best")
+    roots = linked(None, best, texts)
+    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), roots, "dedup-rest")
+    released(best)
+    if not rest.isEmpty():
+        roots = linked(roots, rest, texts)
+    released(rest)
     inner = rows.where("n > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = inner.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x"), F.count("*").alias("count")).where("m < x")
     mixed = staged(mixed.select("key", "count"), "dedup-mixed")
@@ -403,38 +494,53 @@ def compared(rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     inner = lookup(inner.drop("root"), mixed.select("key"), "key", mixed)
     inner = inner.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("buckets"))  # at most as many as a text has keys
     inner = staged(inner, "dedup-inner")
-    maps = texts.join(inner.select("node"), "node", "left_semi").mapInArrow(_map_batches, "node long, words long, singles binary, pairs binary")
-    members = staged(maps.join(inner, "node"), "dedup-members")
-    for few in (FEW, 0):
-        more = block_pairs(members, roots, few)
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(more, texts)))
+    maps = inner.join(texts, "node").select("node", "text", "buckets")
+    maps = maps.mapInArrow(_map_batches, f"node long, words long, singles binary, pairs binary, {inner.select('buckets').schema.simpleString()[7:-1].replace(':', ' ', 1)}")
+    members = staged(maps, "dedup-members")
+    released(inner, mixed)
+    more, left_out = block_pairs(members, roots, FEW)
+    if not more.isEmpty():
+        roots = linked(roots, more, texts)
+        if not left_out.isEmpty():
+            again, _ = block_pairs(members, roots, 0, left_out)
+            again = staged(again.join(more, ["a", "b"], "left_anti"), "dedup-again")
+            if not again.isEmpty():
+                roots = linked(roots, again, texts)
+            released(again)
+    released(members)
     return roots
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node with a link (u, v); root is the smallest node of the component.
+    """(node, root) for every node with a link (u, v), staged; root is the smallest node of the component.
 
     A class with a third of all texts is a star at its root: how many edges each node has is known from the aggregation that finds
-    the least neighbour, so nodes with many get it by broadcast (lookup) and no task holds all edges of one.
+    the least neighbour, so nodes with many get it by broadcast (lookup) and no task holds all edges of one. Once every node has one edge, to a
+    node that has none of its own, the edges are the classes.
     """
-    edges, state = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links"), None
-    total = 2 * edges.count()
+    edges = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links")
     while True:
+        n = edges.count()
+        nodes = staged(edges.groupBy("u").agg(F.min("v").alias("v")), "dedup-nodes-of-edges")
+        if nodes.count() == n and edges.select(F.col("v").alias("u")).distinct().join(nodes, "u", "left_semi").isEmpty():
+            released(nodes)
+            roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+            out = staged(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "dedup-roots")
+            released(edges)
+            return out
+        released(nodes)
         # Large star: every node gives its larger neighbours the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count")), "dedup-least")
         # Only the rows to larger neighbours go on.
-        large = lookup(both.where("v > u"), least.select("u", "m"), "u", least, total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = lookup(both.where("v > u"), least.select("u", "m"), "u", least, total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "dedup-large")
+        released(edges, least)
         # Small star: every node gives its smaller neighbours, and itself, the smallest of them.
         least = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")), "dedup-least")
-        small = lookup(large, least.select("u", "m"), "u", least, total=total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = lookup(large, least.select("u", "m"), "u", least, total=2 * n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "dedup-stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state, total = now, 2 * now[0]
+        released(large, least)
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -444,18 +550,24 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = plain.mapInArrow(_sketch_batches, "doc_id long, digest binary, keys array<long>")
     sets = staged(sets.select("*", F.monotonically_increasing_id().alias("row")), "dedup-sketches")  # written, so a row keeps its number
     nodes = staged(sets.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.count("*").alias("count")), "dedup-nodes")
-    one = sets.select("row", "keys").join(nodes.select("node"), F.col("row") == F.col("node")).select("node", "keys")
+    one = staged(sets.select("row", "keys").join(nodes.select("node"), F.col("row") == F.col("node")).select("node", "keys"), "dedup-one")
+    ids = staged(sets.select("doc_id", "digest"), "dedup-ids")
+    released(sets)
     rows = met(one)
+    released(one)
     pairs = staged(candidates(rows), "dedup-pairs")
     # Texts of the nodes that have candidates.
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("digest").alias("w"), "id")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("digest").alias("w"), "id")
     texts = plain.join(wanted, (F.col("digest") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    texts = staged(texts, "dedup-texts")
+    texts = bucketed(texts, "node", "dedup-texts")
     roots = compared(rows, pairs, texts)
+    released(rows, pairs, texts)
     rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-rooted")
     named = staged(rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("count")), "dedup-named")
     classes = lookup(rooted, named.select("root", "class_id"), "root", named)
-    return sets.select("doc_id", "digest"), staged(classes.select("digest", "node", "id", "class_id", "root", "count"), "dedup-classes")
+    classes = staged(classes.select("digest", "node", "id", "class_id", "root", "count"), "dedup-classes")
+    released(nodes, roots, rooted, named)
+    return ids, classes
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
