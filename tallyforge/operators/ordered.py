@@ -10,13 +10,14 @@ from ..staging import staged
 
 
 def with_line_ordinals(df: DataFrame) -> DataFrame:
-    """Adds line_ord, which grows from line to line of a file across its splits. df is spark.read.text with its _metadata.
+    """Adds line_ord, which grows from line to line of a file across its splits, and part, where the split begins. df is spark.read.text with its _metadata.
 
     Nothing moves: a split's place in the file and a line's place in its task are known where the line is read. A task reads at most
     as many bytes, and so lines, as a split has, so twice the start of the split plus the place in the task is in the order of the file.
     """
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return df.select("value", percent_decoded(F.col("_metadata.file_path")).alias("file_path"), (2 * F.col("_metadata.file_block_start") + place).alias("line_ord"))
+    start = F.col("_metadata.file_block_start")
+    return df.select("value", percent_decoded(F.col("_metadata.file_path")).alias("file_path"), (2 * start + place).alias("line_ord"), start.alias("part"))
 
 
 def placed(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
@@ -57,6 +58,27 @@ def carried(value: Column, keys: list[str], order: list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(so_far(keys, order))
 
 
+def carried_across(rows: DataFrame, values: dict[str, tuple[Column, int]], file: str, order: str, part: str | None = None) -> DataFrame:
+    """Adds for each name the last value that is not null so far in its file: up to this row (0) or the one before it (-1).
+
+    With part, a file is worked on in its parts side by side: each carries its own values, its last ones are a row of a small table, a running
+    last over the parts of a file says what each part inherits, and rows before the first value of a part take that. rows is read
+    twice then, so it should be staged. Without part, a file is one window.
+    """
+    keys = [file] if part is None else [file, part]
+    here = lambda to: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, to)
+    local = {n: F.last(v, ignorenulls=True).over(here(to)) for n, (v, to) in values.items()}
+    if part is None:
+        return rows.withColumns(local)
+    ends = rows.select(file, part, order, *[v.alias(n) for n, (v, _) in values.items()])
+    ends = ends.groupBy(file, part).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(order))).alias(n) for n in values])
+    ahead = Window.partitionBy(file).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of a file
+    given = ends.select(file, part, *[F.last(n, ignorenulls=True).over(ahead).alias(f"__given_{n}") for n in values])
+    out = rows.withColumns({f"__own_{n}": c for n, c in local.items()}).join(given, [file, part], "left")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in values]
+    return out.select(*kept, *[F.coalesce(f"__own_{n}", f"__given_{n}").alias(n) for n in values])
+
+
 def cumulative_delta(df: DataFrame, keys: list[str], order: list[str], totals: list[str], given: str | None = None) -> DataFrame:
     """Adds delta_<total> for running totals and drops rows that repeat the totals before them or add nothing.
 

@@ -95,12 +95,12 @@ def text_files(spark: SparkSession, paths: str | list[str], pattern: str, **opti
 
 
 def json_lines(spark: SparkSession, paths: str | list[str], schema: str, pattern: str = "*.jsonl", needle: str | None = None) -> DataFrame:
-    """Lines of JSON files below a path: file_path, line_ord, value, j (typed) and rejected; none if the path is not there.
+    """Lines of JSON files below a path: file_path, line_ord, part, value, j (typed) and rejected; none if the path is not there.
 
     A value of the wrong type in a typed field rejects the whole line. needle filters lines before they are parsed.
     """
     text = text_files(spark, paths, pattern)
-    lines = with_line_ordinals(text) if text is not None else spark.createDataFrame([], "value string, file_path string, line_ord long")
+    lines = with_line_ordinals(text) if text is not None else spark.createDataFrame([], "value string, file_path string, line_ord long, part long")
     lines = lines.where(F.trim("value") != "")
     if needle is not None:
         lines = lines.where(F.col("value").contains(needle))

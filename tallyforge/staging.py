@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: set[str] = set()
 _staged: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_tables: dict[str, str] = {}
 
 
 @lru_cache(1)
@@ -52,6 +53,8 @@ def released(*tables: DataFrame) -> None:
     """Remove the files of staged tables that nothing will read again."""
     for table in tables:
         if (path := _staged.pop(table, None)) is not None:
+            if name := _tables.pop(path, None):
+                table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
             removed(path)
 
 
@@ -61,7 +64,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
     out = spark.table(table)
-    _staged[out] = path
+    _staged[out], _tables[path] = path, table
     return out
 
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge import api
 from tallyforge.operators.dedup import best_candidate, counted, quality_of
 from tallyforge.schema import PRICE
-from tallyforge.sources import SOURCES, claude, codex, grok
+from tallyforge.sources import SOURCES, claude, codex, grok, tails
 from tallyforge.sources.base import combined, json_lines
 
 
@@ -137,7 +138,7 @@ def test_quota_snapshot(spark, tmp_path):
     now = 1_760_000_000  # 2025-10-09
     folder = tmp_path / "sessions/2025/10/08"
     write(folder / "x.jsonl", limits("2025-10-08T01:00:00Z", 33.0), limits("2025-10-08T03:00:00Z", 12.5), limits("2025-10-08T05:00:00Z", 99.0, week=1))
-    write(folder / "y.jsonl", limits("2025-10-08T02:00:00Z", 44.0), '{"timestamp": "2025-10-08T04:0')
+    (folder / "y.jsonl").write_text(json.dumps(limits("2025-10-08T02:00:00Z", 44.0)) + '\n{"timestamp": "2025-10-08T04:0')  # still being written
     got = codex.quota_snapshot(spark, str(tmp_path), now).first()
     assert (got["used_percent"], got["window_minutes"], got["resets_at"], got["error"]) == (12.5, 10080, 1_760_400_000, None)
     old = tmp_path / "sessions/2025/09/01/z.jsonl"
@@ -230,3 +231,107 @@ def test_lookup():
         SOURCES.find("codez")
     both = combined([SOURCES["claude"], SOURCES["codex"]])
     assert both.tools and both.quota and both.cache_read and not combined([]).cache_read
+
+
+def sessions_by_hand(root, scope, default="gpt-5"):
+    """Accepted growth of counter logs, line by line."""
+    out = []
+    for path in sorted(root.rglob("*.jsonl")):
+        model, said, ident, before = default, None, None, None
+        for line in path.read_text().splitlines():
+            x = json.loads(line)
+            p = x.get("payload", {})
+            if x["type"] == "session_meta":
+                said = {"cli": "interactive", "exec": "exec"}.get(p.get("source"))
+                ident = p.get("id") or ident
+            elif x["type"] == "turn_context":
+                model = p.get("model") or model
+            elif p.get("type") == "token_count" and (scope == "all" or said == scope):
+                t = p["info"]["total_token_usage"]
+                now = tuple(t.values())
+                grown = [max(a - b, 0) for a, b in zip(now, before or (0,) * 5)]
+                if now != before and sum(grown[:4]):
+                    model = p["info"].get("model") or model
+                    out.append((ident and f"codex-session:{ident}", x["timestamp"], model, max(grown[0] - grown[1], 0), min(grown[1], grown[0])))
+                before = now
+    return sorted(out, key=str)
+
+
+def test_long_files_are_read_in_parts(spark, tmp_path):
+    """State is carried over the splits of a file: heads, models and totals many splits back."""
+    r = random.Random(4)
+    for name in ("a", "b"):
+        lines, total = [{"type": "session_meta", "payload": {"id": f"S{name}", "source": "cli"}}], [0] * 5
+        for i in range(1500):
+            kind = r.random()
+            if kind < 0.004:
+                lines.append({"type": "session_meta", "payload": {"id": r.choice(["", f"S{name}{i}"]), "source": r.choice(["cli", "exec", "other"])}})
+            elif kind < 0.01:
+                lines.append({"type": "turn_context", "payload": {"model": f"m{i}"}})
+            elif kind < 0.5:
+                lines.append({"type": "event_msg", "payload": {"type": "note", "text": "x" * r.randint(1, 400)}})
+            else:
+                total = [t + r.choice([0, 0, 3, 9]) for t in total] if r.random() < 0.98 else [0] * 5
+                lines.append(counter(f"2025-06-01T{i // 3600:02}:{i // 60 % 60:02}:{i % 60:02}Z", total, model=f"own{i}" if r.random() < 0.02 else None))
+        write(tmp_path / f"sessions/{name}.jsonl", *lines)
+    show = lambda rows: sorted(((x["session_key"] if x["session_key"].startswith("codex") else None, x["timestamp"], x["model"], x["input_tokens"], x["cache_read"]) for x in rows.collect()), key=str)
+    keys = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    for scope in ("all", "interactive", "exec"):
+        want = sessions_by_hand(tmp_path, scope)
+        assert not codex.splits_files(spark, f"{tmp_path}/sessions") and show(codex.scan(spark, str(tmp_path), scope=scope)) == want
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        try:
+            assert codex.splits_files(spark, f"{tmp_path}/sessions")
+            parts = codex.scan(spark, str(tmp_path), scope=scope)
+            assert show(parts) == want and len(want) > 100
+        finally:
+            for k in keys:
+                spark.conf.unset(k)
+
+
+def test_quota_is_read_from_the_end(spark, tmp_path):
+    """However long a file is, about as much of it is read as lies behind its last limit."""
+    folder, noise = tmp_path / "sessions/2025/10/08", {"type": "event_msg", "payload": {"type": "note", "text": "x" * 1000}}
+    write(folder / "far.jsonl", limits("2025-10-08T01:00:00Z", 33.0), *[noise] * 3000, limits("2025-10-08T03:00:00Z", 12.5), *[noise] * 100)
+    write(folder / "none.jsonl", *[noise] * 300)
+    files = codex.session_files(spark, f"{tmp_path}/sessions")
+    got = {r["file_path"].rsplit("/", 1)[1]: r for r in tails.last_limits(files, codex.WEEK_MINUTES).collect()}
+    assert got["far.jsonl"]["used_percent"] == 12.5 and got["far.jsonl"]["bytes_read"] <= 100 * 1100 + 2 * tails.CHUNK < (folder / "far.jsonl").stat().st_size // 10
+    assert got["none.jsonl"]["bytes_read"] == (folder / "none.jsonl").stat().st_size and got["none.jsonl"]["ms"] is None
+    assert codex.quota_snapshot(spark, str(tmp_path)).first()["used_percent"] == 12.5
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 16])
+def test_lines_from_the_end(tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(tails, "CHUNK", chunk)
+    for text in (b"", b"\n", b"a", b"a\n", b"\n\na\nbb\n\nccc", b"x" * 100 + b"\n" + b"y" * 30 + b"\n"):
+        path = tmp_path / "f"
+        path.write_bytes(text)
+        with path.open("rb") as f:
+            got = list(tails.lines_from_end(f, len(text)))
+        assert [x for x, _, _ in got if x] == [x for x in reversed(text.split(b"\n")) if x]
+        assert [end for x, end, _ in got if x] == [i == 0 and not text.endswith(b"\n") for i in range(len([x for x in text.split(b"\n") if x]))]
+
+
+def test_half_written_and_malformed_limits(spark, tmp_path):
+    path = tmp_path / "sessions/a.jsonl"
+    good = json.dumps(limits("2025-10-08T01:00:00Z", 5.0))
+    snapshot = lambda: codex.quota_snapshot(spark, str(tmp_path)).first()
+    path.parent.mkdir()
+    for cut in ('{"a', '{"a":tr', '{"a":1', '{"a":"\\u00', '{"a":"é'.encode()[:-1], "{"):
+        path.write_bytes(good.encode() + b"\n" + (cut if isinstance(cut, bytes) else cut.encode()))
+        assert (snapshot()["error"], snapshot()["used_percent"]) == (None, 5.0), cut
+        path.write_bytes(good.encode() + b"\n" + (cut if isinstance(cut, bytes) else cut.encode()) + b"\n")
+        assert snapshot()["error"] == "malformed_line", cut
+    bad = ['{"a" 1}', '{"type": 5}', "[]", good.replace("10080", '"week"'), good.replace("5.0", "null"), good.replace("01:00:00Z", "25:00:00Z"), good.replace('"2025-10-08T01:00:00Z"', "null")]
+    for line in bad:
+        path.write_text(good + "\n" + line)
+        assert snapshot()["error"] == "malformed_line", line
+        path.write_text(line + "\n" + good)
+        assert snapshot()["error"] is None, line
+    (tmp_path / "link").mkdir()
+    (tmp_path / "link/sessions").symlink_to(tmp_path / "sessions")
+    assert codex.quota_snapshot(spark, f"{tmp_path}/link").first()["error"] == "sessions_is_a_link"
+    with pytest.raises(api.QuotaError, match="sessions_is_a_link"):
+        api.weekly_value(spark, f"{tmp_path}/link", spark.createDataFrame([], PRICE), 10**9)
