@@ -37,6 +37,7 @@ SIMILARITY = 0.8
 CHUNK_ROWS = 256
 BLOCK, BITS, MAX_BITS, FEW = 2048, (16, 4), 17, 2
 BATCH_BYTES = 1 << 21
+SIDE_BY_SIDE, ALIGNED_CELLS = 8, 1 << 21
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, SKETCHES + 1001, dtype=np.uint64))
@@ -242,13 +243,13 @@ def pair_hashes(a: np.ndarray) -> np.ndarray:
     return np.unique(mix64(a[:-1] * _STEP + a[1:])) if len(a) > 1 else a[:0]
 
 
-def alike(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, threshold: float = SIMILARITY) -> bool:
-    """``similar`` for texts as word hashes: the cheap bounds in whole arrays, the alignment of what is left between a common start and end.
+def bounded(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, threshold: float = SIMILARITY) -> bool | None:
+    """Whether texts as word hashes reach the threshold, as far as bounds from both sides tell; None if it takes an alignment.
 
-    pairs are pair_hashes(a).
+    The bounds are those of ``similar``, in whole arrays. pairs are pair_hashes(a).
     """
     n, m = len(a), len(b)
-    most, apart, least = int((1 - threshold) * max(n, m) + 1e-9), abs(n - m), min(n, m)
+    most, apart, least = most_edits(n, m, threshold), abs(n - m), min(n, m)
     if apart > most:
         return False
     ahead, behind = a[:least] != b[:least], a[n - least :] != b[m - least :]
@@ -263,13 +264,85 @@ def alike(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, threshold: float = SI
     at[at == len(other)] = 0
     if len(pairs) and (np.count_nonzero(other[at] != pairs) if len(other) else len(pairs)) > 2 * most:
         return False
-    x, y = a[low : n - high].tolist(), b[low : m - high].tolist()
-    return greedy_cost(x, y, most) <= most or banded_distance(x, y, most) <= most
+    return None
+
+
+def most_edits(n: int, m: int, threshold: float = SIMILARITY) -> int:
+    return int((1 - threshold) * max(n, m) + 1e-9)
+
+
+def aligned(a: np.ndarray, others: list[np.ndarray], threshold: float = SIMILARITY) -> np.ndarray:
+    """Whether the banded edit distance of a and each of the others is within the threshold.
+
+    All are aligned at once, from one diagonal of cells (i, j) with equal i + j to the next: within a diagonal no cell
+    depends on another, so a step is a few operations on an array with a column for each of the others. A few are aligned one by
+    one, in bits of integers.
+    """
+    most = np.array([most_edits(len(a), len(b), threshold) for b in others])
+    if len(others) < SIDE_BY_SIDE:
+        lists = [b.tolist() for b in others]
+        return np.array([greedy_cost(a.tolist(), b, m) <= m or banded_distance(a.tolist(), b, m) <= m for b, m in zip(lists, most.tolist())], bool)
+    n, size = len(a), np.array(list(map(len, others)))
+    out, near = np.zeros(len(others), bool), np.flatnonzero(np.abs(size - n) <= most)
+    if not len(near):
+        return out
+    others, size, most = [others[c] for c in near], size[near], most[near]
+    band = int(most.max())
+    kind, far = (np.int16, 14_000) if n + band < 8_000 else (np.int32, 1 << 29)
+    known = np.unique(a)
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+    flat = np.where(known[at] == flat, at + 1, 0) if len(known) else np.zeros(len(flat))  # 0: a word that a has not
+    pad = band + 2
+    rows = np.zeros((int(max(size.max(), n)) + 2 * pad + band, len(others)), kind)
+    for c, end in enumerate(np.cumsum(size).tolist()):
+        rows[pad : pad + size[c], c] = flat[end - size[c] : end]
+    back = np.full(n + 2 * pad + band, -1, kind)  # a in reverse; -1 is no word of the others
+    back[len(back) - pad - n : len(back) - pad] = (np.searchsorted(known, a) + 1)[::-1]
+    # Cells (i, j) of the band have j - i = -band + 2 t on every other diagonal (held[0]) and -band + 1 + 2 t on those between (held[1]).
+    held = [np.full((band + 1 - x, len(others)), far, kind) for x in (0, 1)]
+    held[band % 2][band // 2] = 0
+    ends: dict[int, list[int]] = {}
+    for c, m in enumerate(size.tolist()):
+        ends.setdefault(n + m, []).append(c)
+    distance = np.zeros(len(others), np.int64)
+    for k in range(n + int(size.max()) + 1):
+        x = (k + band) % 2
+        cells, other = held[x], held[1 - x]
+        if k:
+            first_i, first_j = (k + band - x) // 2, (k - band + x) // 2  # of t = 0
+            words = back[len(back) - pad - first_i :][: len(cells), None]
+            cells += rows[pad + first_j - 1 :][: len(cells)] != words
+            if x:
+                step = np.minimum(other[:-1], other[1:])
+                step += kind(1)
+                np.minimum(cells, step, out=cells)
+            elif len(other):
+                step = other + kind(1)
+                np.minimum(cells[:-1], step, out=cells[:-1])
+                np.minimum(cells[1:], step, out=cells[1:])
+        for c in ends.get(k, ()):
+            distance[c] = cells[(size[c] - n + band - x) // 2, c]
+    out[near] = distance <= most
+    return out
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted: the leader of a chunk (role 0), then its candidates (role 1)."""
-    leader, words, pairs = None, None, None
+    leader, words, pairs, open_ = None, None, None, []
+
+    def settled() -> list[tuple]:
+        """Links of the candidates that no bound has decided, side by side as long as memory allows."""
+        links = []
+        while open_:
+            n = max(SIDE_BY_SIDE, ALIGNED_CELLS // max(1, max(len(words), *(len(h) for _, h in open_))))
+            some, open_[:] = open_[:n], open_[n:]
+            links += [(leader, node) for (node, _), ok in zip(some, aligned(words, [h for _, h in some])) if ok]
+        return links
+
+    def out(links: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+
     for batch in batches:
         links, (ids, roles, nodes) = [], (batch.column(c).to_pylist() for c in ("a", "role", "node"))
         for low, some in in_parts(batch.column("text").to_pylist()):
@@ -277,10 +350,18 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 a = ids[i]
                 if roles[i] == 0:
                     if leader != a:
+                        links += settled()
                         leader, words, pairs = a, hashes.copy(), pair_hashes(hashes)
-                elif leader == a and alike(words, hashes, pairs):
-                    links.append((a, nodes[i]))
-        yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+                elif leader == a:
+                    told = bounded(words, hashes, pairs)
+                    if told:
+                        links.append((a, nodes[i]))
+                    elif told is None:
+                        open_.append((nodes[i], hashes.copy()))
+            if sum(len(h) for _, h in open_) > ALIGNED_CELLS:
+                links += settled()
+        yield out(links)
+    yield out(settled())
 
 
 def met(sets: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyforge.llm import classifier, mixing, near_dedup, quality_rules, url_filter
+from tallyforge.llm import classifier, common, mixing, near_dedup, quality_rules, url_filter
 
 
 def counts_by_hand(text):
@@ -235,6 +235,42 @@ def test_bounds_decide_as_the_alignment_does():
         assert near_dedup.greedy_cost(a, b, 99) >= distance_by_hand(a, b)
 
 
+def test_candidates_side_by_side():
+    """Bounds and alignments in whole arrays say what the plain comparison says, for few and for many candidates, of any length."""
+    r = random.Random(17)
+    for n, count in [(n, c) for n in (0, 1, 2, 5, 17, 60, 130) for c in (3, 40)]:
+        a = [r.randrange(max(n, 1)) for _ in range(n)]
+        others = []
+        for _ in range(count):
+            b = list(a)
+            for _ in range(r.randint(0, max(3, n // 2))):
+                way, at = r.random(), r.randrange(len(b) + 1)
+                if way < 0.4 and at < len(b):
+                    b[at] = r.randrange(n + 3)
+                elif way < 0.7:
+                    b.insert(at, r.randrange(n + 3))
+                elif b:
+                    b.pop(at % len(b))
+            others.append(b if r.random() < 0.9 else [r.randrange(n + 3) for _ in range(r.randint(0, 2 * n + 2))])
+        want = [near_dedup.similar(a, b, near_dedup.pairs_of(a)) for b in others]
+        words = [np.array(x, np.uint64) for x in (a, *others)]
+        assert near_dedup.aligned(words[0], words[1:]).tolist() == want
+        told = [near_dedup.bounded(words[0], b, near_dedup.pair_hashes(words[0])) for b in words[1:]]
+        assert all(x is None or x == y for x, y in zip(told, want)) and (n < 17 or count < 40 or None in told)
+
+
+def test_hashed_words():
+    texts = [b"", b" \n", b"x" * 3_000_000 + b" y y " + b"z" * (1 << 20) + b" " + b"z" * (1 << 20), b"\x0b\x0ca\x1cb\x85 c", b"b a", b"a b y"]
+    got = common.hashed_words(texts)
+    seen = {}
+    for text, hashes in zip(texts, got):
+        words = text.split()
+        assert len(words) == len(hashes)
+        for word, h in zip(words, hashes.tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen) and common.hashed_words([]) == []
+
+
 def classes_by_hand(rows):
     words = {i: (t or "").encode().split() for i, t in rows.items()}
     root = {i: i for i in rows}
