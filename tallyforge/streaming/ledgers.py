@@ -1,121 +1,44 @@
-"""Incremental ledgers with Structured Streaming: an upserted ledger and late-completed messages."""
+"""Streams of usage facts: best candidates and blocks that are corrected as late rows come, on Spark's own streaming aggregates.
 
-from __future__ import annotations
+State is bounded by the watermark. Emitted rows are for a table that keeps the last row of each key, such as a LogTable.
+"""
 
-import uuid
+from __future__ import annotations
 
-import pandas as pd
-from pyarrow.fs import FileSelector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.dedup import last_by, upsert
-from ..staging import local_path, staged
 
+from ..functions.measures import sums, with_cost_parts
+from ..operators.dedup import scope
+from ..operators.reports import BLOCK_HOURS, with_block
+from .log_table import Conflict, LogTable  # noqa: F401
 
-BUCKETS = 64
+Ledger = LogTable
 
 
-class Ledger:
-    """A durable table of the last record for each key, fed by micro-batches.
+def best_candidates(stream: DataFrame, lateness: str = "1 hour", span: str = "1 day") -> DataFrame:
+    """The best candidate so far of each (scope, message_id) and span of event time, whenever it improves, with all columns (update mode); rows without an id that are
+    complete pass through.
 
-    Keys are dealt into buckets. A batch rewrites the buckets that it touches under a new version, and then a pointer says, by Spark's
-    commit protocol, which version holds each of them; so a reader sees whole buckets of finished batches, and a batch that is
-    repeated after a failure gives the same ledger. Versions that no pointer of the last two batches names are removed.
+    A span is over once the watermark has passed it, and its state goes. Every row that is emitted is a row of the stream, and the best of each span
+    is among them, so dedup.best_candidate over what was emitted equals that over the stream (but for rows later than the lateness).
     """
+    at = F.timestamp_millis("timestamp_ms")
+    rows = stream.withColumn("__at", at).withWatermark("__at", lateness)
+    rest = [c for c in stream.columns if c not in ("message_id",)]
+    order = F.struct(F.col("stop_reason").isNull(), -F.col("timestamp_ms"), "file_path", "line_ord")
+    known = rows.where("message_id IS NOT NULL").groupBy(F.window("__at", span), scope().alias("__scope"), "message_id")
+    best = known.agg(F.min_by(F.struct(*rest), order).alias("__row"))
+    best = best.select(*[F.col("message_id") if c == "message_id" else F.col(f"__row.{c}").alias(c) for c in stream.columns])
+    return best.unionByName(rows.where("message_id IS NULL AND stop_reason IS NOT NULL").select(*stream.columns))
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, order: str):
-        self.spark, self.path, self.schema, self.key, self.order = spark, path.rstrip("/"), schema, key, order
-        self.pointer = "batch long, bucket int, version string"
-
-    def _pointers(self) -> list:
-        """(batch, bucket, version) of the newest batch, one for each bucket that holds anything."""
-        try:
-            rows = self.spark.read.schema(self.pointer).parquet(f"{self.path}/pointer")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return []
-        last = rows.agg(F.max("batch")).first()[0]
-        return rows.where(F.col("batch") == last).collect()  # at most BUCKETS rows
-
-    def _buckets(self, pointers: list) -> DataFrame:
-        paths = [f"{self.path}/versions/{p['version']}/bucket={p['bucket']}" for p in pointers if p["version"]]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def read(self) -> DataFrame:
-        """The newest whole ledger."""
-        return self._buckets(self._pointers())
-
-    def add(self, rows: DataFrame) -> None:
-        """Merge rows as the batch after the last."""
-        self.merge(rows, max((p["batch"] for p in self._pointers()), default=-1) + 1)
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """foreachBatch function."""
-        held = self._pointers()
-        if held and held[0]["batch"] >= batch_id:
-            return
-        version = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
-        fresh = staged(last_by(batch, [self.key], self.order), "ledger-batch")
-        touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # at most BUCKETS
-        old = self._buckets([p for p in held if p["bucket"] in touched])
-        merged = upsert(old, fresh, self.key, self.order).withColumn("bucket", bucket)
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/versions/{version}")
-        kept = {p["bucket"]: p["version"] for p in held} | dict.fromkeys(touched, version)
-        rows = [(batch_id, b, v) for b, v in sorted(kept.items())] or [(batch_id, 0, "")]
-        self.spark.createDataFrame(rows, self.pointer).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
-        self._clean(set(kept.values()) | {p["version"] for p in held})
-
-    def _clean(self, named: set[str]) -> None:
-        files, base = local_path(f"{self.path}/versions")
-        for info in files.get_file_info(FileSelector(base, allow_not_found=True)):
-            if info.base_name not in named:
-                files.delete_dir(info.path)
 
-    def follow(self, stream: DataFrame, checkpoint: str):
-        """Start feeding the ledger from a stream."""
-        return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).outputMode("append")
+def blocks(stream: DataFrame, zone: str = "UTC", lateness: str = "1 hour") -> DataFrame:
+    """All measures by five-hour block of local days, UTC offset and model, as reports.blocks has them, whenever they change (update mode).
 
-
-STATE = "stop_reason string, timestamp_ms long, input_tokens long, output_tokens long"
-BEST = "scope string, message_id string, " + STATE
-
-
-def _better(key, batches, state: GroupState):
-    """The best candidate so far of one message; emitted when it improves."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    best = state.get if state.exists else None
-    changed = False
-    for pdf in batches:
-        for row in pdf[["stop_reason", "timestamp_ms", "input_tokens", "output_tokens"]].itertuples(index=False):
-            now = (None if pd.isna(row[0]) else row[0], *map(int, row[1:]))
-            if best is None or (now[0] is not None, now[1]) > (best[0] is not None, best[1]):
-                best, changed = now, True
-    state.update(best)
-    if state.getCurrentWatermarkMs() > 0:
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 24 * 3600 * 1000)
-    if changed:
-        yield pd.DataFrame([(*key, *best)], columns=["scope", "message_id", "stop_reason", "timestamp_ms", "input_tokens", "output_tokens"])
-
-
-def best_candidates(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Updates of the best candidate of each (scope, message_id); state of quiet messages is dropped a day after the watermark."""
-    keyed = stream.where("message_id IS NOT NULL").withColumn("at", F.timestamp_millis("timestamp_ms")).withWatermark("at", lateness)
-    scope = F.when(F.col("message_id").startswith("source-wide:"), F.lit("")).otherwise(F.col("session_key")).alias("scope")
-    rows = keyed.select(scope, "message_id", "stop_reason", "timestamp_ms", "input_tokens", "output_tokens", "at")
-    return rows.groupBy("scope", "message_id").applyInPandasWithState(_better, BEST, STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def blocks(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Tokens by five-hour block of the day, corrected as late rows come (update mode)."""
-    from ..operators.reports import block_start
-
-    at = stream.withColumn("at", F.timestamp_millis("timestamp_ms")).withWatermark("at", lateness)
-    return at.groupBy(F.window("at", "1 day").alias("day"), block_start(F.col("timestamp_ms")).alias("block_start")).agg(F.sum("input_tokens").alias("input_tokens"), F.count("*").alias("calls"))
+    The start of a block as an instant (block_at) is the event time: it is up to BLOCK_HOURS, and a clock change, before a row, so the watermark waits that much longer.
+    """
+    rows = with_block(stream, zone)
+    start = F.col("block_start") - F.make_dt_interval(mins=F.col("utc_offset").cast("int"))
+    rows = rows.withColumn("block_at", start).withWatermark("block_at", f"{BLOCK_HOURS + 2} hours {lateness}")
+    return with_cost_parts(rows).groupBy("block_at", "block_start", "utc_offset", "model").agg(*sums())
