@@ -368,8 +368,8 @@ def met(sets: DataFrame) -> DataFrame:
     """(key, node, first, last, n) for the texts of every bucket of two or more. sets: one row for each node, with its keys; staged."""
     rows = sets.select("node", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
-    buckets = staged(buckets, "dedup-keys")
-    out = staged(lookup(rows, buckets, "key", buckets.select("key", F.col("n").alias("count"))), "dedup-buckets")
+    buckets = staged(buckets, "dedup-keys")  # staged, so both sides of the join are plain exchanges and a hot key can be split
+    out = staged(rows.join(buckets, "key"), "dedup-buckets")
     released(buckets)
     return out
 
@@ -544,13 +544,10 @@ def linked(roots: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataF
 
 
 def apart(pairs: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """The pairs of texts that are in two classes, staged. Many pairs may have one leader a."""
-    counts = staged(pairs.groupBy("a").count(), "dedup-leaders")
+    """The pairs of texts that are in two classes, staged. Many pairs may have one leader a: its rows can be split, as roots are staged."""
     of = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
-    rows = lookup(pairs.join(of("b", "rb"), "b", "left"), of("a", "ra"), "a", counts, how="left")
-    out = staged(rows.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), name)
-    released(counts)
-    return out
+    rows = pairs.join(of("b", "rb"), "b", "left").join(of("a", "ra"), "a", "left")
+    return staged(rows.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), name)
 
 
 def compared(rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -596,23 +593,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link (u, v), staged; root is the smallest node of the component.
 
     A class with a third of all texts is a star at its root: how many edges each node has is known from the aggregation that finds
-    the least neighbour, so nodes with many get it by broadcast (lookup) and no task holds all edges of one. Once every node has one edge, to a
-    node that has none of its own, the edges are the classes.
+    the least neighbour, so nodes with many get it by broadcast (lookup) and no task holds all edges of one. Once every node has one edge only or is
+    less than all its neighbours, each component is a star around its least node, which that aggregation has told already.
     """
     edges = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links")
     while True:
-        n = edges.count()
-        nodes = staged(edges.groupBy("u").agg(F.min("v").alias("v")), "dedup-nodes-of-edges")
-        if nodes.count() == n and edges.select(F.col("v").alias("u")).distinct().join(nodes, "u", "left_semi").isEmpty():
-            released(nodes)
-            roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-            out = staged(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "dedup-roots")
-            released(edges)
-            return out
-        released(nodes)
         # Large star: every node gives its larger neighbours the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count")), "dedup-least")
+        if least.where("count > 1 AND m != u").isEmpty():
+            released(edges)
+            return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        n = edges.count()
         # Only the rows to larger neighbours go on.
         large = lookup(both.where("v > u"), least.select("u", "m"), "u", least, total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "dedup-large")
