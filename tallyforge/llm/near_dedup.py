@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, hashed_words, lookup, mix64, partitions, released, staged, table
+from .common import HOT, bucketed, hashed_words, lookup, mix64, partitions, released, staged, table
 
 K, ELL, SKETCHES = 3, 2, 72
 SHORT, SHORT_KEYS = 64, 16
@@ -37,7 +37,8 @@ SIMILARITY = 0.8
 CHUNK_ROWS = 256
 BLOCK, BITS, MAX_BITS, FEW = 2048, (16, 4), 17, 2
 BATCH_BYTES = 1 << 21
-SIDE_BY_SIDE, ALIGNED_CELLS = 8, 1 << 21
+SIDE_BY_SIDE, ALIGNED, ALIGNED_CELLS = 8, 256, 1 << 20
+ROWS_A_FILE, CELLS = 50_000, 1 << 19
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, SKETCHES + 1001, dtype=np.uint64))
@@ -271,48 +272,62 @@ def most_edits(n: int, m: int, threshold: float = SIMILARITY) -> int:
     return int((1 - threshold) * max(n, m) + 1e-9)
 
 
-def aligned(a: np.ndarray, others: list[np.ndarray], threshold: float = SIMILARITY) -> np.ndarray:
-    """Whether the banded edit distance of a and each of the others is within the threshold.
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float = SIMILARITY) -> np.ndarray:
+    """Whether the banded edit distance of each two texts is within the threshold.
 
-    All are aligned at once, from one diagonal of cells (i, j) with equal i + j to the next: within a diagonal no cell
-    depends on another, so a step is a few operations on an array with a column for each of the others. A few are aligned one by
-    one, in bits of integers.
+    Pairs of like lengths are aligned side by side; few are aligned one by one, in bits of integers.
     """
-    most = np.array([most_edits(len(a), len(b), threshold) for b in others])
-    if len(others) < SIDE_BY_SIDE:
-        lists = [b.tolist() for b in others]
-        return np.array([greedy_cost(a.tolist(), b, m) <= m or banded_distance(a.tolist(), b, m) <= m for b, m in zip(lists, most.tolist())], bool)
-    n, size = len(a), np.array(list(map(len, others)))
-    out, near = np.zeros(len(others), bool), np.flatnonzero(np.abs(size - n) <= most)
-    if not len(near):
-        return out
-    others, size, most = [others[c] for c in near], size[near], most[near]
-    band = int(most.max())
-    kind, far = (np.int16, 14_000) if n + band < 8_000 else (np.int32, 1 << 29)
-    known = np.unique(a)
-    flat = np.concatenate(others)
-    at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-    flat = np.where(known[at] == flat, at + 1, 0) if len(known) else np.zeros(len(flat))  # 0: a word that a has not
+    size = np.array([[len(a), len(b)] for a, b in pairs]).reshape(-1, 2)
+    most = np.array([most_edits(n, m, threshold) for n, m in size.tolist()], np.int64)
+    out = np.zeros(len(pairs), bool)
+    near = np.flatnonzero(np.abs(size[:, 0] - size[:, 1]) <= most)
+    near = near[np.argsort(size[near].max(axis=1), kind="stable")]
+    while len(near):
+        n = min(len(near), ALIGNED, max(1, ALIGNED_CELLS // max(1, int(size[near[0]].max()))))
+        some, near = near[:n], near[n:]
+        if n < SIDE_BY_SIDE:
+            for i in some.tolist():
+                a, b, m = pairs[i][0].tolist(), pairs[i][1].tolist(), int(most[i])
+                out[i] = greedy_cost(a, b, m) <= m or banded_distance(a, b, m) <= m
+        else:
+            out[some] = _distances([pairs[i] for i in some.tolist()], int(most[some].max())) <= most[some]
+    return out
+
+
+def _distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
+    """Edit distances of pairs, exact where they are within the band; lengths of a pair are no further apart than that.
+
+    The cells (i, j) of all pairs are filled from one diagonal of equal i + j to the next: within a diagonal no cell depends on another, so a
+    step is a few operations on an array with a column for each pair.
+    """
+    first, second = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    longest = int(max(first.max(), second.max()))
+    words, number = np.unique(np.concatenate([x for p in pairs for x in p]), return_inverse=True)
+    kind, far = (np.int16, 14_000) if longest + band < 8_000 else (np.int32, 1 << 29)
+    name = np.int16 if len(words) < 32_000 else np.int32
+    number = (number + 1).astype(name)
     pad = band + 2
-    rows = np.zeros((int(max(size.max(), n)) + 2 * pad + band, len(others)), kind)
-    for c, end in enumerate(np.cumsum(size).tolist()):
-        rows[pad : pad + size[c], c] = flat[end - size[c] : end]
-    back = np.full(n + 2 * pad + band, -1, kind)  # a in reverse; -1 is no word of the others
-    back[len(back) - pad - n : len(back) - pad] = (np.searchsorted(known, a) + 1)[::-1]
-    # Cells (i, j) of the band have j - i = -band + 2 t on every other diagonal (held[0]) and -band + 1 + 2 t on those between (held[1]).
-    held = [np.full((band + 1 - x, len(others)), far, kind) for x in (0, 1)]
+    rows = np.zeros((longest + 2 * pad + band, len(pairs)), name)  # 0 and -1 are no words
+    back = np.full(rows.shape, -1, name)  # the first of each pair in reverse
+    at = 0
+    for c, (n, m) in enumerate(zip(first.tolist(), second.tolist())):
+        back[len(back) - pad - n : len(back) - pad, c] = number[at : at + n][::-1]
+        rows[pad : pad + m, c] = number[at + n : at + n + m]
+        at += n + m
+    # Cells of the band have j - i = -band + 2 t on every other diagonal (held[0]) and -band + 1 + 2 t on those between (held[1]).
+    held = [np.full((band + 1 - x, len(pairs)), far, kind) for x in (0, 1)]
     held[band % 2][band // 2] = 0
     ends: dict[int, list[int]] = {}
-    for c, m in enumerate(size.tolist()):
-        ends.setdefault(n + m, []).append(c)
-    distance = np.zeros(len(others), np.int64)
-    for k in range(n + int(size.max()) + 1):
+    for c, k in enumerate((first + second).tolist()):
+        ends.setdefault(k, []).append(c)
+    distance = np.zeros(len(pairs), np.int64)
+    for k in range(int((first + second).max()) + 1):
         x = (k + band) % 2
         cells, other = held[x], held[1 - x]
         if k:
             first_i, first_j = (k + band - x) // 2, (k - band + x) // 2  # of t = 0
-            words = back[len(back) - pad - first_i :][: len(cells), None]
-            cells += rows[pad + first_j - 1 :][: len(cells)] != words
+            low = len(back) - pad - first_i
+            cells += rows[pad + first_j - 1 :][: len(cells)] != back[low : low + len(cells)]
             if x:
                 step = np.minimum(other[:-1], other[1:])
                 step += kind(1)
@@ -322,22 +337,17 @@ def aligned(a: np.ndarray, others: list[np.ndarray], threshold: float = SIMILARI
                 np.minimum(cells[:-1], step, out=cells[:-1])
                 np.minimum(cells[1:], step, out=cells[1:])
         for c in ends.get(k, ()):
-            distance[c] = cells[(size[c] - n + band - x) // 2, c]
-    out[near] = distance <= most
-    return out
+            distance[c] = cells[(second[c] - first[c] + band - x) // 2, c]
+    return distance
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted: the leader of a chunk (role 0), then its candidates (role 1)."""
-    leader, words, pairs, open_ = None, None, None, []
+    """Rows come sorted: the leader of a chunk (role 0), then its candidates (role 1). Those that no bound decides wait for each other, whoever their leader is."""
+    leader, words, pairs, open_, waiting = None, None, None, [], 0
 
     def settled() -> list[tuple]:
-        """Links of the candidates that no bound has decided, side by side as long as memory allows."""
-        links = []
-        while open_:
-            n = max(SIDE_BY_SIDE, ALIGNED_CELLS // max(1, max(len(words), *(len(h) for _, h in open_))))
-            some, open_[:] = open_[:n], open_[n:]
-            links += [(leader, node) for (node, _), ok in zip(some, aligned(words, [h for _, h in some])) if ok]
+        links = [(a, node) for (a, node, _, _), ok in zip(open_, aligned([x[2:] for x in open_])) if ok]
+        open_.clear()
         return links
 
     def out(links: list[tuple]) -> pa.RecordBatch:
@@ -350,16 +360,16 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 a = ids[i]
                 if roles[i] == 0:
                     if leader != a:
-                        links += settled()
                         leader, words, pairs = a, hashes.copy(), pair_hashes(hashes)
                 elif leader == a:
                     told = bounded(words, hashes, pairs)
                     if told:
                         links.append((a, nodes[i]))
                     elif told is None:
-                        open_.append((nodes[i], hashes.copy()))
-            if sum(len(h) for _, h in open_) > ALIGNED_CELLS:
-                links += settled()
+                        open_.append((a, nodes[i], words, hashes.copy()))
+                        waiting += len(words) + len(hashes)
+            if waiting > 4 * ALIGNED_CELLS:
+                links, waiting = links + settled(), 0
         yield out(links)
     yield out(settled())
 
@@ -433,23 +443,30 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 narrow = min(len(held[some[0]][5]) * 8, width)
                 maps = [folded([held[x][4] for x in some], width), folded([held[x][5] for x in some], narrow)]
                 counts = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in maps]
-                for at in np.flatnonzero(wide[some] == width).tolist():
-                    x = some[at]
-                    last = np.searchsorted(size[some], np.floor(size[x] / SIMILARITY + 1), "right")
-                    other = np.arange(at + 1, last)
-                    y = some[other]
-                    blocks = (role[x] == 0) & (role[y] == 0) & (task[2] == task[3]) | ((role[x] == 0) != (role[y] == 0))
-                    other = other[blocks & (root[y] != root[x])]
-                    most = ((1 - SIMILARITY) * np.maximum(size[some[other]], size[x]) + 1e-9).astype(np.int64)
-                    keep = np.abs(size[some[other]] - size[x]) <= most
+                n, of = size[some], int((wide[some] == width).sum())  # those of this width come first
+                last = np.searchsorted(n, np.floor(n[:of] / SIMILARITY + 1), "right")
+                low = 0
+                while low < of:
+                    high = min(of, low + max(1, CELLS // max(1, int(last[low]) - low)))
+                    at, other = np.arange(low, high)[:, None], np.arange(low + 1, int(last[high - 1]))
+                    x, y = some[at], some[other]
+                    alone = (role[x] == 0) & (role[y] == 0) if task[2] == task[3] else False
+                    fit = (other > at) & (root[x] != root[y]) & (alone | ((role[x] == 0) != (role[y] == 0))) & (n[other] - n[at] <= ((1 - SIMILARITY) * n[other] + 1e-9).astype(np.int64))
+                    one, two = np.nonzero(fit)
+                    one, two, low = one + low, other[two], high
+                    edits = ((1 - SIMILARITY) * n[two] + 1e-9).astype(np.int64)
+                    lacking = np.zeros(len(one), np.int64)
                     for m, c, edit in zip(maps, counts, (1, 2)):
-                        other, most = other[keep], most[keep]
-                        lacking = np.maximum(c[other], c[at]) - np.bitwise_count(m[other] & m[at]).sum(axis=1, dtype=np.int64)
-                        keep = lacking <= edit * most
-                    other, lacking = some[other[keep]], lacking[keep]
-                    least = np.fromiter((min(keys[x] & keys[y]) == key for y in other.tolist()), bool, len(other))
-                    us.append(np.full(int(least.sum()), x))
-                    vs.append(other[least])
+                        lacking, step = np.empty(len(one), np.int64), max(1, CELLS // m.shape[1])
+                        for k in range(0, len(one), step):
+                            i, j = one[k : k + step], two[k : k + step]
+                            lacking[k : k + step] = np.maximum(c[i], c[j]) - np.bitwise_count(m[i] & m[j]).sum(axis=1, dtype=np.int64)
+                        keep = lacking <= edit * edits
+                        one, two, edits, lacking = one[keep], two[keep], edits[keep], lacking[keep]
+                    one, two = some[one], some[two]
+                    least = np.fromiter((min(keys[x] & keys[y]) == key for x, y in zip(one.tolist(), two.tolist())), bool, len(one))
+                    us.append(one[least])
+                    vs.append(two[least])
                     lacks.append(lacking[least])
             x, y, lacking = (np.concatenate(c) for c in (us, vs, lacks))
             trimmed = []
@@ -522,13 +539,24 @@ def block_pairs(members: DataFrame, roots: DataFrame, few: int, only: DataFrame
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, as links (u, v), staged. pairs is staged. texts: node, text, in buckets by node."""
+    """The pairs (a, b) whose texts are similar, as links (u, v), staged. pairs is staged. texts: node, text, in buckets by node.
+
+    The rows of a leader meet in one task, but those of leaders with more than 1 / (HOT * partitions) of all pairs are dealt into 2 ** k chunks of about that
+    many. The driver holds the names of these leaders, at most HOT * partitions.
+    """
+    spark = pairs.sparkSession
     counts = staged(pairs.groupBy("a").count(), "dedup-leaders")
-    dealt = lookup(pairs.select("a", "b"), counts.select("a", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks")), "a", counts)
-    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
-    row = lambda role, node: ["a", "chunk", F.lit(role).alias("role"), F.col(node).alias("node")]
-    wanted = dealt.select(*row(1, "b")).unionByName(dealt.select("a", "chunk").distinct().select(*row(0, "a")))
-    lined = wanted.join(texts, "node").repartition(partitions(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    share = max(CHUNK_ROWS, pairs.count() // (HOT * partitions(spark)))
+    dealt: dict[int, list[int]] = {}
+    for row in counts.where(F.col("count") > share).collect():
+        dealt.setdefault((-(-row["count"] // share) - 1).bit_length(), []).append(row["a"])
+    chunks = F.lit(1)
+    for k, leaders in dealt.items():
+        chunks = F.when(F.col("a").isin(leaders), 1 << k).otherwise(chunks)
+    row = lambda role, node, chunk: ["a", chunk.cast("int").alias("chunk"), F.lit(role).alias("role"), F.col(node).alias("node")]
+    leaders = counts.select("a", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    wanted = pairs.select(*row(1, "b", F.pmod(F.xxhash64("b"), chunks))).unionByName(leaders.select(*row(0, "a", F.col("chunk"))))
+    lined = wanted.join(texts, "node").repartition(partitions(spark), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
     links = staged(lined.select("a", "role", "node", "text").mapInArrow(_verify_batches, "u long, v long"), "dedup-similar")
     released(counts)
     return links
@@ -596,26 +624,34 @@ def components(links: DataFrame) -> DataFrame:
     the least neighbour, so nodes with many get it by broadcast (lookup) and no task holds all edges of one. Once every node has one edge only or is
     less than all its neighbours, each component is a star around its least node, which that aggregation has told already.
     """
-    edges = staged(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dedup-links")
+    edges = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = staged(in_files(edges, links.count()), "dedup-links")
     while True:
+        n = edges.count()
         # Large star: every node gives its larger neighbours the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count")), "dedup-least")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count"))
+        least = staged(in_files(least, n), "dedup-least")
         if least.where("count > 1 AND m != u").isEmpty():
             released(edges)
             return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
-        n = edges.count()
         # Only the rows to larger neighbours go on.
         large = lookup(both.where("v > u"), least.select("u", "m"), "u", least, total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "dedup-large")
+        large = staged(in_files(large, n), "dedup-large")
         released(edges, least)
         # Small star: every node gives its smaller neighbours, and itself, the smallest of them.
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")), "dedup-least")
+        least = staged(in_files(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")), n), "dedup-least")
         small = lookup(large, least.select("u", "m"), "u", least, total=2 * n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "dedup-stars")
+        edges = staged(in_files(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n), "dedup-stars")
         released(large, least)
 
 
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more parts than so many narrow rows ask for: a staged table of few rows is not a file for each partition of a shuffle."""
+    parts = -(-rows // ROWS_A_FILE)
+    return df.coalesce(max(1, parts)) if parts < partitions(df.sparkSession) else df
+
+
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): sets has doc_id and digest of every row; classes has a row for each digest with its node, smallest doc_id (id),
     class_id, the root of its class and count, the rows with that text."""
