@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import placed
-from .common import WORD, partitions, staged, unit_hash
+from .common import WORD, lookup, partitions, staged, unit_hash
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -68,7 +68,7 @@ def quotas(sized: DataFrame) -> DataFrame:
     sized = staged(sized, "mix-sizes")
     plan = targets(sized).withColumn("blocks", blocks).withColumn("copies", whole)
     plan = staged(plan.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-targets")
-    with_block = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", block_of(F.col("u"), F.col("blocks")))
+    with_block = of_sources(sized, plan, plan).withColumn("block", block_of(F.col("u"), F.col("blocks")))
     edges = edge(with_block.groupBy("source", "rest", "block").agg(F.sum("size").alias("words")), "block", "rest")
     edges = staged(edges.select(F.col("source").alias("s"), F.col("block").alias("edge_block"), "need"), "mix-edges")
     inside = with_block.join(edges, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("edge_block")))
@@ -92,6 +92,13 @@ def quotas(sized: DataFrame) -> DataFrame:
     return staged(plan.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-quotas")
 
 
+def of_sources(rows: DataFrame, found: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with what found has of their source (null is one). A source may hold any part of the rows: plan says how many each has (n_docs)."""
+    key = F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).alias("__source")
+    counts = plan.select(key, F.col("n_docs").alias("count"))
+    return lookup(rows.select("*", key), found.select(key, *[c for c in found.columns if c != "source"]), "__source", counts).drop("__source")
+
+
 def edge(sums: DataFrame, part: str, room: str) -> DataFrame:
     """(source, part, need): the first part of a source that its room does not hold whole, and what is left for it. sums: at most MAX_BLOCKS rows a source."""
     upto = F.sum("words").over(Window.partitionBy("source").orderBy(part))
@@ -149,9 +156,8 @@ def dealt(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     plan = quotas(rows.select("source", "size", "u"))
     quota = F.col("copies") * F.col("blocks") + F.coalesce(F.col("edge_block") + 1, F.lit(0))
     each = staged(block_shards(plan.select("source", "rank", quota.alias("quota")), shards), "mix-shards")
-    plan = plan.join(each, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rank", "n_docs", "rest")
-    plan = staged(plan.withColumnRenamed("source", "s"), "mix-plan")
-    found = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("u"), F.col("blocks")))
+    plan = staged(plan.join(each, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rank", "rest"), "mix-plan")
+    found = of_sources(rows, plan.drop("n_docs"), plan).withColumn("block", block_of(F.col("u"), F.col("blocks")))
     part = drawn({x: F.col(x) for x in ("edge_block", "cut", "pick")})
 
     draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies")), lambda epoch: F.struct(epoch.alias("epoch"), F.get("shards", epoch * F.col("blocks") + F.col("block")).alias("shard")))

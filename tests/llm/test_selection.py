@@ -188,6 +188,25 @@ def test_a_large_edge_block(spark, monkeypatch):
     assert len(told) == 2 and all(abs(r["taken"] - r["target"]) <= 4.5 for r in told)
 
 
+def test_a_hot_source_among_many(spark):
+    """20,000 sources, one of which (null) holds half of all documents: no task gets its rows together, and each source meets its target."""
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 80_000, 1, 16).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 1 THEN concat('s', id % 40000) END AS source", "1 + id % 5 AS size")
+        rows = docs.select(F.struct("doc_id").alias("row"), "source", "size", mixing.unit_hash(mixing.SEED, F.col("doc_id")).alias("u"))
+        out = mixing.dealt(rows)
+        tasks = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 80_000 and max(tasks) <= 80_000 * 16 / 64
+        told = out.join(docs.select("doc_id", "source"), F.col("row.doc_id") == F.col("doc_id")).groupBy("source", "target").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"), F.sum("size").alias("size"))
+        assert told.where(F.abs(F.col("taken") - F.col("target")) > 5).count() == 0 and told.count() == 20_001
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_odd_mix(spark, odd_docs, no_docs, tmp_path):
     assert mixing.mixed(odd_docs).columns == odd_docs.columns and mixing.mixed(no_docs).count() == 0
     for name, df in (("odd", odd_docs), ("none", no_docs)):
@@ -254,7 +273,9 @@ def test_candidates_side_by_side():
             others.append(b if r.random() < 0.9 else [r.randrange(n + 3) for _ in range(r.randint(0, 2 * n + 2))])
         want = [near_dedup.similar(a, b, near_dedup.pairs_of(a)) for b in others]
         words = [np.array(x, np.uint64) for x in (a, *others)]
-        assert near_dedup.aligned(words[0], words[1:]).tolist() == want
+        assert near_dedup.aligned([(words[0], b) for b in words[1:]]).tolist() == want
+        swapped = [(b, words[0]) if i % 2 else (words[0], b) for i, b in enumerate(words[1:])]  # each pair has texts of its own
+        assert near_dedup.aligned(swapped + swapped[::-1]).tolist() == want + want[::-1]
         told = [near_dedup.bounded(words[0], b, near_dedup.pair_hashes(words[0])) for b in words[1:]]
         assert all(x is None or x == y for x, y in zip(told, want)) and (n < 17 or count < 40 or None in told)
 
