@@ -9,9 +9,9 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.measures import cost_kind, hit_rate, total_tokens
+from .functions.measures import cost_kind, hit_rate, saturated, total_tokens
 from .functions.scalars import project_name, zone_name
-from .operators import dedup, ordered, reports, sinks
+from .operators import dedup, files, ordered, reports, sinks
 from .operators.intervals import Cuts
 from .plans import forecast, pricing
 from .schema import COLUMNS, TOKENS
@@ -110,6 +110,8 @@ def loaded(
         return Loaded(*(reduce(DataFrame.unionByName, (getattr(p, f) for p in parts)) for f in ("every", "counted")))
     if more.get("scope", "all") != "all" and found.name != "codex":
         raise ValueError("only codex has scopes")
+    if found.capabilities.ranged:
+        more["wanted"] = (wanted.since, wanted.until)
     rows = found.scan(spark, root, zone, **more).select(*dict.fromkeys((*dedup.IDENTITY, "date", *columns)), "rejected")
     rows = reports.in_range(rows, wanted.since, wanted.until, always=F.col("rejected"))
     best = dedup.counted(rows) if found.capabilities.dedup else rows.withColumn("entries", F.lit(1).cast("long"))
@@ -132,11 +134,12 @@ class Report:
     kind: str
     keys: tuple[str, ...]
     told: DataFrame
-    prices: DataFrame
+    prices: pricing.Prices
     strict: bool
     label: str
     cost: str = "cost"
     cache_read: bool = True
+    currency: pricing.Currency = pricing.Currency()
 
     @cached_property
     def sums(self) -> DataFrame:
@@ -157,7 +160,14 @@ class Report:
     def base(self) -> DataFrame:
         """The sums with their costs, at the grain of told."""
         rows = self.sums.where("NOT rejected").drop("rejected", *reports.COUNTERS)
-        return pricing.with_costs(rows, pricing.resolve(rows, self.prices, self.strict))
+        return self._priced(rows)
+
+    def _priced(self, rows: DataFrame) -> DataFrame:
+        """Rows by model with their costs, in the currency of the report."""
+        priced = pricing.with_costs(rows, pricing.resolve(self.sums.where("NOT rejected"), self.prices, self.strict))
+        if self.currency.rate == 1:
+            return priced
+        return priced.withColumns({c: F.col(c) * self.currency.rate for c in ("cost", "real_cost", "estimated_cost")})
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -173,7 +183,7 @@ class Report:
             rows = reports.project_models(reports.session_whole(rows))
         elif self.kind == "blocks":
             rows = with_block_times(rows)
-        priced = pricing.with_costs(rows, pricing.resolve(self.sums.where("NOT rejected"), self.prices, self.strict))
+        priced = self._priced(rows)
         return priced.select(*self.keys, "model", *[c for c in priced.columns if c not in (*self.keys, "model", "rates")])
 
     def rolled(self, breakdown: bool = False) -> DataFrame:
@@ -181,9 +191,11 @@ class Report:
         if self.kind == "statusline":
             days = sinks.rolled(self.base, "date", cost=self.cost).select("date", F.col("cost").alias("day_cost"))
             cost = days.agg(pricing.strict_sum("day_cost").alias("cost"))
-            return sinks.rolled(self.rows, cache_read=self.cache_read).drop("cost").crossJoin(F.broadcast(cost))  # one row each
+            whole = sinks.rolled(self.rows, cache_read=self.cache_read, source=self.prices.source).drop("cost")
+            return self._with_cache(whole.crossJoin(F.broadcast(cost)))  # one row each
         more = (F.sum("session_rows").alias("session_count"),) if self.kind == "project" else ()
-        out = sinks.rolled(self.rows, *self.keys, cost=self.cost, cache_read=self.cache_read, more=more, strict=breakdown)
+        out = sinks.rolled(self.rows, *self.keys, cost=self.cost, cache_read=self.cache_read, more=more, strict=breakdown, source=self.prices.source)
+        out = self._with_cache(out)
         return out.withColumn("project_name", project_name(F.col("project_path"))) if self.kind == "project" else out
 
     def json(self, breakdown: bool = False, descending: bool = False) -> DataFrame:
@@ -212,16 +224,36 @@ class Report:
             raise ValueError(f"{self.kind} has no CSV form")
         return made[self.kind](rows, self.quality, descending, estimates, few=self.few)
 
-    def table(self, short: bool = False, limit: int = 1000) -> str:
-        """Aligned text of at most limit rows, in order, with a total and, if lines were rejected, a note."""
-        key = self.keys[0]
-        rows = sinks.with_total_row(self.rolled(), key).orderBy("part", key)
+    def _with_cache(self, rows: DataFrame) -> DataFrame:
+        return sinks.with_cache(rows, self.prices.age_s, self.prices.mtime_s)
+
+    def table(self, short: bool = False, limit: int = 1000, breakdown: bool = False) -> str:
+        """Aligned text of at most limit rows, in order, with a total and, if lines were rejected, a note; a status line is one line."""
+        if self.kind == "statusline":
+            return sinks.statusline_text(self.rolled(), self.label, self.currency.code).first()["line"]
+        names = [k for k in self.keys if k != "last_ms"] if self.kind != "models" else []
+        each = self.rows.withColumn("part", F.lit(0)) if breakdown or self.kind == "models" else None
+        rows = sinks.with_total_row(self.rolled(), names[0] if names else None)
+        if each is not None:
+            names = [*names, "model"]
+            rows = sinks.with_models(rows, each, self.cost, names)
+        rows = rows.orderBy("part", *[F.col(c).asc_nulls_first() for c in names])
         note = self.quality.first()
-        text = sinks.text_table(sinks.display(rows, [key], short=short), limit)
+        text = sinks.text_table(sinks.display(rows, names, short=short, code=self.currency.code), limit)
         return text + (f"\n{note['parse_errors']} lines could not be read" if note["parse_errors"] else "")
 
+    def save(self, path: str, format: str = "csv", **options) -> str:
+        """One readable file: csv, json (an array with an object a line) or table; options are those of the method of that name."""
+        made = {"csv": self.csv, "json": lambda **o: files.json_lines(self.json(**o)), "table": lambda **o: files.text_lines(self.table(**o), self.told.sparkSession)}
+        if format not in made:
+            raise ValueError(f"format must be one of {', '.join(made)}")
+        return files.saved(made[format](**options), path)
+
 
-def usage_report(spark: SparkSession, kind: str, source: str, root: str | dict[str, str], prices: DataFrame, wanted: Range = Range(), zone: str = "UTC", strict: bool = False, **options) -> Report:
+def usage_report(
+    spark: SparkSession, kind: str, source: str, root: str | dict[str, str], prices: pricing.Prices | DataFrame, wanted: Range = Range(), zone: str = "UTC", strict: bool = False,
+    currency: pricing.Currency = pricing.Currency(), **options,
+) -> Report:
     """daily, today, weekly, monthly, session, project, blocks, endpoints, models or statusline, with costs."""
     found, zone = SOURCES.find(source), zone_name(zone)
     can = found.capabilities
@@ -234,7 +266,7 @@ def usage_report(spark: SparkSession, kind: str, source: str, root: str | dict[s
     keys, columns, sums = GRAINS[kind]
     got = loaded(spark, source, root, zone, wanted, (*MEASURED, *columns), **options)
     told = sums(got.counted, zone)
-    return Report(kind, keys, told, prices, strict, found.label, "real_cost" if found.name == ALL else "cost", can.cache_read)
+    return Report(kind, keys, told, pricing.Prices.of(prices), strict, found.label, "real_cost" if found.name == ALL else "cost", can.cache_read, currency)
 
 
 def with_block_times(rows: DataFrame) -> DataFrame:
@@ -296,7 +328,7 @@ def _summary(rows: DataFrame, *keys: str, cost: str = "cost") -> DataFrame:
     model = F.struct(F.col(cost).isNull().alias("unknown"), (-F.coalesce(cost, F.lit(0.0))).alias("order"), (-total_tokens()).alias("size"), row.alias("m"))
     has = used & F.coalesce(pricing.has_cost_input(), F.lit(False))
     total = rows.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _SUMMED], pricing.known_sum(cost, has).alias("cost"), pricing.provenance().alias("pricing_source"),
+        *[F.coalesce(saturated(F.col(n)), F.lit(0)).alias(n) for n in _SUMMED], pricing.known_sum(cost, has).alias("cost"), pricing.provenance().alias("pricing_source"),
         F.transform(F.sort_array(F.collect_list(F.when(used, model))), lambda x: x["m"]).alias("models"),
     )
     return total.select(*keys, *_SUMMED, total_tokens().alias("total_tokens"), hit_rate().alias("hit_rate"), "cost", "pricing_source", "models")
@@ -330,6 +362,20 @@ def summarize_ranges(
     return out.join(quality, ["position", "range_id"]).crossJoin(F.broadcast(errors)).orderBy("position")  # a row for each range, and one
 
 
+def quota_report(spark: SparkSession, root: str, now_s: int, prices: pricing.Prices | DataFrame | None = None, strict: bool = False, currency: str = "USD") -> DataFrame:
+    """The weekly quota in one row; with prices also what the whole window is worth, in dollars only. Raises QuotaError where there is none."""
+    if currency.strip().upper() != "USD":
+        raise ValueError("a quota is valued in USD only")
+    pace = staged(weekly_quota(spark, root, now_s), "quota")
+    problem = pace.first()["error"]
+    if problem is not None:
+        raise QuotaError(problem)
+    if prices is None:
+        return pace
+    value = weekly_value(spark, root, prices, now_s, strict)
+    return pace.crossJoin(F.broadcast(value.select("value", F.col("error").alias("value_error"))))  # one row each
+
+
 def weekly_quota(spark: SparkSession, root: str, now_s: int) -> DataFrame:
     """The newest weekly quota and where it is heading, in one row; error says why that cannot be told."""
     return forecast.quota_pace(codex.quota_snapshot(spark, root, now_s), F.lit(now_s).cast("long"))

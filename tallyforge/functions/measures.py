@@ -30,15 +30,14 @@ def with_cost_parts(df: DataFrame) -> DataFrame:
 
 
 def saturated(c: Column) -> Column:
-    """A sum that stops at the largest long instead of failing."""
-    return F.least(F.sum(c.cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long")
+    """A sum of numbers that are not negative, which stops at the largest long instead of failing; null without rows."""
+    return F.when(F.count("*") > 0, F.coalesce(F.try_sum(c), F.lit(MOST)))
 
 
-def sums(saturating: bool = False) -> list[Column]:
-    """Aggregate expressions over the columns of with_cost_parts."""
-    add = saturated if saturating else F.sum
+def sums() -> list[Column]:
+    """Aggregate expressions over the columns of with_cost_parts; counts saturate."""
     names = [*TOKENS, "call_count", *(f"priced_{t}" for t in TOKENS), *(f"est_{t}" for t in TOKENS), "recorded_entries", "proxy_entries", "real_entries"]
-    return [*(add(F.col(n)).alias(n) for n in names), F.sum("recorded_usd").alias("recorded_usd"), F.count("*").alias("entries")]
+    return [*(saturated(F.col(n)).alias(n) for n in names), F.sum("recorded_usd").alias("recorded_usd"), F.count("*").alias("entries")]
 
 
 def resums() -> list[Column]:
@@ -47,11 +46,11 @@ def resums() -> list[Column]:
 
 
 def total_tokens(prefix: str = "") -> Column:
-    """All tokens once."""
-    total = F.col(prefix + DISJOINT[0])
+    """All tokens once, at most the largest long; null if any is."""
+    total, known = F.col(prefix + DISJOINT[0]), F.col(prefix + DISJOINT[0]).isNotNull()
     for t in DISJOINT[1:]:
-        total = total + F.col(prefix + t)
-    return total
+        total, known = F.try_add(total, F.col(prefix + t)), known & F.col(prefix + t).isNotNull()
+    return F.coalesce(total, F.when(known, F.lit(MOST)))
 
 
 def hit_rate(supported: bool = True) -> Column:

@@ -5,7 +5,9 @@ The DuckDB counterparts say what the same events mean, without any file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import api
@@ -13,7 +15,7 @@ from .logs import as_json, write_lines
 from .operators import reports, sinks
 from .plans import pricing
 from .plans.ledger import LEDGER_SQL, price_table
-from .queries import _COSTED, _HIT, _KNOWN, _PTOTAL, _RESOLVE, _STATS, _SUMS, _TOTAL, query, table
+from .queries import _COSTED, _HIT, ORACLE, _KNOWN, _PTOTAL, _RESOLVE, _STATS, _SUMS, _TOTAL, query, table
 from .schema import TOKENS
 from .sources import SOURCES, codex, grok
 from .staging import fresh_path
@@ -220,13 +222,13 @@ def period_table(spark, sf_dir):
 
 
 def clock_root(spark, sf_dir) -> str:
-    """Messages, one a minute, around the hour that clocks in Berlin show twice."""
-    rows = events(spark, sf_dir).where("event_id < 900").selectExpr("'projects/p/s.jsonl' AS path", "event_id AS ord", "date_format(timestamp_seconds(1729972800 + event_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS timestamp", f"named_struct('id', 'm' || event_id, 'model', 'm', 'stop_reason', 'end', 'usage', named_struct('input_tokens', {_VALUE})) AS message")
+    """Messages, one a minute, around the hour that clocks in Berlin show twice and in the two weeks after it."""
+    rows = events(spark, sf_dir).selectExpr("concat('projects/p/s', event_id % 16, '.jsonl') AS path", "event_id AS ord", "date_format(timestamp_seconds(1729972800 + event_id % 20000 * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS timestamp", f"named_struct('id', 'm' || event_id, 'model', 'm', 'stop_reason', 'end', 'usage', named_struct('input_tokens', {_VALUE})) AS message")
     return write_lines(rows.select("path", "ord", as_json("timestamp", "message").alias("line")), fresh_path(spark, "clock"))
 
 
 @query(
-    f"WITH e AS (SELECT to_timestamp(1729972800 + event_id * 60)::TIMESTAMP AS u, CASE WHEN event_id * 60 + 1729972800 < 1729990800 THEN 120 ELSE 60 END AS off, {_VALUE} AS n FROM events WHERE event_id < 900), "
+    f"WITH e AS (SELECT to_timestamp(1729972800 + event_id % 20000 * 60)::TIMESTAMP AS u, CASE WHEN event_id % 20000 * 60 + 1729972800 < 1729990800 THEN 120 ELSE 60 END AS off, {_VALUE} AS n FROM events), "
     "l AS (SELECT epoch_ms((1729972800 + 0) * 0 + epoch_ms(u) + off * 60000) AS local, off, n FROM e), b AS (SELECT date_trunc('day', local) + to_hours(CAST(hour(local) // 5 * 5 AS INT)) AS s, off, n FROM l) "
     "SELECT strftime(s, '%Y-%m-%d %H:%M') || ' +0' || off // 60 || ':00' AS block_start, strftime(s + INTERVAL 5 HOURS, '%Y-%m-%d %H:%M') || ' +0' || off // 60 || ':00' AS block_end, count(*) AS calls, CAST(sum(n) AS BIGINT) AS input_tokens FROM b GROUP BY s, off"
 )
@@ -497,6 +499,31 @@ def billing_scan(spark, sf_dir):
     return rows.select("message_id", "timestamp_ms", "model", "session_id", "input_tokens", "output_tokens", "cache_creation", "cache_read", "recorded_cost_usd")
 
 
+def pages_root(spark, sf_dir) -> str:
+    """A crawl of a billing service: a page for each day, newest first."""
+    rows = events(spark, sf_dir).selectExpr(
+        "date_diff(DATE '2024-02-01', cast(ts AS date)) AS page", "event_id", "unix_millis(cast(ts AS timestamp)) AS ms",
+        f"named_struct('timestamp', unix_millis(cast(ts AS timestamp)), 'model', concat('gpt-', event_id % 3), 'conversationId', concat('c', user_id), 'usageEventId', concat('e', event_id % 4000), 'tokenUsage', named_struct('inputTokens', {_VALUE}, 'outputTokens', event_id % 9)) AS e",
+    )
+    days = rows.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "e"))), lambda x: x["e"]).alias("usageEventsDisplay"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    numbered = days.withColumn("n", F.row_number().over(Window.orderBy("page")))  # a row for each day
+    file = F.format_string("page-%d.json", "n")
+    pages = numbered.select(file.alias("path"), F.lit(0).alias("ord"), as_json("usageEventsDisplay").alias("line"))
+    index = numbered.select(F.lit("index.jsonl").alias("path"), F.col("n").alias("ord"), as_json(F.col("n").alias("page"), file.alias("file"), "first_ms", "last_ms", F.lit(False).alias("has_next")).alias("line"))
+    return write_lines(pages.unionByName(index), fresh_path(spark, "pages"))
+
+
+@query(
+    f"WITH e AS (SELECT *, 'e' || event_id % 4000 AS id, CAST(ts AS DATE) AS date FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-16' AND {_VALUE} + event_id % 9 > 0), "
+    "f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY date DESC, event_id) = 1) "
+    f"SELECT CAST(date AS VARCHAR) AS date, 'gpt-' || event_id % 3 AS model, count(*) AS entries, CAST(sum({_VALUE}) AS BIGINT) AS input_tokens FROM f GROUP BY ALL"
+)
+def billing_pages(spark, sf_dir):
+    """A week of a paginated billing service: only its pages are read."""
+    rows = api.facts(spark, "cursor", pages_root(spark, sf_dir), wanted=api.Range(date(2024, 1, 10), date(2024, 1, 16)))
+    return rows.groupBy(F.col("date").cast("string").alias("date"), "model").agg(F.count("*").alias("entries"), F.sum("input_tokens").alias("input_tokens"))
+
+
 # Inference telemetry and sessions.
 
 
@@ -533,8 +560,8 @@ def telemetry_scan(spark, sf_dir):
 def telemetry_ledger(spark, sf_dir):
     """Inferences kept in a durable ledger and read from it after their log is gone."""
     kept = fresh_path(spark, "kept")
-    grok.durable(spark, telemetry_root(spark, sf_dir), kept)
-    return grok.durable(spark, fresh_path(spark, "gone"), kept).groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
+    grok.scan(spark, telemetry_root(spark, sf_dir), ledger=kept)
+    return api.facts(spark, "grok", fresh_path(spark, "gone"), ledger=kept).groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
 
 
 def turns_root(spark, sf_dir) -> str:
@@ -569,6 +596,26 @@ def turns_scan(spark, sf_dir):
     return rows.select("message_id", "session_id", "model", "input_tokens", "output_tokens", "cache_creation", "cache_read", "reasoning_tokens", "call_count", F.col("recorded_cost_usd").alias("cost"), "cost_kind")
 
 
+@query(ORACLE["turns_scan"])
+def sessions_without_a_log(spark, sf_dir):
+    """A root that has session folders and no log: turns and estimates, without being asked for."""
+    rows = api.loaded(spark, "grok", turns_root(spark, sf_dir)).every
+    return rows.select("message_id", "session_id", "model", "input_tokens", "output_tokens", "cache_creation", "cache_read", "reasoning_tokens", "call_count", F.col("recorded_cost_usd").alias("cost"), "cost_kind")
+
+
+@query(
+    "WITH " + _STREAMED + ", t AS (" + ORACLE["turns_scan"] + "), every AS (SELECT model, 'real' AS cost_kind, " + _TOTAL + " AS n FROM deduped "
+    "UNION ALL SELECT model, cost_kind, " + _TOTAL + " FROM t) SELECT model, CASE WHEN count(DISTINCT cost_kind) > 1 THEN 'mixed' ELSE min(cost_kind) END AS cost_kind, CAST(sum(n) AS BIGINT) AS total_tokens, "
+    "round(sum(CASE WHEN cost_kind = 'estimated_proxy' THEN n ELSE 0 END) * 3e-6::DOUBLE, 9) AS estimated_cost FROM every GROUP BY model"
+)
+def all_sources_with_estimates(spark, sf_dir):
+    """Estimates of sessions reach the report of all sources, and stay apart from its cost."""
+    roots, prices = {"claude": streamed_root(spark, sf_dir), "grok": turns_root(spark, sf_dir)}, price_table(spark)
+    every = prices.where("price_key LIKE 'claude-sonnet%'").drop("price_key").crossJoin(spark.createDataFrame([("sig",), ("base",)], "price_key string"))  # two rows
+    got = api.usage_report(spark, "models", "all", roots, prices.unionByName(every), strict=True)
+    return sinks.rolled(got.rows, "model", cost=got.cost).select("model", "cost_kind", "total_tokens", F.round(F.coalesce("estimated_cost", F.lit(0.0)), 9).alias("estimated_cost"))
+
+
 # Wire logs.
 
 

@@ -106,10 +106,14 @@ def residual(rows: DataFrame, keys: list[str], parts: str, totals: list[str], fa
     parts names a map column from model to a struct with the fields of totals; the total fields are columns of rows, and
     fallback is the column with the model that gets the rest. Rests are never negative; rows without usage are left out.
     """
-    each = rows.select(*keys, F.explode(parts).alias("__m", "__v")).select(*keys, F.col("__m").alias(fallback), *[F.coalesce(F.col(f"__v.{t}"), F.lit(0)).alias(t) for t in totals])
-    summed = lambda t: F.aggregate(F.coalesce(F.map_values(parts), F.array()), F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v[t], F.lit(0)))
-    rest = rows.select(*keys, fallback, *[F.greatest(F.col(t) - summed(t), F.lit(0).cast("long")).alias(t) for t in totals])
-    out = each.unionByName(rest).groupBy(*keys, fallback).agg(*[F.sum(t).alias(t) for t in totals])
+    none = F.lit(0).cast("long")
+    given = F.coalesce(F.map_entries(parts), F.array().cast(rows.select(F.map_entries(parts)).schema[0].dataType))
+    value = lambda v, t: F.coalesce(v[t], none).cast("long")
+    each = F.transform(given, lambda e: F.struct(e["key"].alias(fallback), *[value(e["value"], t).alias(t) for t in totals]))
+    summed = lambda t: F.aggregate(given, none, lambda a, e: a + value(e["value"], t))
+    rest = F.struct(F.col(fallback), *[F.greatest(F.col(t) - summed(t), none).alias(t) for t in totals])
+    every = rows.select(*keys, F.explode(F.concat(each, F.array(rest))).alias("__x")).select(*keys, "__x.*")  # rows are read once
+    out = every.groupBy(*keys, fallback).agg(*[F.sum(t).alias(t) for t in totals])
     used = F.lit(False)
     for t in totals:
         used = used | (F.col(t) > 0)

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import hit_rate, total_tokens
+from ..functions.measures import hit_rate, saturated, total_tokens
 from ..functions.scalars import compact, csv_field, grouped, money, percent
-from ..plans.pricing import known_sum, provenance, strict_sum
+from ..plans.pricing import SYMBOLS, known_sum, provenance, strict_sum
 from ..schema import TOKENS
 from .ordered import numbered
 
@@ -18,12 +18,24 @@ from .ordered import numbered
 SHOWN = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "reasoning_tokens": "reasoning_tokens", "cache_creation": "cache_creation_tokens", "cache_read": "cache_read_tokens"}
 
 
+#: Of prices from a cache: its age and time, shown where they were used.
+CACHE = ("pricing_cache_age_seconds", "pricing_cache_mtime_epoch_seconds")
+
+
+def with_cache(rows: DataFrame, age_s: int | None, mtime_s: int | None) -> DataFrame:
+    """Adds CACHE to rows with prices from a cache, if there is one."""
+    if age_s is None:
+        return rows
+    used = F.col("pricing_source").isin("cache", "cache_stale", "mixed")
+    return rows.select("*", *[F.when(used, F.lit(v).cast("long")).alias(c) for c, v in zip(CACHE, (age_s, mtime_s))])
+
+
 def kind_of(proxy: Column, real: Column) -> Column:
     """real, estimated_proxy or mixed."""
     return F.when((proxy > 0) & (real > 0), "mixed").when(proxy > 0, "estimated_proxy").otherwise("real")
 
 
-def rolled(rows: DataFrame, *keys: str, cost: str = "cost", cache_read: bool = True, more: tuple[Column, ...] = (), strict: bool = False) -> DataFrame:
+def rolled(rows: DataFrame, *keys: str, cost: str = "cost", cache_read: bool = True, more: tuple[Column, ...] = (), strict: bool = False, source: str = "catalogue") -> DataFrame:
     """One row for each key from priced rows by key and model: tokens, models, cost, where prices are from, estimates.
 
     breakdown has the rows by model. cost is the column to add up: cost, or real_cost to leave estimates out. Unknown costs are left
@@ -31,8 +43,8 @@ def rolled(rows: DataFrame, *keys: str, cost: str = "cost", cache_read: bool = T
     """
     model = F.struct("model", *[F.col(a).alias(b) for a, b in SHOWN.items()], F.round(hit_rate(cache_read), 2).alias("cache_hit_rate"), total_tokens().alias("total_tokens"), F.col(cost).alias("cost"), "pricing_source")
     out = rows.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in (*TOKENS, "call_count")], F.array_sort(F.collect_set("model")).alias("models"),
-        (strict_sum(cost) if strict else known_sum(cost)).alias("cost"), provenance().alias("pricing_source"), F.sum(F.when(F.col("estimated_cost") > 0, F.col("estimated_cost"))).alias("estimated_cost"),
+        *[F.coalesce(saturated(F.col(t)), F.lit(0)).alias(t) for t in (*TOKENS, "call_count")], F.array_sort(F.collect_set("model")).alias("models"),
+        (strict_sum(cost) if strict else known_sum(cost)).alias("cost"), provenance(default=source).alias("pricing_source"), F.sum(F.when(F.col("estimated_cost") > 0, F.col("estimated_cost"))).alias("estimated_cost"),
         kind_of(F.sum("proxy_entries"), F.sum("real_entries")).alias("cost_kind"), F.collect_list(model).alias("breakdown"), *more,
     )
     return out.select("*", total_tokens().alias("total_tokens"), F.round(hit_rate(cache_read), 2).alias("cache_hit_rate"))
@@ -52,7 +64,9 @@ def _objects(rows: DataFrame, fields: list[Column], quality: DataFrame | None, o
     else:
         last = []
     text = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    json = F.when(F.col("estimated_cost") > 0, text(*priced, *told, *last)).otherwise(text(*priced, *last))
+    either = lambda *some: F.when(F.col("estimated_cost") > 0, text(*priced, *some, *told, *last)).otherwise(text(*priced, *some, *last))
+    cache = [F.col(c) for c in CACHE if c in rows.columns]
+    json = F.when(cache[0].isNotNull(), either(*cache)).otherwise(either()) if cache else either()
     out = numbered(rows, order, few).select("place", json.alias("json"))
     if quality is not None:
         alone = _told(quality).crossJoin(rows.agg(F.count("*").alias("n"))).where("n = 0")
@@ -116,6 +130,7 @@ def csv_rate(c: Column) -> Column:
 
 def csv_report(rows: DataFrame, cells: dict[str, Column], order: list[Column], quality: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(part, place, line); cells are columns by header. A trailer tells data quality if lines were rejected."""
+    cells = cells | {c: F.col(c).cast("string") for c in CACHE if c in rows.columns}
     head = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(1).cast("long").alias("place"), F.lit(",".join(cells)).alias("line"))
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells.values()])
     out = head.unionByName(numbered(rows, order, few).select(F.lit(1).alias("part"), "place", line.alias("line")))
@@ -215,6 +230,7 @@ def quota_rows(pace: DataFrame) -> DataFrame:
     return pace.where("error IS NULL").select(
         F.lit("codex").alias("source"), F.lit("weekly").alias("window"), "window_minutes", F.round("used_percent", 2).alias("used_pct"), F.round(F.greatest(100 - F.col("used_percent"), F.lit(0.0)), 2).alias("remaining_pct"),
         F.round("projected_percent", 2).alias("projected_pct_at_reset"), "status", at(F.col("observed_at")).alias("observed_at"), at(F.col("resets_at")).alias("resets_at"), at(F.col("depletes_at")).alias("estimated_depletion_at"),
+        *([F.round("value", 2).alias("estimated_window_value_usd"), "value_error"] if "value" in pace.columns else []),
     )
 
 
@@ -224,7 +240,8 @@ def quota_json(pace: DataFrame) -> DataFrame:
 
 def quota_csv(pace: DataFrame) -> DataFrame:
     rows = quota_rows(pace)
-    cells = {c: csv_rate(F.col(c)) if c.endswith("pct") or c == "projected_pct_at_reset" else csv_field(F.col(c)) for c in rows.columns}
+    numbers = ("used_pct", "remaining_pct", "projected_pct_at_reset", "estimated_window_value_usd")
+    cells = {c: csv_rate(F.col(c)) if c in numbers else csv_field(F.col(c)) for c in rows.columns}
     return csv_report(rows, cells, [F.col("observed_at")], few=True)
 
 
@@ -236,9 +253,9 @@ def statusline_json(totals: DataFrame, label: str, quality: DataFrame | None = N
     return rows.select(F.to_json(F.struct(*fields, *([] if quality is None else ["data_quality"])), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def statusline_text(totals: DataFrame, label: str) -> DataFrame:
+def statusline_text(totals: DataFrame, label: str, code: str = "USD") -> DataFrame:
     """Source and cost, tokens in and out, cache hits."""
-    text = F.concat_ws(" | ", F.concat(F.lit(f"{label}: "), money(F.col("cost"))), F.concat(F.lit("In: "), compact(F.col("input_tokens")), F.lit(" Out: "), compact(F.col("output_tokens"))), F.concat(F.lit("Cache Hit: "), percent(F.col("cache_hit_rate"))))
+    text = F.concat_ws(" | ", F.concat(F.lit(f"{label}: "), money(F.col("cost"), SYMBOLS.get(code, f"{code} "))), F.concat(F.lit("In: "), compact(F.col("input_tokens")), F.lit(" Out: "), compact(F.col("output_tokens"))), F.concat(F.lit("Cache Hit: "), percent(F.col("cache_hit_rate"))))
     return totals.select(text.alias("line"))
 
 
@@ -264,33 +281,61 @@ def sources_json(spark, registry) -> DataFrame:
     return rows.select(F.col("place").cast("long").alias("place"), F.to_json(F.struct("name", "display_name", "aliases", F.struct(*FLAGS).alias("capabilities"))).alias("json"))
 
 
-def json_rows(df: DataFrame, keys: list[str], parts: str = "models", by: str = "model", values: list[str] | None = None) -> DataFrame:
-    """One JSON object for each key with an array of parts, dearest first, then by name. df has cost."""
-    names = values or [c for c in df.columns if c not in keys]
-    part = F.struct(F.when(F.col("cost").isNull(), 1).otherwise(0).alias("__u"), (-F.coalesce("cost", F.lit(0.0))).alias("__c"), F.col(by).alias("__n"), F.struct(*names).alias("row"))
-    rows = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["row"]).alias(parts))
-    return rows.select(*keys, F.to_json(F.struct(*keys, parts), {"ignoreNullFields": "false"}).alias("json"))
-
-
-def csv_lines(df: DataFrame, columns: list[str], cost: tuple[str, ...] = ("cost",)) -> DataFrame:
-    """One line for each row; costs have six decimals or N/A."""
-    return df.select(F.concat_ws(",", *[csv_cost(F.col(c)) if c in cost else csv_field(F.col(c)) for c in columns]).alias("line"))
-
-
-def display(df: DataFrame, keys: list[str], language: str = "en", short: bool = False) -> DataFrame:
+def display(df: DataFrame, keys: list[str], language: str = "en", short: bool = False, code: str = "USD") -> DataFrame:
     """Columns as people read them."""
     number = (lambda c: compact(c)) if short else (lambda c: grouped(c, language))
     counts = [c for c in ("input_tokens", "output_tokens", "cache_creation", "cache_read", "reasoning_tokens", "call_count") if c in df.columns]
-    shown: list[Column] = [F.col(k).cast("string").alias(k) for k in keys]
+    shown: list[Column] = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys]
     shown += [number(F.col(c)).alias(c) for c in counts] + [number(total_tokens()).alias("total_tokens"), percent(hit_rate()).alias("hit_rate")]
-    return df.select(*shown, *([money(F.col("cost")).alias("cost")] if "cost" in df.columns else []))
+    return df.select(*shown, *([money(F.col("cost"), SYMBOLS.get(code, f"{code} ")).alias("cost")] if "cost" in df.columns else []))
 
 
-def with_total_row(rows: DataFrame, key: str) -> DataFrame:
+def with_total_row(rows: DataFrame, key: str | None) -> DataFrame:
     """Rolled rows with a last row TOTAL, whose cost is unknown as soon as one is. The key becomes text; part is 0 for rows and 1 for the total."""
-    whole = rows.agg(*[F.sum(t).alias(t) for t in (*TOKENS, "call_count")], F.when(F.count("*") == F.count("cost"), F.sum("cost")).alias("cost"))
+    whole = rows.agg(*[F.coalesce(saturated(F.col(t)), F.lit(0)).alias(t) for t in (*TOKENS, "call_count")], strict_sum("cost").alias("cost"))
+    names = [c for c in rows.columns if c not in (*TOKENS, "call_count", "cost", "breakdown", "models")]
     kept = [*TOKENS, "call_count", "cost"]
-    return rows.select(F.lit(0).alias("part"), F.col(key).cast("string").alias(key), *kept).unionByName(whole.select(F.lit(1).alias("part"), F.lit("TOTAL").alias(key), *kept))
+    text = [F.col(c).cast("string").alias(c) for c in names]
+    last = [F.lit("TOTAL" if c == key else None).cast("string").alias(c) for c in names]
+    each = rows.select(F.lit(0).alias("part"), *text, *kept) if key is not None else rows.limit(0).select(F.lit(0).alias("part"), *text, *kept)
+    return each.unionByName(whole.select(F.lit(1).alias("part"), *last, *kept))
+
+
+def with_models(rows: DataFrame, each: DataFrame, cost: str, names: list[str]) -> DataFrame:
+    """Rows of with_total_row, and after each those of its models. names are its keys and model, which is null where a row is a sum."""
+    keys, kept = names[:-1], [*TOKENS, "call_count"]
+    if not keys:
+        rows = rows.withColumn("model", F.lit("TOTAL"))
+    else:
+        rows = rows.withColumn("model", F.lit(None).cast("string"))
+    parts = each.select("part", *[F.col(k).cast("string").alias(k) for k in keys], F.col("model"), *kept, F.col(cost).alias("cost"))
+    return rows.select("part", *names, *kept, "cost").unionByName(parts)
+
+
+def top_table(rows: DataFrame, dimension: str) -> DataFrame:
+    """A ranking as people read it."""
+    share = F.format_string("%.2f%%", "share")
+    return rows.orderBy("rank").select("rank", dimension, grouped(F.col("count")).alias("count"), grouped(F.col("tokens")).alias("tokens"), money(F.col("cost")).alias("cost"), share.alias("share"))
+
+
+def tools_table(counts: DataFrame) -> DataFrame:
+    """Tools by calls, and their total."""
+    whole = counts.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).select(F.lit(1).alias("part"), F.lit("TOTAL").alias("name"), "calls", F.lit(100.0).alias("share"))
+    rows = counts.select(F.lit(0).alias("part"), "name", "calls", "share").unionByName(whole).orderBy("part", F.desc("calls"), "name")
+    return rows.select(F.col("name").alias("tool"), grouped(F.col("calls")).alias("calls"), F.format_string("%.1f%%", "share").alias("share"))
+
+
+def budget_table(months: DataFrame) -> DataFrame:
+    """Months against a budget as people read them. months: as for budget_csv."""
+    percents = [F.coalesce(F.format_string("%.1f%%", c), F.lit("N/A")).alias(c) for c in ("used_pct", "projected_pct")]
+    amounts = [money(F.col(a)).alias(b) for a, b in (("cost", "spent"), ("budget", "budget"), ("projected", "projected"), ("remaining", "remaining"))]
+    return months.orderBy("month").select("month", *amounts, *percents, "status")
+
+
+def quota_table(pace: DataFrame) -> DataFrame:
+    """A quota as rows of names and values."""
+    rows = quota_rows(pace)
+    return rows.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c).cast("string"), F.lit("-")).alias("value")) for c in rows.columns])).alias("n", "e")).orderBy("n").select("e.name", "e.value")
 
 
 def text_table(df: DataFrame, limit: int = 1000) -> str:

@@ -5,6 +5,8 @@ Names are resolved on the distinct models of a report, a small table, and joined
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,38 @@ VENDORS = (r"^anthropic\.", "^anthropic/", "^openai/", "^xai/")
 RATES_TYPE = "struct<" + ",".join(f"{r}:double" for r in RATES) + ">"
 
 
+@dataclass(frozen=True)
+class Prices:
+    """A price table (price_key and RATES) and where it is from: catalogue, live, cache, cache_stale or fallback; of a cache also its age and time."""
+
+    table: DataFrame
+    source: str = "catalogue"
+    age_s: int | None = None
+    mtime_s: int | None = None
+
+    @classmethod
+    def of(cls, prices: Prices | DataFrame) -> Prices:
+        return prices if isinstance(prices, Prices) else cls(prices)
+
+
+@dataclass(frozen=True)
+class Currency:
+    """What costs are shown in: units of code for a dollar."""
+
+    code: str = "USD"
+    rate: float = 1.0
+
+    @classmethod
+    def of(cls, code: str, rates: dict[str, float]) -> Currency:
+        code = code.strip().upper()
+        if code != "USD" and code not in rates:
+            raise ValueError(f"no exchange rate for {code}")
+        rate = 1.0 if code == "USD" else float(rates[code])
+        if not 0 < rate < float("inf"):
+            raise ValueError(f"the exchange rate for {code} is no positive number")
+        return cls(code, rate)
+
+
 def catalogue(raw: DataFrame) -> DataFrame:
     """Rates by lookup key from (name, costs struct) rows: known vendors only, aliases added, official vendors first."""
     n, c = F.col("name"), F.col("costs")
@@ -112,7 +146,7 @@ def canonical(key: Column) -> Column:
 DATED = "^(.+)-([0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$"
 
 
-def resolve(models: DataFrame, prices: DataFrame, strict: bool = True) -> DataFrame:
+def resolve(models: DataFrame, prices: Prices | DataFrame, strict: bool = True) -> DataFrame:
     """(model, stage, matched, rates, source) for distinct models; rates is null if nothing or more than one thing fits.
 
     Stages, the first with any hit decides: the name itself; its spellings; its spellings without a date; for Claude
@@ -120,7 +154,7 @@ def resolve(models: DataFrame, prices: DataFrame, strict: bool = True) -> DataFr
     end the search. Unless strict, models without rates get those of FALLBACK. models is read once, and one column of it; each
     distinct name meets the catalogue in one join.
     """
-    m = F.col("model")
+    given, m = Prices.of(prices), F.col("model")
     undated = F.filter(F.transform(_without_vendor(_with_dotted(F.array(m, F.lower(m)))), lambda k: F.regexp_extract(k, DATED, 1)), lambda k: k != "")
     plain = lambda k: F.regexp_replace(F.regexp_replace(k, r"^anthropic\.", ""), "^claude-", "")
     tries = lambda i, keys, kind, name: F.transform(keys, lambda k: F.struct(F.lit(i).alias("stage"), F.lit(kind).alias("kind"), k.alias("key"), name(k).alias("canonical")))
@@ -133,7 +167,7 @@ def resolve(models: DataFrame, prices: DataFrame, strict: bool = True) -> DataFr
     full = plain(F.lower("price_key"))
     entry = lambda kind, key, name: F.struct(F.lit(kind).alias("kind"), key.alias("key"), name.cast("string").alias("canonical"))
     entries = F.array(entry("name", F.col("price_key"), F.lit(None)), entry("base", F.regexp_extract(full, "^(.+)-[0-9]{8}$", 1), full))
-    listed = prices.select(F.explode(entries).alias("e"), "price_key", F.struct(*RATES).alias("rates")).where("e.key != ''")
+    listed = given.table.select(F.explode(entries).alias("e"), "price_key", F.struct(*RATES).alias("rates")).where("e.key != ''")
     hit = F.struct(F.col("t.stage").alias("stage"), F.coalesce("t.canonical", "e.canonical").alias("name"), "rates", F.col("price_key").alias("key"))
     pairs = asked.join(listed, (F.col("t.kind") == F.col("e.kind")) & (F.col("t.key") == F.col("e.key")), "left")
     found = pairs.groupBy("model").agg(F.collect_set(F.when(F.col("price_key").isNotNull(), hit)).alias("hits"))  # the catalogue entries that spell this model
@@ -143,11 +177,11 @@ def resolve(models: DataFrame, prices: DataFrame, strict: bool = True) -> DataFr
     one = (distinct("name") == 1) & (distinct("rates") == 1)
     out = found.select("model", "stage", F.when(one, F.array_min(F.transform("hits", lambda h: h["key"]))).alias("matched"), F.when(one, F.col("hits")[0]["rates"]).alias("rates"))
     fallback = F.lit(None).cast(RATES_TYPE) if strict else fallback_rates(m)
-    source = F.when(F.col("rates").isNotNull(), "catalogue").when(fallback.isNotNull(), "fallback").otherwise("unknown")
+    source = F.when(F.col("rates").isNotNull(), given.source).when(fallback.isNotNull(), "fallback").otherwise("unknown")
     return out.select("model", "stage", "matched", F.coalesce("rates", fallback).alias("rates"), source.alias("source"))
 
 
-def costed(sums: DataFrame, prices: DataFrame, strict: bool = True) -> DataFrame:
+def costed(sums: DataFrame, prices: Prices | DataFrame, strict: bool = True) -> DataFrame:
     """Sums by model with their costs. The sums are staged, so what they were made from is read once and their few models are resolved."""
     sums = staged(sums, "sums")
     return with_costs(sums, resolve(sums, prices, strict))
@@ -209,11 +243,11 @@ def strict_sum(value: str = "cost") -> Column:
     return F.when(F.count("*") == F.count(value), F.coalesce(F.sum(value), F.lit(0.0)))
 
 
-def provenance(source: str = "pricing_source") -> Column:
-    """Aggregate: the one source of prices, or mixed."""
+def provenance(source: str = "pricing_source", default: str = "catalogue") -> Column:
+    """Aggregate: the one source of prices, or mixed; the default if nothing was priced."""
     local = (total_tokens("priced_") > 0)
     names = F.array_distinct(F.flatten(F.collect_set(F.concat(F.when(F.col("recorded_entries") > 0, F.array(F.lit("recorded"))).otherwise(F.array().cast("array<string>")), F.when(local, F.array(F.coalesce(source, F.lit("unknown")))).otherwise(F.array().cast("array<string>"))))))
-    return F.when(F.size(names) == 0, "catalogue").when(F.size(names) == 1, names[0]).otherwise("mixed")
+    return F.when(F.size(names) == 0, default).when(F.size(names) == 1, names[0]).otherwise("mixed")
 
 
 def tiered_cost(version: Column, prompt: Column, cached: Column, completion: Column) -> Column:
@@ -230,10 +264,7 @@ SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CNY": "¥", "KRW
 
 def converted(usd: Column, rates: dict[str, float], code: str) -> Column:
     """A cost in another currency; unknown stays unknown."""
-    code = code.upper()
-    if code != "USD" and code not in rates:
-        raise ValueError(f"no exchange rate for {code}")
-    return usd * F.lit(1.0 if code == "USD" else float(rates[code]))
+    return usd * F.lit(Currency.of(code, rates).rate)
 
 
 def diagnostics(resolved: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ class Capabilities:
     cache_creation: bool = False
     cache_read: bool = True
     dedup: bool = True
+    #: Whether scan takes the wanted dates, to read less.
+    ranged: bool = False
 
 
 @dataclass(frozen=True)

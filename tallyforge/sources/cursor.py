@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, instant_ms
+from . import pages
 from .base import Capabilities, Source, usage, whole_text
 
 LISTS = ("usageEventsDisplay", "usageEvents", "events")
@@ -21,13 +25,37 @@ def _text(event: Column, *paths: str) -> Column:
     return F.nullif(F.trim(F.coalesce(*[F.get_json_object(event, f"$.{p}") for p in paths])), F.lit(""))
 
 
-def scan(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
-    """Events with tokens or a charge; an id that comes again in a document counts once, the first."""
+def saved_pages(spark: SparkSession, root: str, zone: str, wanted: tuple) -> DataFrame:
+    """Events of a crawl, which is one document; those of other days are not asked for, as the service would not give them."""
+    since, until = wanted
+    found = pages.events(spark, root)
+    if since is not None:
+        found = found.where(F.col("ms") >= _midnight_ms(since, zone))
+    if until is not None and until < date.max:
+        found = found.where(F.col("ms") < _midnight_ms(until + timedelta(days=1), zone))
+    at = F.col("page") * (1 << 24) + F.col("pos")
+    return found.select(F.lit(root).alias("file_path"), F.col("event").alias("e"), F.lit(False).alias("rejected"), at.alias("line_ord"))
+
+
+def _midnight_ms(day: date, zone: str) -> int:
+    return int(datetime(day.year, day.month, day.day, tzinfo=ZoneInfo(zone)).timestamp() * 1000)
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """Events of whole documents below root; a document without a list of them is rejected."""
     text = whole_text(spark, root, "*.json")
     listed = F.coalesce(*[F.get_json_object("value", f"$.{x}") for x in LISTS], F.when(F.ltrim("value").startswith("["), F.col("value")))
     events = text.select("file_path", F.from_json(listed, "array<string>").alias("events")).where("events IS NULL OR size(events) > 0")
     rows = events.select("file_path", F.posexplode_outer("events").alias("pos", "e"))  # only a document without a list gives a row without a place
-    rows = rows.select("file_path", "e", F.col("pos").isNull().alias("rejected"), F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("line_ord"))
+    return rows.select("file_path", "e", F.col("pos").isNull().alias("rejected"), F.coalesce(F.col("pos"), F.lit(0)).cast("long").alias("line_ord"))
+
+
+def scan(spark: SparkSession, root: str, zone: str = "UTC", wanted: tuple = (None, None)) -> DataFrame:
+    """Events with tokens or a charge; an id that comes again in a document counts once, the first.
+
+    A root with saved pages of the service is one document, and of it only pages with events of the wanted days (since, until) are read.
+    """
+    rows = saved_pages(spark, root, zone, wanted) if pages.is_crawl(spark, root) else documents(spark, root)
     e = F.col("e")
     said = _text(e, "timestamp", "createdAt", "time")
     ms = F.coalesce(instant_ms(said), F.when(said.rlike(r"^-?\d+$"), said.cast("long")), _number(e, "timestamp", "createdAt", "unixMs", "timestampMs").cast("long"))
@@ -53,4 +81,4 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     return out.withColumn("__first", first).where("rejected OR line_ord = __first").drop("__first")
 
 
-SOURCE = Source("cursor", ("cur",), Capabilities(cache_creation=True, dedup=False), scan, "Cursor")
+SOURCE = Source("cursor", ("cur",), Capabilities(cache_creation=True, dedup=False, ranged=True), scan, "Cursor")

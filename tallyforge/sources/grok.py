@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, instant_ms, percent_decoded, split_overlap
+from ..functions.scalars import clamp, instant_ms, local_date, percent_decoded, split_overlap
 from ..operators.ordered import snapshot_tokens
 from ..plans.pricing import tiered_cost
-from ..schema import USAGE
+from ..schema import COLUMNS, USAGE
 from ..streaming.ledgers import Ledger
-from .base import Capabilities, Source, json_lines, part_from_end, usage, whole_json
+from .base import Capabilities, Source, json_lines, part_from_end, text_files, usage, whole_json
 
 UNIFIED = "ts string, sid string, msg string, ctx struct<loop_index:bigint,prompt_tokens:bigint,cached_prompt_tokens:bigint,completion_tokens:bigint,reasoning_tokens:bigint>"
 DONE = "shell.turn.inference_done"
@@ -129,12 +129,37 @@ def durable(spark: SparkSession, root: str, ledger: str, zone: str = "UTC") -> D
     kept = Ledger(spark, ledger, USAGE, "message_id", "line_ord")
     if rows.where("rejected").isEmpty():
         kept.add(rows.drop("rejected"))
-    return kept.read()
+    return kept.read().withColumn("date", local_date(F.col("timestamp_ms"), zone))
 
 
-def scan(spark: SparkSession, root: str, zone: str = "UTC", files: str = "unified") -> DataFrame:
-    """Inferences of the unified log, or (files = sessions) turns and snapshots of the session folders."""
-    return unified(spark, root, zone) if files == "unified" else turns(spark, root, zone).unionByName(snapshots(spark, root, zone))
+def has_log(spark: SparkSession, root: str) -> bool:
+    """Whether the unified log is there; nothing of it is read."""
+    text = text_files(spark, f"{root}/logs", "unified.jsonl")
+    return text is not None and bool(text.inputFiles())
+
+
+def sessions(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
+    """Turns of the session folders, and estimates of sessions without any."""
+    return turns(spark, root, zone).unionByName(snapshots(spark, root, zone))
+
+
+def scan(spark: SparkSession, root: str, zone: str = "UTC", files: str = "auto", ledger: str | None = None) -> DataFrame:
+    """Inferences of the unified log, or what the session folders say. files is unified, sessions or auto.
+
+    auto takes the log if it is there, and with a ledger (a folder) what that has kept of it, this run included; a log of which nothing
+    can be kept is read as it is. Without a log the ledger counts, and without either the sessions.
+    """
+    made = {"unified": unified, "sessions": sessions}
+    if files != "auto":
+        if files not in made:
+            raise ValueError(f"files must be auto or one of {', '.join(made)}")
+        return made[files](spark, root, zone)
+    log = has_log(spark, root)
+    if ledger is not None:
+        kept = durable(spark, root, ledger, zone) if log else Ledger(spark, ledger, USAGE, "message_id", "line_ord").read().withColumn("date", local_date(F.col("timestamp_ms"), zone))
+        if Ledger(spark, ledger, USAGE, "message_id", "line_ord").manifest().segments:
+            return kept.select(*COLUMNS).withColumn("rejected", F.lit(False))
+    return unified(spark, root, zone) if log else sessions(spark, root, zone)
 
 
 SOURCE = Source("grok", ("gx",), Capabilities(projects=True, reasoning=True, cache_creation=True), scan, "Grok")

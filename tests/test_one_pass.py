@@ -175,3 +175,12 @@ def test_small_and_large_orders_agree(spark):
     order = [F.col("k").desc(), F.col("id").asc()]
     few, many = ({(r["id"], r["place"]) for r in ordered.numbered(rows, order, few).collect()} for few in (True, False))
     assert few == many
+
+
+def test_counts_stop_at_the_largest_long(spark, tmp_path):
+    most = 2**63 - 1
+    write(tmp_path / "projects/p/s.jsonl", *[message(f"2024-01-0{d}T00:00:00Z", f"m{d}", most, "end") for d in (1, 2)])
+    for kind in ("daily", "monthly", "session", "blocks"):
+        rows = [json.loads(r["json"]) for r in api.usage_report(spark, kind, "claude", str(tmp_path), price_table(spark)).json().collect()]
+        assert all(r["input_tokens"] == r["total_tokens"] == most for r in rows)
+    assert api.summarize(spark, "claude", str(tmp_path), price_table(spark), api.Range()).first()["total_tokens"] == most

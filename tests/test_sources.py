@@ -3,15 +3,20 @@
 import json
 import os
 import random
+from datetime import date, datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import api
+from tallyforge.operators import files, sinks
 from tallyforge.operators.dedup import best_candidate, counted, quality_of
+from tallyforge.plans.ledger import price_table
+from tallyforge.plans.pricing import Currency
 from tallyforge.schema import PRICE
 from tallyforge.sources import SOURCES, claude, codex, grok, tails
 from tallyforge.sources.base import combined, json_lines
+from tallyforge.sources.dimensions import CatalogueError, exchange_rates, load_prices, settings
 
 
 def write(path, *lines):
@@ -335,3 +340,169 @@ def test_half_written_and_malformed_limits(spark, tmp_path):
     assert codex.quota_snapshot(spark, f"{tmp_path}/link").first()["error"] == "sessions_is_a_link"
     with pytest.raises(api.QuotaError, match="sessions_is_a_link"):
         api.weekly_value(spark, f"{tmp_path}/link", spark.createDataFrame([], PRICE), 10**9)
+
+
+def price_file(path, model="claude-sonnet-4", cost=1e-6, text=None):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps({model: {"input_cost_per_token": cost, "output_cost_per_token": 2 * cost}}) if text is None else text)
+    return str(path)
+
+
+def test_states_of_the_price_cache(spark, tmp_path):
+    """No file, a fresh one, a stale one and a malformed one; offline, and with a fetch that works or does not."""
+    now = 1_760_000_000
+    one, two, new = tmp_path / "a/prices.json", tmp_path / "b/prices.json", price_file(tmp_path / "new.json", cost=7e-6)
+    paths = [str(one), str(two)]
+    load = lambda **k: load_prices(spark, paths, now, **k)
+    rate = lambda p: {r["price_key"]: r["input"] for r in p.table.collect()}.get("claude-sonnet-4")
+    for options in ({}, {"offline": False}, {"offline": False, "fetch": lambda: None}):
+        none = load(**options)
+        assert (none.source, none.age_s, none.table.count()) == ("fallback", None, 0)
+    price_file(two, cost=3e-6)
+    os.utime(two, (now - 3600,) * 2)
+    fresh = load(offline=False, fetch=lambda: 1 / 0)  # nothing is fetched
+    assert (fresh.source, fresh.age_s, fresh.mtime_s, rate(fresh)) == ("cache", 3600, now - 3600, 3e-6)
+    os.utime(two, (now - 100_000,) * 2)
+    for options in ({}, {"offline": False, "fetch": lambda: None}):
+        stale = load(**options)
+        assert (stale.source, stale.age_s, rate(stale)) == ("cache_stale", 100_000, 3e-6)
+    price_file(one, text="{not json")
+    with pytest.raises(CatalogueError, match="malformed"):
+        load()  # the second file does not stand in
+    with pytest.warns(UserWarning, match="fetched anew"), pytest.raises(CatalogueError):
+        load(offline=False, fetch=lambda: None)
+    with pytest.warns(UserWarning, match="fetched anew"):
+        live = load(offline=False, fetch=lambda: new)
+    assert (live.source, live.age_s, rate(live)) == ("live", None, 7e-6) and json.loads(one.read_text()) == json.loads(open(new).read())
+    assert load().source == "cache_stale" and rate(load()) == 7e-6  # saved; by its clock it is of the future
+
+
+def test_prices_of_a_cache_tell_its_age(spark, tmp_path):
+    write(tmp_path / "projects/p/s.jsonl", message("2026-01-01T00:00:00Z", "a", 1000, 0, "end"), message("2026-01-02T00:00:00Z", "b", 10, 0, "end", model="haiku"))
+    path = price_file(tmp_path / "prices.json")
+    os.utime(path, (1_760_000_000 - 50,) * 2)
+    got = api.usage_report(spark, "daily", "claude", str(tmp_path), load_prices(spark, [path], 1_760_000_000))
+    first, second = (json.loads(r["json"]) for r in got.json().orderBy("place").collect())
+    assert (first["pricing_source"], first["pricing_cache_age_seconds"], first["pricing_cache_mtime_epoch_seconds"]) == ("cache", 50, 1_759_999_950)
+    assert second["pricing_source"] == "fallback" and "pricing_cache_age_seconds" not in second
+    lines = [r["line"] for r in got.csv().orderBy("part", "place").collect()]
+    assert lines[0].endswith(",pricing_source,pricing_cache_age_seconds,pricing_cache_mtime_epoch_seconds") and lines[1].endswith(",cache,50,1759999950") and lines[2].endswith(",fallback,,")
+
+
+def test_reports_as_files(spark, tmp_path):
+    """Bytes of whole files; what a killed attempt left behind does not matter."""
+    write(tmp_path / "projects/p/s.jsonl", message("2026-01-02T00:00:00Z", "a", 3, 1, "end", model="other"), message("2026-01-01T00:00:00Z", "b", 5, 0, "end", model="odd, name"), "{")
+    got = api.usage_report(spark, "daily", "claude", str(tmp_path), price_table(spark), strict=True)
+    out = tmp_path / "out/report"
+    out.parent.mkdir()
+    (tmp_path / "out/report.0.tmp").write_text("half a re")
+    out.write_text("old")
+    got.save(str(out), "csv")
+    assert out.read_text() == (
+        "date,input_tokens,output_tokens,reasoning_tokens,cache_creation_tokens,cache_read_tokens,cache_hit_rate,total_tokens,cost,pricing_source\n"
+        '2026-01-01,5,0,0,0,0,0.00,5,N/A,unknown\n2026-01-02,3,1,0,0,0,0.00,4,N/A,unknown\n# data_quality valid=2 dedup_skipped=0 parse_errors=1\n'
+    )
+    got.save(str(out), "json", descending=True)
+    rows = json.loads(out.read_text())
+    assert [r["date"] for r in rows] == ["2026-01-02", "2026-01-01"] and out.read_text().count("\n") == 4 and rows[0]["data_quality"]["parse_errors"] == 1
+    got.save(str(out), "table", breakdown=True)
+    lines = out.read_text().splitlines()
+    assert lines[0].split() == ["date", "model", "input_tokens", "output_tokens", "cache_creation", "cache_read", "reasoning_tokens", "call_count", "total_tokens", "hit_rate", "cost"]
+    assert [x.split()[0] for x in lines[2:]] == ["2026-01-01", "2026-01-01", "2026-01-02", "2026-01-02", "TOTAL", "1"] and "odd, name" in lines[3]
+    with pytest.raises(ValueError, match="format"):
+        got.save(str(out), "xml")
+    assert sorted(p.name for p in out.parent.iterdir()) == ["report", "report.0.tmp"]
+
+
+def test_large_reports_as_files(spark, tmp_path):
+    rows = spark.range(5000).select(F.lit(1).alias("part"), (5000 - F.col("id")).alias("place"), F.concat(F.lit("line "), 5000 - F.col("id")).alias("line")).repartition(7)
+    files.saved(rows, f"{tmp_path}/deep/er/lines.txt")
+    assert (tmp_path / "deep/er/lines.txt").read_text().splitlines() == [f"line {i}" for i in range(1, 5001)]
+    files.saved(rows.limit(0), f"{tmp_path}/none.txt")
+    assert (tmp_path / "none.txt").read_text() == ""
+
+
+def test_tables_and_currency(spark, tmp_path):
+    write(tmp_path / "projects/p/s.jsonl", message("2026-01-02T00:00:00Z", "a", 10**6, 0, "end", model="claude-sonnet-4-20250514"), message("2026-01-02T06:00:00Z", "b", 10**6, 0, "end", model="claude-opus-4-20250514"))
+    euro = Currency.of(" eur ", {"EUR": 0.5})
+    report = lambda kind, **k: api.usage_report(spark, kind, "claude", str(tmp_path), price_table(spark), strict=True, **k)
+    assert json.loads(report("daily", currency=euro).json().first()["json"])["cost"] == pytest.approx(9.0)
+    assert report("statusline", currency=euro).table() == "Claude Code: €9.00 | In: 2.0M Out: 0 | Cache Hit: 0.0%"
+    for kind, first in (("daily", "2026-01-02"), ("session", "s"), ("project", "p"), ("blocks", "2026-01-02"), ("endpoints", "unknown"), ("models", "opus-4")):
+        lines = report(kind).table().splitlines()
+        assert len(lines) >= 4 and any(first in x for x in lines[2:]) and "TOTAL" in lines[-1] and lines[-1].endswith("$18.00"), kind
+    top = sinks.text_table(sinks.top_table(api.top(spark, "model", "claude", str(tmp_path), price_table(spark), strict=True), "model")).splitlines()
+    assert top[2].split() == ["1", "opus-4", "1", "1,000,000", "$15.00", "83.33%"]
+    months = api.budget(spark, "claude", str(tmp_path), price_table(spark), 20.0, date(2026, 1, 31), strict=True)
+    assert sinks.text_table(sinks.budget_table(months)).splitlines()[2].split() == ["2026-01", "$18.00", "$20.00", "$18.00", "$2.00", "90.0%", "90.0%", "watch"]
+    assert json.loads(sinks.budget_json(months).first()["json"])["budget"]["status"] == "watch"
+    counts = spark.createDataFrame([("Read", 3, 75.0), ("Edit", 1, 25.0)], "name string, calls long, share double")
+    assert [x.split() for x in sinks.text_table(sinks.tools_table(counts)).splitlines()[2:]] == [["Read", "3", "75.0%"], ["Edit", "1", "25.0%"], ["TOTAL", "4", "100.0%"]]
+    with pytest.raises(ValueError, match="exchange rate"):
+        Currency.of("XXX", {"EUR": 1.0})
+    rates = tmp_path / "rates.json"
+    rates.write_text('{"rates": {"eur": 0.5}}')
+    assert Currency.of("EUR", exchange_rates(str(rates))) == euro
+    (tmp_path / "c.toml").write_text('zone = "UTC"\nstrict = true')
+    assert settings([f"{tmp_path}/none.toml", f"{tmp_path}/c.toml"], zone="Asia/Tokyo", currency=None) == {"zone": "Asia/Tokyo", "strict": True}
+
+
+def test_quota_report_with_its_value(spark, tmp_path):
+    now, reset = 1_760_000_000, 1_760_400_000
+    line = limits("2025-10-09T08:00:00Z", 20.0)
+    line["payload"]["info"] = {"total_token_usage": {"input_tokens": 10**6, "output_tokens": 0, "total_tokens": 10**6}, "model": "gpt-5"}
+    write(tmp_path / "sessions/2025/10/09/a.jsonl", line)
+    got = api.quota_report(spark, str(tmp_path), now, price_table(spark), strict=True)
+    told = json.loads(sinks.quota_json(got).first()["json"])
+    assert (told["used_pct"], told["estimated_window_value_usd"], told["value_error"]) == (20.0, 6.25, None) and reset > now
+    lines = [r["line"] for r in sinks.quota_csv(got).orderBy("part", "place").collect()]
+    assert lines[0].endswith("estimated_depletion_at,estimated_window_value_usd,value_error") and ",20.00,80.00," in lines[1] and lines[1].endswith(",6.25,")
+    assert "used_pct" in sinks.text_table(sinks.quota_table(api.quota_report(spark, str(tmp_path), now)))
+    with pytest.raises(ValueError, match="USD"):
+        api.quota_report(spark, str(tmp_path), now, currency="EUR")
+    with pytest.raises(api.QuotaError, match="expired"):
+        api.quota_report(spark, str(tmp_path), reset + 1)
+
+
+def test_only_the_pages_of_the_wanted_days_are_read(spark, tmp_path):
+    """Pages of other days are broken: they are an error if they are read."""
+    at = lambda day, hour=0: int(datetime(2026, 1, day, hour, tzinfo=timezone.utc).timestamp() * 1000)
+    event = lambda day, ident, hour=0: {"timestamp": at(day, hour), "model": "m", "usageEventId": ident, "tokenUsage": {"inputTokens": day}}
+    index = []
+    for n, day in enumerate((9, 8, 7, 6), 1):
+        found = [event(day, f"x{day}", 20), event(day, "twice"), event(day, f"y{day}")]
+        (tmp_path / f"page-{n}.json").write_text(json.dumps({"usageEventsDisplay": found}) if day in (7, 8) else "{broken")
+        index.append({"page": n, "file": f"page-{n}.json", "first_ms": at(day), "last_ms": at(day, 20), "has_next": n < 4})
+    write(tmp_path / "index.jsonl", *index)
+    facts = lambda since, until, zone="UTC": sorted((r["message_id"], r["input_tokens"]) for r in api.facts(spark, "cursor", str(tmp_path), zone, api.Range(since, until)).collect())
+    assert facts(date(2026, 1, 7), date(2026, 1, 8)) == [("event:twice", 8), ("event:x7", 7), ("event:x8", 8), ("event:y7", 7), ("event:y8", 8)]
+    assert facts(date(2026, 1, 8), date(2026, 1, 8), "Asia/Tokyo") == [("event:twice", 8), ("event:x7", 7), ("event:y8", 8)]  # 20:00 UTC is the next day there
+    assert facts(date(2020, 1, 1), date(2020, 1, 1)) == []
+    with pytest.raises(Exception, match="JSONDecodeError|Expecting"):
+        facts(date(2026, 1, 7), None)
+    write(tmp_path / "index.jsonl", *index[:3])
+    with pytest.raises(Exception, match="partial"):
+        facts(date(2026, 1, 7), date(2026, 1, 8))
+    write(tmp_path / "index.jsonl", *index[1:])
+    with pytest.raises(Exception, match="partial"):
+        facts(date(2026, 1, 7), date(2026, 1, 8))
+
+
+def test_the_choice_of_files(spark, tmp_path):
+    """The log, what a ledger kept of it, or the sessions, in this order."""
+    write(tmp_path / "sessions/p/s1/summary.json", {"updated_at": "2026-01-01T00:00:00Z"})
+    write(tmp_path / "sessions/p/s1/signals.json", {"contextTokensUsed": 881})
+    log, kept = tmp_path / "logs/unified.jsonl", f"{tmp_path}/kept"
+    tokens = lambda **k: sorted(r["input_tokens"] for r in api.facts(spark, "grok", str(tmp_path), **k).collect())
+    assert tokens() == tokens(ledger=kept) == tokens(files="sessions") == [881] and tokens(files="unified") == []
+    every = api.usage_report(spark, "models", "all", {"grok": str(tmp_path)}, price_table(spark)).rows.first()
+    assert (every["input_tokens"], every["proxy_entries"], every["real_cost"]) == (881, 1, 0.0) and every["estimated_cost"] > 0
+    assert api.facts(spark, "all", {"gx": str(tmp_path)}, options={"grok": {"files": "unified"}}).count() == 0
+    write(log, {"ts": "2026-01-01T00:00:00Z", "sid": "s", "msg": grok.DONE, "ctx": {"prompt_tokens": 26}})
+    assert tokens() == tokens(ledger=kept) == [26] and tokens(files="sessions") == [881]
+    write(log, f'{{"msg": "{grok.DONE}", "ctx": 5}}')
+    assert tokens(ledger=kept) == [26] and tokens() == []
+    log.unlink()
+    assert tokens(ledger=kept) == [26] and tokens() == [881]
+    with pytest.raises(ValueError, match="files"):
+        tokens(files="some")
