@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 CHUNK_ROWS = 256
 BLOCK, BITS, MAX_BITS, FEW = 2048, (16, 4), 17, 2
 BATCH_BYTES = 1 << 21
-SIDE_BY_SIDE, ALIGNED, ALIGNED_CELLS = 8, 256, 1 << 20
+SIDE_BY_SIDE, ALIGNED, SHORT_ENOUGH, WAITING = 8, 256, 512, 1 << 22
 ROWS_A_FILE, CELLS = 50_000, 1 << 19
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -275,22 +275,27 @@ def most_edits(n: int, m: int, threshold: float = SIMILARITY) -> int:
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float = SIMILARITY) -> np.ndarray:
     """Whether the banded edit distance of each two texts is within the threshold.
 
-    Pairs of like lengths are aligned side by side; few are aligned one by one, in bits of integers.
+    Most similar pairs show it in a greedy alignment. Of the others, short pairs of like lengths are aligned side by side, and long ones (or a
+    few) one by one, in bits of integers.
     """
-    size = np.array([[len(a), len(b)] for a, b in pairs]).reshape(-1, 2)
-    most = np.array([most_edits(n, m, threshold) for n, m in size.tolist()], np.int64)
-    out = np.zeros(len(pairs), bool)
-    near = np.flatnonzero(np.abs(size[:, 0] - size[:, 1]) <= most)
-    near = near[np.argsort(size[near].max(axis=1), kind="stable")]
-    while len(near):
-        n = min(len(near), ALIGNED, max(1, ALIGNED_CELLS // max(1, int(size[near[0]].max()))))
-        some, near = near[:n], near[n:]
-        if n < SIDE_BY_SIDE:
-            for i in some.tolist():
-                a, b, m = pairs[i][0].tolist(), pairs[i][1].tolist(), int(most[i])
-                out[i] = greedy_cost(a, b, m) <= m or banded_distance(a, b, m) <= m
+    out, short = np.zeros(len(pairs), bool), []
+    for i, (a, b) in enumerate(pairs):
+        most, longer = most_edits(len(a), len(b), threshold), max(len(a), len(b))
+        if abs(len(a) - len(b)) > most:
+            continue
+        x, y = a.tolist(), b.tolist()
+        if greedy_cost(x, y, most) <= most:
+            out[i] = True
+        elif longer <= SHORT_ENOUGH:
+            short.append((longer, i, most))
         else:
-            out[some] = _distances([pairs[i] for i in some.tolist()], int(most[some].max())) <= most[some]
+            out[i] = banded_distance(x, y, most) <= most
+    short.sort()
+    for low in range(0, len(short), ALIGNED):
+        some = short[low : low + ALIGNED]
+        found = _distances([pairs[i] for _, i, _ in some], max(m for _, _, m in some)) if len(some) >= SIDE_BY_SIDE else [banded_distance(pairs[i][0].tolist(), pairs[i][1].tolist(), m) for _, i, m in some]
+        for (_, i, most), distance in zip(some, found):
+            out[i] = distance <= most
     return out
 
 
@@ -368,7 +373,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     elif told is None:
                         open_.append((a, nodes[i], words, hashes.copy()))
                         waiting += len(words) + len(hashes)
-            if waiting > 4 * ALIGNED_CELLS:
+            if waiting > WAITING:
                 links, waiting = links + settled(), 0
         yield out(links)
     yield out(settled())
@@ -571,11 +576,14 @@ def linked(roots: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataF
     return out
 
 
-def apart(pairs: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """The pairs of texts that are in two classes, staged. Many pairs may have one leader a: its rows can be split, as roots are staged."""
+def apart(pairs: DataFrame, best: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """The pairs that are none of best (a row for each b) and whose texts are in two classes, staged. Many pairs may have one leader a: its rows can be split, as roots are staged."""
     of = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
-    rows = pairs.join(of("b", "rb"), "b", "left").join(of("a", "ra"), "a", "left")
-    return staged(rows.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), name)
+    known = staged(best.select("b", F.col("a").alias("tried")).join(of("b", "rb"), "b", "left"), "dedup-tried")
+    rows = pairs.join(known, "b").where("a != tried").join(of("a", "ra"), "a", "left")
+    out = staged(rows.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), name)
+    released(known)
+    return out
 
 
 def compared(rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -587,7 +595,7 @@ def compared(rows: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     best = staged(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "dedup-best")
     roots = linked(None, best, texts)
-    rest = apart(pairs.join(best, ["a", "b"], "left_anti"), roots, "dedup-rest")
+    rest = apart(pairs, best, roots, "dedup-rest")
     released(best)
     if not rest.isEmpty():
         roots = linked(roots, rest, texts)
