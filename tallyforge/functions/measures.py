@@ -30,8 +30,8 @@ def with_cost_parts(df: DataFrame) -> DataFrame:
 
 
 def saturated(c: Column) -> Column:
-    """A sum of numbers that are not negative, which stops at the largest long instead of failing; null without rows."""
-    return F.when(F.count("*") > 0, F.coalesce(F.try_sum(c), F.lit(MOST)))
+    """A sum of numbers that are not negative (null is 0), which stops at the largest long instead of failing; null without rows."""
+    return F.when(F.count("*") > 0, F.coalesce(F.try_sum(F.coalesce(c, F.lit(0))), F.lit(MOST)))
 
 
 def sums() -> list[Column]:

@@ -37,9 +37,9 @@ class PageReader(DataSourceReader):
         for f in filters:
             if getattr(f, "attribute", None) == ("ms",) and isinstance(value := getattr(f, "value", None), int):
                 if isinstance(f, (GreaterThanOrEqual, GreaterThan, EqualTo)):
-                    self.least = value if self.least is None else max(self.least, value)
+                    self.least = max(value + isinstance(f, GreaterThan), value if self.least is None else self.least)
                 if isinstance(f, (LessThanOrEqual, LessThan, EqualTo)):
-                    self.most = value if self.most is None else min(self.most, value)
+                    self.most = min(value - isinstance(f, LessThan), value if self.most is None else self.most)
             yield f
 
     def partitions(self) -> Sequence[InputPartition]:

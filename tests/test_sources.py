@@ -423,19 +423,19 @@ def test_large_reports_as_files(spark, tmp_path):
 
 
 def test_tables_and_currency(spark, tmp_path):
-    write(tmp_path / "projects/p/s.jsonl", message("2026-01-02T00:00:00Z", "a", 10**6, 0, "end", model="claude-sonnet-4-20250514"), message("2026-01-02T06:00:00Z", "b", 10**6, 0, "end", model="claude-opus-4-20250514"))
+    write(tmp_path / "projects/p/s.jsonl", message("2026-01-02T00:00:00Z", "a", 10**6, 0, "end", model="claude-sonnet-4-20250514"), message("2026-01-02T06:00:00Z", "b", 10**6, 0, "end", model="claude-haiku-4.5"))
     euro = Currency.of(" eur ", {"EUR": 0.5})
     report = lambda kind, **k: api.usage_report(spark, kind, "claude", str(tmp_path), price_table(spark), strict=True, **k)
-    assert json.loads(report("daily", currency=euro).json().first()["json"])["cost"] == pytest.approx(9.0)
-    assert report("statusline", currency=euro).table() == "Claude Code: €9.00 | In: 2.0M Out: 0 | Cache Hit: 0.0%"
-    for kind, first in (("daily", "2026-01-02"), ("session", "s"), ("project", "p"), ("blocks", "2026-01-02"), ("endpoints", "unknown"), ("models", "opus-4")):
+    assert json.loads(report("daily", currency=euro).json().first()["json"])["cost"] == pytest.approx(2.0)
+    assert report("statusline", currency=euro).table() == "Claude Code: €2.00 | In: 2.0M Out: 0 | Cache Hit: 0.0%"
+    for kind, first in (("daily", "2026-01-02"), ("session", "s"), ("project", "p"), ("blocks", "2026-01-02"), ("endpoints", "unknown"), ("models", "haiku-4.5")):
         lines = report(kind).table().splitlines()
-        assert len(lines) >= 4 and any(first in x for x in lines[2:]) and "TOTAL" in lines[-1] and lines[-1].endswith("$18.00"), kind
+        assert len(lines) >= 4 and any(first in x for x in lines[2:]) and "TOTAL" in lines[-1] and lines[-1].endswith("$4.00"), kind
     top = sinks.text_table(sinks.top_table(api.top(spark, "model", "claude", str(tmp_path), price_table(spark), strict=True), "model")).splitlines()
-    assert top[2].split() == ["1", "opus-4", "1", "1,000,000", "$15.00", "83.33%"]
-    months = api.budget(spark, "claude", str(tmp_path), price_table(spark), 20.0, date(2026, 1, 31), strict=True)
-    assert sinks.text_table(sinks.budget_table(months)).splitlines()[2].split() == ["2026-01", "$18.00", "$20.00", "$18.00", "$2.00", "90.0%", "90.0%", "watch"]
-    assert json.loads(sinks.budget_json(months).first()["json"])["budget"]["status"] == "watch"
+    assert top[2].split() == ["1", "sonnet-4", "1", "1,000,000", "$3.00", "75.00%"]
+    months = api.budget(spark, "claude", str(tmp_path), price_table(spark), 5.0, date(2026, 1, 31), strict=True)
+    assert sinks.text_table(sinks.budget_table(months)).splitlines()[2].split() == ["2026-01", "$4.00", "$5.00", "$4.00", "$1.00", "80.0%", "80.0%", "on_track"]
+    assert json.loads(sinks.budget_json(months).first()["json"])["budget"]["status"] == "on_track"
     counts = spark.createDataFrame([("Read", 3, 75.0), ("Edit", 1, 25.0)], "name string, calls long, share double")
     assert [x.split() for x in sinks.text_table(sinks.tools_table(counts)).splitlines()[2:]] == [["Read", "3", "75.0%"], ["Edit", "1", "25.0%"], ["TOTAL", "4", "100.0%"]]
     with pytest.raises(ValueError, match="exchange rate"):
