@@ -26,6 +26,7 @@ from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ SIMILARITY = 0.8
 CHUNK_ROWS = 256
 BLOCK, BITS, MAX_BITS, FEW = 2048, (16, 4), 17, 2
 BATCH_BYTES = 1 << 21
-SIDE_BY_SIDE, ALIGNED, SHORT_ENOUGH, WAITING = 8, 256, 512, 1 << 22
+SIDE_BY_SIDE, ALIGNED, SHORT_ENOUGH, WAITING = 8, 256, 512, 1 << 20
 ROWS_A_FILE, CELLS = 50_000, 1 << 19
 
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -101,20 +102,21 @@ def keys_of(hashes: list[np.ndarray]) -> list[np.ndarray]:
     return keys
 
 
-def in_parts(texts: list) -> Iterator[tuple[int, list[bytes]]]:
-    """(first index, texts) of runs with about BATCH_BYTES; null is empty."""
-    low, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= BATCH_BYTES or i + 1 == len(texts):
-            yield low, [t or b"" for t in texts[low : i + 1]]
-            low, size = i + 1, 0
+def in_parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first index, texts) of runs with about BATCH_BYTES, which alone become Python objects; null is empty."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(column):
+        before = int(size[low - 1]) if low else 0
+        high = min(len(column), int(np.searchsorted(size, before + BATCH_BYTES)) + 1)
+        yield low, [t or b"" for t in column.slice(low, high - low).to_pylist()]
+        low = high
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, digests, texts = batch.columns
-        for low, some in in_parts(texts.to_pylist()):
+        for low, some in in_parts(texts):
             each = keys_of(hashed_words(some))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
@@ -360,7 +362,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         links, (ids, roles, nodes) = [], (batch.column(c).to_pylist() for c in ("a", "role", "node"))
-        for low, some in in_parts(batch.column("text").to_pylist()):
+        for low, some in in_parts(batch.column("text")):
             for i, hashes in enumerate(hashed_words(some), low):
                 a = ids[i]
                 if roles[i] == 0:
@@ -413,7 +415,7 @@ def map_width(words: int, bits: int) -> int:
 
 def _map_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, some in in_parts(batch.column("text").to_pylist()):
+        for low, some in in_parts(batch.column("text")):
             words = hashed_words(some)
             singles, pairs = zip(*map(bit_maps, words))
             node, buckets = (batch.column(c).slice(low, len(some)) for c in ("node", "buckets"))
@@ -469,7 +471,7 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                         keep = lacking <= edit * edits
                         one, two, edits, lacking = one[keep], two[keep], edits[keep], lacking[keep]
                     one, two = some[one], some[two]
-                    least = np.fromiter((min(keys[x] & keys[y]) == key for x, y in zip(one.tolist(), two.tolist())), bool, len(one))
+                    least = np.fromiter((np.intersect1d(keys[x], keys[y])[0] == key for x, y in zip(one.tolist(), two.tolist())), bool, len(one))
                     us.append(one[least])
                     vs.append(two[least])
                     lacks.append(lacking[least])
@@ -489,12 +491,15 @@ def _pair_batches(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             return pa.record_batch(columns, ["a", "b", *TASK])
 
         for batch in batches:
-            for *at, node, root, role, size, singles, pairs, keys in zip(*(c.to_pylist() for c in batch.columns)):
+            lists = batch.column("keys")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()  # numbers of keys stay in arrays: there are many
+            rows = zip(*(c.to_pylist() for c in batch.columns[:-1]), zip(ends, ends[1:]))
+            for *at, node, root, role, size, singles, pairs, (start, end) in rows:
                 if at != task:
                     if held:
                         yield compare()
                     task, held = at, []
-                held.append((node, root, role, size, singles, pairs, set(keys)))
+                held.append((node, root, role, size, singles, pairs, flat[start:end].copy()))
         if held:
             yield compare()
 
