@@ -662,7 +662,22 @@ def in_files(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, parts)) if parts < partitions(df.sparkSession) else df
 
 
+#: Rows that go to Python at once: texts may be long, and both sides hold them.
+BATCH_ROWS = 1000
+
+
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_classified, whose tables are all written here, with batches of BATCH_ROWS for the tasks in Python."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return _classified(docs)
+    finally:
+        conf.set(key, before)
+
+
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): sets has doc_id and digest of every row; classes has a row for each digest with its node, smallest doc_id (id),
     class_id, the root of its class and count, the rows with that text."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("text"))
