@@ -376,9 +376,9 @@ def quota_report(spark: SparkSession, root: str, now_s: int, prices: pricing.Pri
     return pace.crossJoin(F.broadcast(value.select("value", F.col("error").alias("value_error"))))  # one row each
 
 
-def weekly_quota(spark: SparkSession, root: str, now_s: int) -> DataFrame:
-    """The newest weekly quota and where it is heading, in one row; error says why that cannot be told."""
-    return forecast.quota_pace(codex.quota_snapshot(spark, root, now_s), F.lit(now_s).cast("long"))
+def weekly_quota(spark: SparkSession, root: str, now_s: int | None) -> DataFrame:
+    """The newest weekly quota and where it is heading, in one row; error says why that cannot be told. Without now_s all files count, and no limit is too old."""
+    return forecast.quota_pace(codex.quota_snapshot(spark, root, now_s), None if now_s is None else F.lit(now_s).cast("long"))
 
 
 class QuotaError(ValueError):
@@ -389,7 +389,7 @@ class QuotaError(ValueError):
         self.kind = kind
 
 
-def weekly_value(spark: SparkSession, root: str, prices: DataFrame, now_s: int, strict: bool = False) -> DataFrame:
+def weekly_value(spark: SparkSession, root: str, prices: DataFrame, now_s: int | None, strict: bool = False) -> DataFrame:
     """What the whole quota window is worth at the pace so far; the reason if that cannot be told."""
     quota = weekly_quota(spark, root, now_s).first()
     if quota["error"] is not None:

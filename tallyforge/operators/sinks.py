@@ -125,7 +125,7 @@ def csv_cost(c: Column) -> Column:
 
 def csv_rate(c: Column) -> Column:
     """Two decimals, nothing if there is none."""
-    return F.coalesce(F.format_string("%.2f", c), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string("%.2f", c))  # format_string makes text of a null
 
 
 def csv_report(rows: DataFrame, cells: dict[str, Column], order: list[Column], quality: DataFrame | None = None, few: bool = False) -> DataFrame:
