@@ -92,7 +92,7 @@ def period_json(rows: DataFrame, label: str, breakdown: bool = False, quality: D
 
 
 def session_json(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, few: bool = False) -> DataFrame:
-    order = [F.col("last_ms").desc_nulls_last() if descending else F.col("last_ms").asc_nulls_first(), *_order(["last_timestamp", "session_key"], descending)]
+    order = [F.col("last_ms").desc_nulls_last() if descending else F.col("last_ms").asc_nulls_first(), *_order(["last_timestamp", "session_id", "session_key"], descending)]
     return _objects(rows, [F.col(c) for c in ("session_id", "project_path", "first_timestamp", "last_timestamp")] + [*_measures(), F.col("models")], quality, order, few)
 
 
@@ -161,7 +161,7 @@ def period_breakdown_csv(rows: DataFrame, label: str, quality: DataFrame | None
 
 
 def session_csv(rows: DataFrame, quality: DataFrame | None = None, descending: bool = False, estimates: bool = False, few: bool = False) -> DataFrame:
-    order = [F.col("last_ms").desc_nulls_last() if descending else F.col("last_ms").asc_nulls_first(), *_order(["last_timestamp", "session_key"], descending)]
+    order = [F.col("last_ms").desc_nulls_last() if descending else F.col("last_ms").asc_nulls_first(), *_order(["last_timestamp", "session_id", "session_key"], descending)]
     return csv_report(rows, _cells(("session_id", "project_path", "first_timestamp", "last_timestamp"), SHOWN, estimates), order, quality, few)
 
 

@@ -48,3 +48,7 @@ def test_a_rate_that_is_not_there_is_an_empty_cell(spark):
 
     rows = spark.sql("SELECT CAST(NULL AS DOUBLE) AS rate UNION ALL SELECT 12.345D")
     assert sorted(r[0] for r in rows.select(csv_rate(rows["rate"])).collect()) == ["", "12.35"]
+
+
+def test_session_report_csv_orders_ties_by_session(spark, larger):
+    assert same(spark, "session_report_csv", larger)
