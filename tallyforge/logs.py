@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from .staging import local_path
 
 
-def write_lines(df: DataFrame, root: str) -> str:
+#: Lines that a task of write_lines sorts and writes, where their number is told; a longer file is a task.
+LINES = 100_000
+
+
+def write_lines(df: DataFrame, root: str, lines: int | None = None) -> str:
     """Write rows (path, ord, line) as files below root, each with its lines in order; returns root.
 
-    A task writes whole files, one after the other, each under a name of its own that is moved to the path once it is complete.
+    A task writes whole files, one after the other, each under a name of its own that is moved to the path once it is complete. With lines, about how many
+    rows there are, the number of tasks grows with them; else Spark chooses it by compressed bytes, which for lines so much alike may be few tasks.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,13 +39,14 @@ def write_lines(df: DataFrame, root: str) -> str:
                     folder, _, name = f"{base}/{path}".rpartition("/")
                     files.create_dir(folder, recursive=True)
                     at, held = path, f"{folder}/.{name}-{uuid.uuid4().hex}"
-                    out = files.open_output_stream(held)
+                    out = files.open_output_stream(held, buffer_size=1 << 16)
                 out.write(line.encode() + b"\n")
             yield pa.record_batch([pa.array([], pa.string())], ["path"])
         if out is not None:
             close()
 
-    ordered = df.repartition("path").sortWithinPartitions("path", "ord").select("path", "line")
+    dealt = df.repartition("path") if lines is None else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-lines // LINES)), "path")
+    ordered = dealt.sortWithinPartitions("path", "ord").select("path", "line")
     ordered.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
     return root
 

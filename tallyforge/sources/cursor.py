@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, instant_ms
@@ -77,8 +77,8 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC", wanted: tuple = (Non
         rows, zone, source=F.lit("cursor"), timestamp_ms=F.col("ms"), message_id=F.concat(F.lit("event:"), ident), session_key=F.concat(F.lit("cursor:"), session), session_id=session,
         project_path=F.lit(""), model=F.coalesce(_text(e, "model", "modelName"), F.lit("cursor")), stop_reason=F.lit("complete"), recorded_cost_usd=cost, **n,
     )
-    first = F.min("line_ord").over(Window.partitionBy("file_path", "message_id"))
-    return out.withColumn("__first", first).where("rejected OR line_ord = __first").drop("__first")
+    whole = out.select("file_path", "message_id", "rejected", "line_ord", F.struct(*out.columns).alias("__row"))  # a rejected document is one row
+    return whole.groupBy("file_path", "message_id", "rejected").agg(F.min_by("__row", "line_ord").alias("__row")).select("__row.*")
 
 
 SOURCE = Source("cursor", ("cur",), Capabilities(cache_creation=True, dedup=False, ranged=True), scan, "Cursor")

@@ -52,3 +52,33 @@ def test_a_rate_that_is_not_there_is_an_empty_cell(spark):
 
 def test_session_report_csv_orders_ties_by_session(spark, larger):
     assert same(spark, "session_report_csv", larger)
+
+
+def listed_files(root):
+    """(path, line) of every JSON file of a folder."""
+    from pathlib import Path
+
+    return [(p.name, line) for p in Path(root.removeprefix("file://")).rglob("*.json") for line in p.read_text().splitlines()]
+
+
+def test_billing_documents_are_written_line_by_line(spark, larger):
+    from tallyforge.log_queries import billing_root
+
+    lines = listed_files(billing_root(spark, larger))
+    assert max(len(line) for _, line in lines) < 1000  # an event, not a document
+    assert len({name for name, _ in lines}) > 4  # more documents for more users
+    assert same(spark, "billing_scan", larger)
+
+
+def test_billing_pages_are_bounded(spark, larger):
+    import re
+
+    from tallyforge.log_queries import pages_root
+
+    spans = {}
+    for name, line in listed_files(pages_root(spark, larger)):
+        ids = [int(x) for x in re.findall(r'"conversationId":"c(\d+)"', line)]
+        spans.setdefault(name, set()).update(x // 1500 for x in ids)
+        assert len(line) < 1000
+    assert all(len(copies) == 1 for copies in spans.values())  # keys far apart are never one page
+    assert same(spark, "billing_pages", larger)
