@@ -21,7 +21,7 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     n = dict(input_tokens=clamp(u["inputOther"]), output_tokens=clamp(u["output"]), cache_read=clamp(u["inputCacheRead"]), cache_creation=clamp(u["inputCacheCreation"]))
     rows = rows.where(F.col("rejected") | (n["input_tokens"] + n["output_tokens"] + n["cache_read"] + n["cache_creation"] > 0))
     rows = rows.withColumn("rejected", F.col("rejected") | F.coalesce(F.col("j.time") <= 0, F.lit(True)))
-    index = json_lines(spark, root, INDEX, pattern="session_index.jsonl").where("NOT rejected AND j.sessionId IS NOT NULL").select(F.col("j.sessionId").alias("sid"), F.col("j.workDir").alias("work"), F.struct("file_path", "line_ord").alias("at"))
+    index = json_lines(spark, f"{root}/session_index.jsonl", INDEX, pattern="session_index.jsonl").where("NOT rejected AND j.sessionId IS NOT NULL").select(F.col("j.sessionId").alias("sid"), F.col("j.workDir").alias("work"), F.struct("file_path", "line_ord").alias("at"))
     rows = rows.withColumn("sid", part_from_end(F.col("file_path"), 4)).join(last_by(index, ["sid"], "at").select("sid", "work"), "sid", "left")
     project = F.coalesce("work", work_dir_slug(part_from_end(F.col("file_path"), 5)), F.lit(""))
     return usage(
