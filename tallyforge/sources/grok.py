@@ -75,32 +75,38 @@ def turns(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     rows = rows.where(F.col("rejected") | (u["sessionUpdate"] == "turn_completed"))
     stamp = F.col("j.timestamp")
     ms = F.coalesce(F.when(meta["agentTimestampMs"] > 0, meta["agentTimestampMs"]), F.when(stamp > 10**12, stamp).when(stamp > 0, stamp * 1000))
-    rows = rows.withColumn("ms", ms).withColumn("rejected", F.col("rejected") | u["usage"].isNull() | F.col("ms").isNull())
-    rows = rows.withColumn("sid", part_from_end(F.col("file_path"), 2)).join(session_metadata(spark, root), "sid", "left").withColumn("fallback", F.coalesce("meta_model", F.lit("grok")))
-    whole = _normal(u["usage"])
-    rows = rows.withColumn("whole", whole)
-    entries = F.transform(F.filter(F.map_entries(u["usage"]["modelUsage"]), lambda e: F.trim(e["key"]) != ""), lambda e: F.struct(e["key"].alias("model"), _normal(e["value"]).alias("n")))
-    entries = F.coalesce(entries, F.array().cast("array<struct<model:string,n:struct<input_tokens:bigint,output_tokens:bigint,cache_creation:bigint,cache_read:bigint,reasoning_tokens:bigint,calls:bigint,cost:double>>>"))
-    rows = rows.withColumn("parts", entries)
+    rejected = F.col("rejected") | u["usage"].isNull() | ms.isNull()
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    base = F.coalesce(blank(meta["eventId"]), blank(u["prompt_id"]), F.concat(F.lit("turn:"), F.hex(F.xxhash64("value"))))
+    rows = rows.select(  # neither the text nor the rest of a line goes into the join
+        "file_path", "line_ord", rejected.alias("rejected"), ms.alias("ms"), part_from_end(F.col("file_path"), 2).alias("sid"), base.alias("base"),
+        u["stop_reason"].alias("stop"), F.col("j.params.sessionId").alias("given"), F.when(~rejected, u["usage"]).alias("usage"),
+    )
+    rows = rows.join(session_metadata(spark, root), "sid", "left").withColumn("fallback", F.coalesce("meta_model", F.lit("grok")))
+    v = F.col("usage")
+    rows = rows.withColumn("whole", _normal(v))
+    entries = F.transform(F.filter(F.map_entries(v["modelUsage"]), lambda e: F.trim(e["key"]) != ""), lambda e: F.struct(e["key"].alias("model"), _normal(e["value"]).alias("n")))
+    number = f"struct<{','.join(f'{p}:bigint' for p in PARTS)},calls:bigint,cost:double>"
+    rows = rows.withColumn("parts", F.coalesce(entries, F.array().cast(f"array<struct<model:string,n:{number}>>")))
     zero, nothing = F.lit(0).cast("long"), F.lit(0.0)
     add = lambda f, none: F.aggregate("parts", none, lambda a, e: a + F.coalesce(e["n"][f], none))
     rest = [F.greatest(F.col(f"whole.{p}") - add(p, zero), zero).alias(p) for p in (*PARTS, "calls")]
     cost = F.when(F.col("whole.cost").isNotNull(), F.greatest(F.col("whole.cost") - add("cost", nothing), nothing))
     left = F.struct(*rest, cost.alias("cost"))
     each = F.when(F.size("parts") == 0, F.array(F.struct(F.col("fallback").alias("model"), F.col("whole").alias("n")))).otherwise(F.concat("parts", F.array(F.struct(F.col("fallback").alias("model"), left.alias("n")))))
-    keep = ["file_path", "line_ord", "rejected", "ms", "sid", "meta_key", "meta_project", "value", u["stop_reason"].alias("stop"), F.col("j.params.sessionId").alias("given"), meta["eventId"].alias("event"), u["prompt_id"].alias("prompt"), F.col("whole.cost").alias("turn_cost")]
-    bad = rows.where("rejected").select(*keep, F.lit(None).cast("string").alias("model"), F.lit(None).cast(f"struct<{','.join(f'{p}:bigint' for p in PARTS)},calls:bigint,cost:double>").alias("n"))
-    good = rows.where("NOT rejected").select(*keep, F.explode(each).alias("x")).select("*", "x.model", "x.n").drop("x")
-    keys = [c for c in good.columns if c not in ("n",)]
-    sums = [F.sum(f"n.{p}").alias(p) for p in PARTS] + [F.sum("n.calls").alias("calls"), F.sum("n.cost").alias("cost")]
-    good = good.groupBy(*keys).agg(*sums).select(*keys, F.struct(*PARTS, "calls", "cost").alias("n"))
+    fields = (*PARTS, "calls", "cost")
+    both = lambda a, n: F.struct(*[F.coalesce(a[f] + n[f], a[f], n[f]).alias(f) for f in fields])
+    of = lambda m: F.aggregate(F.filter("each", lambda e: e["model"] == m), F.lit(None).cast(number), lambda a, e: both(a, e["n"]))
+    models = F.transform(F.array_distinct(F.transform("each", lambda e: e["model"])), lambda m: F.struct(m.alias("model"), of(m).alias("n")))  # a line's models are summed where it is read
+    keep = ["file_path", "line_ord", "rejected", "ms", "sid", "meta_key", "meta_project", "base", "stop", "given", F.col("whole.cost").alias("turn_cost")]
+    told = F.when(F.col("rejected"), F.array(F.struct(F.lit(None).cast("string").alias("model"), F.lit(None).cast(number).alias("n")))).otherwise(models)
+    rows = rows.withColumn("each", each).select(*keep, F.explode(told).alias("x")).select("*", "x.model", "x.n").drop("x")
     used = F.col("n.cost") > 0
     for p in PARTS:
         used = F.coalesce(used, F.lit(False)) | (F.col(f"n.{p}") > 0)
-    rows = good.where(used | (F.col("n.calls") > 1)).unionByName(bad)
-    base = F.coalesce(F.nullif(F.trim("event"), F.lit("")), F.nullif(F.trim("prompt"), F.lit("")), F.concat(F.lit("turn:"), F.hex(F.xxhash64("value"))))
+    rows = rows.where(F.col("rejected") | used | (F.col("n.calls") > 1))
     return usage(
-        rows, zone, source=F.lit("grok"), timestamp_ms=F.col("ms"), message_id=F.concat_ws(":", base, "model"), session_key=F.coalesce("meta_key", "sid"),
+        rows, zone, source=F.lit("grok"), timestamp_ms=F.col("ms"), message_id=F.concat_ws(":", "base", "model"), session_key=F.coalesce("meta_key", "sid"),
         session_id=F.coalesce(F.nullif(F.trim("given"), F.lit("")), F.col("sid")), project_path=F.coalesce("meta_project", F.lit("")), model=F.col("model"), stop_reason=F.col("stop"),
         call_count=F.col("n.calls"), recorded_cost_usd=F.coalesce("n.cost", F.when(F.col("turn_cost").isNotNull(), F.lit(0.0))), **{p: F.col(f"n.{p}") for p in PARTS},
     )
