@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,10 +87,27 @@ def no_path(error: Exception) -> bool:
     return "PATH_NOT_FOUND" in str(error)
 
 
+#: Folders are listed by so many tasks for each core; Spark alone takes one for each folder, up to 10,000.
+LISTERS = 4
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Folders that are listed inside share tasks, whose number does not grow with them: of many folders each task's own result was most of what the driver got."""
+    before = spark.conf.get(_LISTING, None)
+    spark.conf.set(_LISTING, str(LISTERS * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_LISTING) if before is None else spark.conf.set(_LISTING, before)
+
+
 def text_files(spark: SparkSession, paths: str | list[str], pattern: str, **options) -> DataFrame | None:
     """Text of the files below a path, null if it is not there."""
     try:
-        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, **options)
+        with listing(spark):
+            return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, **options)
     except Exception as e:
         if not no_path(e):
             raise

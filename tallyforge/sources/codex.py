@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blank_to_null, instant_ms, split_overlap
 from ..operators.ordered import carried_across
 from ..staging import staged
-from .base import Capabilities, Source, file_stem, json_lines, no_path, usage
+from .base import Capabilities, Source, file_stem, json_lines, listing, no_path, usage
 from .tails import is_link, last_limits
 
 TOTALS = "struct<input_tokens:bigint,cached_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>"
@@ -109,7 +109,8 @@ def scan(spark: SparkSession, root: str, zone: str = "UTC", scope: str = "all",
 def session_files(spark: SparkSession, path: str) -> DataFrame | None:
     """(path, length, modificationTime) of the session files below path, of which nothing is read; null without a folder."""
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path)
+        with listing(spark):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path)
     except Exception as e:
         if not no_path(e):
             raise

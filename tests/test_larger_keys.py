@@ -118,3 +118,20 @@ def test_only_the_index_of_the_root_is_listed(spark, tmp_path):
     write(tmp_path / "sessions/wd_a_0123456789ab/S1/session_index.jsonl", {"sessionId": "S1", "workDir": "/not/this"})
     write(tmp_path / "session_index.jsonl", {"sessionId": "S1", "workDir": "/w"})
     assert [r["project_path"] for r in kimi.scan(spark, str(tmp_path)).collect()] == ["/w"]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from tallyforge.sources.base import LISTERS, text_files
+
+    for n in range(120):
+        (tmp_path / f"root/s{n}").mkdir(parents=True)
+        (tmp_path / f"root/s{n}/a.jsonl").write_text("{}\n")
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        assert text_files(spark, str(tmp_path / "root"), "*.jsonl").count() == 120
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listing")]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    first = context.statusTracker().getStageInfo(min(s for j in jobs for s in j.stageIds))
+    assert first.numTasks <= LISTERS * context.defaultParallelism < 120
