@@ -6,8 +6,8 @@ layer is linear, so after training each bucket is reduced to one number, its log
 gives the same result as averaging vectors.
 
 Training takes at most SAMPLE labelled rows of each class (those with the smallest hash of doc_id); their sparse bucket
-counts, at most BUCKETS each, come to the driver. Scoring covers all rows and whole texts. The model has a fixed size and
-is broadcast.
+counts, at most BUCKETS each, come to the driver, in two bytes for a bucket and one for a count if it fits, and are not copied there.
+Scoring covers all rows and whole texts. The model has a fixed size and is broadcast.
 
 Defined cases: a null text counts as empty; an empty text has the average vector 0 and so the score 0.5; labels that are
 null teach nothing, and a document with several labels has the highest; repeated rows are scored alike; without labels
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +104,19 @@ def document_buckets(text: bytes | None, words: BucketTable) -> tuple[np.ndarray
 def _bucket_batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     words = BucketTable(100_000)
     for batch in texts:
-        found = [document_buckets(x, words) for x in batch]
-        yield pd.DataFrame({"bucket": [a.astype(np.int32) for a, _ in found], "times": [b.astype(np.int32) for _, b in found]})
+        found = [packed(*document_buckets(x, words)) for x in batch]
+        yield pd.DataFrame(found, columns=["bucket", "times"])
+
+
+def packed(buckets: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
+    """Buckets in two bytes each, their counts in as few as hold the largest."""
+    return buckets.astype("<u2").tobytes(), times.astype(np.min_scalar_type(int(times.max(initial=0)))).tobytes()
+
+
+def unpacked(buckets: pa.Buffer, times: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """What packed got, read where it lies."""
+    b = np.frombuffer(buckets, "<u2")
+    return b, np.frombuffer(times, f"<u{len(times) // max(1, len(b)) or 1}")
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -112,11 +124,12 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     output = np.zeros((DIM, 2), np.float32)
-    weights = [(b, (t / t.sum()).astype(np.float32), y) for b, t, y in examples if len(b)]
-    steps, done = max(1, EPOCHS * len(weights)), 0
+    known = [x for x in examples if len(x[0])]
+    steps, done = max(1, EPOCHS * len(known)), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(weights)):
-            buckets, share, y = weights[i]
+        for i in rng.permutation(len(known)):
+            buckets, times, y = known[i]
+            share = (times / times.sum()).astype(np.float32)
             rate = np.float32(RATE * (1 - done / steps))
             mean = share @ vectors[buckets]
             z = mean @ output
@@ -142,13 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     picked = known.where("y = 1").orderBy(*order).limit(SAMPLE).unionByName(known.where("y = 0").orderBy(*order).limit(SAMPLE))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * SAMPLE ids
     texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    counted = texts.select("doc_id", "y", F.pandas_udf(_bucket_batches, "bucket array<int>, times array<int>")("text").alias("b"))
-    got = counted.select("doc_id", "y", "b.bucket", "b.times").toArrow().sort_by("doc_id").combine_chunks()
-    whole = lambda name: got.column(name).combine_chunks()
-    y, at = got.column("y").to_numpy(), whole("bucket").offsets.to_numpy() if len(got) else np.zeros(1, int)
-    buckets, times = (np.array(whole(x).values.to_numpy()) if len(got) else np.empty(0) for x in ("bucket", "times"))
-    del got
-    return train([(buckets[a:b], times[a:b], int(q)) for a, b, q in zip(at, at[1:], y)])
+    counted = texts.select("doc_id", "y", F.pandas_udf(_bucket_batches, "bucket binary, times binary")("text").alias("b"))
+    got = counted.select("doc_id", "y", "b.bucket", "b.times").toArrow()
+    rows = [x for batch in got.to_batches() for x in zip(*(batch.column(c) for c in ("doc_id", "y", "bucket", "times")))]
+    rows.sort(key=lambda x: x[0].as_py())
+    logits = train([(*unpacked(b.as_buffer(), t.as_buffer()), int(y.as_py())) for _, y, b, t in rows])
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return logits
 
 
 def score_column(spark: SparkSession, logits: np.ndarray, text: Column) -> Column:

@@ -41,15 +41,21 @@ def partitions(spark: SparkSession) -> int:
 HOT = 16
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame, how: str = "inner", total: int | None = None, whole: bool = False) -> DataFrame:
     """rows joined with found, which has one row for each key, where few keys may hold many rows.
 
     counts: key and count, the number of rows of each key, staged; total may give at least the sum of them. Rows of hot keys stay where they are and get a broadcast of
-    at most HOT * partitions rows; all others are joined by key. how is inner or left.
+    at most HOT * partitions rows; all others are joined by key. how is inner or left. If no key is hot this is a plain join, and if all are
+    and whole says that found (inner) has no others, a broadcast of found: each exchange that is left out saves the driver a thread and a part of a plan.
     """
     most = HOT * partitions(rows.sparkSession)
     total = counts.agg(F.sum("count")).first()[0] or 0 if total is None else total
-    hot = counts.where(F.col("count") > total / most).select(key)
+    often = F.col("count") > total / most
+    hot = counts.where(often).select(key)
+    if hot.isEmpty():
+        return rows.join(found, key, how)
+    if whole and how == "inner" and counts.where(~often).isEmpty():
+        return rows.join(F.broadcast(found), key)
     known = found.join(F.broadcast(hot), key, "left_semi")
     near = rows.join(F.broadcast(known if how == "inner" else hot.join(F.broadcast(known), key, "left")), key)
     far = rows.join(F.broadcast(hot), key, "left_anti").join(found, key, how)

@@ -96,7 +96,7 @@ def of_sources(rows: DataFrame, found: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with what found has of their source (null is one). A source may hold any part of the rows: plan says how many each has (n_docs)."""
     key = F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).alias("__source")
     counts = plan.select(key, F.col("n_docs").alias("count"))
-    return lookup(rows.select("*", key), found.select(key, *[c for c in found.columns if c != "source"]), "__source", counts).drop("__source")
+    return lookup(rows.select("*", key), found.select(key, *[c for c in found.columns if c != "source"]), "__source", counts, whole=True).drop("__source")
 
 
 def edge(sums: DataFrame, part: str, room: str) -> DataFrame:
