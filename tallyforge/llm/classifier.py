@@ -17,6 +17,7 @@ every score is 0.5; an empty table gives an empty result; in ``keep_good`` all c
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Grown, WordTable, mix64, table
+from .common import WordTable, mix64, table
 
 BUCKETS, DIM = 1 << 16, 16
 MIN_N, MAX_N = 3, 5
@@ -69,20 +70,17 @@ class LogitTable(WordTable):
     def __init__(self, logits: np.ndarray):
         super().__init__()
         self.logits = logits.tolist()
-        self._sums = Grown(np.float64, 2)
+
+    def fresh(self) -> array:
+        return array("d")
 
     def added(self, word: bytes) -> None:
         buckets = word_buckets(word)
-        self.extra.append((sum(map(self.logits.__getitem__, buckets)), len(buckets)))
-
-    def trim(self) -> None:
-        super().trim()
-        if not self:
-            self._sums.reset()
+        self.extra.extend((sum(map(self.logits.__getitem__, buckets)), len(buckets)))
 
     def totals(self, rows: np.ndarray) -> np.ndarray:
         """(sum of logits, n) over rows."""
-        return self._sums.of(self.extra)[rows].sum(axis=0)
+        return np.frombuffer(self.extra).reshape(-1, 2)[rows].sum(axis=0)
 
 
 def document_buckets(text: bytes | None, words: BucketTable) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -144,15 +145,13 @@ class Grown:
 class WordTable(dict):
     """Words to rows of growing arrays, filled on first sight; at most ``limit`` words, then it starts anew.
 
-    A task keeps it across batches; its size is bounded, so memory does not follow the vocabulary.
+    A task keeps it across batches; its size is bounded, so memory does not follow the vocabulary. Numbers lie in arrays, not as objects.
     """
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
-        self.hashes: list[int] = []
-        self.extra: list = []
-        self._array = Grown(np.uint64)
+        self.hashes, self.extra = array("Q"), self.fresh()
 
     def __missing__(self, word: bytes) -> int:
         self[word] = row = len(self.hashes)
@@ -160,6 +159,10 @@ class WordTable(dict):
         self.added(word)
         return row
 
+    def fresh(self) -> list | array:
+        """For subclasses: an empty extra."""
+        return []
+
     def added(self, word: bytes) -> None:
         """For subclasses: called once for each new word."""
 
@@ -167,13 +170,11 @@ class WordTable(dict):
         """Call between documents: forget everything once the limit is passed."""
         if len(self) > self.limit:
             self.clear()
-            self.hashes.clear()
-            self.extra.clear()
-            self._array.reset()
+            self.hashes, self.extra = array("Q"), self.fresh()
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def word_hashes(self, rows: np.ndarray) -> np.ndarray:
         """Mixed 64-bit hashes of rows."""
-        return mix64(self._array.of(self.hashes)[rows])
+        return mix64(np.frombuffer(self.hashes, np.uint64)[rows]) if len(rows) else np.empty(0, np.uint64)

@@ -496,3 +496,18 @@ def test_a_lookup_leaves_out_what_it_does_not_need(spark, capsys):
             assert not absent or absent not in capsys.readouterr().out
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_numbers_of_a_word_table_are_no_objects():
+    """Its arrays and sums follow the words, also after it started anew; a word holds 24 bytes in them."""
+    logits = np.random.default_rng(2).normal(size=classifier.BUCKETS)
+    words = classifier.LogitTable(logits)
+    words.limit = 50
+    for n in (0, 1, 40, 60, 30):
+        some = [b"w%d" % (i * i % 71) for i in range(n)]
+        rows = words.rows(some)
+        assert words.word_hashes(rows).tolist() == [int(common.mix64(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64))[0]) for w in some]
+        if n:
+            assert words.totals(rows) == pytest.approx([sum(logits[b] for w in some for b in classifier.word_buckets(w)), sum(len(classifier.word_buckets(w)) for w in some)])
+        assert len(words) == 0 or (words.hashes.itemsize * len(words.hashes) + words.extra.itemsize * len(words.extra)) == 24 * len(words)
+        words.trim()
