@@ -3,7 +3,8 @@
 Texts are cut by a pattern; each distinct piece that is no token itself becomes a row of token ids (at first its bytes) in
 the matrix of its length bucket. Each round looks at the rank that every adjacent pair would merge to, found by a hashed
 pair table, merges every row's leftmost pair of least rank and compacts the row by one column, until no pair has a rank.
-Pieces of a task are remembered in a table of bounded size, so frequent ones are encoded once. A piece over LONG bytes is
+Pieces of a task are remembered in a table of bounded size, so frequent ones are encoded once; when the task ends they are
+forgotten, as its worker lives on and does other work. A piece over LONG bytes is
 a row by itself, and a round of it merges all places of the least rank that merging one by one would take in a row, so
 its rounds follow the vocabulary and not its length.
 
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_parts, table
 
 NONE = np.int32(2**31 - 1)
 FRESH_CHARS = 1 << 21
@@ -79,7 +80,7 @@ class PairTable:
 class ByteBPE:
     """A rank file and its split pattern."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 500_000):
+    def __init__(self, path: str, pattern: str, limit: int = 300_000):
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ids = {base64.b64decode(a): int(b) for a, b in pairs}
@@ -88,9 +89,9 @@ class ByteBPE:
             self.tokens[i] = token
         self.bytes_ = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         self.pairs, self.pattern, self.limit = PairTable(self.tokens, self.ids), regex.compile(pattern), limit
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.ends, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
 
@@ -179,7 +180,7 @@ class ByteBPE:
         """(all ids, ends): text i has ids[ends[i]:ends[i + 1]]."""
         cut = [self.pattern.findall(t) for t in texts]
         if len(self.rows) > self.limit:
-            self._forget()
+            self.forget()
         new = list(set().union(*cut).difference(self.rows))
         if new:
             made = self.merge([p.encode() for p in new])
@@ -213,16 +214,24 @@ def small_lists(column: list, chars: int = FRESH_CHARS) -> Iterator[tuple[int, l
             low, size = i + 1, 0
 
 
+def in_runs(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[ByteBPE, pa.Array, np.ndarray, np.ndarray]]:
+    """(vocabulary, ids of the texts, then as ``encode``) of runs of a task's rows of an id and a text."""
+    bpe = loaded(path, pattern)
+    try:
+        for batch in batches:
+            for low, texts in in_parts(batch.column(1)):
+                yield bpe, batch.column(0).slice(low, len(texts)), *bpe.encode(texts)
+    finally:
+        bpe.forget()
+
+
 def encoded(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): token ids of every text as little-endian unsigned 32-bit integers."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, pattern)
-        for batch in it:
-            for low, texts in small_lists(batch.column(1).to_pylist()):
-                ids, ends = bpe.encode(texts)
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
-                yield pa.record_batch([batch.column(0).slice(low, len(texts)), pa.array(raw, pa.binary())], ["id", "ids"])
+        for _, names, ids, ends in in_runs(it, path, pattern):
+            raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
+            yield pa.record_batch([names, pa.array(raw, pa.binary())], ["id", "ids"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, "id long, ids binary")
 
@@ -234,20 +243,17 @@ def round_trip(df: DataFrame, path: str, pattern: str, with_ids: bool = False) -
     """doc_id, n_tokens and digests of the ids and of what they decode to; on demand the ids as in ``encoded``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, pattern)
-        for batch in it:
-            for low, texts in small_lists(batch.column(1).to_pylist()):
-                ids, ends = bpe.encode(texts)
-                each = [ids[a:b] for a, b in zip(ends, ends[1:])]
-                columns = [
-                    batch.column(0).slice(low, len(texts)),
-                    pa.array([len(x) for x in each], pa.int64()),
-                    pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
-                    pa.array([sha256(bpe.decode(x)).hexdigest() for x in each], pa.string()),
-                ]
-                if with_ids:
-                    columns.append(pa.array([x.astype("<u4").tobytes() for x in each], pa.binary()))
-                yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        for bpe, names, ids, ends in in_runs(it, path, pattern):
+            each = [ids[a:b] for a, b in zip(ends, ends[1:])]
+            columns = [
+                names,
+                pa.array([len(x) for x in each], pa.int64()),
+                pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()),
+                pa.array([sha256(bpe.decode(x)).hexdigest() for x in each], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.array([x.astype("<u4").tobytes() for x in each], pa.binary()))
+            yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, DIGESTS + ", ids binary" * with_ids)
 

@@ -21,12 +21,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, mix64, table
+from .common import WordTable, in_parts, mix64, small_batches, staged, table
 
 BUCKETS, DIM = 1 << 16, 16
 MIN_N, MAX_N = 3, 5
@@ -58,10 +57,15 @@ def pair_buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 class BucketTable(WordTable):
-    """Words with their buckets."""
+    """Words with their buckets, two bytes each."""
 
     def added(self, word: bytes) -> None:
-        self.extra.append(word_buckets(word))
+        self.extra.append(array("H", word_buckets(word)).tobytes())
+
+    def grams(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the buckets of rows, one row after the other; how many each row has)."""
+        each = [self.extra[r] for r in rows]
+        return np.frombuffer(b"".join(each), np.uint16), np.fromiter(map(len, each), np.int64, len(each)) // 2
 
 
 class LogitTable(WordTable):
@@ -91,19 +95,18 @@ def document_buckets(text: bytes | None, words: BucketTable) -> tuple[np.ndarray
     times = np.bincount(rows, minlength=len(words.extra))
     counts = np.bincount(pair_buckets(words.word_hashes(rows)), minlength=BUCKETS)
     used = np.flatnonzero(times)
-    grams = [words.extra[r] for r in used]
-    weights = np.repeat(times[used], [len(g) for g in grams])
-    counts = counts + np.bincount(np.concatenate(grams), weights, minlength=BUCKETS).astype(np.int64)
+    grams, n = words.grams(used)
+    counts = counts + np.bincount(grams, np.repeat(times[used], n), minlength=BUCKETS).astype(np.int64)
     found = np.flatnonzero(counts)
     words.trim()
     return found, counts[found]
 
 
-def _bucket_batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _bucket_batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     words = BucketTable(100_000)
     for batch in texts:
-        found = [packed(*document_buckets(x, words)) for x in batch]
-        yield pd.DataFrame(found, columns=["bucket", "times"])
+        found = [packed(*document_buckets(x, words)) for _, some in in_parts(batch) for x in some]
+        yield pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["bucket", "times"])
 
 
 def packed(buckets: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
@@ -153,8 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     picked = known.where("y = 1").orderBy(*order).limit(SAMPLE).unionByName(known.where("y = 0").orderBy(*order).limit(SAMPLE))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * SAMPLE ids
     texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    counted = texts.select("doc_id", "y", F.pandas_udf(_bucket_batches, "bucket binary, times binary")("text").alias("b"))
-    got = counted.select("doc_id", "y", "b.bucket", "b.times").toArrow()
+    counted = texts.select("doc_id", "y", F.arrow_udf(_bucket_batches, "bucket binary, times binary")("text").alias("b"))
+    with small_batches(docs.sparkSession):
+        got = counted.select("doc_id", "y", "b.bucket", "b.times").toArrow()
     rows = [x for batch in got.to_batches() for x in zip(*(batch.column(c) for c in ("doc_id", "y", "bucket", "times")))]
     rows.sort(key=lambda x: x[0].as_py())
     logits = train([(*unpacked(b.as_buffer(), t.as_buffer()), int(y.as_py())) for _, y, b, t in rows])
@@ -167,27 +171,29 @@ def score_column(spark: SparkSession, logits: np.ndarray, text: Column) -> Colum
     """The probability of class 1 for a binary text column."""
     model = spark.sparkContext.broadcast(logits)
 
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, pairs = LogitTable(model.value), model.value
         for batch in texts:
             out = np.zeros(len(batch))
-            for i, text in enumerate(batch):
-                rows = words.rows((text or b"").split())
-                if len(rows):
-                    total, n = words.totals(rows)
-                    near = pair_buckets(words.word_hashes(rows))
-                    out[i] = (total + pairs[near].sum()) / (n + len(near))
-                    words.trim()
-            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -500, 500))))
+            for low, some in in_parts(batch):
+                for i, text in enumerate(some, low):
+                    rows = words.rows(text.split())
+                    if len(rows):
+                        total, n = words.totals(rows)
+                        near = pair_buckets(words.word_hashes(rows))
+                        out[i] = (total + pairs[near].sum()) / (n + len(near))
+                        words.trim()
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
-    return F.pandas_udf(score, "double")(text)
+    return F.arrow_udf(score, "double")(text)
 
 
 def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows whose score is at least KEEP_AT, with all their columns; learns from the texts of labelled."""
+    """The rows whose score is at least KEEP_AT, with all their columns; learns from the texts of labelled. Staged."""
     score = score_column(docs.sparkSession, fit(labelled, labels), F.col("text").cast("binary"))
     row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
-    return docs.select(row, score.alias("score")).where(F.col("score") >= KEEP_AT).select("row.*")
+    with small_batches(docs.sparkSession):
+        return staged(docs.select(row, score.alias("score")).where(F.col("score") >= KEEP_AT), "quality-kept").select("row.*")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +73,37 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
 
 
+#: Rows that go to Python at once: texts may be long, and both sides hold them.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most BATCH_ROWS for the tasks in Python of what is run (not only planned) inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Bytes of text that are Python objects at once.
+BATCH_BYTES = 1 << 21
+
+
+def in_parts(column: pa.Array) -> Iterator[tuple[int, list]]:
+    """(first index, texts) of runs with about BATCH_BYTES, which alone become Python objects; null is empty."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low, empty = 0, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else ""
+    while low < len(column):
+        before = int(size[low - 1]) if low else 0
+        high = min(len(column), int(np.searchsorted(size, before + BATCH_BYTES)) + 1)
+        yield low, [t or empty for t in column.slice(low, high - low).to_pylist()]
+        low = high
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -26,18 +26,16 @@ from operator import ne
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, bucketed, hashed_words, lookup, mix64, partitions, released, staged, table
+from .common import HOT, bucketed, hashed_words, in_parts, lookup, mix64, partitions, released, small_batches, staged, table
 
 K, ELL, SKETCHES = 3, 2, 72
 SHORT, SHORT_KEYS = 64, 16
 SIMILARITY = 0.8
 CHUNK_ROWS = 256
 BLOCK, BITS, MAX_BITS, FEW = 2048, (16, 4), 17, 2
-BATCH_BYTES = 1 << 21
 SIDE_BY_SIDE, ALIGNED, SHORT_ENOUGH, WAITING = 8, 256, 512, 1 << 20
 ROWS_A_FILE, CELLS = 50_000, 1 << 19
 
@@ -102,17 +100,6 @@ def keys_of(hashes: list[np.ndarray]) -> list[np.ndarray]:
     return keys
 
 
-def in_parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first index, texts) of runs with about BATCH_BYTES, which alone become Python objects; null is empty."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    low = 0
-    while low < len(column):
-        before = int(size[low - 1]) if low else 0
-        high = min(len(column), int(np.searchsorted(size, before + BATCH_BYTES)) + 1)
-        yield low, [t or b"" for t in column.slice(low, high - low).to_pylist()]
-        low = high
-
-
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, digests, texts = batch.columns
@@ -662,19 +649,10 @@ def in_files(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, parts)) if parts < partitions(df.sparkSession) else df
 
 
-#: Rows that go to Python at once: texts may be long, and both sides hold them.
-BATCH_ROWS = 1000
-
-
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """_classified, whose tables are all written here, with batches of BATCH_ROWS for the tasks in Python."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:
+    """_classified, whose tables are all written here, with small batches for the tasks in Python."""
+    with small_batches(docs.sparkSession):
         return _classified(docs)
-    finally:
-        conf.set(key, before)
 
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

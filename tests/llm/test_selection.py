@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -511,3 +513,39 @@ def test_numbers_of_a_word_table_are_no_objects():
             assert words.totals(rows) == pytest.approx([sum(logits[b] for w in some for b in classifier.word_buckets(w)), sum(len(classifier.word_buckets(w)) for w in some)])
         assert len(words) == 0 or (words.hashes.itemsize * len(words.hashes) + words.extra.itemsize * len(words.extra)) == 24 * len(words)
         words.trim()
+
+
+def test_few_texts_are_python_objects_at_once():
+    """A batch of 24 MB goes through rules and buckets in parts: counts are those of each text, and temporaries stay far below the batch."""
+    texts = [None, ""] + [f"word{i % 7} of the " * 400 for i in range(4000)]
+    batch = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    next(quality_rules._count_batches(iter([batch[:10]])))
+    tracemalloc.start()
+    (got,) = quality_rules._count_batches(iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < batch.nbytes / 2 and len(got) == len(texts)
+    assert [tuple(got[i].as_py().values()) for i in (0, 1, 2, 3999)] == [quality_rules.count_text((texts[i] or "").encode()) for i in (0, 1, 2, 3999)]
+    found = next(classifier._bucket_batches(iter([batch[:20]]))).to_pylist()
+    assert [(x["bucket"], x["times"]) for x in found] == [classifier.packed(*classifier.document_buckets((t or "").encode(), classifier.BucketTable())) for t in texts[:20]]
+
+
+def test_buckets_of_words_take_two_bytes():
+    words = classifier.BucketTable()
+    some = [b"word", "d\u00e9j\u00e0".encode(), b"a", b"word"]
+    buckets, n = words.grams(words.rows(some))
+    want = [classifier.word_buckets(w) for w in some]
+    assert n.tolist() == [len(x) for x in want] and buckets.tolist() == sum(want, [])
+    assert sum(map(len, words.extra)) == 2 * sum(map(len, want[:3]))
+
+
+def test_stages_send_small_batches_to_python(spark, odd_docs, monkeypatch):
+    """What the rules and the classifier run in Python goes there in at most BATCH_ROWS rows; the session's own number comes back."""
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], common.staged
+    before = spark.conf.get(key)
+    for module in (quality_rules, classifier):
+        monkeypatch.setattr(module, "staged", lambda df, name: seen.append((name, int(spark.conf.get(key)))) or real(df, name))
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_rules.keep_good(odd_docs).columns == classifier.keep_good(odd_docs, odd_docs, labels).columns == odd_docs.columns
+    assert [n for n, _ in seen] == ["quality-rows", "quality-kept"] and all(rows == common.BATCH_ROWS for _, rows in seen)
+    assert spark.conf.get(key) == before

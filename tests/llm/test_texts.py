@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -105,6 +106,18 @@ def test_a_full_table_starts_anew():
         assert small.decode(ids) == b"alpha beta gamma deltaepsilon zeta"
 
 
+def test_a_worker_forgets_the_pieces_of_a_task():
+    """A worker process lives on after a task and does other work: only the vocabulary stays with it."""
+    path, pattern = byte_bpe.default_vocabulary()
+    batch = pa.record_batch([pa.array([1, 2, None]), pa.array(["alpha beta", None, "gammadelta"])], ["id", "text"])
+    for some in ([batch], [batch, batch], []):
+        runs = list(byte_bpe.in_runs(iter(some), path, pattern))
+        bpe = byte_bpe.loaded(path, pattern)
+        assert [i for _, names, _, _ in runs for i in names.to_pylist()] == [1, 2, None] * len(some)
+        assert b"".join(bpe.decode(ids) for _, _, ids, _ in runs) == b"alpha betagammadelta" * len(some)
+        assert not bpe.rows and not len(bpe.flat)
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "user", "again"), (1, 2, "assistant", "<turn> \\ </turn>\n"), (1, 3, "assistant", ""), (1, 4, None, None),
