@@ -120,8 +120,9 @@ def residual(rows: DataFrame, keys: list[str], parts: str, totals: list[str], fa
     return out.where(used)
 
 
-def snapshot_tokens(groups: DataFrame, key: str, group: str, tokens: str) -> DataFrame:
-    """Tokens of sessions known by growing snapshots: the sum over groups of their largest, else the session's largest."""
-    by_group = groups.where(F.col(group).isNotNull()).groupBy(key, group).agg(F.max(tokens).alias("t")).groupBy(key).agg(F.sum("t").alias("__grouped"))
-    whole = groups.groupBy(key).agg(F.max(tokens).alias("__whole"))
-    return whole.join(by_group, key, "left").select(key, F.coalesce("__grouped", "__whole").alias(tokens))
+def snapshot_tokens(groups: DataFrame, key: str, group: str, tokens: str, *flags: str) -> DataFrame:
+    """Tokens of sessions known by growing snapshots: the sum over groups of their largest, else the session's largest. flags hold for a session if for any of its rows."""
+    any_of = [F.max(f).alias(f) for f in flags]
+    by_group = groups.groupBy(key, group).agg(F.max(tokens).alias("__t"), *any_of)  # rows are read once
+    known = F.sum(F.when(F.col(group).isNotNull(), F.col("__t")))
+    return by_group.groupBy(key).agg(F.coalesce(known, F.max("__t")).alias(tokens), *any_of)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import did_you_mean, instant_ms, local_date, percent_decoded
 from ..operators.ordered import with_line_ordinals
 from ..schema import COLUMNS, USAGE
+from .many import LISTERS, Below
 
 
 @dataclass(frozen=True)
@@ -87,14 +88,12 @@ def no_path(error: Exception) -> bool:
     return "PATH_NOT_FOUND" in str(error)
 
 
-#: Folders are listed by so many tasks for each core; Spark alone takes one for each folder, up to 10,000.
-LISTERS = 4
 _LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 @contextmanager
 def listing(spark: SparkSession) -> Iterator[None]:
-    """Folders that are listed inside share tasks, whose number does not grow with them: of many folders each task's own result was most of what the driver got."""
+    """Folders that are listed inside share LISTERS tasks a core; Spark alone takes one for each folder, up to 10,000, and each task's own result was most of what the driver got."""
     before = spark.conf.get(_LISTING, None)
     spark.conf.set(_LISTING, str(LISTERS * spark.sparkContext.defaultParallelism))
     try:
@@ -114,13 +113,20 @@ def text_files(spark: SparkSession, paths: str | list[str], pattern: str, **opti
         return None
 
 
-def json_lines(spark: SparkSession, paths: str | list[str], schema: str, pattern: str = "*.jsonl", needle: str | None = None) -> DataFrame:
+def json_lines(
+    spark: SparkSession, paths: str | list[str], schema: str, pattern: str = "*.jsonl", needle: str | None = None, below: Below | None = None, beside: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Lines of JSON files below a path: file_path, line_ord, part, value, j (typed) and rejected; none if the path is not there.
 
-    A value of the wrong type in a typed field rejects the whole line. needle filters lines before they are parsed.
+    A value of the wrong type in a typed field rejects the whole line. needle filters lines before they are parsed. below is a listing made before.
+    beside joins columns to files by their file_path; it is asked only of many files, where no line then takes part in a join, and the caller sees it by the columns.
     """
-    text = text_files(spark, paths, pattern)
-    lines = with_line_ordinals(text) if text is not None else spark.createDataFrame([], "value string, file_path string, line_ord long, part long")
+    below = below or Below.of(spark, paths, pattern)
+    if below.files is not None:
+        lines = below.lines(pattern, beside)
+    else:
+        text = text_files(spark, paths, pattern)
+        lines = with_line_ordinals(text) if text is not None else spark.createDataFrame([], "value string, file_path string, line_ord long, part long")
     lines = lines.where(F.trim("value") != "")
     if needle is not None:
         lines = lines.where(F.col("value").contains(needle))
@@ -128,13 +134,16 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: str, pattern
     return lines.withColumn("j", parsed).withColumn("rejected", F.col("j").isNull() | F.col("j.__bad").isNotNull())
 
 
-def whole_json(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
+def whole_json(spark: SparkSession, root: str, pattern: str, schema: str, below: Below | None = None) -> DataFrame:
     """Whole-file JSON documents: file_path and j; none if the path is not there."""
-    return whole_text(spark, root, pattern).select("file_path", "value", F.from_json("value", schema).alias("j"))
+    return whole_text(spark, root, pattern, below).select("file_path", "value", F.from_json("value", schema).alias("j"))
 
 
-def whole_text(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def whole_text(spark: SparkSession, root: str, pattern: str, below: Below | None = None) -> DataFrame:
     """Whole files: file_path and value; none if the path is not there."""
+    below = below or Below.of(spark, root, pattern)
+    if below.files is not None:
+        return below.texts(pattern)
     text = text_files(spark, root, pattern, wholetext=True)
     if text is None:
         return spark.createDataFrame([], "file_path string, value string")

@@ -15,6 +15,7 @@ from ..plans.pricing import tiered_cost
 from ..schema import COLUMNS, USAGE
 from ..streaming.ledgers import Ledger
 from .base import Capabilities, Source, json_lines, part_from_end, text_files, usage, whole_json
+from .many import Below
 
 UNIFIED = "ts string, sid string, msg string, ctx struct<loop_index:bigint,prompt_tokens:bigint,cached_prompt_tokens:bigint,completion_tokens:bigint,reasoning_tokens:bigint>"
 DONE = "shell.turn.inference_done"
@@ -29,9 +30,14 @@ TICKS = 1e10
 PARTS = ("input_tokens", "output_tokens", "cache_creation", "cache_read", "reasoning_tokens")
 
 
-def session_metadata(spark: SparkSession, root: str) -> DataFrame:
+def session_files(spark: SparkSession, root: str) -> Below:
+    """The files of session folders."""
+    return Below.of(spark, f"{root}/sessions", "summary.json", "updates.jsonl", "signals.json")
+
+
+def session_metadata(spark: SparkSession, root: str, below: Below | None = None) -> DataFrame:
     """session_id (folder), session_key, project_path and default model of each session."""
-    rows = whole_json(spark, f"{root}/sessions", "summary.json", SUMMARY)
+    rows = whole_json(spark, f"{root}/sessions", "summary.json", SUMMARY, below)
     folder = F.regexp_replace("file_path", "/[^/]*$", "")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return rows.select(
@@ -68,9 +74,11 @@ def _normal(v: Column) -> Column:
     return F.struct(*[x.cast("long").alias(p) for x, p in zip(values, PARTS)], calls.cast("long").alias("calls"), cost.alias("cost"))
 
 
-def turns(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
+def turns(spark: SparkSession, root: str, zone: str = "UTC", below: Below | None = None) -> DataFrame:
     """Per-turn usage by model; what the models leave of the turn goes to the session's default model."""
-    rows = json_lines(spark, f"{root}/sessions", UPDATE, pattern="updates.jsonl", needle="turn_completed")
+    below = below or session_files(spark, root)
+    sid, known = part_from_end(F.col("file_path"), 2).alias("sid"), session_metadata(spark, root, below).drop("active_at")
+    rows = json_lines(spark, f"{root}/sessions", UPDATE, pattern="updates.jsonl", needle="turn_completed", below=below, beside=lambda files: files.select("*", sid).join(known, "sid", "left"))
     u, meta = F.col("j.params.update"), F.col("j.params._meta")
     rows = rows.where(F.col("rejected") | (u["sessionUpdate"] == "turn_completed"))
     stamp = F.col("j.timestamp")
@@ -78,11 +86,12 @@ def turns(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     rejected = F.col("rejected") | u["usage"].isNull() | ms.isNull()
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     base = F.coalesce(blank(meta["eventId"]), blank(u["prompt_id"]), F.concat(F.lit("turn:"), F.hex(F.xxhash64("value"))))
+    joined = "sid" in rows.columns
     rows = rows.select(  # neither the text nor the rest of a line goes into the join
-        "file_path", "line_ord", rejected.alias("rejected"), ms.alias("ms"), part_from_end(F.col("file_path"), 2).alias("sid"), base.alias("base"),
-        u["stop_reason"].alias("stop"), F.col("j.params.sessionId").alias("given"), F.when(~rejected, u["usage"]).alias("usage"),
+        "file_path", "line_ord", rejected.alias("rejected"), ms.alias("ms"), base.alias("base"),
+        u["stop_reason"].alias("stop"), F.col("j.params.sessionId").alias("given"), F.when(~rejected, u["usage"]).alias("usage"), *(known.columns if joined else [sid]),
     )
-    rows = rows.join(session_metadata(spark, root), "sid", "left").withColumn("fallback", F.coalesce("meta_model", F.lit("grok")))
+    rows = (rows if joined else rows.join(known, "sid", "left")).withColumn("fallback", F.coalesce("meta_model", F.lit("grok")))
     v = F.col("usage")
     rows = rows.withColumn("whole", _normal(v))
     entries = F.transform(F.filter(F.map_entries(v["modelUsage"]), lambda e: F.trim(e["key"]) != ""), lambda e: F.struct(e["key"].alias("model"), _normal(e["value"]).alias("n")))
@@ -112,15 +121,16 @@ def turns(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
+def snapshots(spark: SparkSession, root: str, zone: str = "UTC", below: Below | None = None) -> DataFrame:
     """Estimates of sessions without any turn, from context sizes."""
-    updates = json_lines(spark, f"{root}/sessions", UPDATE, pattern="updates.jsonl").where("NOT rejected").withColumn("sid", part_from_end(F.col("file_path"), 2))
-    with_turns = updates.where(F.col("j.params.update.sessionUpdate") == "turn_completed").select("sid").distinct()
-    meta = F.col("j.params._meta")
-    seen = updates.where(meta["totalTokens"].isNotNull()).select("sid", F.coalesce(meta["promptId"], meta["turnStartMs"].cast("string")).alias("grp"), meta["totalTokens"].alias("seen"))
-    seen = snapshot_tokens(seen, "sid", "grp", "seen")
-    signals = whole_json(spark, f"{root}/sessions", "signals.json", SIGNALS).select(part_from_end(F.col("file_path"), 2).alias("sid"), (clamp(F.col("j.contextTokensUsed")) + clamp(F.col("j.totalTokensBeforeCompaction"))).alias("signal"), F.coalesce("j.primaryModelId", F.try_element_at("j.modelsUsed", F.lit(1))).alias("signal_model"))
-    rows = session_metadata(spark, root).join(with_turns, "sid", "left_anti").join(signals, "sid", "left").join(seen, "sid", "left")
+    below = below or session_files(spark, root)
+    updates = json_lines(spark, f"{root}/sessions", UPDATE, pattern="updates.jsonl", below=below).where("NOT rejected")
+    meta, sid = F.col("j.params._meta"), part_from_end(F.col("file_path"), 2).alias("sid")
+    turn = F.coalesce(F.col("j.params.update.sessionUpdate") == "turn_completed", F.lit(False)).alias("turn")
+    seen = updates.select(sid, F.coalesce(meta["promptId"], meta["turnStartMs"].cast("string")).alias("grp"), meta["totalTokens"].alias("seen"), turn).where("turn OR seen IS NOT NULL")
+    seen = snapshot_tokens(seen, "sid", "grp", "seen", "turn")
+    signals = whole_json(spark, f"{root}/sessions", "signals.json", SIGNALS, below).select(sid, (clamp(F.col("j.contextTokensUsed")) + clamp(F.col("j.totalTokensBeforeCompaction"))).alias("signal"), F.coalesce("j.primaryModelId", F.try_element_at("j.modelsUsed", F.lit(1))).alias("signal_model"))
+    rows = session_metadata(spark, root, below).join(seen, "sid", "left").where("turn IS NULL OR NOT turn").join(signals, "sid", "left")
     tokens = F.coalesce(F.nullif(F.col("signal"), F.lit(0)), F.col("seen"))
     rows = rows.withColumn("tokens", tokens).where("tokens > 0").withColumn("rejected", instant_ms(F.col("active_at")).isNull()).withColumn("file_path", F.col("meta_key")).withColumn("line_ord", F.lit(0))
     return usage(
@@ -146,7 +156,8 @@ def has_log(spark: SparkSession, root: str) -> bool:
 
 def sessions(spark: SparkSession, root: str, zone: str = "UTC") -> DataFrame:
     """Turns of the session folders, and estimates of sessions without any."""
-    return turns(spark, root, zone).unionByName(snapshots(spark, root, zone))
+    below = session_files(spark, root)
+    return turns(spark, root, zone, below).unionByName(snapshots(spark, root, zone, below))
 
 
 def scan(spark: SparkSession, root: str, zone: str = "UTC", files: str = "auto", ledger: str | None = None) -> DataFrame:
