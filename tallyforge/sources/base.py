@@ -131,7 +131,8 @@ def json_lines(
     if needle is not None:
         lines = lines.where(F.col("value").contains(needle))
     parsed = F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
-    return lines.withColumn("j", parsed).withColumn("rejected", F.col("j").isNull() | F.col("j.__bad").isNotNull())
+    rows = lines.select("*", F.explode(F.array(parsed)).alias("j"))  # each line is parsed once: filters on j would go below a projection and parse there again
+    return rows.withColumn("rejected", F.col("j").isNull() | F.col("j.__bad").isNotNull())
 
 
 def whole_json(spark: SparkSession, root: str, pattern: str, schema: str, below: Below | None = None) -> DataFrame:

@@ -106,7 +106,9 @@ def turns(spark: SparkSession, root: str, zone: str = "UTC", below: Below | None
     fields = (*PARTS, "calls", "cost")
     both = lambda a, n: F.struct(*[F.coalesce(a[f] + n[f], a[f], n[f]).alias(f) for f in fields])
     of = lambda m: F.aggregate(F.filter("each", lambda e: e["model"] == m), F.lit(None).cast(number), lambda a, e: both(a, e["n"]))
-    models = F.transform(F.array_distinct(F.transform("each", lambda e: e["model"])), lambda m: F.struct(m.alias("model"), of(m).alias("n")))  # a line's models are summed where it is read
+    names = F.array_distinct(F.transform("each", lambda e: e["model"]))
+    summed = F.transform(names, lambda m: F.struct(m.alias("model"), of(m).alias("n")))  # a line's models are summed where it is read, if one comes twice
+    models = F.when(F.size(names) == F.size("each"), F.col("each")).otherwise(summed)
     keep = ["file_path", "line_ord", "rejected", "ms", "sid", "meta_key", "meta_project", "base", "stop", "given", F.col("whole.cost").alias("turn_cost")]
     told = F.when(F.col("rejected"), F.array(F.struct(F.lit(None).cast("string").alias("model"), F.lit(None).cast(number).alias("n")))).otherwise(models)
     rows = rows.withColumn("each", each).select(*keep, F.explode(told).alias("x")).select("*", "x.model", "x.n").drop("x")

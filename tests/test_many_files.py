@@ -108,3 +108,20 @@ def test_two_sources_of_many_files(spark, larger, few):  # noqa: F811
 
 def test_all_sources_of_many_files(spark, larger, few):  # noqa: F811
     assert same(spark, "all_sources_with_estimates", larger)
+
+
+def test_a_line_is_parsed_once(spark, larger):  # noqa: F811
+    rows = grok.turns(spark, turns_root(spark, larger))
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple")
+    assert plan.count("from_json(StructField(timestamp") == 1  # not once more for each filter
+
+
+def test_a_model_that_comes_twice_is_summed(spark, tmp_path):
+    """The rest of a turn goes to its default model, also where the turn names that model itself."""
+    import json
+
+    usage = {"inputTokens": 100, "modelUsage": {"base": {"inputTokens": 30}, "other": {"inputTokens": 20}}}
+    (tmp_path / "sessions/p/s").mkdir(parents=True)
+    (tmp_path / "sessions/p/s/summary.json").write_text(json.dumps({"current_model_id": "base"}))
+    (tmp_path / "sessions/p/s/updates.jsonl").write_text(json.dumps({"timestamp": 1, "params": {"update": {"sessionUpdate": "turn_completed", "prompt_id": "q", "usage": usage}}}) + "\n")
+    assert sorted((r["model"], r["input_tokens"]) for r in grok.turns(spark, str(tmp_path)).collect()) == [("base", 80), ("other", 20)]
